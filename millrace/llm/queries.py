@@ -7,8 +7,11 @@ from importlib import import_module
 #: query: module of its operator. A module's ORACLE, where it has one, is DuckDB SQL for the query's rows.
 MODULES = {
     "op1_exact_dedup": "exact_dedup",
+    "op3_packing": "packing",
     "op5_simhash": "simhash",
+    "op6_secrets": "secrets",
     "op7_topk_search": "topk_search",
+    "op9_token_files": "token_files",
     "op10_url_filter": "url_filter",
 }
 
