@@ -100,11 +100,23 @@ def entropy_span(candidate: Column, threshold: Column, window: int = WINDOW) ->
     return let(ready, body)
 
 
+def _without(found: Column, pattern: Column) -> Column:
+    return F.filter(found, lambda c: ~F.rlike(c["m"], pattern))
+
+
+def _of_kind(found: Column, k: int) -> Column:
+    return F.transform(found, lambda m: F.struct(m["s"].alias("s"), F.lit(k).alias("k"), m["e"].alias("e")))
+
+
+def _count(spans: Column, k: int) -> Column:
+    return F.size(F.filter(spans, lambda v: v["k"] == k)).cast("long")
+
+
 def entropy_spans(text: Column, allow: list[str] = ALLOW) -> Column:
     """array<struct<s, e, m>> of the method's own findings."""
     found = F.filter(match_spans(text, CANDIDATE), lambda c: F.rlike(c["m"], F.lit("[0-9]")))
-    for pattern in allow:
-        found = F.filter(found, lambda c, p=pattern: ~F.rlike(c["m"], F.lit(p)))
+    for pattern in map(F.lit, allow):
+        found = _without(found, pattern)
 
     def judge(c: Column) -> Column:
         limit = F.lit(None).cast("double")
@@ -127,9 +139,9 @@ def secret_spans(text: Column) -> Column:
     for k, (pattern, group, least, test) in enumerate(BASE.values()):
         # Runs of one class that are too short can be left out of the pattern itself: they hide nothing.
         exact = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}.get(KINDS[k], pattern)
-        spans = F.transform(match_spans(t, exact, group, least), lambda m, k=k: F.struct(m["s"].alias("s"), F.lit(k).alias("k"), m["e"].alias("e")))
+        spans = _of_kind(match_spans(t, exact, group, least), k)
         parts.append(F.when(F.rlike(t, F.lit(test)), spans).otherwise(none))
-    own = F.transform(entropy_spans(t), lambda m: F.struct(m["s"].alias("s"), F.lit(len(BASE)).alias("k"), m["e"].alias("e")))
+    own = _of_kind(entropy_spans(t), len(BASE))
     parts.append(F.when(F.rlike(t, F.lit(CANDIDATE[:-2] + "}")), own).otherwise(none))
     return F.sort_array(F.concat(*parts))
 
@@ -162,6 +174,6 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row of documents."""
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     v = F.col("secret_spans")
-    counts = [F.size(F.filter(v, lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)]
+    counts = [_count(v, k).alias(f"n_{name}") for k, name in enumerate(BASE)]
     base = F.filter(v, lambda x: x["k"] < len(BASE))
     return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(v).alias("spans"))
