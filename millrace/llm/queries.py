@@ -11,6 +11,7 @@ MODULES = {
     "op5_simhash": "simhash",
     "op6_secrets": "secrets",
     "op7_topk_search": "topk_search",
+    "op8_byte_bpe": "byte_bpe",
     "op9_token_files": "token_files",
     "op10_url_filter": "url_filter",
 }
