@@ -148,7 +148,7 @@ def document_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     kind = rows.schema["_id"].dataType.simpleString()
-    return map_ids(rows, "_t", ["_id"], make, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long", tokenizer)
+    return map_ids(rows, "_t", ["_id"], lambda: make, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long", tokenizer)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:

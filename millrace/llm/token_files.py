@@ -27,47 +27,41 @@ PAGE_BYTES = 256 << 10
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, tokenizer: str | None = None, row_group: int = ROW_GROUP_BYTES, page: int = PAGE_BYTES, dictionary: bool = True) -> None:
     """Writes every row's ids and end_id. Null and empty texts give end_id alone; null ids come first; rows with the same id are in the order of their texts."""
 
-    def make(own: pa.RecordBatch, ids: list[bytes]) -> pa.RecordBatch:
-        end = np.array([end_id], "<u4").tobytes()
-        data = np.frombuffer(end.join([*ids, b""]), "<u4").astype(np.int32)
-        n = np.array([len(x) // 4 + 1 for x in ids], np.int64)
-        offsets = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
-        tokens = pa.ListArray.from_arrays(offsets, pa.array(data))
-        return pa.RecordBatch.from_arrays([own.column(0), pa.array(n), tokens], ["doc_id", "n_tokens", "tokens"])
-
-    def place(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        me, total = TaskContext.get().partitionId(), 0
-        for b in rows:
-            n = b.column(1).to_numpy()
-            ends = total + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), me, np.int32)), pa.array(ends - n), b.column(1), b.column(2)], ["doc_id", "shard", "shard_start", "n_tokens", "tokens"])
-            total = int(ends[-1]) if len(n) else total
+    def start():
+        end, me, total = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
+
+        def make(own: pa.RecordBatch, ids: list[bytes]) -> pa.RecordBatch:
+            nonlocal total
+            n = np.array([len(x) // 4 + 1 for x in ids], np.int64)
+            ends = np.cumsum(n)
+            tokens = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(np.frombuffer(end.join([*ids, b""]), np.int32)))
+            begin, total = pa.array(total + ends - n), total + int(ends[-1])
+            return pa.RecordBatch.from_arrays([own.column(0), pa.array(np.full(len(n), me, np.int32)), begin, pa.array(n), tokens], ["doc_id", "shard", "shard_start", "n_tokens", "tokens"])
+
+        return make
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_t")
-    made = map_ids(dealt, "_t", ["doc_id"], make, f"doc_id {kind}, n_tokens long, tokens array<int>", tokenizer)
-    made = made.mapInArrow(place, f"doc_id {kind}, shard int, shard_start long, n_tokens long, tokens array<int>")
-    options = {"parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(row_group), "parquet.page.size": str(page), "parquet.enable.dictionary": str(dictionary).lower(), "compression": "zstd"}
+    made = map_ids(dealt, "_t", ["doc_id"], start, f"doc_id {kind}, shard int, shard_start long, n_tokens long, tokens array<int>", tokenizer)
+    options = {"parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(row_group), "parquet.page.size": str(page), "parquet.enable.dictionary": str(dictionary).lower(), "compression": "snappy"}
     made.write.mode("errorifexists").options(**options).parquet(path)
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens) without reading any ids; start counts the ids of all documents before."""
     meta = spark.read.parquet(path).select("doc_id", "shard", "shard_start", "n_tokens")
-    return _with_start(meta).select("doc_id", "start", "n_tokens")
+    return meta.join(_bases(meta), "shard").select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens")
 
 
-def _with_start(rows: DataFrame) -> DataFrame:
-    """Adds start. One total for each shard reaches the driver; shards are files, so this is bounded by their number."""
-    spark = rows.sparkSession
+def _bases(rows: DataFrame) -> DataFrame:
+    """(shard, base): the ids before each shard. One total for each shard reaches the driver; shards are files, so their number bounds this."""
     totals = sorted((r["shard"], r["n"]) for r in rows.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())
     before, base = 0, []
     for shard, n in totals:
         base.append((shard, before))
         before += n
-    starts = spark.createDataFrame(base, "shard int, base long")
-    return rows.join(F.broadcast(starts), "shard").withColumn("start", F.col("base") + F.col("shard_start"))
+    return F.broadcast(rows.sparkSession.createDataFrame(base, "shard int, base long"))
 
 
 def read_tokens(spark: SparkSession, path: str, ids: list | None = None) -> DataFrame:
@@ -90,10 +84,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "shard", "shard_start", "n_tokens", "ids_crc32"])
 
     made = rows.select("doc_id", "shard", "shard_start", "tokens").mapInArrow(digest, f"doc_id {kind}, shard int, shard_start long, n_tokens long, ids_crc32 long")
-    meta = _with_start(rows.select("shard", "n_tokens").groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens"), F.lit(0).cast("long").alias("shard_start")))
-    starts = [(r["shard"], r["start"]) for r in meta.select("shard", "start").collect()]
-    base = spark.createDataFrame(starts, "shard int, base long")
-    return made.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
+    return made.join(_bases(rows), "shard").select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,9 @@ starts anew, which costs time only.
 
 from __future__ import annotations
 
+import os
+import re
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -18,46 +21,83 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Chunks of a worker's table, and the longest chunk it keeps in bytes.
-TABLE = 250_000
+TABLE = 400_000
 LONGEST = 128
 #: Texts that are encoded together, and their bytes.
 BATCH = 256
 BATCH_BYTES = 4 << 20
 
 
+#: A chunk that is one word of Latin letters, which are their own NFC form, and then signs without an apostrophe: two words to the tokenizer.
+LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ž]+)([!-&(-/:-@[-`{-~]*)")
+
+
+def byte_characters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class ChunkEncoder:
-    """encode(texts as UTF-8) gives each text's ids as little-endian unsigned 32-bit numbers. Special tokens' strings are ordinary text."""
+    """encode(texts as UTF-8) gives each text's ids as little-endian unsigned 32-bit numbers. Special tokens' strings are ordinary text.
 
-    def __init__(self, tokenizer_json: bytes):
-        import os
+    Chunks of a Latin word and signs go straight to the vocabulary's merges; all others through the whole tokenizer.
+    """
 
+    def __init__(self, tokenizer_json: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
+        self.shown = byte_characters()
         self.table: dict[bytes, bytes] = {}
-
-    def _ids(self, chunks: list[bytes]) -> Iterator[bytes]:
-        for at in range(0, len(chunks), 4096):
-            found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks[at : at + 4096]], add_special_tokens=False)
-            for e in found:
-                yield np.asarray(e.ids, "<u4").tobytes()
+        self.older: dict[bytes, bytes] = {}  # the table before: what is used again moves over
+
+    def _whole(self, chunk: str) -> bytes:
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def _known(self, chunk: bytes) -> bytes:
+        found = self.table.get(chunk)
+        if found is None:
+            found = self.older.get(chunk)
+            if found is None:
+                found = self._ids(chunk)
+            if len(chunk) <= LONGEST:
+                self.table[chunk] = found
+        return found
+
+    def _ids(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8", "replace")
+        parts = LATIN.fullmatch(text)
+        if parts is None:
+            return self._whole(text)
+        word, signs = parts.groups()
+        if signs:
+            return self._known(word.lower().encode()) + self._known(signs.encode())
+        low = word.lower()
+        if low != word:
+            return self._known(low.encode())
+        if not word.isascii():
+            word = chunk.decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.merge(word)]).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        chunks = [t.split() for t in texts]
         if len(self.table) > TABLE:
-            self.table.clear()
-        new = list(set(chain.from_iterable(chunks)).difference(self.table))
-        long = [c for c in new if len(c) > LONGEST]
-        if long:
-            extra = dict(zip(long, self._ids(long), strict=True))
-            new = [c for c in new if len(c) <= LONGEST]
-            self.table.update(zip(new, self._ids(new), strict=True))
-            return [b"".join([extra[c] if len(c) > LONGEST else self.table[c] for c in cs]) for cs in chunks]
-        self.table.update(zip(new, self._ids(new), strict=True))
-        get = self.table.__getitem__
-        return [b"".join(map(get, cs)) for cs in chunks]
+            self.table, self.older = {}, self.table
+        chunks = [(t.lower() if t.isascii() else t).split() for t in texts]  # ASCII text has no marks that case could part
+        extra = {}
+        for c in set(chain.from_iterable(chunks)).difference(self.table):
+            if len(c) <= LONGEST:
+                self._known(c)
+            else:
+                extra[c] = self._ids(c)
+        if not extra:
+            get = self.table.__getitem__
+            return [b"".join(map(get, cs)) for cs in chunks]
+        return [b"".join([extra[c] if len(c) > LONGEST else self.table[c] for c in cs]) for cs in chunks]
 
 
 _encoders: dict[int, ChunkEncoder] = {}
@@ -92,13 +132,13 @@ def batches_of(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield at, part
 
 
-def map_ids(docs: DataFrame, text_col: str, others: list[str], make: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch], schema: str, tokenizer: str | None = None) -> DataFrame:
-    """make(rows of the others, their texts' ids) over all rows; null texts count as empty."""
+def map_ids(docs: DataFrame, text_col: str, others: list[str], start: Callable[[], Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch]], schema: str, tokenizer: str | None = None) -> DataFrame:
+    """make(rows of the others, their texts' ids) over all rows, where start() gives each task its make; null texts count as empty."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tokenizer_bytes(tokenizer))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value)
+        encoder, make = _encoder(shared.value), start()
         for b in rows:
             own = b.select(range(1, b.num_columns))
             for at, texts in batches_of(b.column(0)):
