@@ -7,7 +7,9 @@ from importlib import import_module
 #: query: module of its operator. A module's ORACLE, where it has one, is DuckDB SQL for the query's rows.
 MODULES = {
     "op1_exact_dedup": "exact_dedup",
+    "op2_quality": "quality",
     "op3_packing": "packing",
+    "op4_toxicity": "toxicity",
     "op5_simhash": "simhash",
     "op6_secrets": "secrets",
     "op7_topk_search": "topk_search",

@@ -26,10 +26,11 @@ from .common import cut, table
 
 BITS = 64
 SEED = 42
-#: Nodes of a bucket above which its remaining bits are cut again. It bounds a comparison block, not the result.
-BUCKET = 4096
-#: Nodes that are compared as one block; small buckets share a block.
+#: Nodes of a bucket above which its remaining bits are cut again. It bounds a comparison's time, not the result: about half a second.
+BUCKET = 16384
+#: Nodes that are compared as one block; small buckets share a block. Queries that run against a block at a time.
 BLOCK = 512
+QUERIES = 256
 
 
 # ------------------------------------------------------------------------------------------------ fingerprints
@@ -51,18 +52,19 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(raw)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
-    """(id, fp long): the fingerprint as a signed number. Null texts count as empty; empty texts have fingerprint zero."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, *shingles: int) -> DataFrame:
+    """(id, fp long, fp2 long ...): a fingerprint for each shingle size, as signed numbers. Null texts count as empty; empty texts have fingerprint zero."""
+    names = ["fp", *[f"fp{k}" for k in range(2, len(shingles) + 1)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.binary()) if not pa.types.is_binary(b.column(1).type) else b.column(1)
-            fps = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            fps = np.array([[fingerprint(t.as_py() or b"", k) for k in shingles] for t in texts], np.uint64).reshape(-1, len(shingles))
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fps.T]], ["id", *names])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, fp long")
+    return rows.mapInArrow(run, ", ".join([f"id {kind}", *[f"{n} long" for n in names]]))
 
 
 # --------------------------------------------------------------------------------------- bit-sliced comparison
@@ -76,14 +78,20 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
 
 
 def within_radius(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All (i, j), i < j, of a block that differ in at most radius bits."""
-    n, planes = len(fps), bit_planes(fps)
-    words = planes.shape[1]
+    """All (i, j), i < j, that differ in at most radius bits."""
+    planes = bit_planes(fps)
+    found = [_against(fps, planes, at, min(at + QUERIES, len(fps)), radius) for at in range(0, len(fps), QUERIES)]
+    return np.concatenate([f[0] for f in found] or [np.empty(0, int)]), np.concatenate([f[1] for f in found] or [np.empty(0, int)])
+
+
+def _against(fps: np.ndarray, planes: np.ndarray, first: int, last: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of within_radius with first <= i < last."""
+    n, words = len(fps), planes.shape[1]
     levels = radius.bit_length()  # counters hold 0 to 2**levels - 1; the carry out of the last one saturates
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    own = np.where((fps[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1), full, np.uint64(0))  # (n, 64)
-    # Lanes of (query, word) pairs that are still open; the lower triangle and padding are over from the start.
-    q, w = np.nonzero(np.arange(words)[None, :] >= (np.arange(n) // 64)[:, None])
+    own = np.where((fps[first:last, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1), full, np.uint64(0))
+    # Lanes of (query, word) pairs that are still open; words before the query's own are left out.
+    q, w = np.nonzero(np.arange(words)[None, :] >= (np.arange(first, last) // 64)[:, None])
     counters = [np.zeros(len(q), np.uint64) for _ in range(levels)]
     over = np.zeros(len(q), np.uint64)
     for p in range(64):
@@ -111,7 +119,7 @@ def within_radius(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
     hit = np.nonzero(~over != 0)[0]
     lanes = np.unpackbits((~over[hit]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     h, lane = np.nonzero(lanes)
-    i, j = q[hit][h], w[hit][h] * 64 + lane
+    i, j = q[hit][h] + first, w[hit][h] * 64 + lane
     real = (j > i) & (j < n)
     return i[real], j[real]
 
@@ -129,18 +137,33 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def _compare(radius: int):
-    """Over rows (mask, key, fp, node) sorted by bucket: the edges (a, b) of each block's spanning forest."""
-
-    def edges(fps: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch | None:
-        order = np.argsort(nodes, kind="stable")
-        fps, nodes = fps[order], nodes[order]
-        root = forest(len(fps), *within_radius(fps, radius))
-        linked = nodes[root] != nodes
-        return pa.RecordBatch.from_pydict({"a": nodes[root][linked], "b": nodes[linked]}) if linked.any() else None
+def block_edges(fps: np.ndarray, nodes: np.ndarray, radius: int, more: np.ndarray | None = None, more_radius: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) of a spanning forest of the nodes' links. With more, a link also needs these fingerprints within more_radius."""
+    order = np.argsort(nodes, kind="stable")
+    fps, nodes = fps[order], nodes[order]
+    planes, left, right = bit_planes(fps), [], []
+    for at in range(0, len(fps), QUERIES):
+        i, j = _against(fps, planes, at, min(at + QUERIES, len(fps)), radius)
+        if more is not None and len(i):
+            second = more[order]
+            near = np.bitwise_count(second[i] ^ second[j]) <= more_radius
+            i, j = i[near], j[near]
+        if len(i):  # each slice is thinned to a forest at once, so memory follows the nodes
+            root = forest(len(fps), i, j)
+            linked = np.flatnonzero(root != np.arange(len(fps)))
+            left.append(root[linked]), right.append(linked)
+    if not left:
+        return nodes[:0], nodes[:0]
+    root = forest(len(fps), np.concatenate(left), np.concatenate(right))
+    linked = root != np.arange(len(fps))
+    return nodes[root][linked], nodes[linked]
+
+
+def _compare(radius: int, more_radius: int | None):
+    """Over rows (mask, key, fp, node[, fp2]) sorted by bucket: the edges (a, b) of each block's spanning forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int64)] * 4
+        rest = [np.empty(0, np.int64)] * (4 if more_radius is None else 5)
         for b in itertools.chain(batches, [None]):
             cols = rest if b is None else [np.concatenate([r, b.column(k).to_numpy()]) for k, r in enumerate(rest)]
             n = len(cols[0])
@@ -157,9 +180,9 @@ def _compare(radius: int):
                 take = np.concatenate([np.arange(s, e) for s, e in zip(starts[at:to], ends[at:to], strict=True) if e - s > 1] or [np.empty(0, np.int64)])
                 if len(take):
                     nodes, first = np.unique(cols[3][take], return_index=True)  # a node can be in several buckets of a block
-                    made = edges(cols[2][take][first].view(np.uint64), nodes)
-                    if made is not None:
-                        yield made
+                    a, b_ = block_edges(cols[2][take][first].view(np.uint64), nodes, radius, None if more_radius is None else cols[4][take][first].view(np.uint64), more_radius or 0)
+                    if len(a):
+                        yield pa.RecordBatch.from_pydict({"a": a, "b": b_})
                 at = to
             keep = starts[usable] if usable < len(starts) else n
             rest = [c[keep:] for c in cols]
@@ -195,11 +218,15 @@ def finer_masks(mask: int, radius: int) -> list[int]:
     return [mask_of([b for b in range(BITS) if mask >> b & 1] + p) for p in parts_of(free, radius + 1)]
 
 
-def links(nodes: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) that connect nodes (fp, node) exactly as all pairs within the radius would. fp and node are unique."""
+def links(nodes: DataFrame, radius: int, bucket: int = BUCKET, more_radius: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect nodes (fp, node[, fp2]) exactly as all pairs within the radius would. Each row's fingerprints and its node are unique.
+
+    With more_radius a link also needs fp2 within it.
+    """
     spark = nodes.sparkSession
+    fields = ["fp", "node"] if more_radius is None else ["fp", "node", "fp2"]
     masks = first_masks(radius)
-    rows = nodes.select(F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"), "fp", "node")
+    rows = nodes.select(F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"), *fields)
     rows = rows.withColumn("key", F.col("mask").bitwiseAND(F.col("fp")))
     made = None
     while True:
@@ -208,15 +235,15 @@ def links(nodes: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
         big = few.where(F.col("count") > bucket).select("mask", "key")
         has_big = bool(big.take(1))
         small = rows.join(few.where(F.col("count") <= bucket).select("mask", "key"), ["mask", "key"], "left_semi")
-        dealt = small.select("mask", "key", "fp", "node").repartition("mask", "key").sortWithinPartitions("mask", "key")
-        edges = dealt.mapInArrow(_compare(radius), "a long, b long")
+        dealt = small.select("mask", "key", *fields).repartition("mask", "key").sortWithinPartitions("mask", "key")
+        edges = dealt.mapInArrow(_compare(radius, more_radius), "a long, b long")
         made = edges if made is None else made.unionByName(edges)
         if not has_big:
             return made
         children = {m: [c for c in finer_masks(m, radius)] for m in masks}
         masks = sorted({c for cs in children.values() for c in cs})
         finer = spark.createDataFrame([(m, c) for m, cs in children.items() for c in cs], "mask long, child long")
-        rows = rows.join(big, ["mask", "key"], "left_semi").join(finer, "mask").select(F.col("child").alias("mask"), "fp", "node")
+        rows = rows.join(big, ["mask", "key"], "left_semi").join(finer, "mask").select(F.col("child").alias("mask"), *fields)
         rows = cut(rows.withColumn("key", F.col("mask").bitwiseAND(F.col("fp"))))
 
 
@@ -241,20 +268,35 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, bucket: int = BUCKET, confirm: tuple[int, int] | None = None) -> DataFrame:
     """(id, fp, component): one row per row of docs; component is the smallest id of the linked documents, its own included.
 
-    Ids are whole numbers. Null texts count as empty; texts without words have fingerprint zero, which links like any other. Rows with a null id
-    get their fingerprint and a null component and link nothing. Repeated rows come back as often as they are there.
+    confirm: (shingle, radius) of a second fingerprint that has to be near as well. Ids are whole numbers. Null texts count as
+    empty; texts without words have fingerprint zero, which links like any other. Rows with a null id get their fingerprint and a
+    null component and link nothing. Repeated rows come back as often as they are there. An empty frame gives an empty frame.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, shingle))
-    nodes = cut(fps.where("id is not null").groupBy("fp").agg(F.min("id").cast("long").alias("node")))
-    found = components(links(nodes, radius, bucket))
-    labels = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    out = fps.join(labels, "fp", "left")
+    keys = ["fp"] if confirm is None else ["fp", "fp2"]
+    fps = cut(fingerprints(docs, id_col, text_col, shingle, *(confirm[:1] if confirm else ())))
+    nodes = cut(fps.where("id is not null").groupBy(*keys).agg(F.min("id").cast("long").alias("node")))
+    # A node is named by an id that may stand under several fingerprints where ids repeat; then its fingerprints are one component.
+    found = components(links(nodes, radius, bucket, confirm[1] if confirm else None))
+    labels = nodes.join(found, "node", "left").select(*keys, F.coalesce("component", "node").alias("component"))
+    out = fps.join(labels, keys, "left")
     return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
+#: Near copies of which one stays: five-word similarity of 0.8 or more. Such pairs differ in up to about 9 bits of a fingerprint of 3-word
+#: shingles, which finds them, and 0.15 * 64 + 2 standard deviations = 15 bits of one of 5-word shingles, which confirms them.
+FIND, CONFIRM = (3, 9), (5, 15)
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay when one document of each near-duplicate group does: the one with the smallest id. Rows with a null id stay."""
+    found = near_duplicates(docs, id_col, text_col, *FIND, confirm=CONFIRM)
+    gone = found.where(F.col("id") != F.col("component")).select(F.col("id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+
+
 def hex16(fp: Column) -> Column:
     """A signed 64-bit number as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
