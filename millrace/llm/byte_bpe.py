@@ -96,25 +96,28 @@ class Codec:
         self.bytes = literal([ranks[bytes([b])] for b in range(256)], "array<int>")
         self.parts = literal([base64.b64encode(p).decode() for p in self.pieces], "array<binary>").cast("array<string>")
 
-    def pair_rank(self, a: Column, b: Column) -> Column:
-        """The rank of two adjacent tokens' merge, NONE if they don't merge."""
+    def pair_rank(self, ranks: Column, a: Column, b: Column) -> Column:
+        """The rank of two adjacent tokens' merge by the table of ranks, NONE if they don't merge."""
 
         def look(key: Column) -> Column:
             h = F.xxhash64(key)
-            first = F.get(self.table, h.bitwiseAND(F.lit(RANK_SLOTS - 1)).cast("int"))
-            second = F.get(self.table, F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(RANK_SLOTS - 1)).cast("int"))
+            first = F.get(ranks, h.bitwiseAND(F.lit(RANK_SLOTS - 1)).cast("int"))
+            second = F.get(ranks, F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(RANK_SLOTS - 1)).cast("int"))
             entry = F.when(F.shiftright(first, 16) == key, first).when(F.shiftright(second, 16) == key, second)
             return F.coalesce(entry.bitwiseAND(F.lit(65535)).cast("int"), F.lit(NONE))
 
         return let(F.shiftleft(a.cast("long"), 16) + b, look)
 
     def encode_word(self, word: Column) -> Column:
-        """array<int>: the ids of one word that isn't empty."""
+        """array<int>: the ids of one word that isn't empty. The table is bound once: plans print their literals."""
+        return let(self.table, lambda ranks: self._fold(word, ranks))
+
+    def _fold(self, word: Column, table: Column) -> Column:
         raw = word.cast("binary")
         ids = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.get(self.bytes, F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int")))
 
         def start(p: Column) -> Column:
-            ranks = F.transform(F.slice(p, 2, F.size(p)), lambda b, i: self.pair_rank(F.get(p, i), b))
+            ranks = F.transform(F.slice(p, 2, F.size(p)), lambda b, i: self.pair_rank(table, F.get(p, i), b))
             return F.struct(p.alias("p"), ranks.alias("r"), F.array_min(ranks).alias("m"))
 
         def step(acc: Column, _: Column) -> Column:
@@ -123,8 +126,8 @@ class Codec:
             def merged(i: Column) -> Column:
                 """i: place of the pair, from 1."""
                 p2 = F.concat(F.slice(p, F.lit(1), i - 1), F.array(m), F.slice(p, i + 2, F.size(p)))
-                before = F.when(i > 1, F.array(self.pair_rank(F.get(p, i - 2), m)))
-                after = F.when(i < F.size(r), F.array(self.pair_rank(m, F.get(p, i + 1))))
+                before = F.when(i > 1, F.array(self.pair_rank(table, F.get(p, i - 2), m)))
+                after = F.when(i < F.size(r), F.array(self.pair_rank(table, m, F.get(p, i + 1))))
                 none = F.array().cast("array<int>")
                 r2 = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), F.coalesce(before, none), F.coalesce(after, none), F.slice(r, i + 2, F.size(r)))
                 return let(r2, lambda x: F.struct(p2.alias("p"), x.alias("r"), F.array_min(x).alias("m")))
@@ -154,14 +157,14 @@ def frequent_words(texts: DataFrame, codec: Codec, dictionary: int = DICTIONARY,
     """word: ids, for the words whose count over all rows exceeds the least count that at most `dictionary` words exceed."""
     counts = texts.select(F.explode(words_of(F.col("text"), pattern)).alias("w")).groupBy("w").count().where("count > 1")
     counts = cut(counts)
-    left, least = dictionary, 1 << 62
+    left, least, parts = dictionary, 1 << 62, 4 * texts.sparkSession.sparkContext.defaultParallelism
     # Counts of counts, largest first; those beyond 2 ** 20 share a row, so this is bounded.
     for r in counts.groupBy(F.least("count", F.lit(1 << 20)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.col("c").desc()).toLocalIterator():
         if r["n"] > left:
             break
         left, least = left - r["n"], r["c"]
     chosen = counts.where(F.col("count") >= least).where(F.octet_length("w") <= LONG)
-    return dict(chosen.select("w", codec.word_ids(F.col("w")).alias("ids")).toLocalIterator())
+    return dict(chosen.repartition(parts).select("w", codec.word_ids(F.col("w")).alias("ids")).collect())  # dictionary rows at most
 
 
 # ------------------------------------------------------------------------------------------------ whole texts
