@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoint import cut
+
 # Texts that count as missing when a CSV is read.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
@@ -18,7 +20,7 @@ def null_tokens(df: DataFrame, tokens: tuple[str, ...] = NA_TOKENS) -> DataFrame
 def number_rows(df: DataFrame, first: int = 2) -> DataFrame:
     """source_row_number in file order, from 2 (the header is line 1): partition sizes are counted once, then each row is its partition's offset and its place in it.
 
-    One count for each partition reaches the driver. The frame must read the same way twice, as files do.
+    One count for each partition reaches the driver. The frame must be read in the same partitions twice, as files and checkpoints are.
     """
     tagged = df.withColumn("_m", F.monotonically_increasing_id())
     sizes = tagged.groupBy(F.shiftright("_m", 33).cast("int").alias("p")).count().orderBy("p").collect()
@@ -39,7 +41,7 @@ def read_csv(spark: SparkSession, path: str, tokens: tuple[str, ...] = NA_TOKENS
 
 def ordered_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """source_row_number from 2 by a total order of the columns, by one range partitioning: no single-task sort."""
-    return number_rows(df.orderBy(*columns))
+    return number_rows(cut(df.orderBy(*columns)))  # the planner may merge partitions of a sort anew each time it runs
 
 
 def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
