@@ -6,8 +6,6 @@ names of its own, so extra columns of the caller's frame can't collide with them
 
 from __future__ import annotations
 
-import os
-import tempfile
 import zlib
 from collections.abc import Callable
 
@@ -15,6 +13,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.checkpoint import checkpoint_dir, cut, scratch_path
+
+__all__ = ["checkpoint_dir", "crc32_u32", "crc_fold", "cut", "fit_logistic", "isotonic", "labelled_ids", "scratch_path", "table"]
+
 #: The ASCII white space of the text contracts: [\x20\x09-\x0D].
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -23,28 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir). One of our own is set only where none is configured, as in tests."""
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir")
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder: lineage ends there, and lost executors cost nothing that was done before."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared checkpoint folder for a written table."""
-    return f"{checkpoint_dir(spark)}/{name}-{os.urandom(8).hex()}"
-
-
 def crc_fold(id_col: Column, folds: int) -> Column:
     """crc32(id as decimal text) mod folds; null ids have no fold."""
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(folds))
@@ -62,7 +42,7 @@ def labelled_ids(labels: DataFrame, label: str, learn: Callable[[Column], Column
     return parts[0].unionByName(parts[1])
 
 
-def crc32_u32(data: bytes) -> int:
+def crc32_u32(data) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
 

@@ -22,6 +22,8 @@ from .word_tokens import id_table, map_ids
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
+#: Texts in an Arrow batch of the write: a writer's buffers need the room.
+ARROW_ROWS = 1000
 
 
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, tokenizer: str | None = None, row_group: int = ROW_GROUP_BYTES, page: int = PAGE_BYTES, dictionary: bool = True) -> None:
@@ -45,7 +47,13 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_t")
     made = map_ids(dealt, "_t", ["doc_id"], start, f"doc_id {kind}, shard int, shard_start long, n_tokens long, tokens array<int>", tokenizer)
     options = {"parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(row_group), "parquet.page.size": str(page), "parquet.enable.dictionary": str(dictionary).lower(), "compression": "snappy"}
-    made.write.mode("errorifexists").options(**options).parquet(path)
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = conf.get(key)
+    conf.set(key, str(ARROW_ROWS))
+    try:
+        made.write.mode("errorifexists").options(**options).parquet(path)
+    finally:
+        conf.set(key, usual)
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -78,9 +86,9 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(3)
-            ends, data = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
+            ends, data = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             n = np.diff(ends).astype(np.int64)
-            crc = [crc32_u32(data[a:z].tobytes()) for a, z in zip(ends[:-1], ends[1:], strict=True)]
+            crc = [crc32_u32(data[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "shard", "shard_start", "n_tokens", "ids_crc32"])
 
     made = rows.select("doc_id", "shard", "shard_start", "tokens").mapInArrow(digest, f"doc_id {kind}, shard int, shard_start long, n_tokens long, ids_crc32 long")

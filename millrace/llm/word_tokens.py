@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Chunks of a worker's table, and the longest chunk it keeps in bytes.
-TABLE = 400_000
+TABLE = 300_000
 LONGEST = 128
 #: Texts that are encoded together, and their bytes.
 BATCH = 256
@@ -70,6 +70,8 @@ class ChunkEncoder:
         return found
 
     def _ids(self, chunk: bytes) -> bytes:
+        if chunk.isalpha() and chunk.islower():
+            return array("I", [t.id for t in self.merge(chunk.decode())]).tobytes()
         text = chunk.decode("utf-8", "replace")
         parts = LATIN.fullmatch(text)
         if parts is None:
