@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..operators import corrections, normalize, outputs, pipeline, profile, reconcile, rules
 from ..sources import ingest
+from ..sources.checkpoint import cut
 from .contract import CROSSWALKS
 from .fixtures import COLUMNS, CONTRACT, ELIG_SQL, LINE_ORDER, ORDER_BOOK_SQL, PAIRS, STEPS, book_mappings, elig, identity_mappings, order_book, order_book_contract, table
 from .mapping import Mapping, Step
@@ -17,7 +18,12 @@ from .mapping import Mapping, Step
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-ASOF = F.lit("2026-01-01").cast("date")
+AS_OF = "2026-01-01"
+
+
+def _asof():
+    return F.lit(AS_OF).cast("date")
+
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -123,13 +129,13 @@ I = f"{N}, i0 AS ({_issues_sql()}), i AS (SELECT i0.*, coalesce({_case('target_f
 
 
 class Run:
-    """The frames of one import of the eligibility view."""
+    """The frames of one import of the eligibility view. The typed frame is written once; rules, tables, rejects and lineage hang off it."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, trace: bool = False):
         self.source = elig(spark, sf_dir)
         self.flat = pipeline.build_flat(self.source, identity_mappings(), CONTRACT, trace)
-        self.typed = normalize.normalize(self.flat.df, CONTRACT)
-        self.issues = rules.validate(self.typed, CONTRACT, self.flat, ASOF)
+        self.typed = cut(normalize.normalize(self.flat.df, CONTRACT))
+        self.issues = rules.validate(self.typed, CONTRACT, self.flat, _asof())
 
     def merged(self, name: str) -> DataFrame:
         return outputs.tables(self.typed, self.issues, CONTRACT)[name]
@@ -151,7 +157,8 @@ def elig_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{N} SELECT source_row_number, {', '.join(f'strftime({c}, {chr(39)}%Y-%m-%d{chr(39)}) AS {c}' if CONTRACT.by_name[c].data_type == 'date' else c for c in TYPED)} FROM n")
 def elig_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _text(Run(spark, sf_dir).typed.select("source_row_number", *TYPED))
+    flat = pipeline.build_flat(elig(spark, sf_dir), identity_mappings(), CONTRACT)
+    return _text(normalize.normalize(flat.df, CONTRACT).select("source_row_number", *TYPED))
 
 
 @query("SELECT 'member_id' AS target_field, 5 AS n WHERE false", "elig_conflicting_fields")
@@ -165,7 +172,7 @@ def elig_clashing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """member_id mapped to two sources: an error on every row."""
     other = [m if (m.table, m.field) != ("member_coverage", "member_id") else Mapping("member_coverage", "member_id", ("subscriber_id",)) for m in identity_mappings()]
     flat = pipeline.build_flat(elig(spark, sf_dir), other, CONTRACT)
-    found = rules.validate(normalize.normalize(flat.df, CONTRACT), CONTRACT, flat, ASOF)
+    found = rules.validate(normalize.normalize(flat.df, CONTRACT), CONTRACT, flat, _asof())
     return found.where("issue_code = 'conflicting_duplicate_target_field'").agg(F.count("*").alias("row_count"))
 
 
@@ -532,8 +539,8 @@ def recovery_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = elig(spark, sf_dir)
     fixed = full.drop("dob").join(corrections.apply_overlays(source, found).select("source_row_number", "dob"), "source_row_number")
     flat = pipeline.build_flat(fixed.select("source_row_number", *COLUMNS), identity_mappings(), CONTRACT)
-    typed = normalize.normalize(flat.df, CONTRACT)
-    issues = rules.validate(typed, CONTRACT, flat, ASOF).where("issue_code <> 'duplicate_member_id_conflicting_identity'")
+    typed = cut(normalize.normalize(flat.df, CONTRACT))
+    issues = rules.validate(typed, CONTRACT, flat, _asof()).where("issue_code <> 'duplicate_member_id_conflicting_identity'")
     return corrections.recovery(found, corrections.recovered_subset(issues, found))
 
 
@@ -613,8 +620,8 @@ def profile_enum_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _book(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = order_book_contract()
     flat = pipeline.build_flat(order_book(spark, sf_dir), book_mappings(c), c)
-    typed = normalize.normalize(flat.df, c)
-    return typed, rules.validate(typed, c, flat, ASOF)
+    typed = cut(normalize.normalize(flat.df, c))
+    return typed, rules.validate(typed, c, flat, _asof())
 
 
 _B = f"WITH b AS ({ORDER_BOOK_SQL}), acc AS (SELECT * FROM b WHERE TRY_CAST(quantity AS DOUBLE) BETWEEN 1 AND 50)"
@@ -657,6 +664,6 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, CAST(CASE WHEN d > DATE '2026-01-01' THEN -1 ELSE date_diff('year', d, DATE '2026-01-01') - CASE WHEN strftime(d, '%m%d') > '0101' THEN 1 ELSE 0 END END AS INT) AS age FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)")
 def age_in_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("o_orderdate").cast("date")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(d > ASOF, -1).otherwise(dates.age(d, ASOF)).cast("int").alias("age"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(d > _asof(), -1).otherwise(dates.age(d, _asof())).cast("int").alias("age"))
 
 

@@ -22,6 +22,7 @@ def number_rows(df: DataFrame, first: int = 2) -> DataFrame:
 
     One count for each partition reaches the driver. The frame must be read in the same partitions twice, as files and checkpoints are.
     """
+    df = df.drop("source_row_number")  # an exported file's own numbers are no identity
     tagged = df.withColumn("_m", F.monotonically_increasing_id())
     sizes = tagged.groupBy(F.shiftright("_m", 33).cast("int").alias("p")).count().orderBy("p").collect()
     at, starts = first, []
