@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,8 +31,15 @@ def spark_format(directive: str) -> str:
     return out
 
 
+def shape(pattern: str) -> str:
+    """What a text of the pattern looks like. A failed parse costs an exception for each value, a failed look nothing."""
+    runs = [m.group(0) for m in re.finditer(r"'[^']*'|([A-Za-z])\1*|.", pattern)]
+    known = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMM": "[A-Za-z]{3}", "MMMM": "[A-Za-z]+", "MM": r"\d{2}", "dd": r"\d{2}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}", "D": r"\d{1,3}", "a": "[A-Za-z]{2}"}
+    return "^" + "".join(known.get(r) or (r"\d{1,2}" if r in "MdHhms" else re.escape(r.strip("'"))) for r in runs) + "$"
+
+
 def _try(text: Column, pattern: str) -> Column:
-    d = F.try_to_date(text, pattern)
+    d = F.when(text.rlike(shape(pattern)), F.try_to_date(text, pattern))
     if "yy" in pattern and "yyyy" not in pattern:  # years 69 to 99 belong to the last century
         d = F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
     return d

@@ -8,14 +8,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EDGE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: Characters that count as white space at the ends of a text.
+SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c.cast("string"), _EDGE, "")
+    return F.btrim(c.cast("string"), F.lit(SPACE))
 
 
 def blank(c: Column) -> Column:

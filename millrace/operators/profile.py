@@ -1,4 +1,4 @@
-"""Column profiles: all rates of all columns in one wide aggregate, top and sample values in one long one."""
+"""Column profiles: values counted by column, then all rates in one aggregate over the distinct values."""
 
 from __future__ import annotations
 
@@ -19,28 +19,31 @@ def _rate(part: Column, whole: Column) -> Column:
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
-    """One row a column: counts, rates, dates, enum words, inferred type. Rates are of values that aren't blank, to four places."""
+    """One row a column: counts, rates, dates, enum words, inferred type. Rates are of values that aren't blank, to four places.
+
+    Values are counted first, by column, so parsing is done once for each distinct value; approximate counts distinct values by a sketch and parses every value.
+    """
     columns = columns or [c for c in df.columns if c != "source_row_number"]
-    per = []
-    for c in columns:
-        v = text.clean(F.col(f"`{c}`"))
-        d, t = dates.free(v), text.token(v)
-        distinct = F.approx_count_distinct(v) if approximate else F.count_distinct(v)
-        words = [F.array_sort(F.collect_set(text.lookup(t, pairs))).alias(kind) for kind, pairs in CROSSWALKS.items()]  # as many as a crosswalk has
-        per.append(
-            F.struct(
-                F.count(v).alias("non_null_count"), distinct.alias("unique_count"), F.count(d).alias("dates"), F.date_format(F.min(d), "yyyy-MM-dd").alias("min_date"), F.date_format(F.max(d), "yyyy-MM-dd").alias("max_date"),
-                F.count_if(v.rlike(text.EMAIL)).alias("emails"), F.count_if(F.length(text.digits(v)).isin(10, 11)).alias("phones"), F.count(text.number(v)).alias("numbers"), F.struct(*words).alias("words"),
-            ).alias(f"c{len(per)}")
-        )
-    one = df.agg(F.count("*").alias("rows"), *per)
-    named = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(column_key(c)).alias("normalized_name"), F.col(f"c{k}").alias("s")) for k, c in enumerate(columns)])
-    p = one.select("rows", F.inline(named))
-    s, n = F.col("s"), F.col("s.non_null_count")
-    p = p.select(
-        "column_name", "normalized_name", n.alias("non_null_count"), F.when(F.col("rows") > 0, F.round(1 - n / F.col("rows"), 4)).otherwise(0.0).alias("null_rate"), s["unique_count"].alias("unique_count"), _rate(s["unique_count"], n).alias("unique_rate"),
-        _rate(s["dates"], n).alias("date_parse_rate"), _rate(s["emails"], n).alias("email_pattern_rate"), _rate(s["phones"], n).alias("phone_pattern_rate"), _rate(s["numbers"], n).alias("numeric_parse_rate"),
-        *[F.array_join(s["words"][k], ",").alias(f"enum_{k}") for k in CROSSWALKS], s["min_date"].alias("min_date"), s["max_date"].alias("max_date"),
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), text.clean(F.col(f"`{c}`")).alias("v")) for c in columns])
+    long = df.select(F.inline(pairs))
+    long = long.withColumn("n", F.lit(1).cast("long")) if approximate else long.groupBy("column_name", "v").agg(F.count("*").alias("n"))
+    v, n = F.col("v"), F.col("n")
+    long = long.select("column_name", "v", "n", dates.free(v).alias("d"), text.token(v).alias("t"), F.coalesce(v.rlike(text.EMAIL), F.lit(False)).alias("e"), F.coalesce(F.length(text.digits(v)).isin(10, 11), F.lit(False)).alias("p"), text.number(v).isNotNull().alias("x"))
+    some = lambda condition: F.coalesce(F.sum(F.when(condition, n)), F.lit(0)).cast("long")
+    words = [F.array_join(F.array_sort(F.collect_set(text.lookup(F.col("t"), pairs))), ",").alias(f"enum_{kind}") for kind, pairs in CROSSWALKS.items()]  # as many as a crosswalk has
+    distinct = F.approx_count_distinct("v") if approximate else F.count("v")
+    p = long.groupBy("column_name").agg(
+        F.sum(n).alias("rows"), some(v.isNotNull()).alias("non_null_count"), distinct.alias("unique_count"), some(F.col("d").isNotNull()).alias("dates"), some(F.col("e")).alias("emails"), some(F.col("p")).alias("phones"), some(F.col("x")).alias("numbers"),
+        F.date_format(F.min("d"), "yyyy-MM-dd").alias("min_date"), F.date_format(F.max("d"), "yyyy-MM-dd").alias("max_date"), *words,
+    )
+    names = df.sparkSession.createDataFrame([(i, c, column_key(c)) for i, c in enumerate(columns)], "_i int, column_name string, normalized_name string")
+    p = F.broadcast(names).join(p, "column_name", "left")  # a frame without rows has profiles too
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    whole, none = count("non_null_count"), lambda c: F.coalesce(F.col(c), F.lit(""))
+    p = p.orderBy("_i").select(
+        "column_name", "normalized_name", whole.alias("non_null_count"), F.when(count("rows") > 0, F.round(1 - whole / count("rows"), 4)).otherwise(0.0).alias("null_rate"), count("unique_count").alias("unique_count"), _rate(count("unique_count"), whole).alias("unique_rate"),
+        _rate(count("dates"), whole).alias("date_parse_rate"), _rate(count("emails"), whole).alias("email_pattern_rate"), _rate(count("phones"), whole).alias("phone_pattern_rate"), _rate(count("numbers"), whole).alias("numeric_parse_rate"),
+        *[none(f"enum_{k}").alias(f"enum_{k}") for k in CROSSWALKS], "min_date", "max_date",
     )
     return p.withColumn("inferred_type", inferred_type())
 
