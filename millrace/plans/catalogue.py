@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..operators import corrections, normalize, outputs, pipeline, profile, reconcile, rules
 from ..sources import ingest
-from ..sources.checkpoint import cut
+from ..sources.checkpoint import cut, scratch_path
+from ..sources.store import Store
 from .contract import CROSSWALKS
 from .fixtures import COLUMNS, CONTRACT, ELIG_SQL, LINE_ORDER, ORDER_BOOK_SQL, PAIRS, STEPS, book_mappings, elig, identity_mappings, order_book, order_book_contract, table
-from .mapping import Mapping, Step
+from .mapping import Mapping, Step, suggest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -667,3 +669,25 @@ def age_in_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.when(d > _asof(), -1).otherwise(dates.age(d, _asof())).cast("int").alias("age"))
 
 
+
+
+# ------------------------------------------------------------------------------------------------- suggestion, store
+
+
+@query()
+def elig_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggested mappings of the eligibility columns. Scoring is metadata work on the driver, so there is no SQL."""
+    found = suggest(profile.profiles_for_mapping(elig(spark, sf_dir), COLUMNS), CONTRACT)
+    return spark.createDataFrame([(m.table, m.field, m.source, m.confidence, m.status) for m in found], "target_table string, target_field string, source_column string, confidence int, status string")
+
+
+@query("SELECT 'customers' AS target_table, CASE WHEN c_custkey % 4 = 0 THEN 'insert' WHEN c_custkey % 4 = 1 THEN 'update' ELSE 'unchanged' END AS outcome, count(*) AS row_count FROM customer GROUP BY ALL")
+def publish_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two publishes to a fresh store: what the second expected, against what the first left."""
+    c = replace(order_book_contract(), tables=order_book_contract().tables[:1])
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("customer_id"), F.col("c_name").alias("customer_name"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
+    k = F.col("customer_id").cast("long") % 4
+    store = Store(spark, scratch_path(spark, "store"))
+    store.publish({"customers": rows.where(k != 0).withColumn("balance", F.when(k == 1, F.col("balance") + 1).otherwise(F.col("balance")))}, c, file_hash="1", checks=[])
+    second = store.publish({"customers": rows}, c, file_hash="2", checks=[])
+    return spark.createDataFrame([(t, o, n) for t, x in second.expected.items() for o, n in x.items()], "target_table string, outcome string, row_count long")

@@ -304,6 +304,18 @@ def draft_payload(profiles: list[dict], contract: Contract) -> dict:
     return {"target_fields": fields, "source_columns": [{k: p[k] for k in keys} | {"samples": p["samples"][:5]} for p in profiles], "operations": list(OPERATIONS)}
 
 
+def response_schema(profiles: list[dict], contract: Contract) -> dict:
+    """A strict JSON schema of the answer: known targets, columns and operations only."""
+    text = lambda values: {"type": "string", "enum": values}
+    step = {"type": "object", "properties": {"operation": text(list(OPERATIONS)), "parameters": {"type": "object"}}, "required": ["operation", "parameters"], "additionalProperties": False}
+    item = {
+        "target_table": text(sorted({f.table for f in contract.fields})), "target_field": text(sorted({f.name for f in contract.fields if not f.generated})),
+        "source_columns": {"type": "array", "items": text([p["column_name"] for p in profiles])}, "confidence": {"type": "integer", "minimum": 0, "maximum": 100}, "transformation_steps": {"type": "array", "items": step},
+    }
+    rows = {"type": "array", "items": {"type": "object", "properties": item, "required": list(item), "additionalProperties": False}}
+    return {"type": "object", "properties": {"mappings": rows}, "required": ["mappings"], "additionalProperties": False}
+
+
 def read_draft(response: dict, profiles: list[dict], contract: Contract) -> list[Mapping]:
     """Mappings of a model's answer. Unknown targets or columns, repeats, confidences outside 0 to 100 and unknown operations raise."""
     fields, columns, out = {(f.table, f.name): f for f in contract.fields if not f.generated}, {p["column_name"] for p in profiles}, {}

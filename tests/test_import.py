@@ -205,10 +205,12 @@ def test_profile_and_mapping(spark):
     assert [m.alignment for m in wrong] == ["mismatch", "unknown_source", "not_mapped"] and len(mapping.blocking(wrong)) == 2
     unused = {x["column_name"]: x for x in mapping.source_coverage(profiles, [Mapping("members", "member_id", ("Member Number",))])}
     assert unused["Legacy ID"]["status"] == "unused" and unused["Legacy ID"]["needs_review"] and unused["Member Number"]["status"] == "approved_mapped"
-    assert len(mapping.required_gaps([], CONTRACT)) == 10 + 0 or mapping.required_gaps([], CONTRACT)
+    assert len(mapping.required_gaps([], CONTRACT)) == sum(f.required and not f.generated for f in CONTRACT.fields)
     assert mapping.column_key("MEMBER_NO") == "member number" and mapping.column_key("Eff-Dt") == "effective date"
     drafted = mapping.draft_mappings(profiles, CONTRACT, lambda payload: {"mappings": [{"target_table": "members", "target_field": "gender", "source_columns": ["Status"], "confidence": 40}]})
     assert next(m for m in drafted if m.field == "gender").columns == ("Status",)
+    answer = mapping.response_schema(profiles, CONTRACT)["properties"]["mappings"]["items"]
+    assert "coverage_id" not in answer["properties"]["target_field"]["enum"] and answer["additionalProperties"] is False
     for bad in ({"target_field": "x"}, {"source_columns": ["?"]}, {"confidence": 101}, {"transformation_steps": [{"operation": "eval"}]}):
         with pytest.raises(ConfigurationError):
             mapping.read_draft({"mappings": [{"target_table": "members", "target_field": "gender", "source_columns": [], "confidence": 1} | bad]}, profiles, CONTRACT)
