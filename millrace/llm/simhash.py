@@ -52,19 +52,18 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(raw)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, *shingles: int) -> DataFrame:
-    """(id, fp long, fp2 long ...): a fingerprint for each shingle size, as signed numbers. Null texts count as empty; empty texts have fingerprint zero."""
-    names = ["fp", *[f"fp{k}" for k in range(2, len(shingles) + 1)]]
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
+    """(id, fp long): the fingerprint as a signed number. Null texts count as empty; empty texts have fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.binary()) if not pa.types.is_binary(b.column(1).type) else b.column(1)
-            fps = np.array([[fingerprint(t.as_py() or b"", k) for k in shingles] for t in texts], np.uint64).reshape(-1, len(shingles))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fps.T]], ["id", *names])
+            fps = np.array([fingerprint(t.as_py() or b"", shingle) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, ", ".join([f"id {kind}", *[f"{n} long" for n in names]]))
+    return rows.mapInArrow(run, f"id {kind}, fp long")
 
 
 # --------------------------------------------------------------------------------------- bit-sliced comparison
@@ -137,11 +136,16 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def block_edges(fps: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (a, b) of a spanning forest of the nodes' links. nodes ascend."""
+def block_edges(fps: np.ndarray, nodes: np.ndarray, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) of a spanning forest of the nodes' links. nodes ascend. With wide (a row of words for each node), a link also needs these within wide_radius."""
     planes, left, right = bit_planes(fps), [], []
     for at in range(0, len(fps), QUERIES):
         i, j = _against(fps, planes, at, min(at + QUERIES, len(fps)), radius)
+        if wide is not None and len(i):
+            distance = np.zeros(len(i), np.int64)
+            for word in wide.T:
+                distance += np.bitwise_count(word[i] ^ word[j])
+            i, j = i[distance <= wide_radius], j[distance <= wide_radius]
         if len(i):  # each slice is thinned to a forest at once, so memory follows the nodes
             root = forest(len(fps), i, j)
             linked = np.flatnonzero(root != np.arange(len(fps)))
@@ -153,38 +157,11 @@ def block_edges(fps: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[np.nda
     return nodes[root][linked], nodes[linked]
 
 
-def _nearest(of: np.ndarray, distance: np.ndarray, limit: int) -> np.ndarray:
-    """Whether each entry is among the limit nearest of its owner."""
-    order = np.lexsort([distance, of])
-    start = np.flatnonzero(np.append(True, np.diff(of[order]) != 0))
-    rank = np.arange(len(of)) - np.repeat(start, np.diff(np.append(start, len(of))))
-    near = np.empty(len(of), bool)
-    near[order] = rank < limit
-    return near
-
-
-def block_pairs(fps: np.ndarray, nodes: np.ndarray, radius: int, more: np.ndarray, more_radius: int, labels: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(a, b, whether any was left out): pairs within both radii and with different labels, the limit nearest of either node in each slice."""
-    planes, left, right, cut_off = bit_planes(fps), [], [], False
-    for at in range(0, len(fps), QUERIES):
-        i, j = _against(fps, planes, at, min(at + QUERIES, len(fps)), radius)
-        if len(i):
-            second = np.bitwise_count(more[i] ^ more[j])
-            open_ = (second <= more_radius) & (labels[i] != labels[j])
-            i, j = i[open_], j[open_]
-            distance = second[open_].astype(np.int64) + np.bitwise_count(fps[i] ^ fps[j])
-            near = _nearest(i, distance, limit) | _nearest(j, distance, limit)
-            cut_off |= not near.all()
-            left.append(i[near]), right.append(j[near])
-    i, j = (np.concatenate(x or [np.empty(0, int)]) for x in (left, right))
-    return nodes[i], nodes[j], cut_off
-
-
-def _compare(radius: int, more_radius: int | None, limit: int):
-    """Over rows (mask, key, fp, node[, fp2, label]) sorted by bucket: the edges (a, b) of each block's spanning forest, or its pairs (a, b, more)."""
+def _compare(radius: int, wide_radius: int | None):
+    """Over rows (mask, key, fp, node[, w0 ..]) sorted by bucket: the edges (a, b) of each block's spanning forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int64)] * (4 if more_radius is None else 6)
+        rest = [np.empty(0, np.int64)] * (4 if wide_radius is None else 4 + WIDE)
         for b in itertools.chain(batches, [None]):
             cols = rest if b is None else [np.concatenate([r, b.column(k).to_numpy()]) for k, r in enumerate(rest)]
             n = len(cols[0])
@@ -201,15 +178,10 @@ def _compare(radius: int, more_radius: int | None, limit: int):
                 take = np.concatenate([np.arange(s, e) for s, e in zip(starts[at:to], ends[at:to], strict=True) if e - s > 1] or [np.empty(0, np.int64)])
                 if len(take):
                     nodes, first = np.unique(cols[3][take], return_index=True)  # a node can be in several buckets of a block
-                    fps = cols[2][take][first].view(np.uint64)
-                    if more_radius is None:
-                        left, right = block_edges(fps, nodes, radius)
-                        out = {"a": left, "b": right}
-                    else:
-                        left, right, more = block_pairs(fps, nodes, radius, cols[4][take][first].view(np.uint64), more_radius, cols[5][take][first], limit)
-                        out = {"a": left, "b": right, "more": np.full(len(left), more)}
+                    wide = None if wide_radius is None else np.column_stack([c[take][first].view(np.uint64) for c in cols[4:]])
+                    left, right = block_edges(cols[2][take][first].view(np.uint64), nodes, radius, wide, wide_radius or 0)
                     if len(left):
-                        yield pa.RecordBatch.from_pydict(out)
+                        yield pa.RecordBatch.from_pydict({"a": left, "b": right})
                 at = to
             keep = starts[usable] if usable < len(starts) else n
             rest = [c[keep:] for c in cols]
@@ -245,15 +217,13 @@ def finer_masks(mask: int, radius: int) -> list[int]:
     return [mask_of([b for b in range(BITS) if mask >> b & 1] + p) for p in parts_of(free, radius + 1)]
 
 
-def links(nodes: DataFrame, radius: int, bucket: int = BUCKET, more_radius: int | None = None, limit: int = 0) -> DataFrame:
-    """Edges (a, b) that connect nodes (fp, node) exactly as all pairs within the radius would. fp and node are unique.
+def links(nodes: DataFrame, radius: int, bucket: int = BUCKET, wide_radius: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect nodes (fp, node[, w0 ..]) exactly as all pairs within the radius would. Each row's fingerprints and its node are unique.
 
-    With more_radius: pairs (a, b, more) of nodes (fp, node, fp2, label) within both radii and with different labels, of each block the limit nearest of
-    either node; more says that the block has others.
+    With wide_radius a link also needs the wide fingerprints within it.
     """
     spark = nodes.sparkSession
-    fields = ["fp", "node"] if more_radius is None else ["fp", "node", "fp2", "label"]
-    schema = "a long, b long" if more_radius is None else "a long, b long, more boolean"
+    fields = ["fp", "node"] if wide_radius is None else ["fp", "node", *WORDS]
     masks = first_masks(radius)
     rows = nodes.select(F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"), *fields)
     rows = rows.withColumn("key", F.col("mask").bitwiseAND(F.col("fp")))
@@ -265,7 +235,7 @@ def links(nodes: DataFrame, radius: int, bucket: int = BUCKET, more_radius: int
         has_big = bool(big.take(1))
         small = rows.join(few.where(F.col("count") <= bucket).select("mask", "key"), ["mask", "key"], "left_semi")
         dealt = small.select("mask", "key", *fields).repartition("mask", "key").sortWithinPartitions("mask", "key")
-        edges = dealt.mapInArrow(_compare(radius, more_radius, limit), schema)
+        edges = dealt.mapInArrow(_compare(radius, wide_radius), "a long, b long")
         made = edges if made is None else made.unionByName(edges)
         if not has_big:
             return made
@@ -312,80 +282,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
-# ------------------------------------------------------------------------------------------ confirmed near copies
-
-#: Near copies have a Jaccard similarity of SAME or more of their sets of five-word shingles. Such pairs differ in up to about 9 bits of a
-#: fingerprint of 3-word shingles and, by 0.15 * 64 bits and two standard deviations, in up to 15 of one of 5-word shingles. Both find; the sets decide.
-FIND, CONFIRM, SAME = (3, 9), (5, 15), 0.8
-#: Nearest candidates of a node that are confirmed in the first round; four times as many in each further one, until none is left out.
-FIRST = 4
-
+# ------------------------------------------------------------------------------------------ near copies of texts
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(node, data): the sorted distinct 64-bit hashes of a text's shingles (fewer words: the whole sequence; none: the empty set)."""
+#: Near copies have a similarity of 0.8 or more by their five-word shingles. A wide SimHash of those shingles, of 256 bits, estimates it: sets with a
+#: Jaccard similarity of 0.8 differ in 0.15 of the bits, 39 of 256, give or take 6. Pairs up to WIDE_RADIUS are linked. Candidates are pairs whose
+#: fingerprints of 3-word shingles, 64 bits, are within FIND_RADIUS; near copies stay below that.
+WIDE = 4
+WORDS = [f"w{k}" for k in range(WIDE)]
+FIND_RADIUS, WIDE_RADIUS = 9, 42
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for t in b.column(1):
-                words = (t.as_py() or "").encode().lower().split()
-                grams = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)) if len(words) > size else [b" ".join(words)] if words else []
-                out.append(np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(g, SEED) for g in grams]), np.uint64)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["node", "data"])
 
-    return docs.mapInArrow(run, "node long, data binary")
+def wide_fingerprint(text: bytes, shingle: int = 5) -> np.ndarray:
+    """256 majority bits of the distinct shingles' hashes, as WIDE words; repeats count once. Texts without words have zeros."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(WIDE, np.uint64)
+    grams = set(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))) if len(words) > shingle else {b" ".join(words)}
+    digest = xxhash.xxh3_128_digest
+    raw = np.frombuffer(b"".join([digest(g, SEED) + digest(g, SEED + 1) for g in grams]), np.uint8).reshape(-1, 8 * WIDE)
+    counts = np.zeros(BITS * WIDE, np.int64)
+    for at in range(0, len(raw), 16384):
+        counts += np.unpackbits(raw[at : at + 16384], axis=1).sum(axis=0, dtype=np.int64)
+    return np.frombuffer(np.packbits(counts * 2 > len(raw)).tobytes(), np.uint64)
 
 
-def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, same): the exact Jaccard similarity of each pair's sets; two empty sets are the same."""
+def twin_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, w0 ..) of rows with an id. Null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                out.append(both / (len(p) + len(q) - both) if len(p) + len(q) else 1.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "same"])
+        for b in batches:
+            texts = [(t.as_py() or "").encode() for t in b.column(1)]
+            fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            wide = np.array([wide_fingerprint(t) for t in texts], np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *[pa.array(np.ascontiguousarray(w)) for w in wide.T]], ["id", "fp", *WORDS])
 
-    left, right = sets.select(F.col("node").alias("a"), F.col("data").alias("x")), sets.select(F.col("node").alias("b"), F.col("data").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, same double")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, ", ".join(["id long", "fp long", *[f"{w} long" for w in WORDS]]))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """(node, component) of every document with a near copy. Ids are whole numbers and distinct; rows with a null id take no part.
-
-    Candidates come from SimHash blocks, nearest first, and are confirmed by their shingle sets. Confirmed links join components, whose inner pairs
-    need no further look: so a group of many copies is settled by a few pairs of each member. Rounds go on until no candidate is left out.
-    """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    fps = cut(fingerprints(rows, "node", "text", FIND[0], CONFIRM[0]).groupBy("id").agg(F.min(F.struct("fp", "fp2")).alias("f")))
-    nodes = fps.select(F.col("id").alias("node"), "f.fp", "f.fp2", F.col("id").alias("label"))
-    seen, sets, limit, found = None, None, FIRST, None
-    while True:
-        pairs = cut(links(nodes, FIND[1], bucket, CONFIRM[1], limit))
-        fresh = pairs.select("a", "b").distinct()
-        if sets is None:  # every node with a candidate is in some pair of the first round
-            ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-            sets = cut(shingle_sets(rows.join(ends, "node", "left_semi"), CONFIRM[0]).groupBy("node").agg(F.min("data").alias("data")))
-            nodes = nodes.join(ends, "node", "left_semi")
-        else:
-            fresh = fresh.join(seen, ["a", "b"], "left_anti")
-        judged = cut(similarities(fresh, sets))
-        good = judged.where(F.col("same") >= SAME).select("a", "b")
-        found = good if found is None else found.unionByName(good)
-        named = components(found)
-        if not pairs.where("more").take(1):
-            return named
-        seen = judged.select("a", "b") if seen is None else seen.unionByName(judged.select("a", "b"))
-        old = nodes.select("node", "fp", "fp2")
-        nodes = cut(old.join(named, "node", "left").select("node", "fp", "fp2", F.coalesce("component", "node").alias("label")))
-        limit *= 4
+    """(id, component): for every document with an id the smallest id of its group of near copies. Ids are whole numbers; rows with a null id take no part."""
+    fps = cut(twin_fingerprints(docs, id_col, text_col))
+    nodes = cut(fps.groupBy("fp", *WORDS).agg(F.min("id").alias("node")))
+    found = components(links(nodes, FIND_RADIUS, bucket, WIDE_RADIUS))
+    labels = nodes.join(found, "node", "left").select("fp", *WORDS, F.coalesce("component", "node").alias("component"))
+    return fps.join(labels, ["fp", *WORDS]).select("id", "component")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """The rows of docs that stay when one document of each group of near copies does: the one with the smallest id. Rows with a null id stay."""
-    gone = near_copies(docs, id_col, text_col, bucket).where(F.col("node") != F.col("component")).select(F.col("node").alias(id_col))
+    gone = near_copies(docs, id_col, text_col, bucket).where(F.col("id") != F.col("component")).select(F.col("id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 
