@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WHITE, cut, table
+from .url_filter import bloom_filter, might_contain
 
 #: Code points of the normalised text that the prefix hash covers.
 PREFIX = 64
@@ -36,9 +37,12 @@ def duplicate_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     thin = cut(thin)
     thin = survivors(thin, ["len"])
     thin = survivors(thin, ["len", "prefix"])
-    # Full content of what is left. Its ids are few where copies are, so other texts stay out of the shuffle (runtime filter).
-    left = thin.select(F.col("id").alias("_id")).distinct()
-    full = docs.join(left, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("id", F.length("text").alias("points"), F.sha2(norm, 256).alias("full_hash"))
+    # Full content of what is left: a Bloom filter of the surviving ids, of bounded size, keeps most other texts out of the shuffle; the join is exact.
+    left = cut(thin.select(F.col("id").alias("_id")).distinct())
+    name = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    blocks, words = bloom_filter(left.select(F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("k")), "k", left.count())
+    read = docs.where(might_contain(name, blocks, words))
+    full = read.join(left, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("id", F.length("text").alias("points"), F.sha2(norm, 256).alias("full_hash"))
     full = cut(full)
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("n"), F.col("id").alias("id"))).alias("b")
     groups = full.groupBy("full_hash").agg(best, F.count("*").alias("group_size")).where("group_size > 1")
