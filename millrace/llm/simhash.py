@@ -136,16 +136,11 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def block_edges(fps: np.ndarray, nodes: np.ndarray, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (a, b) of a spanning forest of the nodes' links. nodes ascend. With wide (a row of words for each node), a link also needs these within wide_radius."""
+def block_edges(fps: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) of a spanning forest of the nodes' links. nodes ascend."""
     planes, left, right = bit_planes(fps), [], []
     for at in range(0, len(fps), QUERIES):
         i, j = _against(fps, planes, at, min(at + QUERIES, len(fps)), radius)
-        if wide is not None and len(i):
-            distance = np.zeros(len(i), np.int64)
-            for word in wide.T:
-                distance += np.bitwise_count(word[i] ^ word[j])
-            i, j = i[distance <= wide_radius], j[distance <= wide_radius]
         if len(i):  # each slice is thinned to a forest at once, so memory follows the nodes
             root = forest(len(fps), i, j)
             linked = np.flatnonzero(root != np.arange(len(fps)))
@@ -157,11 +152,11 @@ def block_edges(fps: np.ndarray, nodes: np.ndarray, radius: int, wide: np.ndarra
     return nodes[root][linked], nodes[linked]
 
 
-def _compare(radius: int, wide_radius: int | None):
-    """Over rows (mask, key, fp, node[, w0 ..]) sorted by bucket: the edges (a, b) of each block's spanning forest."""
+def _compare(radius: int):
+    """Over rows (mask, key, fp, node) sorted by bucket: the edges (a, b) of each block's spanning forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int64)] * (4 if wide_radius is None else 4 + WIDE)
+        rest = [np.empty(0, np.int64)] * 4
         for b in itertools.chain(batches, [None]):
             cols = rest if b is None else [np.concatenate([r, b.column(k).to_numpy()]) for k, r in enumerate(rest)]
             n = len(cols[0])
@@ -178,8 +173,7 @@ def _compare(radius: int, wide_radius: int | None):
                 take = np.concatenate([np.arange(s, e) for s, e in zip(starts[at:to], ends[at:to], strict=True) if e - s > 1] or [np.empty(0, np.int64)])
                 if len(take):
                     nodes, first = np.unique(cols[3][take], return_index=True)  # a node can be in several buckets of a block
-                    wide = None if wide_radius is None else np.column_stack([c[take][first].view(np.uint64) for c in cols[4:]])
-                    left, right = block_edges(cols[2][take][first].view(np.uint64), nodes, radius, wide, wide_radius or 0)
+                    left, right = block_edges(cols[2][take][first].view(np.uint64), nodes, radius)
                     if len(left):
                         yield pa.RecordBatch.from_pydict({"a": left, "b": right})
                 at = to
@@ -217,13 +211,10 @@ def finer_masks(mask: int, radius: int) -> list[int]:
     return [mask_of([b for b in range(BITS) if mask >> b & 1] + p) for p in parts_of(free, radius + 1)]
 
 
-def links(nodes: DataFrame, radius: int, bucket: int = BUCKET, wide_radius: int | None = None) -> DataFrame:
-    """Edges (a, b) that connect nodes (fp, node[, w0 ..]) exactly as all pairs within the radius would. Each row's fingerprints and its node are unique.
-
-    With wide_radius a link also needs the wide fingerprints within it.
-    """
+def links(nodes: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) that connect nodes (fp, node) exactly as all pairs within the radius would. fp and node are unique."""
     spark = nodes.sparkSession
-    fields = ["fp", "node"] if wide_radius is None else ["fp", "node", *WORDS]
+    fields = ["fp", "node"]
     masks = first_masks(radius)
     rows = nodes.select(F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"), *fields)
     rows = rows.withColumn("key", F.col("mask").bitwiseAND(F.col("fp")))
@@ -235,7 +226,7 @@ def links(nodes: DataFrame, radius: int, bucket: int = BUCKET, wide_radius: int
         has_big = bool(big.take(1))
         small = rows.join(few.where(F.col("count") <= bucket).select("mask", "key"), ["mask", "key"], "left_semi")
         dealt = small.select("mask", "key", *fields).repartition("mask", "key").sortWithinPartitions("mask", "key")
-        edges = dealt.mapInArrow(_compare(radius, wide_radius), "a long, b long")
+        edges = dealt.mapInArrow(_compare(radius), "a long, b long")
         made = edges if made is None else made.unionByName(edges)
         if not has_big:
             return made
@@ -284,55 +275,198 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # ------------------------------------------------------------------------------------------ near copies of texts
 
-#: Near copies have a similarity of 0.8 or more by their five-word shingles. A wide SimHash of those shingles, of 256 bits, estimates it: sets with a
-#: Jaccard similarity of 0.8 differ in 0.15 of the bits, 39 of 256, give or take 6. Pairs up to WIDE_RADIUS are linked. Candidates are pairs whose
-#: fingerprints of 3-word shingles, 64 bits, are within FIND_RADIUS; near copies stay below that.
-WIDE = 4
-WORDS = [f"w{k}" for k in range(WIDE)]
-FIND_RADIUS, WIDE_RADIUS = 9, 42
+#: Near copies have a Jaccard similarity of SAME or more of their sets of five-word shingles; the sets decide. Candidates share all minima of a band:
+#: with 40 bands of 4 minima a pair at 0.8 shares none with a chance of (1 - 0.8 ** 4) ** 40 = 7e-10, less above 0.8.
+SAME, SHINGLE = 0.8, 5
+BANDS, MINIMA = 40, 4
+#: A sketch has a bit of each minimum. A pair at 0.8 differs in 16 of the 160, give or take 3.8; pairs beyond SKETCH_RADIUS are not looked at: a chance of 2e-9 at 0.8.
+SKETCH_RADIUS = 42
+SKETCH = ["s0", "s1", "s2"]
+#: Nodes of a bucket that are compared with its further nodes in the first round; eight times as many in each further one.
+CENTRES, FASTER = 1, 8
+#: A node with more pairs than HOT has its pairs dealt to SALTS tasks.
+HOT, SALTS = 1000, 32
+_MIX = np.random.default_rng(SEED).integers(0, 2**64, (3, BANDS * MINIMA), np.uint64) | np.array([[1], [0], [1]], np.uint64)
+
+
+def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's shingles (fewer words: the whole sequence; none: the empty set)."""
+    words = text.lower().split()
+    grams = set(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))) if len(words) > size else {b" ".join(words)} if words else set()
+    digest = xxhash.xxh64_digest
+    return np.unique(np.frombuffer(b"".join([digest(g, SEED) for g in grams]), np.uint64))
 
 
-def wide_fingerprint(text: bytes, shingle: int = 5) -> np.ndarray:
-    """256 majority bits of the distinct shingles' hashes, as WIDE words; repeats count once. Texts without words have zeros."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(WIDE, np.uint64)
-    grams = set(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))) if len(words) > shingle else {b" ".join(words)}
-    digest = xxhash.xxh3_128_digest
-    raw = np.frombuffer(b"".join([digest(g, SEED) + digest(g, SEED + 1) for g in grams]), np.uint8).reshape(-1, 8 * WIDE)
-    counts = np.zeros(BITS * WIDE, np.int64)
-    for at in range(0, len(raw), 16384):
-        counts += np.unpackbits(raw[at : at + 16384], axis=1).sum(axis=0, dtype=np.int64)
-    return np.frombuffer(np.packbits(counts * 2 > len(raw)).tobytes(), np.uint64)
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The smallest hash by each of BANDS * MINIMA orders."""
+    out = np.full(BANDS * MINIMA, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(hashes), 256):
+        np.minimum(out, ((hashes[at : at + 256, None] ^ _MIX[1]) * _MIX[0]).min(axis=0), out=out)
+    return out
 
 
-def twin_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp, w0 ..) of rows with an id. Null texts count as empty."""
+def min_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash, node, size, s0 .., bands) of rows with an id; node is a hash of the shingle set, size its size. Null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [(t.as_py() or "").encode() for t in b.column(1)]
-            fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            wide = np.array([wide_fingerprint(t) for t in texts], np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *[pa.array(np.ascontiguousarray(w)) for w in wide.T]], ["id", "fp", *WORDS])
+            sets = [shingle_set((t.as_py() or "").encode()) for t in b.column(2)]
+            low = np.array([minima(h) for h in sets], np.uint64).reshape(-1, BANDS * MINIMA)
+            node = np.array([xxhash.xxh3_64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            bits = ((low ^ low >> np.uint64(29)) * _MIX[2] >> np.uint64(63)).astype(np.uint8)
+            sketch = np.packbits(np.pad(bits, ((0, 0), (0, 64 * len(SKETCH) - bits.shape[1]))), axis=1).view(np.int64).reshape(-1, len(SKETCH))
+            keys = [xxhash.xxh3_64_intdigest(low[i, k : k + MINIMA].tobytes(), k) for i in range(len(low)) for k in range(0, BANDS * MINIMA, MINIMA)]
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(low) + 1) * BANDS, pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)))
+            size = pa.array([len(h) for h in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), size, *[pa.array(np.ascontiguousarray(w)) for w in sketch.T], bands], ["id", "text_hash", "node", "size", *SKETCH, "bands"])
+
+    text = _text(text_col)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(run, ", ".join(["id long", "text_hash long", "node long", "size long", *[f"{w} long" for w in SKETCH], "bands array<long>"]))
+
+
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of whole buckets, from rows sorted by their first column."""
+    rest = None
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            cols = [c.to_numpy() for c in b.columns]
+            rest = cols if rest is None else [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
+        if rest is None or not len(rest[0]):
+            continue
+        to = len(rest[0]) if b is None else int(np.searchsorted(rest[0], rest[0][-1], "left"))  # the last bucket may go on in the next batch
+        if to:
+            yield [c[:to] for c in rest]
+            rest = [c[to:] for c in rest]
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, ..) of buckets with more than one node."""
+    for cols in _buckets(batches):
+        same = cols[0][1:] == cols[0][:-1]
+        many = np.append(same, False) | np.append(False, same)
+        if many.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in cols], ["key", "node", "size", *SKETCH])
+
+
+def _pairs(first: int, last: int):
+    """Over rows (key, node, size, s0 .., label) sorted by bucket and node: pairs (a, b) of a bucket's nodes number first to last - 1 with its further nodes, of different labels, that sizes and sketches allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, size, *sketch, label in _buckets(batches):
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            start = np.repeat(start, np.diff(np.append(start, len(key))))
+            place = np.arange(len(key)) - start
+            for k in range(first, min(last, int(place.max()))):
+                j = np.flatnonzero(place > k)
+                i = start[j] + k
+                open_ = (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= SAME * np.maximum(size[i], size[j]))
+                i, j = i[open_], j[open_]
+                apart = np.zeros(len(i), np.int64)
+                for word in sketch:
+                    apart += np.bitwise_count((word[i] ^ word[j]).view(np.uint64))
+                i, j = i[apart <= SKETCH_RADIUS], j[apart <= SKETCH_RADIUS]
+                if len(i):
+                    yield pa.RecordBatch.from_pydict({"a": node[i], "b": node[j]})
+
+    return run
+
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, ", ".join(["id long", "fp long", *[f"{w} long" for w in WORDS]]))
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, same): whether the Jaccard similarity of each pair's sets is SAME or more. The second set is joined first, so the rows of a node with many pairs are sent once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                out.append(both >= SAME * (len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["a", "b", "same"])
+
+    hot = cut(pairs.groupBy("a").count().where(F.col("count") > HOT).select("a", F.lit(True).alias("hot")))  # at most a HOT-th of the pairs
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = sets.select(F.col("node").alias("a"), F.col("data").alias("x")).join(F.broadcast(hot), "a", "left").select("a", "x", F.explode(salts).alias("salt"))
+    right = sets.select(F.col("node").alias("b"), F.col("data").alias("y"))
+    dealt = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", F.when(F.col("hot"), F.pmod(F.xxhash64("b"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
+    return dealt.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long, same boolean")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """(id, component): for every document with an id the smallest id of its group of near copies. Ids are whole numbers; rows with a null id take no part."""
-    fps = cut(twin_fingerprints(docs, id_col, text_col))
-    nodes = cut(fps.groupBy("fp", *WORDS).agg(F.min("id").alias("node")))
-    found = components(links(nodes, FIND_RADIUS, bucket, WIDE_RADIUS))
-    labels = nodes.join(found, "node", "left").select("fp", *WORDS, F.coalesce("component", "node").alias("component"))
-    return fps.join(labels, ["fp", *WORDS]).select("id", "component")
+def _sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
+    """(node, data) of nodes (id, text_hash, node), each one row: the shingle sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set((t.as_py() or "").encode()).tobytes() for t in b.column(1)], pa.binary())], ["node", "data"])
 
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(_text(text_col)).alias("text_hash"), _text(text_col).alias("text"))
+    found = rows.join(nodes, ["id", "text_hash"]).select("node", "text").mapInArrow(run, "node long, data binary")
+    return found.dropDuplicates(["node"])  # rows can share id and text
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
+
+def near_links(docs: DataFrame, id_col: str, text_col: str, marks: DataFrame) -> DataFrame | None:
+    """Edges (a, b) that connect the nodes of marks (see min_hashes) as all pairs of near copies would; None where no bucket has two nodes.
+
+    In each round the next nodes of every bucket are compared with its further ones. Nodes that are connected already need no comparison, so a large group of copies
+    is settled by a pair or two of each member; rounds go on until every pair of a bucket was compared or is connected.
+    """
+    nodes = marks.groupBy("node").agg(F.first("size").alias("size"), *[F.first(w).alias(w) for w in SKETCH], F.first("bands").alias("bands"))
+    dealt = nodes.select(F.explode("bands").alias("key"), "node", "size", *SKETCH).repartition("key").sortWithinPartitions("key", "node")
+    kind = ", ".join(f"{c} long" for c in ["key", "node", "size", *SKETCH])
+    rows = cut(dealt.mapInArrow(_shared, kind))
+    if not rows.take(1):
+        return None
+    named = rows.withColumn("label", F.col("node"))
+    owners = marks.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("o")).select("node", "o.id", "o.text_hash")
+    sets = seen = found = None
+    first, last = 0, CENTRES
+    while True:
+        ready = named.repartition("key").sortWithinPartitions("key", "node")
+        pairs = cut(ready.mapInArrow(_pairs(first, last), "a long, b long").distinct())
+        fresh = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
+        ends = fresh.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if sets is not None:
+            ends = ends.join(sets, "node", "left_anti")
+        more = cut(_sets(docs, id_col, text_col, owners.join(ends, "node")))
+        sets = more if sets is None else sets.unionByName(more)
+        judged = cut(similar(fresh, sets))
+        seen = judged.select("a", "b") if seen is None else seen.unionByName(judged.select("a", "b"))
+        good = judged.where("same").select("a", "b")
+        found = good if found is None else found.unionByName(good)
+        labels = components(found)
+        named = named.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        left = named.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+        left = left.where((F.col("n") > last + 1) & (F.col("low") != F.col("high"))).select("key")
+        named = cut(named.join(left, "key", "left_semi"))
+        if not named.take(1):
+            return found
+        first, last = last, last * FASTER + last
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_hash, component, keep): for every document with an id its group of near copies, and whether it is the one that stays: the one with the smallest id.
+
+    Ids are whole numbers; rows with a null id take no part. Rows are told apart by id and text: where texts of a group share the smallest id, one text stays. Texts without words are copies of each other.
+    """
+    marks = cut(min_hashes(docs, id_col, text_col))
+    found = near_links(docs, id_col, text_col, marks)
+    out = marks.select("id", "text_hash", "node")
+    if found is None:
+        out = out.withColumn("group", F.col("node"))
+    else:
+        out = out.join(components(found), "node", "left").select("id", "text_hash", F.coalesce("component", "node").alias("group"))
+    best = out.groupBy("group").agg(F.min(F.struct("id", "text_hash")).alias("o"))
+    return out.join(best, "group").select("id", "text_hash", F.col("o.id").alias("component"), ((F.col("id") == F.col("o.id")) & (F.col("text_hash") == F.col("o.text_hash"))).alias("keep"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay when one document of each group of near copies does: the one with the smallest id. Rows with a null id stay."""
-    gone = near_copies(docs, id_col, text_col, bucket).where(F.col("id") != F.col("component")).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = near_copies(docs, id_col, text_col).where(~F.col("keep")).select(F.col("id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(gone, (F.col(id_col).cast("long") == F.col("_gone")) & (F.xxhash64(_text(text_col)) == F.col("_hash")), "left_anti").select(*docs.columns)
 
 
 def hex16(fp: Column) -> Column:

@@ -108,3 +108,37 @@ def test_near_copies_by_similarity(spark):
 def test_hex(spark):
     df = spark.createDataFrame([(0,), (-1,), (255,)], "fp long")
     assert [r[0] for r in df.select(S.hex16(F.col("fp"))).collect()] == ["0" * 16, "f" * 16, "00000000000000ff"]
+
+
+def jaccard_groups(rows):
+    sets = {i: {" ".join(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    return slow_components(list(sets), [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8])
+
+
+def test_near_copies_by_block_edits(spark):
+    """Copies that differ in one passage, on either side of 0.8: their shingle sets decide, not an estimate."""
+    rng = np.random.default_rng(4)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    rows = []
+    for i in range(0, 120, 2):
+        base, at, n = words(300), int(rng.integers(0, 250)), int(rng.integers(15, 45))
+        rows += [(i, " ".join(base)), (i + 1, " ".join(base[:at] + words(n) + base[at + n :]))]
+    want = jaccard_groups(rows)
+    assert 20 < sum(i != c for i, c in want.items()) < 50
+    got = {r.doc_id for r in S.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i for i, c in want.items() if i == c}
+
+
+def test_near_copies_share_a_bucket_but_are_none(spark, interpreted):
+    """Nodes of common buckets that no star connects: several rounds."""
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    base, rows = words(200), []
+    for i in range(90):
+        w = list(base)
+        for at in rng.choice(200, int(rng.integers(2, 6)), replace=False):
+            w[int(at)] = f"new{i}-{at}"
+        rows.append((i, " ".join(w)))
+    want = jaccard_groups(rows)
+    got = {r.doc_id for r in S.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i for i, c in want.items() if i == c}
