@@ -3,7 +3,7 @@
 Fingerprints: 64 majority bits over the XXH64 (seed 42) of word shingles. Equal fingerprints collapse to one node first, so
 exact copies never make pairs. Candidate buckets are exact: two fingerprints within radius r that are cut into r + 2 parts agree
 on at least two of them, so a bucket for every pair of parts misses nothing. A bucket with too many nodes is cut again on
-its remaining bits (r + 1 parts, of which one must agree), until it is small; at most 64 bits can be cut, so this ends.
+its remaining bits (r + 1 parts, of which one must agree), until it is small or has no more than r bits left; then it has at most 2 ** r nodes.
 
 Inside a bucket the comparison is bit-sliced: bit planes are stored vertically, 64 nodes to a machine word; the planes of the
 differences go into carry-save counters that saturate above the radius, and a block of words whose nodes have all passed the
@@ -222,18 +222,20 @@ def links(nodes: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
     while True:
         sizes = rows.groupBy("mask", "key").count()
         few = cut(sizes.where(F.col("count") > 1))
-        big = few.where(F.col("count") > bucket).select("mask", "key")
+        whole = [m for m in masks if finer_masks(m, radius) == [m]]
+        too_big = (F.col("count") > bucket) & ~F.col("mask").isin(whole)
+        big = few.where(too_big).select("mask", "key")
         has_big = bool(big.take(1))
-        small = rows.join(few.where(F.col("count") <= bucket).select("mask", "key"), ["mask", "key"], "left_semi")
+        small = rows.join(few.where(~too_big).select("mask", "key"), ["mask", "key"], "left_semi")
         dealt = small.select("mask", "key", *fields).repartition("mask", "key").sortWithinPartitions("mask", "key")
         edges = dealt.mapInArrow(_compare(radius), "a long, b long")
         made = edges if made is None else made.unionByName(edges)
         if not has_big:
             return made
-        children = {m: [c for c in finer_masks(m, radius)] for m in masks}
+        children = {m: finer_masks(m, radius) for m in masks if m not in whole}
         masks = sorted({c for cs in children.values() for c in cs})
         finer = spark.createDataFrame([(m, c) for m, cs in children.items() for c in cs], "mask long, child long")
-        rows = rows.join(big, ["mask", "key"], "left_semi").join(finer, "mask").select(F.col("child").alias("mask"), *fields)
+        rows = rows.join(big, ["mask", "key"], "left_semi").join(finer, "mask").select(F.col("child").alias("mask"), *fields).distinct()  # masks can share a child
         rows = cut(rows.withColumn("key", F.col("mask").bitwiseAND(F.col("fp"))))
 
 

@@ -142,3 +142,22 @@ def test_near_copies_share_a_bucket_but_are_none(spark, interpreted):
     want = jaccard_groups(rows)
     got = {r.doc_id for r in S.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i for i, c in want.items() if i == c}
+
+
+def test_dense_buckets_end(spark, monkeypatch):
+    """All fingerprints of a subcube of as many bits as the radius: no cut parts them into buckets of 3."""
+    monkeypatch.setattr(S, "first_masks", lambda radius: [S.mask_of(list(range(3, 64)))])
+    nodes = spark.createDataFrame([(x, x) for x in range(8)], "fp long, node long")
+    got = S.components(S.links(nodes, 3, 3)).collect()
+    assert {(r.node, r.component) for r in got} == {(x, 0) for x in range(8)}
+
+
+def test_near_copies_of_one_fingerprint(spark):
+    """Many near copies whose 64-bit fingerprints are one: the group is settled by a few pairs of each member."""
+    base, n = [f"w{x}" for x in range(400)], 300
+    rows = [(i, " ".join([*base[:200], f"new{i}", *base[201:]])) for i in range(n)]
+    assert len({S.fingerprint(t.encode()) for _, t in rows}) < n / 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = S.near_links(docs, "doc_id", "text", S.min_hashes(docs, "doc_id", "text").cache())
+    assert pairs.count() < 20 * n
+    assert [r.doc_id for r in S.representatives(docs).collect()] == [0]
