@@ -31,14 +31,16 @@ def crc_fold(id_col: Column, folds: int) -> Column:
 
 
 def labelled_ids(labels: DataFrame, label: str, learn: Callable[[Column], Column], max_rows: int) -> DataFrame:
-    """(id, y): at most max_rows learnable ids per class, chosen by a hash of the id, so the same rows at every run.
+    """(id, y, w): at most max_rows learnable ids per class, chosen by a hash of the id, so the same rows at every run.
 
+    w is the number of the class's learnable ids over those chosen, so that weighted rows have the classes' natural mix whatever the table's size.
     Rows with a null id or label take no part. An id labelled both ways counts as 1. The result has at most
     2 * max_rows rows, the bound behind every broadcast of it.
     """
     rows = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("y")).where("id is not null and y is not null")
     rows = rows.where(learn(F.col("id"))).groupBy("id").agg(F.max("y").cast("int").alias("y"))
-    parts = [rows.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(max_rows) for k in (0, 1)]
+    sizes = {r["y"]: r["count"] for r in rows.where(F.col("y").isin(0, 1)).groupBy("y").count().collect()}
+    parts = [rows.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(max_rows).withColumn("w", F.lit(max(1.0, sizes.get(k, 0) / max_rows))) for k in (0, 1)]
     return parts[0].unionByName(parts[1])
 
 
@@ -49,30 +51,36 @@ def crc32_u32(data) -> int:
 # ---------------------------------------------------------------------------------------------- small models
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> np.ndarray:
-    """Newton's method for a logistic model; the last weight is the intercept. Constant answers when one class is missing."""
+def even(weight: np.ndarray | None, n: int) -> np.ndarray:
+    """Row weights with a mean of 1, so that ridges and smoothing mean the same for every sample."""
+    return np.ones(n) if weight is None or not n else np.asarray(weight, float) * (n / np.sum(weight))
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-3, weight: np.ndarray | None = None) -> np.ndarray:
+    """Newton's method for a logistic model of weighted rows; the last weight is the intercept. Constant answers when one class is missing."""
+    c = even(weight, len(y))
     if len(y) == 0 or y.min() == y.max():
-        rate = (y.sum() + 1.0) / (len(y) + 2.0)
+        rate = ((c * y).sum() + 1.0) / (len(y) + 2.0)
         return np.append(np.zeros(x.shape[1]), np.log(rate / (1 - rate)))
     a = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(a.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        s = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((a * s[:, None]).T @ a + ridge * np.eye(a.shape[1]), a.T @ (y - p) - ridge * w)
+        s = c * np.maximum(p * (1 - p), 1e-6)
+        step = np.linalg.solve((a * s[:, None]).T @ a + ridge * np.eye(a.shape[1]), a.T @ (c * (y - p)) - ridge * w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots (score, rate) of the best non-decreasing fit, smoothed by half a case each way."""
+def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: knots (score, rate) of the best non-decreasing fit of weighted rows, smoothed by half a case each way."""
     order = np.argsort(score, kind="stable")
-    xs, ys = score[order], y[order].astype(float)
+    xs, ys, cs = score[order], y[order].astype(float), even(weight, len(y))[order]
     ux, start = np.unique(xs, return_index=True)
-    weight = np.diff(np.append(start, len(xs))).astype(float)
-    mean = np.add.reduceat(ys, start) / weight
+    weight = np.add.reduceat(cs, start)
+    mean = np.add.reduceat(cs * ys, start) / weight
     blocks: list[list[float]] = []  # mean, weight, first x, last x
     for m, w, v in zip(mean, weight, ux, strict=True):
         blocks.append([m, w, v, v])

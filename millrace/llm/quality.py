@@ -65,7 +65,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn) -> QualityModel:
     """
     ids = labelled_ids(labels, "quality", learn, MAX_ROWS)
     text = F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 1, MAX_ROW_BYTES)
-    rows = docs.select(F.col("doc_id").alias("id"), text.alias("t")).join(F.broadcast(ids), "id").select("id", "y", "t").dropDuplicates(["t"]).collect()
+    rows = docs.select(F.col("doc_id").alias("id"), text.alias("t")).join(F.broadcast(ids), "id").select("id", "y", "w", "t").dropDuplicates(["t"]).collect()
     key = lambda r: hashlib.sha256(str(r["id"]).encode()).digest()
     rows.sort(key=key)
     build, fit = [], []
@@ -76,9 +76,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn) -> QualityModel:
     good, bad = (_dictionary([bytes(r["t"]) for r in build if r["y"] == y]) for y in (1, 0))
     made = Compressors(good, bad)
     x = np.array([made.features(bytes(r["t"])) for r in fit]).reshape(-1, 4)
-    y = np.array([r["y"] for r in fit], float)
+    y, w = np.array([r["y"] for r in fit], float), np.array([r["w"] for r in fit], float)
     mean, scale = (x.mean(0), np.maximum(x.std(0), 1e-9)) if len(x) else (np.zeros(4), np.ones(4))
-    return QualityModel(good, bad, mean, scale, fit_logistic((x - mean) / scale, y))
+    return QualityModel(good, bad, mean, scale, fit_logistic((x - mean) / scale, y, weight=w))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, cut, isotonic, labelled_ids, table
+from .common import crc_fold, cut, even, isotonic, labelled_ids, table
 
 #: Labelled rows per class that are learned from, and the learned lexicon's size: the bound of the fit.
 MAX_ROWS = 4000
@@ -100,9 +100,10 @@ class Trees:
         return out
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 32, least: float = 3.0, ridge: float = 1.0) -> Trees:
-    """Second-order boosting of the logistic loss over quantile histograms."""
-    p = (y.sum() + 0.5) / (len(y) + 1.0)
+def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 32, least: float = 3.0, ridge: float = 1.0, weight: np.ndarray | None = None) -> Trees:
+    """Second-order boosting of the logistic loss of weighted rows over quantile histograms."""
+    c = even(weight, len(y))
+    p = ((c * y).sum() + 0.5) / (len(y) + 1.0)
     base = math.log(p / (1 - p))
     empty = np.zeros((0, 2**depth - 1))
     if not len(y) or y.min() == y.max():
@@ -114,7 +115,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rat
     margin, all_f, all_t, all_v = np.full(len(y), base), [], [], []
     for _ in range(trees):
         q = 1 / (1 + np.exp(-margin))
-        g, h = q - y, np.maximum(q * (1 - q), 1e-6)
+        g, h = c * (q - y), c * np.maximum(q * (1 - q), 1e-6)
         node = np.zeros(len(y), int)
         f, t = np.zeros(2**depth - 1, int), np.full(2**depth - 1, np.inf)
         for level in range(depth):
@@ -128,9 +129,9 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rat
                 gain[(hs < least) | (ht - hs < least)] = -1
                 for j, e in enumerate(edges):
                     gain[j, len(e) :] = -1
-                j, c = np.unravel_index(gain.argmax(), gain.shape)
-                if gain[j, c] > 1e-6:
-                    f[k], t[k] = j, edges[j][c]
+                j, at = np.unravel_index(gain.argmax(), gain.shape)
+                if gain[j, at] > 1e-6:
+                    f[k], t[k] = j, edges[j][at]
             node = 2 * node + 1 + (x[np.arange(len(y)), f[node]] > t[node])
         leaf = node - len(f)
         v = -rate * np.bincount(leaf, g, 2**depth) / (np.bincount(leaf, h, 2**depth) + ridge)
@@ -193,23 +194,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn) -> ToxicityModel:
     """
     ids = labelled_ids(labels, "toxic", learn, MAX_ROWS)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sample = docs.select(F.col("doc_id").alias("id"), text.alias("text")).join(F.broadcast(ids), "id").select("text", "y", F.pmod(F.xxhash64("text"), F.lit(5)).cast("int").alias("fold"))
+    sample = docs.select(F.col("doc_id").alias("id"), text.alias("text")).join(F.broadcast(ids), "id").select("text", "y", "w", F.pmod(F.xxhash64("text"), F.lit(5)).cast("int").alias("fold"))
     sample = cut(sample)
     lexicon = learn_lexicon(sample.where("fold <> 0").select("text", "y"))
 
     def make():
-        return lambda own, texts: pa.RecordBatch.from_arrays([*own.columns, pa.array([features(t, lexicon) for t in texts], pa.list_(pa.float64()))], ["y", "fold", "x"])
+        return lambda own, texts: pa.RecordBatch.from_arrays([*own.columns, pa.array([features(t, lexicon) for t in texts], pa.list_(pa.float64()))], ["y", "w", "fold", "x"])
 
-    rows = _rows(sample, ["y", "fold"], make, "y int, fold int, x array<double>").collect()
+    rows = _rows(sample, ["y", "w", "fold"], make, "y int, w double, fold int, x array<double>").collect()
     x = np.array([r["x"] for r in rows], float).reshape(-1, len(NAMES))
-    y, fold = np.array([r["y"] for r in rows], float), np.array([r["fold"] for r in rows], int)
+    y, w, fold = np.array([r["y"] for r in rows], float), np.array([r["w"] for r in rows], float), np.array([r["fold"] for r in rows], int)
     order = np.lexsort([*x.T, y])  # the same model whatever the order of the rows
-    x, y, fold = x[order], y[order], fold[order]
-    trees = fit_trees(x[fold != 0], y[fold != 0])
+    x, y, w, fold = x[order], y[order], w[order], fold[order]
+    trees = fit_trees(x[fold != 0], y[fold != 0], weight=w[fold != 0])
     own = fold == 0
     if y[own].sum() < 20 or (1 - y[own]).sum() < 20:
         own = np.ones(len(y), bool)
-    knots = isotonic(trees.margin(x[own]), y[own]) if own.any() else (np.zeros(1), np.full(1, 0.5))
+    knots = isotonic(trees.margin(x[own]), y[own], w[own]) if own.any() else (np.zeros(1), np.full(1, 0.5))
     return ToxicityModel(lexicon, trees, knots)
 
 

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.llm import quality, toxicity
-from millrace.llm.common import crc_fold, fit_logistic, isotonic
+from millrace.llm.common import crc_fold, fit_logistic, isotonic, labelled_ids
 
 
 def corpus(spark, n=400):
@@ -84,3 +84,15 @@ def test_small_models():
     w = fit_logistic(x, (x[:, 2] > 0).astype(float))
     assert abs(w[2]) > 5 * max(abs(w[0]), abs(w[1]))
     assert np.allclose(fit_logistic(x, np.ones(500))[:4], 0)
+
+
+def test_capped_classes_keep_their_mix(spark):
+    """A capped sample's weights give the table's rate back, in every fit."""
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(2000)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    rows = labelled_ids(labels, "toxic", lambda i: i >= 0, 50).collect()
+    y, w = np.array([r.y for r in rows], float), np.array([r.w for r in rows])
+    assert len(rows) == 100 and abs((w * y).sum() / w.sum() - 0.1) < 1e-9
+    x = np.zeros((100, 1))
+    assert abs(1 / (1 + np.exp(-fit_logistic(x, y, weight=w)[-1])) - 0.1) < 0.01
+    assert np.allclose(isotonic(x[:, 0], y, w)[1], 0.1, atol=0.01)
+    assert abs(1 / (1 + np.exp(-toxicity.fit_trees(x, y, weight=w).margin(x)[0])) - 0.1) < 0.01
