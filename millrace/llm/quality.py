@@ -17,11 +17,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, fit_logistic, labelled_ids, table
+from .common import crc_fold, cut, fit_logistic, labelled_ids, table
 
-#: Labelled rows per class that are learned from, and the bytes of each that go into a dictionary: the bound of the fit.
+#: Labelled rows per class that are learned from, and the bytes of each that go into a dictionary, in PIECES from all over the text: the bound of the fit.
 MAX_ROWS = 2000
 MAX_ROW_BYTES = 16_384
+PIECES = 4
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
 
@@ -48,9 +49,17 @@ class Compressors:
         return (b - g) / max(min(g, b), 1), (b - g) / n, min(g, b) / n, z / n
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
+def material(text: bytes) -> bytes:
+    """At most MAX_ROW_BYTES of a text: all of it, or PIECES at even distances from its start to its end."""
+    if len(text) <= MAX_ROW_BYTES:
+        return text
+    size = MAX_ROW_BYTES // PIECES
+    starts = [(len(text) - size) * k // (PIECES - 1) for k in range(PIECES)]
+    return b"".join(text[s : s + size] for s in starts)
+
+
+def _dictionary(parts: list[bytes]) -> bytes:
     """A trained dictionary, or the texts themselves where there are too few to train one."""
-    parts = [t[:MAX_ROW_BYTES] for t in texts]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -58,25 +67,48 @@ def _dictionary(texts: list[bytes]) -> bytes:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn) -> QualityModel:
-    """docs: (doc_id, text). learn: the ids that may be learned from. At most 2 * MAX_ROWS rows reach the driver, MAX_ROW_BYTES of each.
+    """docs: (doc_id, text). learn: the ids that may be learned from. At most MAX_ROWS texts for the dictionaries reach the driver, MAX_ROW_BYTES of each, and of the others their features.
 
-    Half of the rows build the dictionaries, the other half fit the score, so that no text is scored by a dictionary made of it. Without rows of both
-    classes the score is the classes' rate.
+    Half of the rows build the dictionaries, the other half fit the score on whole texts, so that no text is scored by a dictionary made of it. Copies of a text count once a
+    label; a text with both labels builds no dictionary. Without rows of both classes the score is the classes' rate.
     """
+    spark = docs.sparkSession
     ids = labelled_ids(labels, "quality", learn, MAX_ROWS)
-    text = F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 1, MAX_ROW_BYTES)
-    rows = docs.select(F.col("doc_id").alias("id"), text.alias("t")).join(F.broadcast(ids), "id").select("id", "y", "w", "t").dropDuplicates(["t"]).collect()
-    key = lambda r: hashlib.sha256(str(r["id"]).encode()).digest()
-    rows.sort(key=key)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    sample = docs.select(F.col("doc_id").alias("id"), text.alias("text")).join(F.broadcast(ids), "id").select("id", "y", "w", F.sha2("text", 256).alias("h"), "text")
+    sample = cut(sample.dropDuplicates(["id", "h"]))
+    key = lambda r: (hashlib.sha256(str(r["id"]).encode()).digest(), r["h"])
+    rows: dict[tuple[str, int], dict] = {}
+    for r in sorted(sample.select("id", "y", "w", "h").collect(), key=key):
+        rows.setdefault((r["h"], r["y"]), r)
     build, fit = [], []
     for y in (0, 1):
-        own = [r for r in rows if r["y"] == y]
+        own = [r for r in rows.values() if r["y"] == y and (r["h"], 1 - y) not in rows]
         build += own[::2]
         fit += own[1::2]
-    good, bad = (_dictionary([bytes(r["t"]) for r in build if r["y"] == y]) for y in (1, 0))
-    made = Compressors(good, bad)
-    x = np.array([made.features(bytes(r["t"])) for r in fit]).reshape(-1, 4)
-    y, w = np.array([r["y"] for r in fit], float), np.array([r["w"] for r in fit], float)
+    fit += [r for r in rows.values() if (r["h"], 1 - r["y"]) in rows]
+    pick = lambda rs: sample.join(F.broadcast(spark.createDataFrame([(r["id"], r["h"]) for r in rs], sample.select("id", "h").schema)), ["id", "h"])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([material(t.as_py().encode()) for t in b.column(2)], pa.binary())], ["h", "y", "t"])
+
+    parts = pick(build).select("h", "y", "text").mapInArrow(pieces, "h string, y int, t binary").collect()
+    order = {(r["h"], r["y"]): k for k, r in enumerate(build)}
+    parts.sort(key=lambda r: order[r["h"], r["y"]])
+    good, bad = (_dictionary([bytes(r["t"]) for r in parts if r["y"] == y]) for y in (1, 0))
+    shared = spark.sparkContext.broadcast((good, bad))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Compressors(*shared.value)
+        for b in batches:
+            x = [made.features(t.as_py().encode()) for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["h", "y", "w", "x"])
+
+    found = pick(fit).select("h", "y", "w", "text").mapInArrow(measure, "h string, y int, w double, x array<double>").collect()
+    found.sort(key=lambda r: (r["h"], r["y"]))  # the same model whatever the order of the rows
+    x = np.array([r["x"] for r in found], float).reshape(-1, 4)
+    y, w = np.array([r["y"] for r in found], float), np.array([r["w"] for r in found], float)
     mean, scale = (x.mean(0), np.maximum(x.std(0), 1e-9)) if len(x) else (np.zeros(4), np.ones(4))
     return QualityModel(good, bad, mean, scale, fit_logistic((x - mean) / scale, y, weight=w))
 

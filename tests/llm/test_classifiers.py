@@ -96,3 +96,16 @@ def test_capped_classes_keep_their_mix(spark):
     assert abs(1 / (1 + np.exp(-fit_logistic(x, y, weight=w)[-1])) - 0.1) < 0.01
     assert np.allclose(isotonic(x[:, 0], y, w)[1], 0.1, atol=0.01)
     assert abs(1 / (1 + np.exp(-toxicity.fit_trees(x, y, weight=w).margin(x)[0])) - 0.1) < 0.01
+
+
+def test_quality_learns_from_whole_texts(spark):
+    """Long texts with a clean first part: their labels differ by what comes later."""
+    rng = np.random.default_rng(9)
+    words = [f"{a}{b}{c}" for a in ("ba", "lo", "ti", "ru") for b in ("ran", "mel", "sop", "vik") for c in ("", "ed", "ing", "er")]
+    start = " ".join(rng.choice(words, 3500))
+    assert len(start) > quality.MAX_ROW_BYTES
+    docs = [(i, start + " " + ("zq## " * 4000 if i % 2 else " ".join(rng.choice(words, 3500))) + str(i)) for i in range(80)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in docs], "doc_id long, quality int")
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = quality.score_quality(docs, quality.fit_quality(docs, labels, lambda i: i < 60)).collect()
+    assert all((r.score >= 0.5) == (r.id % 2 == 0) for r in got)
