@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,21 +155,22 @@ class ToxicityModel:
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """Words and stems far more frequent in toxic texts of the sample (text, y); copies of a text count once, by their length."""
+    """Words and stems far more frequent in toxic texts of the sample (text, y); copies of a text count once, by its 64-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple[str, int, int]] = []
             for t, y in zip(b.column(0), b.column(1), strict=True):
                 text = t.as_py()
+                mark = xxhash.xxh3_64_intdigest(text.encode()) - 2**63
                 seen = {w for w in words_of(text) if 2 < len(w) <= 40}
-                out += [(w, y.as_py(), len(text)) for w in seen | {w[:k] + "*" for w in seen for k in STEMS if len(w) >= k}]
+                out += [(w, y.as_py(), mark) for w in seen | {w[:k] + "*" for w in seen for k in STEMS if len(w) >= k}]
             w, y, n = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(y, pa.int32()), pa.array(n, pa.int32())], ["w", "y", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(y, pa.int32()), pa.array(n, pa.int64())], ["w", "y", "n"])
 
-    n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count_distinct(F.length("text")).alias("n")).collect()}
+    n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
-    counts = sample.mapInArrow(run, "w string, y int, n int").distinct().groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+    counts = sample.mapInArrow(run, "w string, y int, n long").distinct().groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
     strong = counts.where((F.col("t") >= max(5, 0.015 * toxic)) & (odds >= 3)).withColumn("o", odds)
     top = strong.orderBy((F.col("o") * F.log1p("t")).desc(), "w").limit(MAX_WORDS).select("w").collect()

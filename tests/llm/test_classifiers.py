@@ -109,3 +109,10 @@ def test_quality_learns_from_whole_texts(spark):
     docs = spark.createDataFrame(docs, "doc_id long, text string")
     got = quality.score_quality(docs, quality.fit_quality(docs, labels, lambda i: i < 60)).collect()
     assert all((r.score >= 0.5) == (r.id % 2 == 0) for r in got)
+
+
+def test_lexicon_counts_texts_of_equal_length(spark):
+    """Toxic word in half of the toxic and 1 % of the clean texts, all texts of one length."""
+    rows = [(f"{i:06d} abc " + ("zorgon" if (i % 2 if y else i % 100 == 0) else "abcdef"), y) for y in (0, 1) for i in range(y, 600, 1)]
+    assert len({len(t) for t, _ in rows}) == 1
+    assert "zorgon" in toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int")).words | {"zorgon" for s in toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int")).stems if "zorgon".startswith(s)}
