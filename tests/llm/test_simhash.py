@@ -161,3 +161,11 @@ def test_near_copies_of_one_fingerprint(spark):
     pairs = S.near_links(docs, "doc_id", "text", S.min_hashes(docs, "doc_id", "text").cache())
     assert pairs.count() < 20 * n
     assert [r.doc_id for r in S.representatives(docs).collect()] == [0]
+
+
+def test_repeated_ids_keep_other_texts(spark):
+    """A near copy and an unrelated text under one id: only the near copy goes."""
+    base = [f"w{x}" for x in range(200)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "new"])), (2, " ".join(f"v{x}" for x in range(200)))]
+    got = [(r.doc_id, r.text) for r in S.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted([rows[0], rows[2]])
