@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,36 +88,39 @@ def pack_pieces(pieces: DataFrame, order: list[str], length_col: str = "length",
     """pieces with sequence_id and offset: each sequence's pieces are gapless from 0 and hold at most capacity tokens.
 
     Lengths are 1 to capacity; rows of length 0 or null are not placed and get nulls. order: columns that, after the length, fix which piece
-    gets which slot; rows equal in all of them are interchangeable. An empty frame gives an empty frame.
+    gets which slot; rows equal in all of them are interchangeable. Extra columns pass through, but for those named like the two. An empty frame gives an empty frame.
     """
     spark = pieces.sparkSession
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields]
+    fields = [f for f in pieces.schema.fields if f.name not in ("sequence_id", "offset")]
+    names = {f.name: f"_c{k}" for k, f in enumerate(fields)}
     length = F.coalesce(F.col(length_col).cast("long"), F.lit(0))
-    dealt = pieces.withColumn("_len", length).repartitionByRange("_len", *order).sortWithinPartitions("_len", *order)
-    dealt = cut(dealt)  # ranges stay as they are from here on
-    # One row for each length and partition it reaches into: partitions are ranges, so capacity + partitions rows at most.
-    sizes = dealt.where("_len > 0").groupBy(F.spark_partition_id().alias("p"), "_len").count().collect()
+    own = [names[c] for c in order]
+    dealt = pieces.select(*[F.col(f"`{n}`").alias(a) for n, a in names.items()], length.alias("_len")).repartitionByRange("_len", *own).sortWithinPartitions("_len", *own)
+    dealt = cut(dealt.withColumn("_range", F.spark_partition_id()))  # a row keeps the number of its range however it is read from here on
+    # One row for each length and range it reaches into: capacity + ranges rows at most.
+    sizes = dealt.where("_len > 0").groupBy("_range", "_len").count().collect()
     counts, first = np.zeros(capacity + 1, np.int64), {}
-    for r in sorted(sizes, key=lambda r: r["p"]):
+    for r in sorted(sizes, key=lambda r: r["_range"]):
         if r["_len"] > capacity:
             raise ValueError(f"a piece has {r['_len']} tokens, a sequence holds {capacity}")
-        first[r["p"], r["_len"]] = int(counts[r["_len"]])
+        first[r["_range"], r["_len"]] = int(counts[r["_len"]])
         counts[r["_len"]] += r["count"]
     table = slots(bin_plan(counts, capacity))
     shared = spark.sparkContext.broadcast((table, first))  # at most a few slots for each of capacity plans
 
     def place(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, first = shared.value
-        me, seen = TaskContext.get().partitionId(), {}
+        seen = {}
         keys = table[:, 0] << 44 | table[:, 1]
-        for b in rows:
-            lens = b.column(b.num_columns - 1).to_numpy()
+        for b in rows:  # the rows of a range come one after another, in its order, whether a task reads one range or several
+            lens, ranges = b.column(b.num_columns - 2).to_numpy(), b.column(b.num_columns - 1).to_numpy()
             rank = np.zeros(len(lens), np.int64)
-            for value in np.unique(lens[lens > 0]):
-                mine = np.flatnonzero(lens == value)
-                at = seen.get(value, first.get((me, int(value)), 0))
-                rank[mine] = at + np.arange(len(mine))
-                seen[value] = at + len(mine)
+            start = np.flatnonzero(np.append(True, (np.diff(lens) != 0) | (np.diff(ranges) != 0))) if len(lens) else []
+            for s, e in zip(start, np.append(start[1:], len(lens)), strict=True):
+                run = (int(ranges[s]), int(lens[s]))
+                at = seen.get(run, first.get(run, 0))
+                rank[s:e] = at + np.arange(e - s)
+                seen = {run: at + int(e - s)}  # a run that goes on in the next batch is the last one of this
             if len(table):
                 slot = table[np.clip(np.searchsorted(keys, lens << 44 | rank, "right") - 1, 0, None)]
                 inside = rank - slot[:, 1]
@@ -126,9 +128,9 @@ def pack_pieces(pieces: DataFrame, order: list[str], length_col: str = "length",
             else:
                 seq = offset = np.zeros(len(lens), np.int64)
             none = lens <= 0
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(seq, mask=none), pa.array(offset, mask=none)], [*b.schema.names[:-1], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(seq, mask=none), pa.array(offset, mask=none)], [*[f.name for f in fields], "sequence_id", "offset"])
 
-    return dealt.mapInArrow(place, ", ".join([*fields, "sequence_id long", "`offset` long"]))
+    return dealt.mapInArrow(place, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "sequence_id long", "`offset` long"]))
 
 
 def document_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:

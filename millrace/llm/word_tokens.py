@@ -40,9 +40,11 @@ def byte_characters() -> dict[int, str]:
 
 
 class ChunkEncoder:
-    """encode(texts as UTF-8) gives each text's ids as little-endian unsigned 32-bit numbers. Special tokens' strings are ordinary text.
+    """encode(texts as UTF-8) gives each text's ids as little-endian unsigned 32-bit numbers, those that the library gives with its default settings.
 
-    Chunks of a Latin word and signs go straight to the vocabulary's merges; all others through the whole tokenizer.
+    The library cuts a text at the strings of the tokenizer's added tokens, as they stand, before anything else is done to it, and so does encode();
+    an added token is a chunk with a space in front, which no chunk of text has. Chunks of a Latin word and signs go straight to the
+    vocabulary's merges; all others through the whole tokenizer.
     """
 
     def __init__(self, tokenizer_json: bytes):
@@ -50,7 +52,13 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.single_word or t.normalized for t in added.values()):
+            raise ValueError("added tokens of whole words, or of normalised text, are not supported")
+        self.added = {b" " + t.content.encode(): np.array([i], "<u4").tobytes() for i, t in added.items()}
+        self.marks = sorted((k[1:] for k in self.added), key=len, reverse=True)
+        self.at_marks = re.compile(b"(" + b"|".join(map(re.escape, self.marks)) + b")")
+        self.tokenizer.encode_special_tokens = True  # for chunks that spell an added token only once they are lower case
         self.merge = self.tokenizer.model.tokenize
         self.shown = byte_characters()
         self.table: dict[bytes, bytes] = {}
@@ -70,6 +78,8 @@ class ChunkEncoder:
         return found
 
     def _ids(self, chunk: bytes) -> bytes:
+        if chunk in self.added:
+            return self.added[chunk]
         if chunk.isalpha() and chunk.islower():
             return array("I", [t.id for t in self.merge(chunk.decode())]).tobytes()
         text = chunk.decode("utf-8", "replace")
@@ -86,10 +96,18 @@ class ChunkEncoder:
             word = chunk.decode("latin-1").translate(self.shown)
         return array("I", [t.id for t in self.merge(word)]).tobytes()
 
+    def _chunks(self, text: bytes) -> list[bytes]:
+        if not any(m in text for m in self.marks):
+            return (text.lower() if text.isascii() else text).split()  # ASCII text has no marks that case could part
+        out = []
+        for k, part in enumerate(self.at_marks.split(text)):
+            out += [b" " + part] if k % 2 else (part.lower() if part.isascii() else part).split()
+        return out
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.table) > TABLE:
             self.table, self.older = {}, self.table
-        chunks = [(t.lower() if t.isascii() else t).split() for t in texts]  # ASCII text has no marks that case could part
+        chunks = [self._chunks(t) for t in texts]
         extra = {}
         for c in set(chain.from_iterable(chunks)).difference(self.table):
             if len(c) <= LONGEST:

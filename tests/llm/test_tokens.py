@@ -14,23 +14,25 @@ from millrace.llm.word_tokens import ChunkEncoder, tokenizer_bytes
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 ENCODER = ChunkEncoder(tokenizer_bytes())
 
 
-@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \t\n\r\x0b\x0c\x1c\x85\xa0 ́'tsΣİéa1<|>"))))
+WORDS = st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \t\n\r\x0b\x0c\x1c\x85\xa0 ́'tsΣİéa1<|>")))
+SPECIAL = st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "x<|endoftext|>́", " "])
+
+
+@given(st.one_of(WORDS, st.lists(st.one_of(WORDS, SPECIAL), max_size=8).map("".join)))
 @settings(max_examples=400, deadline=None)
 def test_chunks_equal_whole_text(text):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json")) if not hasattr(test_chunks_equal_whole_text, "t") else test_chunks_equal_whole_text.t
     test_chunks_equal_whole_text.t = t
-    t.encode_special_tokens = True
     assert np.frombuffer(ENCODER.encode([text.encode()])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
-ROWS = [(5, "The quick fox<|endoftext|>"), (2, None), (9, ""), (7, "word " * 9000), (7, "word " * 9000), (None, "null id"), (1, "x" * 700)]
+ROWS = [(5, "The quick fox<|endoftext|>"), (2, None), (9, ""), (7, "word " * 9000), (7, "word " * 9000), (None, "null id"), (1, "x" * 700), (11, "a <|endoftext|> B<|startoftext|>c <|ENDOFTEXT|>")]
 
 
 def frame(spark, rows=ROWS):
@@ -65,6 +67,18 @@ def test_packing_small_cases(spark, plain):
     assert packing.pack_documents(frame(spark, [])).count() == 0
 
 
+def test_packing_is_the_same_however_it_is_read(spark, plain):
+    rows = [(i, "w " * (i % 7)) for i in range(300)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = packing.pack_documents(frame(spark, rows))
+        one = placed.coalesce(1).collect()
+        check_packing(one, rows, plain)
+        assert sorted(map(tuple, one)) == sorted(map(tuple, placed.collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_packing_of_documents_is_nearly_full(spark, sf, plain):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     seqs, total = check_packing(packing.op3_packing(spark, sf).collect(), docs, plain)
