@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.checkpoint import checkpoint_dir, cut, scratch_path
 
-__all__ = ["checkpoint_dir", "crc32_u32", "crc_fold", "cut", "fit_logistic", "isotonic", "labelled_ids", "scratch_path", "table"]
+__all__ = ["checkpoint_dir", "crc32_u32", "crc_fold", "cut", "fit_logistic", "isotonic", "labelled_ids", "scratch_path", "spread_join", "table"]
 
 #: The ASCII white space of the text contracts: [\x20\x09-\x0D].
 WHITE = r"[\x20\x09-\x0D]+"
@@ -30,6 +30,25 @@ def crc_fold(id_col: Column, folds: int) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(folds))
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with keyed, which has one row a key, so that no task gets all rows of a frequent key. how: inner, left or left_semi. Keys are not null.
+
+    keyed's column of the name size says how many of the rows have the key, total how many rows there are; size is not in the result. Keys of more than
+    a quarter of an even share of a shuffle partition are frequent: fewer than four times as many as there are partitions, however large the data, so
+    theirs are broadcast, and a salt spreads their rows over the partitions in which all others meet.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    added = [c for c in keyed.columns if c not in (*keys, size)] if how != "left_semi" else []
+    frequent = F.col(size) > total / (4 * parts)
+    few = keyed.where(frequent).select(*keys, *[F.col(c).alias(f"_few_{c}") for c in added], F.lit(True).alias("_few"))
+    many = keyed.where(~frequent).select(*keys, *added, F.lit(0).alias("_salt"), F.lit(True).alias("_many"))
+    salt = F.when(F.col("_few"), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(parts))).otherwise(0).cast("int")
+    met = rows.join(F.broadcast(few), keys, "left").withColumn("_salt", salt).join(many, [*keys, "_salt"], "left")
+    if how != "left":
+        met = met.where("_few or _many")
+    return met.select(*rows.columns, *[F.coalesce(f"_few_{c}", c).alias(c) for c in added])
+
+
 def labelled_ids(labels: DataFrame, label: str, learn: Callable[[Column], Column], max_rows: int) -> DataFrame:
     """(id, y, w): at most max_rows learnable ids per class, chosen by a hash of the id, so the same rows at every run.
 

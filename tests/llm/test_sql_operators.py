@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, queries, topk_search, url_filter
+from millrace.llm.common import spread_join
 
 
 def rows_of(rows, columns):
@@ -38,6 +39,26 @@ def test_exact_dedup_cases(spark):
     assert keep[9, "solo"] == (None, 2, False) and keep[None, "solo "] == (None, 2, True)
     assert keep[10, "dup"] == (10, 2, True) and keep[11, "same id 1"] == (11, 1, True)
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
+    stay = exact_dedup.first_of_each(docs).collect()
+    assert sorted(map(repr, stay)) == sorted(repr(r) for r in docs.collect() if keep[r.doc_id, r.text][2])
+    assert exact_dedup.first_of_each(docs.limit(0)).count() == 0
+
+
+def test_exact_dedup_clashing_names(spark):
+    names = ["_id", "_n", "_h", "_keep", "_hash", "_gone", "_own", "_text", "_salt", "_few", "_many", "full_hash", "size", "len", "points", "name", "kept", "_c0"]
+    docs = spark.createDataFrame([(1, "a b", *range(len(names))), (2, "ab", *range(len(names))), (3, "c", *range(len(names)))], ["doc_id", "text", *names])
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs).collect()}
+    assert (got[1].keep_id, got[1].kept, got[2].keep_id, got[2].kept, got[3].group_size) == (1, True, 1, False, 1) and got[2]["_keep"] == 3
+    assert sorted(r.doc_id for r in exact_dedup.first_of_each(docs).collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_spread_join(spark, how):
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500).alias("k"))
+    keyed = rows.where("k < 300").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    got = spread_join(rows, keyed, ["k"], "n", 2000, how)
+    want = rows.join(keyed.drop("n"), "k", how).select(*got.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
 def test_url_cases(spark):
