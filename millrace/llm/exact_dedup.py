@@ -72,6 +72,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rest.select(*out, keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("_id")).alias("kept"), F.col("full_hash").alias("text_sha256"))
 
 
+def without(docs: DataFrame, ident: Column, mark: Column, gone: DataFrame, may: Callable[[Column], Column]) -> DataFrame:
+    """The rows of docs whose (ident, mark) isn't in gone (_gone, _hash). Rows whose ident fails the test may() stay where they are read; only the others are shuffled."""
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(docs.columns)], ident.alias("_id"), mark.alias("_own"))
+    out = [F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)]
+    asked = rows.where(may(F.col("_id")))
+    stay = asked.join(gone, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_own") == F.col("_hash")), "left_anti")
+    return rows.where(~may(F.col("_id"))).select(*out).union(stay.select(*out))
+
+
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup() calls kept. Only texts of rows that may have a duplicate are shuffled; all others stay where they are read.
 
@@ -81,11 +90,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full = cut(full)
     found = spread_join(full, cut(duplicate_groups(full)), ["full_hash"], "size", full.count())
     gone = cut(found.where(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("_gone"), F.col("full_hash").alias("_hash")).distinct())
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(docs.columns)], F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    out = [F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)]
-    asked = rows.where(may(F.col("_id"))).withColumn("_own", F.sha2(normalised(F.col("_text")), 256)).drop("_text")
-    stay = asked.join(gone, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_own") == F.col("_hash")), "left_anti")
-    return rows.where(~may(F.col("_id"))).select(*out).union(stay.select(*out))
+    return without(docs, F.col(id_col), F.sha2(normalised(F.col(text_col)), 256), gone, may)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

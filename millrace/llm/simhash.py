@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, spread_join, table
 
 BITS = 64
 SEED = 42
@@ -70,10 +70,15 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3)
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """(64, words) uint64: bit j of word w of plane p is bit p of fingerprint 64 * w + j."""
-    n = -(-len(fps) // 64) * 64
-    bits = np.unpackbits(np.pad(fps, (0, n - len(fps))).astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8").astype(np.uint64)
+    """(bits, words) uint64: bit j of word w of plane p is bit p of fingerprint 64 * w + j. A fingerprint is a number of 64 bits or a row of them."""
+    bits = _bits(fps)
+    return np.ascontiguousarray(np.packbits(np.pad(bits, ((0, -len(bits) % 64), (0, 0))).T, axis=1, bitorder="little")).view("<u8").astype(np.uint64)
+
+
+def _bits(fps: np.ndarray) -> np.ndarray:
+    """(fingerprints, bits) of 0 and 1."""
+    rows = np.ascontiguousarray(fps.reshape(len(fps), -1) if len(fps) else fps.reshape(0, 1)).astype("<u8")
+    return np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little")
 
 
 def within_radius(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,12 +93,12 @@ def _against(fps: np.ndarray, planes: np.ndarray, first: int, last: int, radius:
     n, words = len(fps), planes.shape[1]
     levels = radius.bit_length()  # counters hold 0 to 2**levels - 1; the carry out of the last one saturates
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    own = np.where((fps[first:last, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1), full, np.uint64(0))
+    own = np.where(_bits(fps[first:last]), full, np.uint64(0))
     # Lanes of (query, word) pairs that are still open; words before the query's own are left out.
     q, w = np.nonzero(np.arange(words)[None, :] >= (np.arange(first, last) // 64)[:, None])
     counters = [np.zeros(len(q), np.uint64) for _ in range(levels)]
     over = np.zeros(len(q), np.uint64)
-    for p in range(64):
+    for p in range(len(planes)):
         carry = planes[p][w] ^ own[q, p]
         for level in range(levels):
             counters[level], carry = counters[level] ^ carry, counters[level] & carry
@@ -243,16 +248,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has an edge.
 
     Alternating star rounds: large-star hangs each larger neighbour on the smallest neighbour, small-star the node and its smaller
-    neighbours. Each is a partial minimum and an equi-join, so no node's neighbours are gathered. Ends when nothing moves.
+    neighbours. Each is a partial minimum and an equi-join that spreads the edges of a node with many, so no node's neighbours are gathered. Ends when nothing moves.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
+        n = e.count()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("_n"))
+        large = spread_join(both.where("v > u"), low, ["u"], "_n", n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut(large)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+        small = spread_join(large, low, ["u"], "_n", n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = cut(small)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("v")).first()
         if now == before:
@@ -264,211 +271,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component): one row per row of docs; component is the smallest id of the linked documents, its own included.
 
     Ids are whole numbers. Null texts count as empty; texts without words have fingerprint zero, which links like any other. Rows with a
-    null id get their fingerprint and a null component and link nothing. Repeated rows come back as often as they are there. An empty frame gives an empty frame.
+    null id get their fingerprint and a null component and link nothing. Where ids repeat, each row goes by its own text, and a component's id is the
+    smallest of its rows. Repeated rows come back as often as they are there. An empty frame gives an empty frame.
     """
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
-    nodes = cut(fps.where("id is not null").groupBy("fp").agg(F.min("id").cast("long").alias("node")))
-    # A node is named by an id that may stand under several fingerprints where ids repeat; then its fingerprints are one component.
-    found = components(links(nodes, radius, bucket))
-    labels = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    out = fps.join(labels, "fp", "left")
+    nodes = cut(fps.where("id is not null").groupBy("fp").agg(F.min("id").cast("long").alias("least"), F.count("*").alias("copies")))  # a node is a fingerprint
+    found = components(links(nodes.select("fp", F.col("fp").alias("node")), radius, bucket)).withColumnRenamed("node", "fp")
+    named = cut(nodes.join(found, "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component"))
+    lows = named.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("_n"))
+    labels = cut(spread_join(named, lows, ["root"], "_n", named.count()).select("fp", "component", "copies"))
+    out = spread_join(fps, labels, ["fp"], "copies", fps.count(), "left")
     return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
-# ------------------------------------------------------------------------------------------ near copies of texts
-
-#: Near copies have a Jaccard similarity of SAME or more of their sets of five-word shingles; the sets decide. Candidates share all minima of a band:
-#: with 40 bands of 4 minima a pair at 0.8 shares none with a chance of (1 - 0.8 ** 4) ** 40 = 7e-10, less above 0.8.
-SAME, SHINGLE = 0.8, 5
-BANDS, MINIMA = 40, 4
-#: A sketch has a bit of each minimum. A pair at 0.8 differs in 16 of the 160, give or take 3.8; pairs beyond SKETCH_RADIUS are not looked at: a chance of 2e-9 at 0.8.
-SKETCH_RADIUS = 42
-SKETCH = ["s0", "s1", "s2"]
-#: Nodes of a bucket that are compared with its further nodes in the first round; eight times as many in each further one.
-CENTRES, FASTER = 1, 8
-#: A node with more pairs than HOT has its pairs dealt to SALTS tasks.
-HOT, SALTS = 1000, 32
-_MIX = np.random.default_rng(SEED).integers(0, 2**64, (3, BANDS * MINIMA), np.uint64) | np.array([[1], [0], [1]], np.uint64)
-
-
-def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles (fewer words: the whole sequence; none: the empty set)."""
-    words = text.lower().split()
-    grams = set(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))) if len(words) > size else {b" ".join(words)} if words else set()
-    digest = xxhash.xxh64_digest
-    return np.unique(np.frombuffer(b"".join([digest(g, SEED) for g in grams]), np.uint64))
-
-
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The smallest hash by each of BANDS * MINIMA orders."""
-    out = np.full(BANDS * MINIMA, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for at in range(0, len(hashes), 256):
-        np.minimum(out, ((hashes[at : at + 256, None] ^ _MIX[1]) * _MIX[0]).min(axis=0), out=out)
-    return out
-
-
-def min_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, node, size, s0 .., bands) of rows with an id; node is a hash of the shingle set, size its size. Null texts count as empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set((t.as_py() or "").encode()) for t in b.column(2)]
-            low = np.array([minima(h) for h in sets], np.uint64).reshape(-1, BANDS * MINIMA)
-            node = np.array([xxhash.xxh3_64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
-            bits = ((low ^ low >> np.uint64(29)) * _MIX[2] >> np.uint64(63)).astype(np.uint8)
-            sketch = np.packbits(np.pad(bits, ((0, 0), (0, 64 * len(SKETCH) - bits.shape[1]))), axis=1).view(np.int64).reshape(-1, len(SKETCH))
-            keys = [xxhash.xxh3_64_intdigest(low[i, k : k + MINIMA].tobytes(), k) for i in range(len(low)) for k in range(0, BANDS * MINIMA, MINIMA)]
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(low) + 1) * BANDS, pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)))
-            size = pa.array([len(h) for h in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), size, *[pa.array(np.ascontiguousarray(w)) for w in sketch.T], bands], ["id", "text_hash", "node", "size", *SKETCH, "bands"])
-
-    text = _text(text_col)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(run, ", ".join(["id long", "text_hash long", "node long", "size long", *[f"{w} long" for w in SKETCH], "bands array<long>"]))
-
-
-def _text(text_col: str) -> Column:
-    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of whole buckets, from rows sorted by their first column."""
-    rest = None
-    for b in itertools.chain(batches, [None]):
-        if b is not None:
-            cols = [c.to_numpy() for c in b.columns]
-            rest = cols if rest is None else [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
-        if rest is None or not len(rest[0]):
-            continue
-        to = len(rest[0]) if b is None else int(np.searchsorted(rest[0], rest[0][-1], "left"))  # the last bucket may go on in the next batch
-        if to:
-            yield [c[:to] for c in rest]
-            rest = [c[to:] for c in rest]
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, ..) of buckets with more than one node."""
-    for cols in _buckets(batches):
-        same = cols[0][1:] == cols[0][:-1]
-        many = np.append(same, False) | np.append(False, same)
-        if many.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in cols], ["key", "node", "size", *SKETCH])
-
-
-def _pairs(first: int, last: int):
-    """Over rows (key, node, size, s0 .., label) sorted by bucket and node: pairs (a, b) of a bucket's nodes number first to last - 1 with its further nodes, of different labels, that sizes and sketches allow."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, size, *sketch, label in _buckets(batches):
-            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            start = np.repeat(start, np.diff(np.append(start, len(key))))
-            place = np.arange(len(key)) - start
-            for k in range(first, min(last, int(place.max()))):
-                j = np.flatnonzero(place > k)
-                i = start[j] + k
-                open_ = (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= SAME * np.maximum(size[i], size[j]))
-                i, j = i[open_], j[open_]
-                apart = np.zeros(len(i), np.int64)
-                for word in sketch:
-                    apart += np.bitwise_count((word[i] ^ word[j]).view(np.uint64))
-                i, j = i[apart <= SKETCH_RADIUS], j[apart <= SKETCH_RADIUS]
-                if len(i):
-                    yield pa.RecordBatch.from_pydict({"a": node[i], "b": node[j]})
-
-    return run
-
-
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, same): whether the Jaccard similarity of each pair's sets is SAME or more. The second set is joined first, so the rows of a node with many pairs are sent once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                out.append(both >= SAME * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["a", "b", "same"])
-
-    hot = cut(pairs.groupBy("a").count().where(F.col("count") > HOT).select("a", F.lit(True).alias("hot")))  # at most a HOT-th of the pairs
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    left = sets.select(F.col("node").alias("a"), F.col("data").alias("x")).join(F.broadcast(hot), "a", "left").select("a", "x", F.explode(salts).alias("salt"))
-    right = sets.select(F.col("node").alias("b"), F.col("data").alias("y"))
-    dealt = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", F.when(F.col("hot"), F.pmod(F.xxhash64("b"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
-    return dealt.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long, same boolean")
-
-
-def _sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
-    """(node, data) of nodes (id, text_hash, node), each one row: the shingle sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set((t.as_py() or "").encode()).tobytes() for t in b.column(1)], pa.binary())], ["node", "data"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(_text(text_col)).alias("text_hash"), _text(text_col).alias("text"))
-    found = rows.join(nodes, ["id", "text_hash"]).select("node", "text").mapInArrow(run, "node long, data binary")
-    return found.dropDuplicates(["node"])  # rows can share id and text
-
-
-def near_links(docs: DataFrame, id_col: str, text_col: str, marks: DataFrame) -> DataFrame | None:
-    """Edges (a, b) that connect the nodes of marks (see min_hashes) as all pairs of near copies would; None where no bucket has two nodes.
-
-    In each round the next nodes of every bucket are compared with its further ones. Nodes that are connected already need no comparison, so a large group of copies
-    is settled by a pair or two of each member; rounds go on until every pair of a bucket was compared or is connected.
-    """
-    nodes = marks.groupBy("node").agg(F.first("size").alias("size"), *[F.first(w).alias(w) for w in SKETCH], F.first("bands").alias("bands"))
-    dealt = nodes.select(F.explode("bands").alias("key"), "node", "size", *SKETCH).repartition("key").sortWithinPartitions("key", "node")
-    kind = ", ".join(f"{c} long" for c in ["key", "node", "size", *SKETCH])
-    rows = cut(dealt.mapInArrow(_shared, kind))
-    if not rows.take(1):
-        return None
-    named = rows.withColumn("label", F.col("node"))
-    owners = marks.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("o")).select("node", "o.id", "o.text_hash")
-    sets = seen = found = None
-    first, last = 0, CENTRES
-    while True:
-        ready = named.repartition("key").sortWithinPartitions("key", "node")
-        pairs = cut(ready.mapInArrow(_pairs(first, last), "a long, b long").distinct())
-        fresh = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
-        ends = fresh.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if sets is not None:
-            ends = ends.join(sets, "node", "left_anti")
-        more = cut(_sets(docs, id_col, text_col, owners.join(ends, "node")))
-        sets = more if sets is None else sets.unionByName(more)
-        judged = cut(similar(fresh, sets))
-        seen = judged.select("a", "b") if seen is None else seen.unionByName(judged.select("a", "b"))
-        good = judged.where("same").select("a", "b")
-        found = good if found is None else found.unionByName(good)
-        labels = components(found)
-        named = named.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        left = named.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-        left = left.where((F.col("n") > last + 1) & (F.col("low") != F.col("high"))).select("key")
-        named = cut(named.join(left, "key", "left_semi"))
-        if not named.take(1):
-            return found
-        first, last = last, last * FASTER + last
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, component, keep): for every document with an id its group of near copies, and whether it is the one that stays: the one with the smallest id.
-
-    Ids are whole numbers; rows with a null id take no part. Rows are told apart by id and text: where texts of a group share the smallest id, one text stays. Texts without words are copies of each other.
-    """
-    marks = cut(min_hashes(docs, id_col, text_col))
-    found = near_links(docs, id_col, text_col, marks)
-    out = marks.select("id", "text_hash", "node")
-    if found is None:
-        out = out.withColumn("group", F.col("node"))
-    else:
-        out = out.join(components(found), "node", "left").select("id", "text_hash", F.coalesce("component", "node").alias("group"))
-    best = out.groupBy("group").agg(F.min(F.struct("id", "text_hash")).alias("o"))
-    return out.join(best, "group").select("id", "text_hash", F.col("o.id").alias("component"), ((F.col("id") == F.col("o.id")) & (F.col("text_hash") == F.col("o.text_hash"))).alias("keep"))
-
-
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay when one document of each group of near copies does: the one with the smallest id. Rows with a null id stay."""
-    gone = near_copies(docs, id_col, text_col).where(~F.col("keep")).select(F.col("id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(gone, (F.col(id_col).cast("long") == F.col("_gone")) & (F.xxhash64(_text(text_col)) == F.col("_hash")), "left_anti").select(*docs.columns)
+# ------------------------------------------------------------------------------------------------- the query
 
 
 def hex16(fp: Column) -> Column:

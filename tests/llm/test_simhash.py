@@ -2,6 +2,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+from millrace.llm import near_copies as N
 from millrace.llm import simhash as S
 
 
@@ -83,6 +84,14 @@ def test_edge_cases(spark):
     assert S.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_id_under_two_texts(spark, monkeypatch):
+    """Nodes are fingerprints: an id that stands under two of them links neither to the other's neighbours."""
+    values = [(0, 7), (1, 8), (0xFF00, 7), (0xFF03, 9), (0xF0F0F0, 20), (0xF0F0F1, 21)]
+    monkeypatch.setattr(S, "fingerprints", lambda docs, *_: docs.select("id", "fp"))
+    got = S.near_duplicates(spark.createDataFrame([(i, f) for f, i in values], "id long, fp long")).collect()
+    assert {(r.id, r.fp, r.component) for r in got} == {(7, 0, 7), (8, 1, 7), (7, 0xFF00, 7), (9, 0xFF03, 7), (20, 0xF0F0F0, 20), (21, 0xF0F0F1, 20)}
+
+
 def test_near_copies_by_similarity(spark):
     rng = np.random.default_rng(3)
     words = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
@@ -99,10 +108,10 @@ def test_near_copies_by_similarity(spark):
     linked = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
     want = slow_components(list(sets), linked)
     docs = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string")
-    kept = {r.doc_id for r in S.representatives(docs).collect()}
+    kept = {r.doc_id for r in N.representatives(docs).collect()}
     assert kept == {i for i, c in want.items() if i == c} | {None}
     assert {i for i in range(40, 60)} <= kept
-    assert S.representatives(docs.limit(0)).count() == 0
+    assert N.representatives(docs.limit(0)).count() == 0
 
 
 def test_hex(spark):
@@ -125,7 +134,7 @@ def test_near_copies_by_block_edits(spark):
         rows += [(i, " ".join(base)), (i + 1, " ".join(base[:at] + words(n) + base[at + n :]))]
     want = jaccard_groups(rows)
     assert 20 < sum(i != c for i, c in want.items()) < 50
-    got = {r.doc_id for r in S.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id for r in N.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i for i, c in want.items() if i == c}
 
 
@@ -140,8 +149,9 @@ def test_near_copies_share_a_bucket_but_are_none(spark, interpreted):
             w[int(at)] = f"new{i}-{at}"
         rows.append((i, " ".join(w)))
     want = jaccard_groups(rows)
-    got = {r.doc_id for r in S.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i for i, c in want.items() if i == c}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (8, 2048):  # grids of blocks, and whole buckets
+        assert {r.doc_id for r in N.representatives(docs, block=block).collect()} == {i for i, c in want.items() if i == c}
 
 
 def test_dense_buckets_end(spark, monkeypatch):
@@ -158,14 +168,12 @@ def test_near_copies_of_one_fingerprint(spark):
     rows = [(i, " ".join([*base[:200], f"new{i}", *base[201:]])) for i in range(n)]
     assert len({S.fingerprint(t.encode()) for _, t in rows}) < n / 4
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    pairs = S.near_links(docs, "doc_id", "text", S.min_hashes(docs, "doc_id", "text").cache())
-    assert pairs.count() < 20 * n
-    assert [r.doc_id for r in S.representatives(docs).collect()] == [0]
+    assert [r.doc_id for r in N.representatives(docs).collect()] == [0]
 
 
 def test_repeated_ids_keep_other_texts(spark):
     """A near copy and an unrelated text under one id: only the near copy goes."""
     base = [f"w{x}" for x in range(200)]
     rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "new"])), (2, " ".join(f"v{x}" for x in range(200)))]
-    got = [(r.doc_id, r.text) for r in S.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    got = [(r.doc_id, r.text) for r in N.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got) == sorted([rows[0], rows[2]])
