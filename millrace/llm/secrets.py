@@ -4,8 +4,12 @@ Spark has no function for the places of all matches, so they are rebuilt: split(
 regexp_extract_all() the matches, and a running sum of their lengths gives each start and end in code points.
 
 Entropy: a candidate is a long run of key-like characters. A window slides over it; the counts of its characters and the sum of
-c * log2(c) are carried along and changed only for the character that enters and the one that leaves. Each character class has
+c * log2(c) are carried along and changed only for the character that enters and the one that leaves. The counts are the signs of a
+string, one place for each character of the candidate, so a change is an overlay of one sign. Each character class has
 a threshold of its own. Candidates that fit the allow list are suppressed. Base spans are never suppressed.
+
+Very long texts: a fold that appends to an array copies it each time, so folds over matches run in blocks of PART and join the blocks' results. A
+text of a million characters full of matches, or one run of a hundred thousand key-like characters, takes seconds.
 """
 
 from __future__ import annotations
@@ -34,8 +38,12 @@ ALLOW = [
     r"(?i)example|sample|placeholder|dummy|changeme|xxxx",
     r"(?i)0123456789|123456789|abcdefghij",
     r"^[0-9+/_-]+$",
-    r"^[A-Za-z]*([/_+-][A-Za-z]+)*[/_+-]?[0-9]{0,4}$",
+    r"^[A-Za-z]*+(?:[/_+-][A-Za-z]++)*+[/_+-]?[0-9]{0,4}$",
 ]
+#: Matches or spans that one inner fold goes over.
+PART = 512
+#: A count's sign in the string of counts.
+SIGNS = "".join(chr(48 + k) for k in range(WINDOW + 2))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -43,60 +51,80 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def in_parts(rows: Column, start: Callable[[Column], Column], step: Callable[[Column, Column, Column], Column], kind: str, end: Callable[[Column, Column], Column] | None = None) -> Column:
+    """Folds rows with the state (p int, o array<kind>), o being what was put out. start(part) gives what step(state, row, it) may use of a part.
+
+    The inner fold of a part starts with an empty o; the outer one joins them: the cost is n * (PART + n / PART) for n rows, not n * n.
+    """
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / PART).cast("int")), lambda k: F.slice(rows, k * PART + 1, F.lit(PART)))
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, part: Column) -> Column:
+        inner = let(start(acc["p"], part), lambda it: F.aggregate(part, F.struct(acc["p"].alias("p"), none.alias("o")), lambda a, row: step(a, row, it)))
+        return let(inner, lambda i: F.struct(i["p"].alias("p"), F.concat(acc["o"], i["o"]).alias("o")))
+
+    whole = F.aggregate(parts, F.struct(F.lit(0).alias("p"), none.alias("o")), one)
+    return F.when(F.size(rows) > 0, let(whole, lambda a: end(a["p"], a["o"])) if end else whole["o"])
+
+
 def match_spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
     """array<struct<s int, e int, m string>>: all matches, leftmost and non-overlapping, of which group has at least least code points."""
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     rows = F.arrays_zip(F.transform(F.slice(gaps, 1, F.size(found)), lambda g: F.length(g)).alias("g"), found.alias("m"), F.transform(counted, lambda c: F.length(c) >= least).alias("k"))
-    start = F.struct(F.lit(0).alias("p"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("o"))
+    kind = "struct<s:int,e:int,m:string>"
 
-    def step(acc: Column, row: Column) -> Column:
+    def step(acc: Column, row: Column, _: Column) -> Column:
         s = acc["p"] + row["g"]
         e = s + F.length(row["m"])
         one = F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), row["m"].alias("m"))
         return F.struct(e.cast("int").alias("p"), F.when(row["k"], F.array_append(acc["o"], one)).otherwise(acc["o"]).alias("o"))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["o"])
+    return F.coalesce(let(rows, lambda r: in_parts(r, lambda *_: F.lit(0), step, kind)), F.array().cast(f"array<{kind}>"))
 
 
 def entropy_span(candidate: Column, threshold: Column, window: int = WINDOW) -> Column:
-    """struct<s, e>: from the first to the end of the last window of the candidate whose entropy reaches the threshold; null without one."""
+    """struct<s, e>: from the first to the end of the last window of the candidate whose entropy reaches the threshold; null without one. Candidates are ASCII, of window characters or more."""
     f = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
 
+    def count(counts: Column, place: Column) -> Column:
+        return F.ascii(F.substring(counts, place, F.lit(1))) - 48
+
+    def with_count(counts: Column, place: Column, value: Column) -> Column:
+        return F.overlay(counts, F.substring(F.lit(SIGNS), value + 1, F.lit(1)), place, F.lit(1))
+
     def body(x: Column) -> Column:
-        chars, alphabet = x["c"], x["a"]
-        head = F.slice(chars, 1, window)
-        counts = F.transform(alphabet, lambda a: F.size(F.filter(head, lambda c: c == a)))
-        total = F.aggregate(counts, F.lit(0.0), lambda s, c: s + F.get(f, c))
-        first = F.struct(counts.alias("n"), total.alias("t"), F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("e"))
-        need = (math.log2(window) - threshold) * window + 1e-9  # entropy = log2(window) - t / window
+        places, need = x["x"], x["need"]
+        head = F.slice(places, 1, window)
+        counts = F.aggregate(head, F.repeat(F.lit("0"), x["n"]), lambda n, i: with_count(n, i, count(n, i) + 1))
+        total = lambda n: F.aggregate(F.sequence(F.lit(1), x["n"]), F.lit(0.0), lambda t, i: t + F.get(f, count(n, i)))
+        nothing = F.lit(None).cast("int")
 
-        def mark(acc: Column, at: Column) -> Column:
-            hit = acc["t"] <= need
-            return F.struct(acc["n"].alias("n"), acc["t"].alias("t"), F.when(hit & acc["s"].isNull(), at).otherwise(acc["s"]).alias("s"), F.when(hit, at + window).otherwise(acc["e"]).alias("e"))
+        def mark(n: Column, t: Column, s: Column, e: Column, at: Column) -> Column:
+            hit = t <= need
+            return F.struct(n.alias("n"), t.alias("t"), F.when(hit & s.isNull(), at).otherwise(s).alias("s"), F.when(hit, at + window).otherwise(e).alias("e"))
 
         def slide(acc: Column, i: Column) -> Column:
             """Window i: character i + window - 1 enters, character i - 1 leaves."""
 
             def moved(v: Column) -> Column:
-                came, went = F.get(acc["n"], v["i"]), F.get(acc["n"], v["o"])
-                t = acc["t"] + F.get(f, came + 1) - F.get(f, came) + F.get(f, went - 1) - F.get(f, went)
-                n = F.transform(acc["n"], lambda c, j: c + F.when(j == v["i"], 1).otherwise(0) - F.when(j == v["o"], 1).otherwise(0))
-                same = v["i"] == v["o"]
-                return F.struct(F.when(same, acc["n"]).otherwise(n).alias("n"), F.when(same, acc["t"]).otherwise(t).alias("t"), acc["s"].alias("s"), acc["e"].alias("e"))
+                fewer = let(count(acc["n"], v["o"]), lambda c: F.struct(with_count(acc["n"], v["o"], c - 1).alias("n"), (acc["t"] + F.get(f, c - 1) - F.get(f, c)).alias("t")))
+                more = lambda a: let(count(a["n"], v["i"]), lambda c: F.struct(with_count(a["n"], v["i"], c + 1).alias("n"), (a["t"] + F.get(f, c + 1) - F.get(f, c)).alias("t")))
+                return F.when(v["i"] == v["o"], F.struct(acc["n"].alias("n"), acc["t"].alias("t"))).otherwise(let(fewer, more))
 
-            ends = F.struct(F.get(x["x"], i + window - 1).alias("i"), F.get(x["x"], i - 1).alias("o"))
-            return let(let(ends, moved), lambda a: mark(a, i))
+            ends = F.struct(F.get(places, i + window - 1).alias("i"), F.get(places, i - 1).alias("o"))
+            return let(let(ends, moved), lambda a: mark(a["n"], a["t"], acc["s"], acc["e"], i))
 
-        steps = F.when(F.size(chars) > window, F.sequence(F.lit(1), F.size(chars) - window)).otherwise(F.array().cast("array<int>"))
-        done = F.aggregate(steps, let(first, lambda a: mark(a, F.lit(0))), slide)
+        steps = F.when(F.size(places) > window, F.sequence(F.lit(1), F.size(places) - window)).otherwise(F.array().cast("array<int>"))
+        first = let(counts, lambda n: mark(n, total(n), nothing, nothing, F.lit(0)))
+        done = F.aggregate(steps, first, slide)
         return let(done, lambda a: F.when(a["s"].isNotNull(), F.struct(a["s"].alias("s"), a["e"].alias("e"))))
 
-    chars = F.split(candidate, "")
-    chars = F.filter(chars, lambda c: c != "")
-    split = let(chars, lambda c: F.struct(c.alias("c"), F.array_distinct(c).alias("a")))
-    ready = let(split, lambda x: F.struct(x["c"].alias("c"), x["a"].alias("a"), F.transform(x["c"], lambda c: F.array_position(x["a"], c).cast("int") - 1).alias("x")))
+    chars = F.filter(F.split(candidate, ""), lambda c: c != "")
+    need = (math.log2(window) - threshold) * window + 1e-9  # entropy = log2(window) - t / window
+    known = let(chars, lambda c: F.struct(c.alias("c"), F.array_join(F.array_distinct(c), "").alias("a")))
+    ready = let(known, lambda x: F.struct(F.length(x["a"]).alias("n"), F.transform(x["c"], lambda c: F.position(c, x["a"])).alias("x"), need.alias("need")))
     return let(ready, body)
 
 
@@ -154,19 +182,23 @@ def span_text(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with each span, or run of overlapping spans, replaced by the mark. spans are sorted by start."""
-    start = F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("o"))
 
-    def step(acc: Column, v: Column) -> Column:
-        before = F.substring(text, acc["p"] + 1, v["s"] - acc["p"])
+    def piece(p: Column, part: Column) -> Column:
+        """The stretch of the text that a part of the spans is in, and where it starts."""
+        last = F.greatest(p, F.array_max(F.transform(part, lambda v: v["e"])))
+        return F.struct(p.alias("at"), F.substring(text, p + 1, last - p).alias("t"))
+
+    def step(acc: Column, v: Column, it: Column) -> Column:
+        before = F.substring(it["t"], acc["p"] - it["at"] + 1, v["s"] - acc["p"])
         fresh = v["s"] >= acc["p"]
         return F.struct(F.greatest(acc["p"], v["e"]).alias("p"), F.when(fresh, F.concat(acc["o"], F.array(before, F.lit(mark)))).otherwise(acc["o"]).alias("o"))
 
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["o"], ""), F.substring(text, acc["p"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    whole = lambda v: in_parts(v, piece, step, "string", lambda p, o: F.concat(F.array_join(o, ""), F.substring(text, p + 1, F.length(text))))
+    return F.coalesce(let(spans, whole), text)
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secret_spans") -> DataFrame:
-    """docs with out_col: the sorted spans of each text. Null and empty texts have none. No shuffle; repeated rows and extra columns stay."""
+    """docs with out_col: the sorted spans of each text. Null and empty texts have none. No shuffle; repeated rows and extra columns stay, but for one named like out_col."""
     return docs.withColumn(out_col, secret_spans(F.col(text_col)))
 
 

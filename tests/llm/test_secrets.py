@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import time
 
 from millrace.llm import secrets as S
 from pyspark.sql import functions as F
@@ -79,3 +81,17 @@ def test_empty_table_and_clashing_names(spark):
     assert S.scan_secrets(docs).count() == 0
     one = spark.createDataFrame([(1, "token=abcdef", 1, 2, 3)], "doc_id long, text string, s int, k int, e int")
     assert S.scan_secrets(one).first().secret_spans[0].e == 12
+
+
+def test_very_long_texts_take_seconds(spark):
+    """A megabyte of assignments, a run of 100,000 key-like characters and a long path: no fold grows with the square."""
+    rng = random.Random(1)
+    run = "".join(rng.choice("ABCDEFGHIJabcdefghij0123456789+/") for _ in range(100_000))
+    texts = ["token=abcdef1 filler " * 50_000, run, "a/b-" * 100_000 + "12345"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    start = time.time()
+    got = S.scan_secrets(docs).select("text", "secret_spans", S.redacted(F.col("text"), F.col("secret_spans")).alias("r")).collect()
+    assert time.time() - start < 60
+    for r in got:
+        n = len(r.secret_spans)
+        assert n == {texts[0]: 50_000, run: 1, texts[2]: 0}[r.text] and r.r.count("[SECRET]") == n
