@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,24 @@ def test_top_k_cases(spark):
     assert topk_search.exact_top_k(df.limit(0), "vec_id", "embedding", F.col("id") == 0).count() == 0
 
 
+def test_top_k_of_long_components(spark):
+    """Components far beyond 32 bits, products beyond 64: integers of any size, scores held within a long; several batches of queries."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=6) * 10.0 ** float(rng.choice([0, 3, 7]))).tolist()) for i in range(150)]
+    rows += [(200, [1e7] * 6), (250, [1e300, -1e300, 0.0, 0.0, 0.0, 1.0]), (251, [1e300] * 6), (252, [-1e12] * 6), (300, [5e11] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    top = 2**63 - 1
+    hold = lambda x: min(max(x, -top), top)
+    whole = {i: [hold(math.floor(min(256 * c, 1e300))) for c in v] for i, v in rows}
+    want = set()
+    for q in whole:
+        if q % 50 == 0:
+            hits = sorted((-hold(sum(a * b for a, b in zip(whole[q], v, strict=True))), i) for i, v in whole.items() if i != q)
+            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(hits[:5])}
+    got = topk_search.exact_top_k(df, "vec_id", "embedding", F.pmod(F.col("id"), F.lit(50)) == 0, 5, batch_bytes=100).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_no_python_in_native_plans(spark, sf):
     for name in ("op6_secrets", "op10_url_filter"):
         plan = queries.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
