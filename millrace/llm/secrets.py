@@ -209,3 +209,35 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [_count(v, k).alias(f"n_{name}") for k, name in enumerate(BASE)]
     base = F.filter(v, lambda x: x["k"] < len(BASE))
     return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(v).alias("spans"))
+
+
+def _anycase(words: str) -> str:
+    """The words as a pattern in either case, for engines whose case folding goes beyond A-Z."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+def _matches(kind: int, pattern: str, group: int, least: int) -> str:
+    """SQL for the matches of a base pattern: the text between matches and the matches give the places."""
+    pattern = pattern.replace("'", "''")
+    return f"""SELECT n, {kind} AS k, m, sum(length(g) + length(m)) OVER (PARTITION BY n ORDER BY i) - length(m) AS s, length(c) >= {least} AS ok FROM (
+        SELECT n, unnest(range(len(f))) AS i, unnest(f) AS m, unnest(c) AS c, unnest(gaps[1:len(f)]) AS g FROM (
+            SELECT n, regexp_extract_all(t, '{pattern}') AS f, regexp_extract_all(t, '{pattern}', {group}) AS c, string_split_regex(t, '{pattern}') AS gaps FROM d) WHERE len(f) > 0)"""
+
+
+_KEYS = _anycase("password") + "|" + _anycase("passwd") + "|" + _anycase("secret") + "|" + _anycase("token") + "|" + _anycase("api") + "_?" + _anycase("key")
+_NOT = " AND ".join("NOT regexp_matches(m, '{}')".format(p.replace("*+", "*").replace("++", "+")) for p in ALLOW)
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+b AS ({_matches(0, BASE["assign"][0].replace("(?i:password|passwd|secret|token|api_?key)", _KEYS), BASE["assign"][1], BASE["assign"][2])}
+ UNION ALL {_matches(1, BASE["access"][0], 0, BASE["access"][2])} UNION ALL {_matches(2, BASE["hex"][0], 0, BASE["hex"][2])}),
+c AS (SELECT row_number() OVER () AS id, n, s, m, CASE WHEN regexp_matches(m, '^[0-9a-fA-F]+$') THEN {CLASSES["hex"][1]} WHEN regexp_matches(m, '[A-Za-z]') THEN {CLASSES["mixed"][1]} END AS least
+      FROM ({_matches(3, CANDIDATE, 0, WINDOW)}) WHERE regexp_matches(m, '[0-9]') AND {_NOT}),
+w AS (SELECT id, n, s, least, pos, string_split(substr(m, pos + 1, {WINDOW}), '') AS x FROM (SELECT *, CAST(unnest(range(length(m) - {WINDOW - 1})) AS INTEGER) AS pos FROM c)),
+h AS (SELECT id, n, s, pos FROM w WHERE log2({WINDOW}) - list_sum(list_transform(list_distinct(x), lambda y: len(list_filter(x, lambda z: z = y)) * log2(len(list_filter(x, lambda z: z = y))))) / {WINDOW} >= least - 1e-10),
+v AS (SELECT n, k, s, s + length(m) AS e FROM b WHERE ok UNION ALL SELECT n, 3, s + min(pos), s + max(pos) + {WINDOW} FROM h GROUP BY id, n, s),
+o AS (SELECT n, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+        string_agg(CASE WHEN k < 3 THEN ['assign', 'access', 'hex'][k + 1] || ':' || s || ':' || e END, ',' ORDER BY s, k, e) AS base,
+        string_agg(['assign', 'access', 'hex', 'entropy'][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS spans FROM v GROUP BY n)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN o USING (n)
+"""

@@ -16,7 +16,7 @@ def rows_of(rows, columns):
     return sorted(tuple(str(r[c]) for c in columns) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["op1_exact_dedup", "op7_topk_search", "op10_url_filter"])
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op6_secrets", "op7_topk_search", "op10_url_filter"])
 def test_queries_match_sql(spark, sf, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "pages"):
