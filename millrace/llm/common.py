@@ -7,15 +7,17 @@ names of its own, so extra columns of the caller's frame can't collide with them
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.checkpoint import checkpoint_dir, cut, scratch_path
 
-__all__ = ["checkpoint_dir", "crc32_u32", "crc_fold", "cut", "fit_logistic", "isotonic", "labelled_ids", "scratch_path", "spread_join", "table"]
+__all__ = ["checkpoint_dir", "crc32_u32", "crc_fold", "cut", "fit_logistic", "isotonic", "labelled_ids", "scratch_path", "slices", "spread_join", "table"]
 
 #: The ASCII white space of the text contracts: [\x20\x09-\x0D].
 WHITE = r"[\x20\x09-\x0D]+"
@@ -63,6 +65,17 @@ def labelled_ids(labels: DataFrame, label: str, learn: Callable[[Column], Column
     return parts[0].unionByName(parts[1])
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int, rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows whose texts (column number text, UTF-8) have about so many bytes, whole rows each: what a worker holds in Python objects at a time."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def crc32_u32(data) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 

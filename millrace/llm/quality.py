@@ -1,8 +1,10 @@
 """Quality classifier by compression.
 
-Two zstandard dictionaries are built, from good and from bad labelled texts. A text is compressed with each: the difference of the two
-sizes, divided by the text's size and by the smaller result, says which kind it is like; the sizes per byte say how much of it repeats. A logistic
-model turns them into a calibrated score. Whole texts are compressed, as streams of bounded memory.
+Two zstandard dictionaries are built, from good and from bad labelled texts. A whole text is compressed with each: the difference of the two
+sizes, normalised by the text's size and by the smaller result, says which kind it is like. A logistic model turns the two normalised
+differences into a calibrated score; nothing else of a text goes into it.
+
+Null texts count as empty. Equal texts have equal scores. A text is held by its task as a whole, others of its Arrow batch wait in their buffers.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, cut, fit_logistic, labelled_ids, table
+from .common import crc_fold, cut, fit_logistic, labelled_ids, slices, table
 
 #: Labelled rows per class that are learned from, and the bytes of each that go into a dictionary, in PIECES from all over the text: the bound of the fit.
 MAX_ROWS = 2000
@@ -38,15 +40,14 @@ class QualityModel:
 
 class Compressors:
     def __init__(self, good: bytes, bad: bytes):
-        def make(raw: bytes | None) -> zstandard.ZstdCompressor:
+        def make(raw: bytes) -> zstandard.ZstdCompressor:
             return zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw)) if raw else zstandard.ZstdCompressor(level=LEVEL)
 
-        self.good, self.bad, self.none = make(good), make(bad), make(None)
+        self.good, self.bad = make(good), make(bad)
 
-    def features(self, text: bytes) -> tuple[float, float, float, float]:
-        g, b, z = (len(c.compress(text)) for c in (self.good, self.bad, self.none))
-        n = len(text) + 1
-        return (b - g) / max(min(g, b), 1), (b - g) / n, min(g, b) / n, z / n
+    def features(self, text: bytes) -> tuple[float, float]:
+        g, b = len(self.good.compress(text)), len(self.bad.compress(text))
+        return (b - g) / max(min(g, b), 1), (b - g) / (len(text) + 1)
 
 
 def material(text: bytes) -> bytes:
@@ -101,27 +102,27 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn) -> QualityModel:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Compressors(*shared.value)
-        for b in batches:
+        for b in slices(batches, 3):
             x = [made.features(t.as_py().encode()) for t in b.column(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["h", "y", "w", "x"])
 
     found = pick(fit).select("h", "y", "w", "text").mapInArrow(measure, "h string, y int, w double, x array<double>").collect()
     found.sort(key=lambda r: (r["h"], r["y"]))  # the same model whatever the order of the rows
-    x = np.array([r["x"] for r in found], float).reshape(-1, 4)
+    x = np.array([r["x"] for r in found], float).reshape(-1, 2)
     y, w = np.array([r["y"] for r in found], float), np.array([r["w"] for r in found], float)
-    mean, scale = (x.mean(0), np.maximum(x.std(0), 1e-9)) if len(x) else (np.zeros(4), np.ones(4))
+    mean, scale = (x.mean(0), np.maximum(x.std(0), 1e-9)) if len(x) else (np.zeros(2), np.ones(2))
     return QualityModel(good, bad, mean, scale, fit_logistic((x - mean) / scale, y, weight=w))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): 0 to 1, higher: good likelier. Null texts count as empty. One row per row of docs, no shuffle."""
+    """(id, score): 0 to 1, higher: good likelier. Null texts count as empty. One row per row of docs, repeated ones too, no shuffle; extra columns play no part."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         made = Compressors(m.good, m.bad)
-        for b in batches:
-            x = np.array([made.features((t.as_py() or "").encode()) for t in b.column(1)]).reshape(-1, 4)
+        for b in slices(batches, 1):
+            x = np.array([made.features((t.as_py() or "").encode()) for t in b.column(1)]).reshape(-1, 2)
             z = np.column_stack([(x - m.mean) / m.scale, np.ones(len(x))]) @ m.weights
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["id", "score"])
 

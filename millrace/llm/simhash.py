@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, spread_join, table
+from .common import cut, slices, spread_join, table
 
 BITS = 64
 SEED = 42
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3)
     """(id, fp long): the fingerprint as a signed number. Null texts count as empty; empty texts have fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             texts = b.column(1).cast(pa.binary()) if not pa.types.is_binary(b.column(1).type) else b.column(1)
             fps = np.array([fingerprint(t.as_py() or b"", shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["id", "fp"])

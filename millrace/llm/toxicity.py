@@ -18,9 +18,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, cut, even, isotonic, labelled_ids, table
+from .common import crc_fold, cut, even, isotonic, labelled_ids, slices, table
 
-#: Labelled rows per class that are learned from, and the learned lexicon's size: the bound of the fit.
+#: Labelled rows per class that are learned from, and the size of the learned lexicon, a part of the model: the bounds of the fit. Words of 3 to 40 letters can be learned.
 MAX_ROWS = 4000
 MAX_WORDS = 400
 STEMS = (4, 5, 6)
@@ -158,7 +158,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     """Words and stems far more frequent in toxic texts of the sample (text, y); copies of a text count once, by its 64-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 0):
             out: list[tuple[str, int, int]] = []
             for t, y in zip(b.column(0), b.column(1), strict=True):
                 text = t.as_py()
@@ -183,7 +183,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
 def _rows(docs: DataFrame, others: list[str], make, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = make()
-        for b in batches:
+        for b in slices(batches, 0):
             yield done(b.select(range(1, b.num_columns)), [t.as_py() or "" for t in b.column(0)])
 
     return docs.select("text", *others).mapInArrow(run, schema)
@@ -217,7 +217,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn) -> ToxicityModel:
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(id, score), or the keep columns and a column _toxicity: 0 to 1, higher: toxic likelier. Null texts count as empty. One row per row of docs, no shuffle."""
+    """(id, score), or the keep columns and a column _toxicity: 0 to 1, higher: toxic likelier. Null texts count as empty. One row per row of docs, repeated ones too, no shuffle; extra columns play no part."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["id"] if keep is None else keep
     last = "score" if keep is None else "_toxicity"

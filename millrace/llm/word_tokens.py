@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Chunks of a worker's table, and the longest chunk it keeps in bytes.
-TABLE = 300_000
+TABLE = 200_000
 LONGEST = 128
 #: Texts that are encoded together, and their bytes.
 BATCH = 256

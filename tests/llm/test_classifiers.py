@@ -116,3 +116,33 @@ def test_lexicon_counts_texts_of_equal_length(spark):
     rows = [(f"{i:06d} abc " + ("zorgon" if (i % 2 if y else i % 100 == 0) else "abcdef"), y) for y in (0, 1) for i in range(y, 600, 1)]
     assert len({len(t) for t, _ in rows}) == 1
     assert "zorgon" in toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int")).words | {"zorgon" for s in toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int")).stems if "zorgon".startswith(s)}
+
+
+def auc(score, truth):
+    score, truth = np.asarray(score), np.asarray(truth, bool)
+    _, place, count = np.unique(score, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(count) - (count - 1) / 2)[place]
+    n = truth.sum()
+    return (rank[truth].sum() - n * (n + 1) / 2) / (n * (~truth).sum())
+
+
+@pytest.mark.parametrize("f, label, least", [(quality.op2_quality, "quality", 0.97), (toxicity.op4_toxicity, "toxic", 0.93)])
+def test_held_out_auc_of_the_queries(spark, f, label, least):
+    """Rows that no model learned from, at sf0.1; two runs give the same scores."""
+    sf = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = f(spark, sf).collect()
+    held = [r for r in got if r.held_out and truth.get(r.doc_id) is not None]
+    assert len(held) > 500 and auc([r.score for r in held], [truth[r.doc_id] for r in held]) > least
+    assert {(r.doc_id, r.score) for r in f(spark, sf).collect()} == {(r.doc_id, r.score) for r in got}
+
+
+@pytest.mark.parametrize("kind", ["quality", "toxic"])
+def test_extra_columns_with_clashing_names(spark, kind):
+    docs, labels = corpus(spark, 60)
+    names = ["id", "y", "w", "h", "x", "t", "fold", "score", "label", "count", "_toxicity", "_k0"]
+    more = docs.selectExpr("*", *[f"{i} as {n}" for i, n in enumerate(names)])
+    fit, score, learn = (quality.fit_quality, quality.score_quality, lambda i: crc_fold(i, 5) != 0) if kind == "quality" else (toxicity.fit_toxicity, toxicity.score_toxicity, lambda i: crc_fold(i, 4) != 2)
+    key = lambda r: (r.id is None, r.id or 0, r.score)
+    want = sorted(score(docs, fit(docs, labels, learn)).collect(), key=key)
+    assert sorted(score(more, fit(more, labels.selectExpr("*", "1 as id", "2 as y", "3 as w"), learn)).collect(), key=key) == want
