@@ -38,16 +38,50 @@ def shape(pattern: str) -> str:
     return "^" + "".join(known.get(r) or (r"\d{1,2}" if r in "MdHhms" else re.escape(r.strip("'"))) for r in runs) + "$"
 
 
-def _try(text: Column, pattern: str) -> Column:
-    d = F.when(text.rlike(shape(pattern)), F.try_to_date(text, pattern))
+#: Digits as 9 and ASCII letters as a: what a text looks like.
+_LETTERS = "".join(chr(c + k) for c in (65, 97) for k in range(26))
+_SIGNS, _KINDS = "0123456789" + _LETTERS, "9" * 10 + "a" * 52
+
+
+def looks(pattern: str) -> set[str] | None:
+    """All the ways a text of the pattern can look; None for patterns with words of any length."""
+    out = {""}
+    for run in (m.group(0) for m in re.finditer(r"'[^']*'|([A-Za-z])\1*|.", pattern)):
+        lengths = {"yyyy": (4,), "yy": (2,), "MM": (2,), "dd": (2,), "HH": (2,), "mm": (2,), "ss": (2,), "D": (1, 2, 3)}.get(run) or ((1, 2) if run in "MdHhms" else None)
+        if run == "MMMM" or (lengths is None and run.isalpha() and run not in ("MMM", "a")):
+            return None
+        ends = ["9" * n for n in lengths] if lengths else ["aaa"] if run == "MMM" else ["aa"] if run == "a" else [run.strip("'").translate(str.maketrans(_SIGNS, _KINDS))]
+        out = {x + e for x in out for e in ends}
+    return out
+
+
+def _parsed(text: Column, pattern: str) -> Column:
+    d = F.try_to_date(text, pattern)
     if "yy" in pattern and "yyyy" not in pattern:  # years 69 to 99 belong to the last century
         d = F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
     return d
 
 
 def parse(c: Column, patterns: list[str]) -> Column:
-    text = clean(c)
-    return F.coalesce(*[_try(text, p) for p in patterns])
+    """The first of the patterns that fits, else null. A value is looked at once, and only patterns of its look are tried: a failed parse costs an exception."""
+    known = {p: found for p in patterns if (found := looks(p)) is not None}
+    ways: dict[tuple[str, ...], list[str]] = {}
+    for look in sorted(set().union(*known.values())):
+        ways.setdefault(tuple(p for p in patterns if look in known.get(p, ())), []).append(look)
+
+    def of(v: Column) -> Column:
+        look = F.translate(v, _SIGNS, _KINDS)
+        out = None
+        for tried, looked in ways.items():
+            parsed = F.coalesce(*[_parsed(v, p) for p in tried])
+            out = F.when(look.isin(*looked), parsed) if out is None else out.when(look.isin(*looked), parsed)
+        rest = [F.when(v.rlike(shape(p)), _parsed(v, p)) for p in patterns if p not in known]
+        if not rest:
+            return out
+        # A pattern with words of any length has its place among the others: letters keep their looks apart, so it can't fit where another does.
+        return F.coalesce(*([out] if out is not None else []), *rest)
+
+    return of(clean(c))
 
 
 def free(c: Column) -> Column:

@@ -7,6 +7,7 @@ no group is ever gathered in one task. Issue columns: source_row_number, issue_s
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -175,6 +176,8 @@ def validate(typed: DataFrame, contract: Contract, flat: Flat | None = None, aso
     sources = {f: flat.field_source(f) for f in names} if flat else {}
     found = found.withColumn("source_column", F.coalesce(text.lookup(F.col("target_field"), {k: v for k, v in sources.items() if v}), F.lit("")))
     if flat is not None:
+        if all(f"_p{k}" in typed.columns for k in range(len(flat.mappings))):
+            flat = replace(flat, df=typed)  # the pipelines' results are there: the source isn't read again
         steps = step_issues(flat).withColumn("issue_seq", F.col("issue_seq") + STEP_SEQ)
         clash = typed.select("source_row_number").join(F.broadcast(conflicting_fields(flat)), how="cross")  # as many rows as fields at most
         clash = clash.select("source_row_number", F.lit(STEP_SEQ + 10_000).alias("issue_seq"), F.lit("error").alias("severity"), F.lit("conflicting_duplicate_target_field").alias("issue_code"), F.concat("target_field", F.lit(" has conflicting values from different target tables.")).alias("issue_message"), "target_field", F.coalesce(text.lookup(F.col("target_field"), {k: v for k, v in sources.items() if v}), F.lit("")).alias("source_column"))

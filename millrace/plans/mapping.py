@@ -41,6 +41,21 @@ ALIASES = {
 # Headers that say too little.
 VAGUE = ("id", "date", "status", "type", "code")
 VAGUE_PHRASES = ("employee id", "subscriber id", "start date", "end date")
+# Points that a column's profile gives a field, by the field's type or kind. The first line whose conditions all hold counts; a pair is the least and greatest value.
+EVIDENCE = {
+    "date": [(30, {"date_parse_rate": (0.85, 1)}), (20, {"date_parse_rate": (0.5, 1)}), (10, {"date_parse_rate": (0.15, 1)}), (-10, {})],
+    "email": [(30, {"email_pattern_rate": (0.8, 1)}), (15, {"email_pattern_rate": (0.3, 1)}), (-10, {})],
+    "phone": [(30, {"phone_pattern_rate": (0.8, 1)}), (15, {"phone_pattern_rate": (0.3, 1)}), (-10, {})],
+    "enum": [(30, {"knows_field": {True}}), (15, {"inferred_type": {"enum"}}), (-10, {})],
+    "member_identifier": [(30, {"null_rate": (0, 0.05), "unique_rate": (0.85, 1)}), (20, {"unique_rate": (0.5, 1)}), (-10, {"inferred_type": {"enum"}}), (10, {})],
+    "subscriber_identifier": [(25, {"null_rate": (0, 0.2), "unique_rate": (0.35, 1)}), (15, {"unique_rate": (0.15, 1)}), (5, {})],
+    "plan_identifier": [(30, {"code_rate": (0.6, 1), "unique_rate": (0, 0.4)}), (20, {"inferred_type": {"identifier", "enum"}, "unique_rate": (0, 0.5)}), (5, {})],
+    "text": [(-10, {"inferred_type": {"date", "email", "phone", "numeric"}}), (20, {"null_rate": (0, 0.1)}), (10, {})],
+}
+# States of a suggestion from a score on, alignments from points on, and the flag of each alignment that needs a look.
+BANDS = ((85, "strong_suggestion"), (70, "suggested"), (50, "weak_suggestion"), (0, "unmapped"))
+ALIGNMENTS = ((20, "aligned"), (0, "weak"), (-100, "mismatch"))
+ALIGNMENT_FLAGS = {"weak": "weak_type_alignment", "mismatch": "target_type_mismatch"}
 
 
 class ConfigurationError(ValueError):
@@ -67,6 +82,7 @@ class Mapping:
     flags: tuple[str, ...] = ()
     status: str = ""
     alignment: str = ""
+    needs_review: bool = False
 
     @property
     def source(self) -> str:
@@ -146,51 +162,36 @@ def name_score(key: str, names: list[str]) -> int:
 
 
 def code_rate(values: list[str]) -> float:
-    """Share of values that look like codes: letters and digits, or capitals, and short."""
+    """Share of values that look like codes: letters and digits in 24 signs at most, or nothing small in 16; dashes, underscores and spaces aren't counted."""
 
-    def code(v: str) -> bool:
-        compact = re.sub(r"[-_ ]", "", v.strip())
+    def most(v: str) -> int:
         mixed = any(map(str.isdigit, v)) and any(map(str.isalpha, v))
-        return (mixed and len(compact) <= 24) or (v.strip().upper() == v.strip() and len(compact) <= 16)
+        return 24 if mixed else 16 if v == v.upper() else -1
 
-    return sum(map(code, values)) / len(values) if values else 0.0
+    return sum(sum(c not in "-_ " for c in v.strip()) <= most(v.strip()) for v in values) / len(values) if values else 0.0
 
 
-def _band(x: float, *steps: tuple[float, int], other: int) -> int:
-    return next((score for least, score in steps if x >= least), other)
+def _from(x: float, bands: tuple[tuple[float, str], ...]) -> str:
+    return next(name for least, name in bands if x >= least)
 
 
 def value_score(p: dict, target: Field) -> int:
-    """-10 to 30: how well a column's profile fits the field's kind of values."""
-    kind, unique, null = target.kind, p["unique_rate"], p["null_rate"]
-    if target.data_type == "date":
-        return _band(p["date_parse_rate"], (0.85, 30), (0.5, 20), (0.15, 10), other=-10)
-    if target.data_type in ("email", "phone"):
-        return _band(p[f"{target.data_type}_pattern_rate"], (0.8, 30), (0.3, 15), other=-10)
-    if target.data_type == "enum":
-        return 30 if target.name in (p.get("known_enum_matches") or {}) else 15 if p["inferred_type"] == "enum" else -10
-    if kind == "member_identifier":
-        if null <= 0.05 and unique >= 0.85:
-            return 30
-        return 20 if unique >= 0.5 else -10 if p["inferred_type"] == "enum" else 10
-    if kind == "subscriber_identifier":
-        return 25 if null <= 0.2 and unique >= 0.35 else 15 if unique >= 0.15 else 5
-    if kind == "plan_identifier":
-        if code_rate(p["samples"]) >= 0.6 and unique <= 0.4:
-            return 30
-        return 20 if p["inferred_type"] in ("identifier", "enum") and unique <= 0.5 else 5
-    if target.data_type == "text":
-        return -10 if p["inferred_type"] in ("date", "email", "phone", "numeric") else 20 if null <= 0.1 else 10
-    return 0
+    """-10 to 30: how well a column's profile fits the field's kind of values; 0 for kinds without evidence."""
+    facts = p | {"code_rate": code_rate(p["samples"]), "knows_field": target.name in (p.get("known_enum_matches") or {})}
+    holds = lambda name, want: facts[name] in want if isinstance(want, set) else want[0] <= facts[name] <= want[1]
+    typed = target.data_type in ("date", "email", "phone", "enum") or target.kind not in EVIDENCE
+    lines = EVIDENCE.get(target.data_type if typed else target.kind, [(0, {})])
+    return next(points for points, conditions in lines if all(holds(*c) for c in conditions.items()))
 
 
 def vagueness(key: str) -> tuple[int, tuple[str, ...]]:
-    flags = tuple(["ambiguous_name"] * (key in VAGUE) + ["ambiguous_phrase"] * (key in VAGUE_PHRASES))
-    return (-20 if flags else 0), flags
+    """Points off, and the flag, of a header that says too little."""
+    vague = key in VAGUE or key in VAGUE_PHRASES
+    return (-20, ("ambiguous_" + key.replace(" ", "_"),)) if vague else (0, ())
 
 
 def suggest(profiles: list[dict], contract: Contract, aliases: dict[str, list[str]] | None = None) -> list[Mapping]:
-    """The best column for each field that isn't generated. Below 50 a field stays unmapped; below 85 or flagged it needs review.
+    """The best column for each field that isn't generated, with its band and flags. Below 50 a field stays unmapped; below 85 or flagged it needs review.
 
     A profile has column_name, normalized_name, inferred_type, null_rate, unique_rate, the three pattern rates, known_enum_matches and samples.
     """
@@ -200,33 +201,34 @@ def suggest(profiles: list[dict], contract: Contract, aliases: dict[str, list[st
             continue
         names, best = names_of(t, aliases), None
         for p in profiles:
-            penalty, flags = vagueness(p["normalized_name"])
-            score = max(0, min(100, name_score(p["normalized_name"], names) + value_score(p, t) + penalty))
+            points, (penalty, flags) = value_score(p, t), vagueness(p["normalized_name"])
+            score = max(0, min(100, name_score(p["normalized_name"], names) + points + penalty))
             if best is None or score > best[0]:  # ties keep the order of the source
-                best = score, p["column_name"], flags
-        policy = "error" if t.required else "warning_set_null"
+                best = score, p["column_name"], flags, _from(points, ALIGNMENTS)
+        m = Mapping(t.table, t.name, (), recommended(t), "error" if t.required else "warning_set_null", approved=False, steps_approved=False, status="unmapped", alignment="not_mapped")
         if best is None or best[0] < 50:
-            out.append(Mapping(t.table, t.name, (), recommended(t), policy, approved=False, confidence=best[0] if best else 0, status="unmapped"))
+            out.append(replace(m, flags=("required_unmapped",) * t.required, needs_review=t.required))
             continue
-        score, column, flags = best
-        out.append(Mapping(t.table, t.name, (column,), recommended(t), policy, approved=False, confidence=score, flags=flags))
-    return [replace(m, status=m.status or ("needs_review" if m.confidence < 85 or m.flags else "high_confidence")) for m in _conflicts(out)]
+        score, column, flags, fit = best
+        flags = tuple(sorted({*flags, *([ALIGNMENT_FLAGS[fit]] if fit in ALIGNMENT_FLAGS else [])}))
+        out.append(replace(m, columns=(column,), confidence=score, flags=flags, status=_from(score, BANDS), alignment=fit, needs_review=score < 85 or bool(flags)))
+    return _conflicts(out)
 
 
 def _conflicts(found: list[Mapping]) -> list[Mapping]:
-    """Ten points less for weaker fields that want a column some other logical field has better."""
+    """Where several logical fields want one column, ten points less and a flag for all but the best; equal scores keep their order."""
     out = list(found)
     for column in {m.columns for m in found if m.columns}:
         rivals = sorted((k for k, m in enumerate(found) if m.columns == column), key=lambda k: -found[k].confidence)
-        first = found[rivals[0]].field
-        for k in rivals[1:]:
-            if found[k].field != first:
-                out[k] = replace(out[k], confidence=max(0, out[k].confidence - 10), flags=(*out[k].flags, "source_conflict"))
+        if len({found[k].field for k in rivals}) > 1:
+            for k in rivals[1:]:
+                score = max(0, out[k].confidence - 10)
+                out[k] = replace(out[k], confidence=score, status=_from(score, BANDS), flags=tuple(sorted({*out[k].flags, "multiple_candidate_targets"})), needs_review=True)
     return out
 
 
 def align(found: list[Mapping], profiles: list[dict], contract: Contract) -> list[Mapping]:
-    """Adds alignment: aligned, weak, mismatch, not_mapped or unknown_source."""
+    """Adds alignment: aligned, weak, mismatch, not_mapped or unknown_source; all but the first and the fourth are flagged for review."""
     by, fields = {p["column_name"]: p for p in profiles}, {(f.table, f.name): f for f in contract.fields}
 
     def of(m: Mapping) -> str:
@@ -234,10 +236,11 @@ def align(found: list[Mapping], profiles: list[dict], contract: Contract) -> lis
             return "not_mapped"
         if m.columns[0] not in by:
             return "unknown_source"
-        score = value_score(by[m.columns[0]], fields[m.table, m.field])
-        return "mismatch" if score < 0 else "weak" if score < 20 else "aligned"
+        return _from(value_score(by[m.columns[0]], fields[m.table, m.field]), ALIGNMENTS)
 
-    return [replace(m, alignment=of(m)) for m in found]
+    flags = ALIGNMENT_FLAGS | {"unknown_source": "unknown_source_column"}
+    out = [(m, of(m)) for m in found]
+    return [replace(m, alignment=a, flags=tuple(dict.fromkeys([*m.flags, flags[a]])), needs_review=True) if a in flags else replace(m, alignment=a) for m, a in out]
 
 
 def blocking(found: list[Mapping]) -> list[Mapping]:

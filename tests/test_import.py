@@ -200,7 +200,7 @@ def test_profile_and_mapping(spark):
     profiles = profile.profiles_for_mapping(df)
     found = {(m.table, m.field): m for m in mapping.suggest(profiles, CONTRACT)}
     assert found["members", "date_of_birth"].confidence >= 85 and found["members", "member_id"].columns == ("Member Number",)
-    assert found["member_coverage", "coverage_status"].status == "needs_review" and found["plans", "plan_name"].status == "unmapped"
+    assert found["member_coverage", "coverage_status"].needs_review and found["plans", "plan_name"].status == "unmapped"
     wrong = mapping.align([Mapping("members", "date_of_birth", ("Email Address",)), Mapping("members", "member_id", ("?",)), Mapping("members", "gender")], profiles, CONTRACT)
     assert [m.alignment for m in wrong] == ["mismatch", "unknown_source", "not_mapped"] and len(mapping.blocking(wrong)) == 2
     unused = {x["column_name"]: x for x in mapping.source_coverage(profiles, [Mapping("members", "member_id", ("Member Number",))])}
