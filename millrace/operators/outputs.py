@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..plans.contract import Contract, Field, Table
-from .pipeline import Flat
+from .pipeline import TRACE, Flat
 from .rules import accepted, error_rows
 
 #: Fields of a default contract's generated ids.
@@ -147,55 +147,75 @@ def record_id(file_hash: str, row_number: Column) -> Column:
 LINEAGE = ["source_row_number", "source_record_id", "row_status", "lineage_status", "target_table", "target_field", "target_data_type", "target_validation_kind", "source_column", "source_columns", "source_values_json", "corrected_values_json", "original_value", "normalized_value", "final_value", "transformation_applied", "transformation_trace_json", "contract_version", "mapping_template_version", "parent_import_run_id", "issue_codes", "issue_messages"]
 
 
+ISSUES = "array<struct<issue_seq:int,severity:string,issue_code:string,issue_message:string,target_field:string,source_column:string>>"
+
+
 def lineage(flat: Flat, typed: DataFrame, issues: DataFrame, file_hash: str = "", corrections: DataFrame | None = None, template_version: str = "", parent_run: int | None = None) -> DataFrame:
     """One row for each source row and target field, 22 columns: where a value came from, what was done to it, and its state.
 
-    Everything hangs off one frame: the issues of a row are joined once as an array, and the fields are exploded from an array of structs in the row.
-    corrections: (source_row_number, source_column, corrected_value).
+    The issues of a row are joined once as an array. A row is then repeated for each field's number; what is fixed for a field is looked up by the number, and
+    what comes from the row is chosen by it. So a query of a few columns works out no others. corrections: (source_row_number, source_column, corrected_value).
     """
     contract = flat.contract
-    df = typed.join(issue_rollup(issues), "source_row_number", "left").withColumn("_issues", F.coalesce("_issues", F.array().cast("array<struct<issue_seq:int,severity:string,issue_code:string,issue_message:string,target_field:string,source_column:string>>")))
+    fields = contract.fields
+    df = typed.join(issue_rollup(issues), "source_row_number", "left").withColumn("_issues", F.coalesce("_issues", F.array().cast(ISSUES)))
     if corrections is not None:
         fixed = corrections.groupBy("source_row_number").agg(F.map_from_entries(F.collect_list(F.struct("source_column", "corrected_value"))).alias("_fixed"))
         df = df.join(fixed, "source_row_number", "left")
     else:
         df = df.withColumn("_fixed", F.lit(None).cast("map<string,string>"))
-    rejected = F.exists("_issues", _has("error"))
     place = {(m.table, m.field): k for k, m in enumerate(flat.mappings)}
-    rows = []
-    for f in contract.fields:
-        k = place.get((f.table, f.name))
-        m = flat.mappings[k] if k is not None else None
-        source = m.source if m else ""
-        value = F.when(~rejected, generated_id(f, contract)) if f.generated else as_text(F.col(f.name), f.data_type)
-        trace = F.col(f"_p{k}")["trace"] if m else F.array().cast("array<struct<operation:string,input:string,output:string,status:string,message:string>>")
-        note = lambda op, before, message: F.array(F.struct(F.lit(op).alias("operation"), before.alias("input"), value.alias("output"), F.lit("applied").alias("status"), F.lit(message).alias("message")))  # noqa: B023, E731
-        if f.generated:
-            trace = F.when(value.isNotNull(), F.concat(trace, note("generate_deterministic_id", F.lit(None).cast("string"), "Generated from the target table business values."))).otherwise(trace)
-        else:
-            before = F.col(f"_p{k}")["v"] if m else F.lit(None).cast("string")
-            trace = F.when(~before.eqNullSafe(value), F.concat(trace, note("canonical_normalize", before, "Applied target data type and validation vocabulary normalization."))).otherwise(trace)
-        mine = F.filter("_issues", _of_field(f.name))
-        errors, warnings = F.exists(mine, _has("error")), F.exists(mine, _has("warning"))
-        status = F.when(errors, "error").when(warnings, "warning").when(rejected, "not_published_row_rejected").otherwise("accepted")
-        ordered = F.concat(F.filter(mine, _has("error")), F.filter(mine, _has("warning")))
-        said = lambda key: F.array_join(F.filter(F.array_distinct(F.transform(ordered, lambda i: F.trim(i[key]))), lambda v: v != ""), "; ")  # noqa: B023, E731
-        columns = list(m.columns) if m else []
-        values = F.to_json(F.struct(*[F.col(f"src__{c}").alias(c) for c in columns]), {"ignoreNullFields": "false"}) if columns else F.lit("{}")
-        fixed = F.coalesce(F.to_json(F.map_filter("_fixed", lambda c, _: c.isin(columns)), {"ignoreNullFields": "false"}), F.lit("{}")) if columns else F.lit("{}")
-        applied = F.array_join(F.transform(trace, lambda t: t["operation"]), ", ")
-        rows.append(
-            F.struct(
-                status.alias("lineage_status"), F.lit(f.table).alias("target_table"), F.lit(f.name).alias("target_field"), F.lit(f.data_type).alias("target_data_type"), F.lit(f.kind).alias("target_validation_kind"),
-                F.lit(source).alias("source_column"), F.lit(source).alias("source_columns"), values.alias("source_values_json"), fixed.alias("corrected_values_json"),
-                (F.col(f"src__{columns[0]}") if columns else F.lit(None).cast("string")).alias("original_value"), value.alias("normalized_value"), value.alias("final_value"),
-                F.when(applied != "", applied).otherwise(_description(f, source)).alias("transformation_applied"), F.to_json(trace).alias("transformation_trace_json"), said("issue_code").alias("issue_codes"), said("issue_message").alias("issue_messages"),
-            )
-        )
-    row_status = F.when(rejected, "rejected").otherwise("accepted")
-    out = df.select("source_row_number", record_id(file_hash, F.col("source_row_number")).alias("source_record_id"), row_status.alias("row_status"), F.inline(F.array(*rows)))
-    return out.withColumns({"contract_version": F.lit(contract.version), "mapping_template_version": F.lit(template_version), "parent_import_run_id": F.lit(parent_run).cast("long")}).select(*LINEAGE)
-
-
-def _of_field(name: str):
-    return lambda i: i["target_field"] == name
+    mapped = [flat.mappings[place[f.table, f.name]] if (f.table, f.name) in place else None for f in fields]
+    inputs = [list(m.columns) if m else [] for m in mapped]
+    null, number = F.lit(None).cast("string"), F.col("_k")
+
+    def fixed_by_field(values: list[str]) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), number)
+
+    def chosen(values: list[Column | None], other: Column) -> Column:
+        """values[k] for field number k; other where it is None."""
+        out = None
+        for k, v in enumerate(values):
+            if v is not None:
+                out = F.when(number == k, v) if out is None else out.when(number == k, v)
+        return other if out is None else out.otherwise(other)
+
+    sources = fixed_by_field([m.source if m else "" for m in mapped])
+    rejected = F.exists("_issues", _has("error"))
+    df = df.withColumn("_rejected", rejected).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(len(fields) - 1))))
+    name = fixed_by_field([f.name for f in fields])
+    df = df.withColumns({
+        "_mine": F.filter("_issues", lambda i: i["target_field"] == name),
+        "_value": chosen([F.when(~F.col("_rejected"), generated_id(f, contract)) if f.generated else as_text(F.col(f.name), f.data_type) for f in fields], null),
+        "_trace": chosen([F.col(f"_p{place[f.table, f.name]}")["trace"] if m else None for f, m in zip(fields, mapped, strict=True)], F.array().cast(TRACE)),
+        "_before": chosen([F.col(f"_p{place[f.table, f.name]}")["v"] if m and not f.generated else None for f, m in zip(fields, mapped, strict=True)], null),
+        "_generated": number.isin(*[k for k, f in enumerate(fields) if f.generated]) if any(f.generated for f in fields) else F.lit(False),
+    })
+    value, made = F.col("_value"), F.col("_generated")
+    said = F.when(made, "Generated from the target table business values.").otherwise("Applied target data type and validation vocabulary normalization.")
+    note = F.struct(F.when(made, "generate_deterministic_id").otherwise("canonical_normalize").alias("operation"), F.col("_before").alias("input"), value.alias("output"), F.lit("applied").alias("status"), said.alias("message"))
+    noted = (made & value.isNotNull()) | (~made & ~F.col("_before").eqNullSafe(value))
+    df = df.withColumns({
+        "_trace": F.when(noted, F.concat("_trace", F.array(note))).otherwise(F.col("_trace")),
+        "_errors": F.exists("_mine", _has("error")), "_warnings": F.exists("_mine", _has("warning")),
+        "_ordered": F.concat(F.filter("_mine", _has("error")), F.filter("_mine", _has("warning"))),
+    })
+
+    def joined(key: str) -> Column:
+        return F.array_join(F.filter(F.array_distinct(F.transform("_ordered", lambda i: F.trim(i[key]))), lambda v: v != ""), "; ")
+
+    whole = {"ignoreNullFields": "false"}
+    values = [F.to_json(F.struct(*[F.col(f"src__{c}").alias(c) for c in cs]), whole) if cs else None for cs in inputs]
+    corrected = [F.coalesce(F.to_json(F.map_filter("_fixed", lambda c, _: c.isin(cs)), whole), F.lit("{}")) if cs else None for cs in inputs]  # noqa: B023
+    applied = F.array_join(F.transform("_trace", lambda t: t["operation"]), ", ")
+    out = {
+        "source_record_id": record_id(file_hash, F.col("source_row_number")), "row_status": F.when(F.col("_rejected"), "rejected").otherwise("accepted"),
+        "lineage_status": F.when(F.col("_errors"), "error").when(F.col("_warnings"), "warning").when(F.col("_rejected"), "not_published_row_rejected").otherwise("accepted"),
+        "target_table": fixed_by_field([f.table for f in fields]), "target_field": name, "target_data_type": fixed_by_field([f.data_type for f in fields]), "target_validation_kind": fixed_by_field([f.kind for f in fields]),
+        "source_column": sources, "source_columns": sources, "source_values_json": chosen(values, F.lit("{}")), "corrected_values_json": chosen(corrected, F.lit("{}")),
+        "original_value": chosen([F.col(f"src__{cs[0]}") if cs else None for cs in inputs], null), "normalized_value": value, "final_value": value,
+        "transformation_applied": F.when(applied != "", applied).otherwise(fixed_by_field([_description(f, m.source if m else "") for f, m in zip(fields, mapped, strict=True)])),
+        "transformation_trace_json": F.to_json("_trace"), "issue_codes": joined("issue_code"), "issue_messages": joined("issue_message"),
+        "contract_version": F.lit(contract.version), "mapping_template_version": F.lit(template_version), "parent_import_run_id": F.lit(parent_run).cast("long"),
+    }
+    return df.select("source_row_number", *[c.alias(n) for n, c in out.items()]).select(*LINEAGE)

@@ -6,6 +6,7 @@ expressions don't nest. A failed step stops the chain. Values travel as text; da
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,10 +27,11 @@ def _when_filled(v: Column, out: Column) -> Column:
     return F.when(~text.blank(v), out)
 
 
-def apply(step: Step, v: Column, row: dict[str, Column], columns: tuple[str, ...]) -> tuple[Column, Column | None, str]:
-    """(value, failed or None where it can't fail, message) of one step on the running value v."""
+def apply(step: Step, v: Column, row: dict[str, Column], columns: tuple[str, ...]) -> tuple[Column, Callable[[Column], Column] | None, str]:
+    """(value, test of the value for failure or None where it can't fail, message) of one step on the running value v."""
     p, op = step.parameters, step.operation
     filled = ~text.blank(v)
+    lost = lambda out: filled & out.isNull()
     inputs = [row[c] for c in p.get("source_columns") or columns]
     if op == "trim":
         return text.clean(v), None, ""
@@ -42,8 +44,8 @@ def apply(step: Step, v: Column, row: dict[str, Column], columns: tuple[str, ...
         return _when_filled(v, F.regexp_replace(v, F.lit(text.java_pattern(str(p["pattern"]))), F.lit(text.java_replacement(str(p["replacement"]))))), None, ""
     if op == "parse_date":
         given = [dates.spark_format(str(f)) for f in p.get("accepted_formats") or []]
-        out = F.date_format(dates.parse(v, given) if given else F.coalesce(dates.parse(v, dates.PIPELINE), dates.free(v)), "yyyy-MM-dd")
-        return out, filled & out.isNull(), "Value does not match an accepted date format." if given else "Value could not be parsed as a date."
+        out = F.date_format(dates.parse(v, given or list(dict.fromkeys([*dates.PIPELINE, *dates.FREE]))), "yyyy-MM-dd")
+        return out, lost, "Value does not match an accepted date format." if given else "Value could not be parsed as a date."
     if op == "parse_numeric":
         t = text.strip(v)
         for symbol in p.get("currency_symbols") or ["$", "GBP", "EUR"]:
@@ -54,10 +56,10 @@ def apply(step: Step, v: Column, row: dict[str, Column], columns: tuple[str, ...
             t = F.replace(t, F.lit(point), F.lit("."))
         t = text.strip(t)
         out = F.when(filled & t.rlike(text.NUMBER), t)
-        return out, filled & out.isNull(), "Value could not be parsed as numeric."
+        return out, lost, "Value could not be parsed as numeric."
     if op == "normalize_phone":
         out = text.phone(v)
-        return out, filled & out.isNull(), "Phone value does not contain ten digits."
+        return out, lost, "Phone value does not contain ten digits."
     if op == "normalize_email":
         return F.lower(text.clean(v)), None, ""
     if op == "map_values":
@@ -71,7 +73,7 @@ def apply(step: Step, v: Column, row: dict[str, Column], columns: tuple[str, ...
         out = _when_filled(v, out)
         if p.get("passthrough_unknown"):
             return _when_filled(v, F.coalesce(out, v)), None, ""
-        return out, filled & out.isNull(), "Value is not present in the configured crosswalk."
+        return out, lost, "Value is not present in the configured crosswalk."
     if op == "default":
         return F.when(filled, v).otherwise(F.lit(p.get("value")).cast("string")), None, ""
     if op == "coalesce":
@@ -87,18 +89,18 @@ def apply(step: Step, v: Column, row: dict[str, Column], columns: tuple[str, ...
     if op == "split":
         parts, k = F.split(v, r"\Q" + str(p["delimiter"]).replace(r"\E", r"\E\\E\Q") + r"\E", -1), int(p.get("part_index", 0))
         out = F.when(filled, text.strip(F.try_element_at(parts, F.lit(k + 1 if k >= 0 else k))))
-        return out, filled & out.isNull(), "Split value does not contain the requested part."
+        return out, lost, "Split value does not contain the requested part."
     if op == "generate_deterministic_id":
         return deterministic_id([row[c] for c in p.get("input_fields") or []], str(p.get("prefix") or "ID"), int(p.get("length", 12)))
     raise ConfigurationError(f"Unsupported transformation operation: {op}.")
 
 
-def deterministic_id(inputs: list[Column], prefix: str, length: int) -> tuple[Column, Column, str]:
+def deterministic_id(inputs: list[Column], prefix: str, length: int) -> tuple[Column, Callable[[Column], Column], str]:
     missing = F.lit(False)
     for c in inputs:
         missing = missing | text.blank(c)
     digest = F.upper(F.substring(F.sha2(F.concat_ws("|", *[text.strip(c) for c in inputs]), 256), 1, length))
-    return F.when(~missing, F.concat(F.lit(prefix + "-"), digest)), missing, "Generated ID input is missing."
+    return F.when(~missing, F.concat(F.lit(prefix + "-"), digest)), lambda _: missing, "Generated ID input is missing."
 
 
 def pipeline_columns(df: DataFrame, mappings: list[Mapping], trace: bool, row: dict[str, str]) -> DataFrame:
@@ -111,21 +113,23 @@ def pipeline_columns(df: DataFrame, mappings: list[Mapping], trace: bool, row: d
 
     df = df.withColumns({f"_p{k}": state(cols[m.columns[0]] if m.columns else _null(), F.lit(False), _null(), _null(), empty) for k, m in enumerate(mappings)})
     for rank in range(max((len(m.steps) for m in mappings), default=0)):
-        made = {}
+        tried, made = {}, {}  # a step's value is a column of its own, as much hangs off it
         for k, m in enumerate(mappings):
             if rank >= len(m.steps):
                 continue
             s, step = F.col(f"_p{k}"), m.steps[rank]
-            value, failed, message = apply(step, s["v"], cols, m.columns)
+            tried[f"_t{k}"], failed, message = apply(step, s["v"], cols, m.columns)
+            value = F.col(f"_t{k}")
             fallback = {"warning_keep_original": s["v"], "use_default": F.lit(m.default).cast("string")}.get(m.policy, _null())
             if failed is None:
                 after, bad = value, F.lit(False)
             else:
-                after, bad = F.when(failed, fallback).otherwise(value), F.coalesce(failed, F.lit(False))
+                bad = F.coalesce(failed(value), F.lit(False))
+                after = F.when(bad, fallback).otherwise(value)
             note = F.struct(F.lit(step.operation).alias("operation"), s["v"].alias("input"), after.alias("output"), F.when(bad, "failed").otherwise("applied").alias("status"), F.when(bad, message).otherwise("").alias("message"))
             steps = F.concat(s["trace"], F.array(note)) if trace else empty
             made[f"_p{k}"] = F.when(s["failed"], s).otherwise(state(after, bad, F.when(bad, step.operation), F.when(bad, message), steps))
-        df = df.withColumns(made)
+        df = df.withColumns(tried).withColumns(made).drop(*tried)
     return df
 
 
@@ -195,7 +199,7 @@ def step_issues(flat: Flat) -> DataFrame:
             message = F.concat(F.lit(f"{m.field} transformation "), s["op"], F.lit(" failed: "), s["msg"])
             rows.append(F.when(s["failed"], F.struct(F.lit(k).alias("issue_seq"), F.lit(severity).alias("severity"), code.alias("issue_code"), message.alias("issue_message"), F.lit(m.field).alias("target_field"), F.lit(m.source).alias("source_column"))))
     if not rows:
-        return spark.createDataFrame([], "source_row_number int, issue_seq int, severity string, issue_code string, issue_message string, target_field string, source_column string")
+        return spark.createDataFrame([], "source_row_number long, issue_seq int, severity string, issue_code string, issue_message string, target_field string, source_column string")
     return flat.df.select("source_row_number", F.inline(F.array_compact(F.array(*rows))))
 
 

@@ -137,7 +137,7 @@ class Run:
         self.source = elig(spark, sf_dir)
         self.flat = pipeline.build_flat(self.source, identity_mappings(), CONTRACT, trace)
         self.typed = cut(normalize.normalize(self.flat.df, CONTRACT))
-        self.issues = rules.validate(self.typed, CONTRACT, self.flat, _asof())
+        self.issues = cut(rules.validate(self.typed, CONTRACT, self.flat, _asof()))  # tables, rejects, checks and lineage all read them
 
     def merged(self, name: str) -> DataFrame:
         return outputs.tables(self.typed, self.issues, CONTRACT)[name]
@@ -474,9 +474,9 @@ def row_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", ingest.text_fingerprint(["c_custkey", "c_name", "c_mktsegment"]).alias("fingerprint"))
 
 
-@query(f"SELECT CAST(o_orderkey + 2 AS INT) AS source_row_number, {_RID.replace('source_row_number', '(o_orderkey + 2)')} AS source_record_id FROM orders")
+@query(f"SELECT CAST(o_orderkey + 2 AS BIGINT) AS source_row_number, {_RID.replace('source_row_number', '(o_orderkey + 2)')} AS source_record_id FROM orders")
 def source_record_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = (F.col("o_orderkey") + 2).cast("int")
+    n = (F.col("o_orderkey") + 2).cast("long")
     return table(spark, sf_dir, "orders").select(n.alias("source_row_number"), outputs.record_id("demo", n).alias("source_record_id"))
 
 
@@ -492,7 +492,7 @@ def replay_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.latest_by_hash(runs, "7").select("id", "status")
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY o_custkey, o_orderkey) + 1 AS INT) AS source_row_number, o_orderkey FROM orders")
+@query("SELECT CAST(row_number() OVER (ORDER BY o_custkey, o_orderkey) + 1 AS BIGINT) AS source_row_number, o_orderkey FROM orders")
 def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ordered_rows(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"]).select("source_row_number", "o_orderkey")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.ingest import ordered_rows
+from ..sources import ingest
 from .contract import Contract, Field, Table, eligibility
 from .mapping import Mapping, Step
 
@@ -24,7 +24,7 @@ WITH b AS (
          lpad(CAST(day(dob) AS STRING), 2, '0') AS dd
   FROM b
 )
-SELECT CAST(k + 2 AS INT) AS source_row_number,
+SELECT CAST(k + 2 AS BIGINT) AS source_row_number,
   mem AS member_number,
   CASE WHEN mc = 10 THEN '' ELSE ' First' || CAST(c % 20 AS STRING) || ' ' END AS first,
   CASE WHEN k % 1009 = 12 THEN 'Conflict' ELSE 'Last' || CAST(c % 16 AS STRING) END AS last,
@@ -72,7 +72,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def elig(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(ELIG, orders=table(spark, sf_dir, "orders"), customer=table(spark, sf_dir, "customer"))
+    return spark.sql(ELIG, orders=ingest.spread(table(spark, sf_dir, "orders")), customer=table(spark, sf_dir, "customer"))
 
 
 def identity_mappings(steps: dict[str, list[Step]] | None = None, **policy) -> list[Mapping]:
@@ -106,13 +106,13 @@ LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantit
 
 def order_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with its order and customer as text, numbered by all columns of lineitem: a total order, as its rows are distinct."""
-    lines = table(spark, sf_dir, "lineitem").select(*LINE_ORDER)
+    lines = ingest.spread(table(spark, sf_dir, "lineitem").select(*LINE_ORDER))
     rows = lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     rows = rows.select(*LINE_ORDER, *[F.expr(e).alias(n) for n, e in BOOK.items()])
-    return ordered_rows(rows, LINE_ORDER).select("source_row_number", *BOOK)
+    return ingest.ordered_rows(rows, LINE_ORDER).select("source_row_number", *BOOK)
 
 
-ORDER_BOOK_SQL = f"SELECT CAST(row_number() OVER (ORDER BY {', '.join(LINE_ORDER)}) + 1 AS INT) AS source_row_number, {', '.join(f'{e} AS {n}' for n, e in BOOK.items())} FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"
+ORDER_BOOK_SQL = f"SELECT CAST(row_number() OVER (ORDER BY {', '.join(LINE_ORDER)}) + 1 AS BIGINT) AS source_row_number, {', '.join(f'{e} AS {n}' for n, e in BOOK.items())} FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"
 
 
 def book_mappings(contract: Contract) -> list[Mapping]:

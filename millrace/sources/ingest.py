@@ -17,32 +17,52 @@ def null_tokens(df: DataFrame, tokens: tuple[str, ...] = NA_TOKENS) -> DataFrame
     return df.select(*[F.when(~F.col(f"`{c}`").isin(*tokens), F.col(f"`{c}`")).alias(c) if c != "source_row_number" else F.col(c) for c in df.columns])
 
 
-def number_rows(df: DataFrame, first: int = 2) -> DataFrame:
-    """source_row_number in file order, from 2 (the header is line 1): partition sizes are counted once, then each row is its partition's offset and its place in it.
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan's rows on all cores where its files are too few or small to make a task for each; larger scans stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
-    One count for each partition reaches the driver. The frame must be read in the same partitions twice, as files and checkpoints are.
+
+def number_rows(df: DataFrame, first: int = 2, block: list[Column] | None = None) -> DataFrame:
+    """source_row_number in file order, from 2 (the header is line 1): rows are counted by partition, or by block of a file, then each row is its block's offset and its place in it.
+
+    One count for each block reaches the driver. block: columns that name a row's block and order the blocks; a partition if there are none. The frame must be read in the same
+    partitions twice, as files and checkpoints are.
     """
     df = df.drop("source_row_number")  # an exported file's own numbers are no identity
-    tagged = df.withColumn("_m", F.monotonically_increasing_id())
-    sizes = tagged.groupBy(F.shiftright("_m", 33).cast("int").alias("p")).count().orderBy("p").collect()
+    block = block or [F.spark_partition_id()]
+    keys = [f"_b{k}" for k in range(len(block))]
+    tagged = df.select("*", *[c.alias(k) for c, k in zip(block, keys, strict=True)], F.monotonically_increasing_id().alias("_m"))
+    sizes = tagged.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_m").alias("low")).orderBy(*keys)
     at, starts = first, []
-    for r in sizes:
-        starts.append((r["p"], at))
-        at += r["count"]
-    starts_df = df.sparkSession.createDataFrame(starts, "p int, s long")
-    out = tagged.withColumn("p", F.shiftright("_m", 33).cast("int")).join(F.broadcast(starts_df), "p")
-    return out.select((F.col("s") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).cast("int").alias("source_row_number"), *[F.col(f"`{c}`") for c in df.columns])
+    for r in sizes.collect():
+        starts.append((*[r[k] for k in keys], at - r["low"]))  # a block's rows follow one another in a partition
+        at += r["n"]
+    kinds = [f"{k} {sizes.schema[k].dataType.simpleString()}" for k in keys]
+    starts_df = df.sparkSession.createDataFrame(starts, ", ".join([*kinds, "_s long"]))
+    out = tagged.join(F.broadcast(starts_df), keys)
+    return out.select((F.col("_s") + F.col("_m")).alias("source_row_number"), *[F.col(f"`{c}`") for c in df.columns])
+
 
+def quoted_newlines(spark: SparkSession, path: str) -> bool:
+    """Whether a line of the file has an odd number of quotes, so that a value may go on in the next line."""
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return spark.read.text(path).where(odd % 2 == 1).limit(1).count() > 0
 
-def read_csv(spark: SparkSession, path: str, tokens: tuple[str, ...] = NA_TOKENS) -> DataFrame:
-    """A CSV file with a header: every column as text (leading zeros stay), missing tokens as nulls, rows numbered."""
-    df = spark.read.options(header=True, multiLine=True, escape='"', inferSchema=False, mode="PERMISSIVE").csv(path)
-    return null_tokens(number_rows(df), tokens)
+
+def read_csv(spark: SparkSession, path: str, tokens: tuple[str, ...] = NA_TOKENS, multiline: bool | None = None) -> DataFrame:
+    """CSV files with a header: every column as text (leading zeros stay), missing tokens as nulls, rows numbered in the order of the files' names.
+
+    Files are read in splits, unless values hold line breaks; then a file is one task. multiline says so; by default the file is looked at.
+    """
+    multiline = quoted_newlines(spark, path) if multiline is None else multiline
+    df = spark.read.options(header=True, multiLine=multiline, escape='"', inferSchema=False, mode="PERMISSIVE").csv(path)
+    return null_tokens(number_rows(df, block=[F.col("_metadata.file_path"), F.col("_metadata.file_block_start")]), tokens)
 
 
 def ordered_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """source_row_number from 2 by a total order of the columns, by one range partitioning: no single-task sort."""
-    return number_rows(cut(df.orderBy(*columns)))  # the planner may merge partitions of a sort anew each time it runs
+    return number_rows(cut(df.orderBy(*columns)))  # the planner may merge partitions of a sort anew each time it runs; those of a checkpoint stay
 
 
 def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
@@ -61,10 +81,15 @@ def text_fingerprint(columns: list[str]) -> Column:
 
 
 def file_fingerprint(df: DataFrame, columns: list[str], rows_a_block: int = 4096) -> DataFrame:
-    """(fingerprint): a tree of SHA-256 over rows in order, block by block, so no task holds more than a block of hashes and the last one a hash a block."""
-    rows = df.select(F.floor(F.col("source_row_number") / rows_a_block).cast("long").alias("b"), "source_row_number", text_fingerprint(columns).alias("h"))
-    blocks = rows.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("source_row_number", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
-    return blocks.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
+    """(fingerprint): a tree of SHA-256 over rows in order. Rows are hashed by blocks, blocks by blocks of blocks and so on, so no task holds more than a block of hashes."""
+    level = df.select(F.col("source_row_number").alias("n"), text_fingerprint(columns).alias("h"))
+    most = df.agg(F.max("source_row_number").alias("n")).first()["n"] or 0
+    digest = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "h"))), lambda x: x["h"]), ""), 256).alias("h")
+    while True:
+        level = level.groupBy(F.floor(F.col("n") / rows_a_block).cast("long").alias("b")).agg(digest).select(F.col("b").alias("n"), "h")
+        most //= rows_a_block
+        if most < rows_a_block:
+            return level.agg(digest.alias("fingerprint"))
 
 
 def bytes_fingerprint(path: str) -> str:
