@@ -674,11 +674,101 @@ def age_in_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------------------------------------- suggestion, store
 
 
-@query()
+#: Expected suggestions, by the fixed points: an alias 70; 30 for clear evidence, 20 for texts, 10 and 5 for ids that repeat; 20 off for a vague header.
+_SUGGESTED = """
+('members', 'member_id', 'member_number', 80, 'suggested', 'weak_type_alignment', true, 'weak'),
+('members', 'first_name', 'first', 90, 'strong_suggestion', '', false, 'aligned'),
+('members', 'last_name', 'last', 90, 'strong_suggestion', '', false, 'aligned'),
+('members', 'date_of_birth', 'dob', 100, 'strong_suggestion', '', false, 'aligned'),
+('members', 'gender', 'sex', 100, 'strong_suggestion', '', false, 'aligned'),
+('members', 'email', 'email_address', 100, 'strong_suggestion', '', false, 'aligned'),
+('members', 'phone', 'phone', 100, 'strong_suggestion', '', false, 'aligned'),
+('plans', 'plan_id', 'plan_code', 100, 'strong_suggestion', '', false, 'aligned'),
+('plans', 'plan_name', 'plan_name', 90, 'strong_suggestion', '', false, 'aligned'),
+('plans', 'plan_type', 'plan_type', 100, 'strong_suggestion', '', false, 'aligned'),
+('plans', 'carrier_name', 'carrier', 90, 'strong_suggestion', '', false, 'aligned'),
+('member_coverage', 'member_id', 'member_number', 80, 'suggested', 'weak_type_alignment', true, 'weak'),
+('member_coverage', 'plan_id', 'plan_code', 100, 'strong_suggestion', '', false, 'aligned'),
+('member_coverage', 'coverage_start_date', 'effective_date', 100, 'strong_suggestion', '', false, 'aligned'),
+('member_coverage', 'coverage_end_date', 'term_date', 100, 'strong_suggestion', '', false, 'aligned'),
+('member_coverage', 'coverage_status', 'status', 80, 'suggested', 'ambiguous_status', true, 'aligned'),
+('member_coverage', 'relationship_to_subscriber', 'relation', 100, 'strong_suggestion', '', false, 'aligned'),
+('member_coverage', 'subscriber_id', 'subscriber_id', 55, 'weak_suggestion', 'ambiguous_subscriber_id,weak_type_alignment', true, 'weak')
+"""
+
+
+@query(f"SELECT * FROM (VALUES {_SUGGESTED}) AS v(target_table, target_field, source_column, confidence, status, review_flags, needs_review, alignment)")
 def elig_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suggested mappings of the eligibility columns. Scoring is metadata work on the driver, so there is no SQL."""
+    """Suggested mappings of the eligibility columns."""
     found = suggest(profile.profiles_for_mapping(elig(spark, sf_dir), COLUMNS), CONTRACT)
-    return spark.createDataFrame([(m.table, m.field, m.source, m.confidence, m.status) for m in found], "target_table string, target_field string, source_column string, confidence int, status string")
+    rows = [(m.table, m.field, m.source, m.confidence, m.status, ",".join(m.flags), m.needs_review, m.alignment) for m in found]
+    return spark.createDataFrame(rows, "target_table string, target_field string, source_column string, confidence int, status string, review_flags string, needs_review boolean, alignment string")
+
+
+@query("SELECT * FROM (VALUES ('mbr_no', 'member_id', 70), ('Member Numbr', 'member_id', 60), ('member key', 'member_id', 25), ('start of coverage date', 'coverage_start_date', 45), ('colour', 'member_id', 0)) AS v(header, target_field, name_score)")
+def name_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of headers for a field: an alias once abbreviations are written out, a close spelling, shared words, nothing."""
+    from .mapping import column_key, name_score, names_of
+
+    rows = [(h, f, name_score(column_key(h), names_of(CONTRACT.by_name[f]))) for h, f in (("mbr_no", "member_id"), ("Member Numbr", "member_id"), ("member key", "member_id"), ("start of coverage date", "coverage_start_date"), ("colour", "member_id"))]
+    return spark.createDataFrame(rows, "header string, target_field string, name_score int")
+
+
+@query("SELECT * FROM (VALUES ('carrier', 'unused', false), ('dob', 'approved_mapped', false), ('email_address', 'unused', true), ('sex', 'suggested_mapped', false)) AS v(column_name, status, needs_review)")
+def elig_source_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The use of four source columns by mappings of which one is approved, one is not, and two are missing."""
+    from .mapping import source_coverage
+
+    used = [replace(m, approved=m.field != "gender") for m in identity_mappings() if m.field in ("date_of_birth", "gender")]
+    found = source_coverage(profile.profiles_for_mapping(elig(spark, sf_dir), ["carrier", "dob", "email_address", "sex"]), used)
+    return spark.createDataFrame([(c["column_name"], c["status"], c["needs_review"]) for c in found], "column_name string, status string, needs_review boolean")
+
+
+@query("SELECT * FROM (VALUES ('required_without_mapping', 'members.member_id'), ('required_without_mapping', 'member_coverage.coverage_status'), ('steps_not_approved', 'members.date_of_birth')) AS v(gate, target)")
+def mapping_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps a mapping from being used: two required fields without an approved mapping, one pipeline that nobody approved."""
+    from .mapping import required_gaps, unapproved_steps
+
+    found = [m for m in identity_mappings({"date_of_birth": _PD}) if (m.table, m.field) != ("members", "member_id")]
+    found = [replace(m, approved=m.field != "coverage_status", steps_approved=m.field != "date_of_birth") for m in found]
+    rows = [("required_without_mapping", f"{f.table}.{f.name}") for f in required_gaps(found, CONTRACT)] + [("steps_not_approved", f"{m.table}.{m.field}") for m in unapproved_steps(found)]
+    return spark.createDataFrame(rows, "gate string, target string")
+
+
+@query(f"WITH e AS ({ELIG_SQL}) SELECT source_row_number, strftime({_date('dob')}, '%Y-%m-%d') AS final_value, CASE WHEN {_date('dob')} IS NULL THEN 'failed' ELSE 'ready' END AS status, CASE WHEN {_date('dob')} IS NULL THEN 'Value could not be parsed as a date.' ELSE '' END AS message FROM e ORDER BY source_row_number LIMIT 10")
+def elig_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten rows of a pipeline, as its editor shows them."""
+    return pipeline.preview(elig(spark, sf_dir), Mapping("members", "date_of_birth", ("dob",), tuple(_PD)), CONTRACT).drop("transformation_trace")
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) + 1 AS source_row_number, CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN 'a \"b\", ' || c_name END AS c_name, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written as CSV and read back: quotes, commas, missing tokens, numbered in file order."""
+    k, path = F.col("c_custkey"), scratch_path(spark, "csv")
+    name = F.when(k % 3 != 0, F.concat(F.lit('a "b", '), "c_name"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", name.alias("c_name"), F.when(k % 7 == 0, "N/A").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
+    ingest.write_csv(rows.orderBy("c_custkey"), path, single=False)
+    return ingest.read_csv(spark, path)
+
+
+@query(f"{I} SELECT CAST(r AS INT) AS import_run_id, severity, count(*) AS row_count FROM i, (VALUES (1), (2)) AS v(r) GROUP BY ALL")
+def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of two runs, appended to a store and read back."""
+    issues, store = Run(spark, sf_dir).issues, Store(spark, scratch_path(spark, "audit"))
+    for run in (1, 2):
+        store.append("issues", issues, run)
+    return store.audit("issues").groupBy("import_run_id", "severity").agg(F.count("*").alias("row_count"))
+
+
+@query(f"{I} SELECT source_row_number FROM bad WHERE source_row_number IN (SELECT source_row_number FROM i WHERE severity = 'error' AND contains(issue_code, 'date_of_birth'))")
+def elig_queue_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Run(spark, sf_dir)
+    return corrections.with_code(outputs.rejected_rows(r.source, r.issues), "date_of_birth").select("source_row_number")
+
+
+@query("SELECT c_custkey, substr(sha256(CAST(c_custkey AS STRING) || chr(31) || c_name), 1, 12) AS fingerprint FROM customer")
+def short_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", ingest.short_fingerprint(ingest.text_fingerprint(["c_custkey", "c_name"])).alias("fingerprint"))
 
 
 @query("SELECT 'customers' AS target_table, CASE WHEN c_custkey % 4 = 0 THEN 'insert' WHEN c_custkey % 4 = 1 THEN 'update' ELSE 'unchanged' END AS outcome, count(*) AS row_count FROM customer GROUP BY ALL")

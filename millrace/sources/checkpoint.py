@@ -15,6 +15,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not shared and sc.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share.")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -67,7 +67,7 @@ def ordered_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
     """One UTF-8 file with a header for people; many for large results."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
+    (df.coalesce(1) if single else df).write.mode("overwrite").options(header=True, escape=chr(34)).csv(path)  # quotes are doubled, as read_csv takes them
 
 
 def row_fingerprint(columns: list[str]) -> Column:
@@ -75,6 +75,11 @@ def row_fingerprint(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
 
 
+def short_fingerprint(fingerprint: Column) -> Column:
+    """The first 12 characters, for people."""
+    return F.substring(fingerprint, 1, 12)
+
+
 def text_fingerprint(columns: list[str]) -> Column:
     """SHA-256 of a row's columns in their order, joined with a unit separator; nulls as a mark of their own."""
     return F.sha2(F.array_join(F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\\N")) for c in columns]), "\x1f"), 256)

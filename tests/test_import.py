@@ -259,3 +259,59 @@ def test_generated_ids_of_other_contracts(spark):
     assert [x.issue_code for x in issues.collect()] == ["b_out_of_range"]
     got = outputs.output(outputs.tables(typed, issues, c)["t"], c.tables[0]).collect()
     assert len(got) == 1 and got[0].t_id.startswith("T-") and got[0].b == 1.0
+
+
+def test_failures_of_any_kind_are_kept(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    c = store.ensure_contract(eligibility())
+    r = Run(spark, [row()])
+    store.publish(r.plain, c, file_hash="h1", checks=r.checks())
+    own = [x.member_id for x in store.table("members").where("import_run_id = 1").collect()]
+    assert len(own) == 1
+    before = store.files.names("manifests")
+    broken = r.plain | {"members": r.plain["members"].withColumn("last_name", F.raise_error(F.lit("broken")).cast("string"))}
+    with pytest.raises(Exception, match="broken"):
+        store.publish(broken, c, file_hash="h2", checks=r.checks())
+    last = max(store.runs(), key=lambda x: x["id"])
+    assert last["status"] == "failed" and "broken" in last["error"] and store.files.names("manifests") == before and store.replay("h2") is None
+    changed = Run(spark, [row(member_number="MEM7", subscriber_id="MEM7")])
+    store.publish(changed.plain, c, file_hash="h3", checks=changed.checks())
+    assert {x.member_id: x.import_run_id for x in store.table("members").collect()} == {own[0]: 1, "MEM7": 3}
+    assert store._latest()[1]["keys"]["members"]["business_key"] == ["member_id"]
+
+
+def test_run_numbers_are_taken_once(spark, tmp_path):
+    a, b = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    assert [a._run_id(), b._run_id(), a._run_id()] == [1, 2, 3]
+
+
+def test_templates_are_kept_by_version(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    raw = {"template_name": "Carrier A", "template_version": "1.0.0", "mappings": [{"target_table": "members"}]}
+    assert store.keep_template(raw) == store.keep_template(dict(raw)) and store.template("Carrier A", "1.0.0") == raw
+    with pytest.raises(ValueError):
+        store.keep_template(raw | {"mappings": []})
+    assert store.template("Carrier A", "2.0.0") is None
+
+
+def test_csv_files_are_numbered_in_order(spark, tmp_path):
+    path = tmp_path / "in"
+    path.mkdir()
+    (path / "a.csv").write_text("k,v\n" + "".join(f"{i},x\n" for i in range(50)))
+    (path / "b.csv").write_text("k,v\n50,NA\n51,\n")
+    rows = ingest.read_csv(spark, str(path)).collect()
+    assert sorted((r.source_row_number, int(r.k)) for r in rows) == [(i + 2, i) for i in range(52)] and {r.v for r in rows} == {"x", None}
+    (path / "b.csv").write_text('k,v\n50,"two\nlines"\n')
+    assert ingest.quoted_newlines(spark, str(path)) and {r.v for r in ingest.read_csv(spark, str(path)).collect()} == {"x", "two\nlines"}
+
+
+def test_mapping_flags():
+    fields = {f.name: f for f in CONTRACT.fields}
+    base = {"inferred_type": "text", "null_rate": 0.0, "unique_rate": 0.1, "date_parse_rate": 0.0, "email_pattern_rate": 0.0, "phone_pattern_rate": 0.0, "samples": ["x"], "known_enum_matches": {}}
+    profiles = [base | {"column_name": "dob", "normalized_name": "dob"}, base | {"column_name": "status", "normalized_name": "status", "known_enum_matches": {"coverage_status": ["active"]}}]
+    found = {(m.table, m.field): m for m in mapping.suggest(profiles, CONTRACT)}
+    born, state = found["members", "date_of_birth"], found["member_coverage", "coverage_status"]
+    assert (born.confidence, born.status, born.flags, born.needs_review, born.alignment) == (60, "weak_suggestion", ("target_type_mismatch",), True, "mismatch")
+    assert (state.confidence, state.status, state.flags) == (80, "suggested", ("ambiguous_status",))
+    assert found["members", "member_id"].flags == ("required_unmapped",) and found["members", "member_id"].needs_review and not found["members", "email"].needs_review
+    assert mapping.value_score(base | {"unique_rate": 0.9}, fields["member_id"]) == 30 and mapping.code_rate(["A1", "abc", "ABC", "a" * 30 + "1"]) == 0.5
