@@ -12,7 +12,6 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Chunks of a worker's table, and the longest chunk it keeps in bytes.
-TABLE = 200_000
+TABLE = 300_000
 LONGEST = 128
 #: Texts that are encoded together, and their bytes.
 BATCH = 256
@@ -39,6 +38,24 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Chunks(dict):
+    """chunk: its ids. A chunk that isn't there comes from the table before, so what is used again moves over, or is made; long ones aren't kept."""
+
+    def __init__(self, make: Callable[[bytes], bytes], older: _Chunks | None = None):
+        super().__init__()
+        self.make, self.older = make, {}
+        if older is not None:
+            older.older, self.older = {}, older
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        found = self.older.get(chunk)
+        if found is None:
+            found = self.make(chunk)
+        if len(chunk) <= LONGEST:
+            self[chunk] = found
+        return found
+
+
 class ChunkEncoder:
     """encode(texts as UTF-8) gives each text's ids as little-endian unsigned 32-bit numbers, those that the library gives with its default settings.
 
@@ -61,22 +78,11 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True  # for chunks that spell an added token only once they are lower case
         self.merge = self.tokenizer.model.tokenize
         self.shown = byte_characters()
-        self.table: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}  # the table before: what is used again moves over
+        self.table = _Chunks(self._ids)
 
     def _whole(self, chunk: str) -> bytes:
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
-    def _known(self, chunk: bytes) -> bytes:
-        found = self.table.get(chunk)
-        if found is None:
-            found = self.older.get(chunk)
-            if found is None:
-                found = self._ids(chunk)
-            if len(chunk) <= LONGEST:
-                self.table[chunk] = found
-        return found
-
     def _ids(self, chunk: bytes) -> bytes:
         if chunk in self.added:
             return self.added[chunk]
@@ -88,10 +94,10 @@ class ChunkEncoder:
             return self._whole(text)
         word, signs = parts.groups()
         if signs:
-            return self._known(word.lower().encode()) + self._known(signs.encode())
+            return self.table[word.lower().encode()] + self.table[signs.encode()]
         low = word.lower()
         if low != word:
-            return self._known(low.encode())
+            return self.table[low.encode()]
         if not word.isascii():
             word = chunk.decode("latin-1").translate(self.shown)
         return array("I", [t.id for t in self.merge(word)]).tobytes()
@@ -106,18 +112,8 @@ class ChunkEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.table) > TABLE:
-            self.table, self.older = {}, self.table
-        chunks = [self._chunks(t) for t in texts]
-        extra = {}
-        for c in set(chain.from_iterable(chunks)).difference(self.table):
-            if len(c) <= LONGEST:
-                self._known(c)
-            else:
-                extra[c] = self._ids(c)
-        if not extra:
-            get = self.table.__getitem__
-            return [b"".join(map(get, cs)) for cs in chunks]
-        return [b"".join([extra[c] if len(c) > LONGEST else self.table[c] for c in cs]) for cs in chunks]
+            self.table = _Chunks(self._ids, self.table)
+        return [b"".join(map(self.table.__getitem__, self._chunks(t))) for t in texts]
 
 
 _encoders: dict[int, ChunkEncoder] = {}
