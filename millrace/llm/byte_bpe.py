@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions over a rank file.
 
 A word (a match of the splitting pattern) is an array of its bytes; a fold merges the adjacent pair of lowest rank, leftmost first, until no
-pair has a rank. The rank map is a literal: pairs of token ids are hashed to one of two slots each, so a look-up reads two array elements.
+pair has a rank. The rank map is a literal: pairs of token ids are hashed to one of two slots each, so a look-up reads two array elements; pairs of bytes have an array of their own.
 
 Words repeat, so the fold runs over distinct words: counts are taken over all documents, and the words above a count that at most
 `dictionary` of them reach are folded once each. That table (word, ids) has a bounded size whatever the corpus, and goes to every task; texts are
-split there and their words looked up in place, so no token occurrence is ever shuffled. A word outside the table, or too long for
-a fold whose cost is the square of its length, is merged where it stands with the same ranks, leftmost lowest rank first (a heap).
+split there and their words looked up in place, so no token occurrence is ever shuffled. Words outside the table go back to the plan as they stand, and
+the same fold makes their ids there. Only a word of more than LONG bytes, a run without a break, is merged by a heap
+with the same ranks: the cost of a fold is the square of a word's length.
 
 Decoding looks up each id's bytes in a literal array and concatenates the binary pieces.
 """
@@ -15,7 +16,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+import io
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import public_tokenizers
@@ -24,15 +27,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, slices, table
 
-#: Words of the table of frequent words: about 150 bytes each in a worker.
-DICTIONARY = 1 << 17
-#: Longest word in bytes of that table.
-LONG = 64
-#: Other words that a worker keeps, about as large.
-OTHERS = 200_000
+#: Words of the table of frequent words, and the longest of them in bytes: the bound of what goes to every task, about 180 bytes a word in a worker.
+DICTIONARY = 1 << 20
+SHORT = 64
+#: Longest word in bytes that is folded.
+LONG = 8192
 NONE = 1 << 30
+#: An id that no token has and no pair of the rank map.
+EDGE = 65535
 RANK_SLOTS = 1 << 18
 
 
@@ -93,53 +97,67 @@ class Codec:
                     merged.append(rank)
         packed = [-1 if k is None else keys[k] << 16 | merged[k] for k in place(keys, RANK_SLOTS, _pair_spots)]
         self.table = literal(packed, "array<bigint>")
+        # By bytes: a byte's id, and the rank of each two bytes.
         self.bytes = literal([ranks[bytes([b])] for b in range(256)], "array<int>")
+        self.pairs = literal([ranks.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)], "array<int>")
         self.parts = literal([base64.b64encode(p).decode() for p in self.pieces], "array<binary>").cast("array<string>")
 
-    def pair_rank(self, ranks: Column, a: Column, b: Column) -> Column:
-        """The rank of two adjacent tokens' merge by the table of ranks, NONE if they don't merge."""
+    def pair_rank(self, ranks: Column, key: Column) -> Column:
+        """The rank of two adjacent tokens' merge by the table of ranks, NONE if they don't merge. key: the first id times 2 ** 16 and the second."""
 
-        def look(key: Column) -> Column:
-            h = F.xxhash64(key)
+        def look(h: Column) -> Column:
             first = F.get(ranks, h.bitwiseAND(F.lit(RANK_SLOTS - 1)).cast("int"))
             second = F.get(ranks, F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(RANK_SLOTS - 1)).cast("int"))
             entry = F.when(F.shiftright(first, 16) == key, first).when(F.shiftright(second, 16) == key, second)
             return F.coalesce(entry.bitwiseAND(F.lit(65535)).cast("int"), F.lit(NONE))
 
-        return let(F.shiftleft(a.cast("long"), 16) + b, look)
+        return let(F.xxhash64(key), look)
 
     def encode_word(self, word: Column) -> Column:
-        """array<int>: the ids of one word that isn't empty. The table is bound once: plans print their literals."""
-        return let(self.table, lambda ranks: self._fold(word, ranks))
+        """array<int>: the ids of one word that isn't empty."""
+        return self.with_tables(lambda tables: self._fold(word, tables))
 
-    def _fold(self, word: Column, table: Column) -> Column:
-        raw = word.cast("binary")
-        ids = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.get(self.bytes, F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int")))
+    def with_tables(self, body: Callable[[Column], Column]) -> Column:
+        """body with the tables bound once: plans print their literals."""
+        return let(F.struct(self.table.alias("r"), self.bytes.alias("b"), self.pairs.alias("p")), body)
 
-        def start(p: Column) -> Column:
-            ranks = F.transform(F.slice(p, 2, F.size(p)), lambda b, i: self.pair_rank(table, F.get(p, i), b))
-            return F.struct(p.alias("p"), ranks.alias("r"), F.array_min(ranks).alias("m"))
+    def _fold(self, word: Column, tables: Column) -> Column:
+        """State: the ids with EDGE at both ends, the rank of each adjacent pair (NONE at the edges), the least rank."""
+        chars = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # a character for each byte
+        codes = F.transform(F.filter(F.split(chars, ""), lambda c: c != ""), lambda c: F.ascii(c))
+        edge, none = F.array(F.lit(EDGE)), F.array(F.lit(NONE))
+
+        def start(c: Column) -> Column:
+            ids = F.concat(edge, F.transform(c, lambda x: F.get(tables["b"], x)), edge)
+            inner = F.transform(F.slice(c, 2, F.size(c)), lambda x, i: F.get(tables["p"], F.get(c, i) * 256 + x))
+            return let(F.concat(none, inner, none), lambda r: F.struct(ids.alias("p"), r.alias("r"), F.array_min(r).alias("m")))
 
         def step(acc: Column, _: Column) -> Column:
             p, r, m = acc["p"], acc["r"], acc["m"]
 
             def merged(i: Column) -> Column:
-                """i: place of the pair, from 1."""
+                """i: place of the pair's first token in p, from 1; never 1, which is the edge."""
+                keys = F.array(F.shiftleft(F.get(p, i - 2).cast("long"), 16) + m, F.shiftleft(m.cast("long"), 16) + F.get(p, i + 1))
+                near = F.transform(keys, lambda key: self.pair_rank(tables["r"], key))
                 p2 = F.concat(F.slice(p, F.lit(1), i - 1), F.array(m), F.slice(p, i + 2, F.size(p)))
-                before = F.when(i > 1, F.array(self.pair_rank(table, F.get(p, i - 2), m)))
-                after = F.when(i < F.size(r), F.array(self.pair_rank(table, m, F.get(p, i + 1))))
-                none = F.array().cast("array<int>")
-                r2 = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), F.coalesce(before, none), F.coalesce(after, none), F.slice(r, i + 2, F.size(r)))
+                r2 = F.concat(F.slice(r, F.lit(1), i - 2), near, F.slice(r, i + 2, F.size(r)))
                 return let(r2, lambda x: F.struct(p2.alias("p"), x.alias("r"), F.array_min(x).alias("m")))
 
             return F.when(m < NONE, let(F.array_position(r, m).cast("int"), merged)).otherwise(acc)
 
-        return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), let(ids, start), step, lambda acc: acc["p"])
+        done = lambda c: F.aggregate(F.sequence(F.lit(1), F.size(c)), start(c), step, lambda acc: F.slice(acc["p"], F.lit(2), F.size(acc["p"]) - 2))
+        return let(codes, done)
 
     def word_ids(self, word: Column) -> Column:
         """The ids of one word, comma-joined."""
         return F.array_join(self.encode_word(word), ",")
 
+    def ids_of(self, runs: Column, words: Column) -> Column:
+        """Comma-joined ids: those of a run of known words, of the word after it, of the next run and so on; runs has one element more than words."""
+        folded = self.with_tables(lambda tables: F.transform(words, lambda w: F.array_join(self._fold(w, tables), ",")))
+        both = F.zip_with(runs, F.when(F.size(words) > 0, folded).otherwise(F.array().cast("array<string>")), lambda r, w: F.array(r, w))
+        return F.array_join(F.filter(F.flatten(both), lambda x: x != ""), ",")
+
     def decode(self, ids: Column) -> Column:
         """binary: the concatenated pieces of array<int> ids."""
         return F.array_join(F.transform(ids, lambda i: F.get(self.parts, i)), "").cast("binary")
@@ -153,8 +171,8 @@ def words_of(text: Column, pattern: str = public_tokenizers.PATTERN) -> Column:
 # --------------------------------------------------------------------------------------------- frequent words
 
 
-def frequent_words(texts: DataFrame, codec: Codec, dictionary: int = DICTIONARY, pattern: str = public_tokenizers.PATTERN) -> dict[str, str]:
-    """word: ids, for the words whose count over all rows exceeds the least count that at most `dictionary` words exceed."""
+def frequent_words(texts: DataFrame, codec: Codec, dictionary: int = DICTIONARY, pattern: str = public_tokenizers.PATTERN) -> pa.Table:
+    """(w, ids comma-joined): the words of SHORT bytes at most whose count over all rows exceeds the least count that at most `dictionary` words exceed."""
     counts = texts.select(F.explode(words_of(F.col("text"), pattern)).alias("w")).groupBy("w").count().where("count > 1")
     counts = cut(counts)
     left, least, parts = dictionary, 1 << 62, 4 * texts.sparkSession.sparkContext.defaultParallelism
@@ -163,8 +181,8 @@ def frequent_words(texts: DataFrame, codec: Codec, dictionary: int = DICTIONARY,
         if r["n"] > left:
             break
         left, least = left - r["n"], r["c"]
-    chosen = counts.where(F.col("count") >= least).where(F.octet_length("w") <= LONG)
-    return dict(chosen.repartition(parts).select("w", codec.word_ids(F.col("w")).alias("ids")).collect())  # dictionary rows at most
+    chosen = counts.where(F.col("count") >= least).where(F.octet_length("w") <= SHORT)
+    return chosen.repartition(parts).select("w", codec.word_ids(F.col("w")).alias("ids")).toArrow()  # dictionary rows at most
 
 
 # ------------------------------------------------------------------------------------------------ whole texts
@@ -195,43 +213,58 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in part if p is not None]
 
 
-class _Words(dict):
-    """word: ids, comma-joined. Starts as the table of frequent words; keeps a bounded number of others."""
+def _packed(known: pa.Table) -> bytes:
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, known.schema) as stream:
+        stream.write_table(known)
+    return out.getvalue()
+
+
+_tables: dict[str, dict[str, str]] = {}
 
-    def __init__(self, known: dict[str, str], ranks: dict[bytes, int]):
-        super().__init__(known)
-        self.ranks, self.most = ranks, len(known) + OTHERS
-        self.known = known
 
-    def __missing__(self, word: str) -> str:
-        ids = ",".join(map(str, heap_merge(word.encode("utf-8", "replace"), self.ranks)))
-        if len(word) <= LONG:
-            if len(self) >= self.most:
-                self.clear()
-                self.update(self.known)
-            self[word] = ids
-        return ids
+def _unpacked(name: str, shared) -> dict[str, str]:
+    """The table as a dictionary, made once in a worker process; the one before goes."""
+    if name not in _tables:
+        _tables.clear()
+        with pa.ipc.open_stream(shared.value) as stream:
+            _tables[name] = {w: ids for b in stream for w, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    return _tables[name]
 
 
-def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, dictionary: int = DICTIONARY, pattern: str = public_tokenizers.PATTERN) -> tuple[DataFrame, Codec]:
+def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, dictionary: int = DICTIONARY, pattern: str = public_tokenizers.PATTERN, long: int = LONG) -> tuple[DataFrame, Codec]:
     """((id, ids): one row per row of docs, ids comma-joined; the codec). Null texts count as empty; empty texts have no ids. Special tokens' strings are ordinary text."""
     codec = Codec(load_ranks(path))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    known = frequent_words(rows, codec, dictionary, pattern)
-    shared = docs.sparkSession.sparkContext.broadcast((known, codec.ranks))  # both bounded by parameters
+    shared, name = docs.sparkSession.sparkContext.broadcast(_packed(frequent_words(rows, codec, dictionary, pattern))), uuid.uuid4().hex
+    ranks = codec.ranks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        split, get = regex.compile(pattern).findall, _Words(*shared.value).__getitem__
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                ids = [",".join(map(get, split(t.as_py()))) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.string())], ["id", "ids"])
+        known, split = _unpacked(name, shared), regex.compile(pattern).findall
+        for b in slices(batches, 1):
+            runs, words = [], []
+            for t in b.column(1):
+                found = split(t.as_py())
+                ids = list(map(known.get, found))
+                if None not in ids:
+                    runs.append([",".join(ids)]), words.append([])
+                    continue
+                mine, rare, start = [], [], 0
+                for k in (k for k, x in enumerate(ids) if x is None):
+                    raw = found[k].encode("utf-8", "replace") if len(found[k]) * 4 > long else b""
+                    if len(raw) > long:
+                        ids[k] = ",".join(map(str, heap_merge(raw, ranks)))
+                        continue
+                    mine.append(",".join(ids[start:k])), rare.append(found[k])
+                    start = k + 1
+                runs.append([*mine, ",".join(ids[start:])]), words.append(rare)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(runs, pa.list_(pa.string())), pa.array(words, pa.list_(pa.string()))], ["id", "runs", "words"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids string"), codec
+    made = rows.mapInArrow(run, f"id {kind}, runs array<string>, words array<string>")
+    return made.select("id", codec.ids_of(F.col("runs"), F.col("words")).alias("ids")), codec
 
 
 def id_array(ids: Column) -> Column:
