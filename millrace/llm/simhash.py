@@ -229,7 +229,7 @@ def links(nodes: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
         few = cut(sizes.where(F.col("count") > 1))
         whole = [m for m in masks if finer_masks(m, radius) == [m]]
         too_big = (F.col("count") > bucket) & ~F.col("mask").isin(whole)
-        big = few.where(too_big).select("mask", "key")
+        big = few.where(too_big)
         has_big = bool(big.take(1))
         small = rows.join(few.where(~too_big).select("mask", "key"), ["mask", "key"], "left_semi")
         dealt = small.select("mask", "key", *fields).repartition("mask", "key").sortWithinPartitions("mask", "key")
@@ -240,7 +240,7 @@ def links(nodes: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
         children = {m: finer_masks(m, radius) for m in masks if m not in whole}
         masks = sorted({c for cs in children.values() for c in cs})
         finer = spark.createDataFrame([(m, c) for m, cs in children.items() for c in cs], "mask long, child long")
-        rows = rows.join(big, ["mask", "key"], "left_semi").join(finer, "mask").select(F.col("child").alias("mask"), *fields).distinct()  # masks can share a child
+        rows = spread_join(rows, big, ["mask", "key"], "count", rows.count(), "left_semi").join(F.broadcast(finer), "mask").select(F.col("child").alias("mask"), *fields).distinct()  # masks can share a child
         rows = cut(rows.withColumn("key", F.col("mask").bitwiseAND(F.col("fp"))))
 
 

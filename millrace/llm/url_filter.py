@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, spread_join, table
 
 #: A filter block has eight words of 32 bits: a key sets one bit in each word.
 WORDS = 8
@@ -90,15 +90,18 @@ def filter_urls(pages: DataFrame, url_col: str, rules: DataFrame, keep: list[str
     base = base.withColumn("_cand", F.filter(keys, lambda k: might_contain(k, blocks, words)))
     out = [F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)]
 
-    # Exact join on the possible hits only: once for each distinct host and path, so a repeated url can't become a hot key here.
+    # Exact joins on the possible hits only, once for each distinct host and path; keys that many hosts share and urls that many pages share are spread.
     hits = base.where(F.size("_cand") > 0)
-    asked = hits.select("host", "path", "_cand").groupBy("host", "path").agg(F.first("_cand").alias("_cand"))
-    found = asked.select("host", "path", F.explode("_cand").alias("key")).join(listed, "key")
+    asked = cut(hits.groupBy("host", "path").agg(F.first("_cand").alias("_cand"), F.count("*").alias("_n")))
+    tried = cut(asked.select("host", "path", F.explode("_cand").alias("key")))
+    keyed = listed.join(tried.groupBy("key").agg(F.count("*").alias("_n")), "key")
+    found = spread_join(tried, keyed, ["key"], "_n", tried.count())
     # A key is host + path of a rule; the split must be where the url's own host ends.
     found = found.where((F.col("host") == F.col("h")) | F.endswith(F.col("host"), F.concat(F.lit("."), F.col("h")))).where(F.startswith("path", F.col("p")))
     best = found.groupBy("host", "path").agg(F.min(F.struct((-F.length("key")).alias("n"), "key", "rule_verdict")).alias("best"))
-    best = best.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("best.key").alias("rule"), F.col("best.rule_verdict").alias("rule_verdict"))
-    judged = hits.join(best, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
+    best = best.select("host", "path", F.col("best.key").alias("rule"), F.col("best.rule_verdict").alias("rule_verdict"))
+    best = best.join(asked.select("host", "path", "_n"), ["host", "path"])
+    judged = spread_join(hits, best, ["host", "path"], "_n", asked.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0], "left")
     judged = judged.select(*out, "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))
     clear = base.where(F.size("_cand") == 0).select(*out, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     return judged.unionByName(clear)
