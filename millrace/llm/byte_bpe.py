@@ -23,7 +23,6 @@ from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +36,9 @@ LONG = 8192
 NONE = 1 << 30
 #: An id that no token has and no pair of the rank map.
 EDGE = 65535
+#: Slots of the rank table, and the two primes whose remainders are a pair's places in it.
 RANK_SLOTS = 1 << 18
+PRIMES = (249989, 255049)
 
 
 def load_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -76,8 +77,7 @@ def place(keys: list, slots: int, hashes: Callable[[object], list[int]]) -> list
 
 
 def _pair_spots(key: int) -> list[int]:
-    h = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42)
-    return [h % RANK_SLOTS, (h >> 20) % RANK_SLOTS]
+    return [key % p for p in PRIMES]
 
 
 class Codec:
@@ -105,13 +105,9 @@ class Codec:
     def pair_rank(self, ranks: Column, key: Column) -> Column:
         """The rank of two adjacent tokens' merge by the table of ranks, NONE if they don't merge. key: the first id times 2 ** 16 and the second."""
 
-        def look(h: Column) -> Column:
-            first = F.get(ranks, h.bitwiseAND(F.lit(RANK_SLOTS - 1)).cast("int"))
-            second = F.get(ranks, F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(RANK_SLOTS - 1)).cast("int"))
-            entry = F.when(F.shiftright(first, 16) == key, first).when(F.shiftright(second, 16) == key, second)
-            return F.coalesce(entry.bitwiseAND(F.lit(65535)).cast("int"), F.lit(NONE))
-
-        return let(F.xxhash64(key), look)
+        first, second = (F.get(ranks, (key % F.lit(p)).cast("int")) for p in PRIMES)
+        entry = F.when(F.shiftright(first, 16) == key, first).when(F.shiftright(second, 16) == key, second)
+        return F.coalesce(entry.bitwiseAND(F.lit(65535)).cast("int"), F.lit(NONE))
 
     def encode_word(self, word: Column) -> Column:
         """array<int>: the ids of one word that isn't empty."""
@@ -124,7 +120,7 @@ class Codec:
     def _fold(self, word: Column, tables: Column) -> Column:
         """State: the ids with EDGE at both ends, the rank of each adjacent pair (NONE at the edges), the least rank."""
         chars = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # a character for each byte
-        codes = F.transform(F.filter(F.split(chars, ""), lambda c: c != ""), lambda c: F.ascii(c))
+        codes = F.transform(F.split(chars, ""), lambda c: F.ascii(c))
         edge, none = F.array(F.lit(EDGE)), F.array(F.lit(NONE))
 
         def start(c: Column) -> Column:
@@ -152,11 +148,11 @@ class Codec:
         """The ids of one word, comma-joined."""
         return F.array_join(self.encode_word(word), ",")
 
-    def ids_of(self, runs: Column, words: Column) -> Column:
-        """Comma-joined ids: those of a run of known words, of the word after it, of the next run and so on; runs has one element more than words."""
+    def ids_of(self, runs: Column, words: Column, places: Column) -> Column:
+        """Comma-joined ids: those of a run of known words, of the word after it, of the next run and so on. places has the number in words of the word after each run but the last."""
         folded = self.with_tables(lambda tables: F.transform(words, lambda w: F.array_join(self._fold(w, tables), ",")))
-        both = F.zip_with(runs, F.when(F.size(words) > 0, folded).otherwise(F.array().cast("array<string>")), lambda r, w: F.array(r, w))
-        return F.array_join(F.filter(F.flatten(both), lambda x: x != ""), ",")
+        joined = let(folded, lambda made: F.array_join(F.filter(F.flatten(F.zip_with(runs, places, lambda r, k: F.array(r, F.get(made, k)))), lambda x: x != ""), ","))
+        return F.when(F.size(words) > 0, joined).otherwise(F.get(runs, F.lit(0)))
 
     def decode(self, ids: Column) -> Column:
         """binary: the concatenated pieces of array<int> ids."""
@@ -244,27 +240,28 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         known, split = _unpacked(name, shared), regex.compile(pattern).findall
         for b in slices(batches, 1):
-            runs, words = [], []
+            runs, words, places = [], [], []
             for t in b.column(1):
                 found = split(t.as_py())
                 ids = list(map(known.get, found))
                 if None not in ids:
-                    runs.append([",".join(ids)]), words.append([])
+                    runs.append([",".join(ids)]), words.append([]), places.append([])
                     continue
-                mine, rare, start = [], [], 0
+                mine, rare, at, start = [], {}, [], 0
                 for k in (k for k, x in enumerate(ids) if x is None):
                     raw = found[k].encode("utf-8", "replace") if len(found[k]) * 4 > long else b""
                     if len(raw) > long:
                         ids[k] = ",".join(map(str, heap_merge(raw, ranks)))
                         continue
-                    mine.append(",".join(ids[start:k])), rare.append(found[k])
+                    mine.append(",".join(ids[start:k])), at.append(rare.setdefault(found[k], len(rare)))
                     start = k + 1
-                runs.append([*mine, ",".join(ids[start:])]), words.append(rare)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(runs, pa.list_(pa.string())), pa.array(words, pa.list_(pa.string()))], ["id", "runs", "words"])
+                runs.append([*mine, ",".join(ids[start:])]), words.append(list(rare)), places.append(at)
+            text = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(runs, text), pa.array(words, text), pa.array(places, pa.list_(pa.int32()))], ["id", "runs", "words", "places"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    made = rows.mapInArrow(run, f"id {kind}, runs array<string>, words array<string>")
-    return made.select("id", codec.ids_of(F.col("runs"), F.col("words")).alias("ids")), codec
+    made = rows.mapInArrow(run, f"id {kind}, runs array<string>, words array<string>, places array<int>")
+    return made.select("id", codec.ids_of(F.col("runs"), F.col("words"), F.col("places")).alias("ids")), codec
 
 
 def id_array(ids: Column) -> Column:
