@@ -43,7 +43,8 @@ def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, t
     added = [c for c in keyed.columns if c not in (*keys, size)] if how != "left_semi" else []
     frequent = F.col(size) > total / (4 * parts)
     few = keyed.where(frequent).select(*keys, *[F.col(c).alias(f"_few_{c}") for c in added], F.lit(True).alias("_few"))
-    many = keyed.where(~frequent).select(*keys, *added, F.lit(0).alias("_salt"), F.lit(True).alias("_many"))
+    none = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")  # always 0, but no constant: the planner drops constants from a join's keys, and the salt with them
+    many = keyed.where(~frequent).select(*keys, *added, none.alias("_salt"), F.lit(True).alias("_many"))
     salt = F.when(F.col("_few"), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(parts))).otherwise(0).cast("int")
     met = rows.join(F.broadcast(few), keys, "left").withColumn("_salt", salt).join(many, [*keys, "_salt"], "left")
     if how != "left":

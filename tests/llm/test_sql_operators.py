@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -59,6 +60,12 @@ def test_spread_join(spark, how):
     keyed = rows.where("k < 300").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low"))
     got = spread_join(rows, keyed, ["k"], "n", 2000, how)
     want = rows.join(keyed.drop("n"), "k", how).select(*got.columns)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spread_join(rows, keyed, ["k"], "n", 2000, how)._jdf.queryExecution().sparkPlan().toString()
+        assert re.search(r"SortMergeJoin \[k#\d+L, _salt#\d+\]", plan), plan  # the salt is a key, not a condition
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
