@@ -13,7 +13,7 @@ from .text import clean
 DIRECTIVES = {"%Y": "yyyy", "%m": "M", "%d": "d", "%b": "MMM", "%B": "MMMM", "%y": "yy", "%j": "D", "%H": "H", "%M": "m", "%S": "s", "%p": "a", "%I": "h", "%%": "%"}
 #: Formats tried without a stated list, month before day.
 PIPELINE = ["yyyy-MM-dd", "yyyyMMdd", "M/d/yyyy", "yyyy/M/d", "M-d-yyyy", "d-MMM-yyyy"]
-FREE = ["yyyy-MM-dd", "yyyy-M-d", "M/d/yyyy", "yyyy/M/d", "M-d-yyyy", "d-MMM-yyyy", "MMM d yyyy", "yyyyMMdd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "d/M/yyyy"]
+FREE = ["yyyy-MM-dd", "yyyy-M-d", "M/d/yyyy", "yyyy/M/d", "M-d-yyyy", "d-MMM-yyyy", "MMM d yyyy", "yyyyMMdd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSS", "yyyy-MM-dd HH:mm:ss.SSSSSSSSS", "d/M/yyyy"]
 
 
 def spark_format(directive: str) -> str:
@@ -47,7 +47,7 @@ def looks(pattern: str) -> set[str] | None:
     """All the ways a text of the pattern can look; None for patterns with words of any length."""
     out = {""}
     for run in (m.group(0) for m in re.finditer(r"'[^']*'|([A-Za-z])\1*|.", pattern)):
-        lengths = {"yyyy": (4,), "yy": (2,), "MM": (2,), "dd": (2,), "HH": (2,), "mm": (2,), "ss": (2,), "D": (1, 2, 3)}.get(run) or ((1, 2) if run in "MdHhms" else None)
+        lengths = {"yyyy": (4,), "yy": (2,), "MM": (2,), "dd": (2,), "HH": (2,), "mm": (2,), "ss": (2,), "D": (1, 2, 3), "S" * 9: tuple(range(1, 10))}.get(run) or ((1, 2) if run in "MdHhms" else None)
         if run == "MMMM" or (lengths is None and run.isalpha() and run not in ("MMM", "a")):
             return None
         ends = ["9" * n for n in lengths] if lengths else ["aaa"] if run == "MMM" else ["aa"] if run == "a" else [run.strip("'").translate(str.maketrans(_SIGNS, _KINDS))]

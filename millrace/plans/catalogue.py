@@ -58,7 +58,7 @@ def _token(c: str) -> str:
 
 
 def _date(c: str) -> str:
-    formats = "['%Y-%m-%d', '%m/%d/%Y', '%Y/%m/%d', '%m-%d-%Y', '%d-%b-%Y', '%Y%m%d']"
+    formats = "['%Y-%m-%d', '%m/%d/%Y', '%Y/%m/%d', '%m-%d-%Y', '%d-%b-%Y', '%Y%m%d', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M:%S.%f']"
     return f"CAST(try_strptime(trim({c}), {formats}) AS DATE)"
 
 
@@ -570,8 +570,8 @@ def _profile_sql(rows: str, columns: list[str]) -> str:
     return f"SELECT *, {kind} AS inferred_type FROM ({' UNION ALL '.join(parts)})"
 
 
-_CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
-_EVENTS = ["event_id", "user_id", "event_type"]
+_CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+_EVENTS = ["event_id", "user_id", "event_type", "ts", "value", "props"]
 
 
 @query(_profile_sql("customer", _CUSTOMER))
