@@ -163,17 +163,23 @@ def elig_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(normalize.normalize(flat.df, CONTRACT).select("source_row_number", *TYPED))
 
 
-@query("SELECT 'member_id' AS target_field, 5 AS n WHERE false", "elig_conflicting_fields")
-def _conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = pipeline.build_flat(elig(spark, sf_dir), identity_mappings(), CONTRACT)
-    return pipeline.conflicting_fields(flat).withColumn("n", F.lit(5))
+def _clashing() -> list[Mapping]:
+    """member_id mapped to two sources."""
+    return [m if (m.table, m.field) != ("member_coverage", "member_id") else Mapping("member_coverage", "member_id", ("subscriber_id",)) for m in identity_mappings()]
+
+
+@query("SELECT 'clashing' AS mappings, 'member_id' AS target_field")
+def elig_conflicting_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that two tables map to different values: none of the identity mappings, one where member_id has two sources."""
+    source = elig(spark, sf_dir)
+    found = [pipeline.conflicting_fields(pipeline.build_flat(source, m, CONTRACT)).select(F.lit(n).alias("mappings"), "target_field") for n, m in (("identity", identity_mappings()), ("clashing", _clashing()))]
+    return found[0].unionByName(found[1])
 
 
 @query(f"SELECT CAST(count(*) AS BIGINT) AS row_count FROM ({ELIG_SQL})")
 def elig_clashing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """member_id mapped to two sources: an error on every row."""
-    other = [m if (m.table, m.field) != ("member_coverage", "member_id") else Mapping("member_coverage", "member_id", ("subscriber_id",)) for m in identity_mappings()]
-    flat = pipeline.build_flat(elig(spark, sf_dir), other, CONTRACT)
+    flat = pipeline.build_flat(elig(spark, sf_dir), _clashing(), CONTRACT)
     found = rules.validate(normalize.normalize(flat.df, CONTRACT), CONTRACT, flat, _asof())
     return found.where("issue_code = 'conflicting_duplicate_target_field'").agg(F.count("*").alias("row_count"))
 
