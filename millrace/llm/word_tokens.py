@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Chunks of a worker's table, and the longest chunk it keeps in bytes.
-TABLE = 300_000
+TABLE = 200_000
 LONGEST = 128
 #: Texts that are encoded together, and their bytes.
 BATCH = 256
@@ -159,6 +159,7 @@ def map_ids(docs: DataFrame, text_col: str, others: list[str], start: Callable[[
             own = b.select(range(1, b.num_columns))
             for at, texts in batches_of(b.column(0)):
                 yield make(own.slice(at, len(texts)), encoder.encode(texts))
+        encoder.table.older = {}  # a worker between tasks keeps one table
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")
     return docs.select(text, *[F.col(c) for c in others]).mapInArrow(run, schema)
