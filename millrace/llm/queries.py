@@ -16,6 +16,7 @@ MODULES = {
     "op8_byte_bpe": "byte_bpe",
     "op9_token_files": "token_files",
     "op10_url_filter": "url_filter",
+    "op11_lexical_search": "lexical_search",
     "op12_bpe": "speculative_bpe",
     "op13_importance": "importance",
 }
