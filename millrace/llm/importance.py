@@ -33,8 +33,12 @@ def grams_of(words: Column, longest: int) -> Column:
     """All runs of 1 to longest consecutive words, joined by a space, repeats included."""
     if longest == 1:
         return words
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)), F.lit(1)), lambda i, n=n: F.array_join(F.slice(words, i, n), " ")) for n in range(2, longest + 1)]
-    return F.concat(words, *[F.when(F.size(words) >= n, r).otherwise(F.array().cast("array<string>")) for n, r in enumerate(runs, 2)])
+
+    def runs(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.size(words) - (n - 1))
+        return F.when(F.size(words) >= n, F.transform(places, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(words, *[runs(n) for n in range(2, longest + 1)])
 
 
 def bucket_of(gram: Column, buckets: int) -> Column:
