@@ -1,12 +1,14 @@
 """URL filters: a blocked Bloom filter of the listed canonical URLs, then an exact hash join for the possible hits.
 
-Everything runs as DataFrame expressions. A rule is a host and a path; its canonical key is host + path. A url has one
-candidate key for each parent domain of its host and each length that listed paths have; a rule fits exactly if its key is
-among them. Urls none of whose candidates pass the filter are settled in the scan, without a shuffle.
+Everything runs as DataFrame expressions. A rule is a host and a path; its canonical key is host + path. A url's candidate
+keys are the ends of its host that have a listed host's length and are a domain, each with the starts of its path that have the length of a path
+listed for such hosts; a rule fits exactly if its key is among them. So the list bounds a url's candidates, however many labels its host has.
+Urls none of whose candidates pass the filter are settled in the scan, without a shuffle.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,16 +78,16 @@ def filter_urls(pages: DataFrame, url_col: str, rules: DataFrame, keep: list[str
     listed = rules.select(F.translate("host", _UPPER, _LOWER).alias("h"), F.col("path").alias("p"), F.col("verdict").alias("rule_verdict"))
     listed = listed.where("h is not null and p is not null and rule_verdict is not null and h <> ''")
     listed = listed.groupBy("h", "p").agg(F.min("rule_verdict").alias("rule_verdict")).withColumn("key", F.concat("h", "p"))
-    facts = listed.agg(F.count("*").alias("n"), F.collect_set(F.length("p")).alias("lengths")).first()  # path lengths: as many as a url is long
-    blocks, words = bloom_filter(listed, "key", facts["n"])
+    by_host = listed.groupBy(F.length("h").alias("h")).agg(F.count("*").alias("n"), F.collect_set(F.length("p")).alias("p")).collect()  # pairs of lengths: as many as urls are long
+    blocks, words = bloom_filter(listed, "key", sum(r["n"] for r in by_host))
 
     host, path = split_url(F.col(url_col))
     base = pages.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], host.alias("host"), path.alias("path"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    lengths = F.array(*[F.lit(int(n)) for n in sorted(facts["lengths"])]).cast("array<int>")
-    paths = F.filter(lengths, lambda n: F.length("path") >= n)
-    keys = F.flatten(F.transform(F.array_distinct(suffixes), lambda s: F.transform(paths, lambda n: F.concat(s, F.substring(F.col("path"), F.lit(1), n)))))
+    lengths = F.from_json(F.lit(json.dumps([{"h": r["h"], "p": sorted(r["p"])} for r in sorted(by_host)])), "array<struct<h:int,p:array<int>>>")
+    size = F.length("host")
+    domain = lambda x: (x["h"] <= size) & ((x["h"] == size) | (F.substring("host", size - x["h"], F.lit(1)) == "."))
+    starts = lambda x: F.transform(F.filter(x["p"], lambda n: n <= F.length("path")), lambda n: F.concat(F.substring("host", size - x["h"] + 1, x["h"]), F.substring("path", F.lit(1), n)))
+    keys = F.flatten(F.transform(F.filter(lengths, domain), starts))
     keys = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(keys)
     base = base.withColumn("_cand", F.filter(keys, lambda k: might_contain(k, blocks, words)))
     out = [F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)]

@@ -69,6 +69,23 @@ def test_spread_join(spark, how):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
+def test_long_and_random_hosts(spark):
+    """A host of a million labels costs what the list costs, not the square of its labels."""
+    rng = np.random.default_rng(8)
+    part = lambda most: ".".join(rng.choice(["a", "b", "ab", "", "xn--é"], rng.integers(1, most)))
+    rules = sorted({(part(4), "/" + "x" * int(rng.integers(0, 4)), ("allow", "block")[int(rng.integers(2))]) for _ in range(60)} | {("com", "/", "block")})
+    rules = list({(h, p): (h, p, v) for h, p, v in reversed(rules) if h}.values())
+    urls = [f"h://{part(6)}/{'x' * int(rng.integers(0, 5))}?{part(3)}" for _ in range(300)] + ["http://" + "." * 1_000_000 + "com/x", "http://" + "a." * 300_000 + "b", "http://" + "b" * 1_000_000, "http://com/" + "x" * 1_000_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.filter_urls(pages, "url", spark.createDataFrame(rules, "host string, path string, verdict string"), ["page_id"]).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        host, _, path = urls[r.page_id].split("://", 1)[1].split("?")[0].partition("/")
+        path = "/" + path if "/" in urls[r.page_id].split("://", 1)[1].split("?")[0] else ""
+        fits = [(-len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert (r.rule, r.verdict) == (min(fits)[1:] if fits else (None, "allow")), urls[r.page_id][:80]
+
+
 def test_url_cases(spark):
     urls = [None, "", "no scheme", "http://A.Example.COM/en/7x?q=/en/", "https://example.com", "ftp://com/en/", "x://notexample.com/en/1", "http://a.net/de/#f", "http://example.net/de/8", "http://b.org/es/é", "http://org/ES/", "://x.com/en/", "http://com.evil/en/", "http://u@x.com:80/en/", "http://q.com?/en/"]
     rules = spark.createDataFrame([*url_filter.RULES, ("com", "/en/", "block"), (None, "/", "block"), ("", "/en/", "block")], "host string, path string, verdict string")
