@@ -12,7 +12,7 @@ from ..functions import dates, text
 from ..operators import corrections, normalize, outputs, pipeline, profile, reconcile, rules
 from ..sources import ingest
 from ..sources.checkpoint import cut, scratch_path
-from ..sources.store import Store
+from ..sources.store import ReconciliationError, Store
 from .contract import CROSSWALKS
 from .fixtures import COLUMNS, CONTRACT, ELIG_SQL, LINE_ORDER, ORDER_BOOK_SQL, PAIRS, STEPS, book_mappings, elig, identity_mappings, order_book, order_book_contract, table
 from .mapping import Mapping, Step, suggest
@@ -787,3 +787,31 @@ def publish_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.publish({"customers": rows.where(k != 0).withColumn("balance", F.when(k == 1, F.col("balance") + 1).otherwise(F.col("balance")))}, c, file_hash="1", checks=[])
     second = store.publish({"customers": rows}, c, file_hash="2", checks=[])
     return spark.createDataFrame([(t, o, n) for t, x in second.expected.items() for o, n in x.items()], "target_table string, outcome string, row_count long")
+
+
+def _stored_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("customer_id"), F.col("c_name").alias("customer_name"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_name AS customer_name, c_mktsegment AS segment, CASE WHEN c_custkey % 100 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS balance, CASE WHEN c_custkey % 100 = 0 THEN 2 ELSE 1 END AS import_run_id FROM customer")
+def publish_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers are published, then one in a hundred anew: the stored table in its buckets, with the run that wrote each row."""
+    c, rows = replace(order_book_contract(), tables=order_book_contract().tables[:1]), _stored_customers(spark, sf_dir)
+    store = Store(spark, scratch_path(spark, "store"), bucket_rows=500)
+    store.publish({"customers": rows}, c, file_hash="1", checks=[])
+    store.publish({"customers": rows.where("customer_id % 100 = 0").withColumn("balance", F.col("balance") + 1)}, c, file_hash="2", checks=[])
+    return store.table("customers").withColumn("import_run_id", F.col("import_run_id").cast("int"))
+
+
+@query("SELECT 'not_null' AS failed, CAST(count(*) AS VARCHAR) AS actual FROM customer WHERE c_custkey % 7 = 0 UNION ALL SELECT 'repeated_business_keys', CAST(count(*) AS VARCHAR) FROM customer WHERE c_custkey % 11 = 0")
+def publish_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the write finds in rows without a required value, and in rows with a key that is there twice."""
+    c, rows = replace(order_book_contract(), tables=order_book_contract().tables[:1]), _stored_customers(spark, sf_dir)
+    store = Store(spark, scratch_path(spark, "store"))
+    for bad in (rows.withColumn("customer_name", F.expr("CASE WHEN customer_id % 7 <> 0 THEN customer_name END")), rows.unionByName(rows.where("customer_id % 11 = 0"))):
+        try:
+            store.publish({"customers": bad}, c, file_hash="1", checks=[])
+        except ReconciliationError:
+            pass
+    found = store.audit("reconciliation").where("stage = 'failed' and not passed")
+    return found.select(F.replace("code", F.lit("customers_"), F.lit("")).alias("failed"), F.regexp_replace("actual", "^.*: ", "").alias("actual"))
