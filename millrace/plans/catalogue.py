@@ -507,13 +507,15 @@ def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queue_and_upload(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(source, expected queue, upload): rejected birth dates corrected, with some rows spoilt."""
+    """(source, expected queue, upload): rejected birth dates corrected, with some rows spoilt; the upload has gone through a file."""
     source = elig(spark, sf_dir).select("source_row_number", "member_number", "dob")
     bad = source.where("dob = '1979-02-30'").select("source_row_number", F.col("member_number").alias("original__member_number"), F.col("dob").alias("original__dob"))
     queue = corrections.work_queue(bad, source, "demo")
     n = F.col("source_row_number")
     up = queue.select("source_record_id", n, F.when(n % 5 == 1, "tampered").otherwise(F.col("original_row_fingerprint")).alias("original_row_fingerprint"), F.when(n % 5 == 2, F.col("original__dob")).otherwise("1979-02-28").alias("corrected__dob"), F.when(n % 5 == 3, "").otherwise("checked").alias("correction_comment"))
-    return source, queue, up
+    path = scratch_path(spark, "upload")
+    ingest.write_csv(up, path, single=False)
+    return source, queue, ingest.read_upload(spark, path)
 
 
 _UP = f"WITH e AS ({ELIG_SQL}), u AS (SELECT *, {_RID} AS source_record_id FROM e WHERE dob = '1979-02-30')"
@@ -757,6 +759,14 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.read_csv(spark, path)
 
 
+@query("SELECT row_number() OVER (ORDER BY c_custkey) + 1 AS source_row_number, CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN 'line 1,' || chr(10) || chr(10) || 'a \"b\" ' || c_name || chr(10) ELSE c_name END AS c_name, c_mktsegment, CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM customer")
+def csv_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values with line breaks, written as CSV and read back in splits, numbered in file order."""
+    path, name = scratch_path(spark, "csv"), F.expr("CASE WHEN c_custkey % 3 <> 0 THEN 'line 1,\n\na \"b\" ' || c_name || '\n' ELSE c_name END")
+    ingest.write_csv(table(spark, sf_dir, "customer").select("c_custkey", name.alias("c_name"), "c_mktsegment", "c_nationkey").orderBy("c_custkey"), path, single=False)
+    return ingest.read_csv(spark, path)
+
+
 @query(f"{I} SELECT CAST(r AS INT) AS import_run_id, severity, count(*) AS row_count FROM i, (VALUES (1), (2)) AS v(r) GROUP BY ALL")
 def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues of two runs, appended to a store and read back."""

@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import csv_splits
 from .checkpoint import cut
 
 # Texts that count as missing when a CSV is read.
@@ -53,13 +54,26 @@ def quoted_newlines(spark: SparkSession, path: str) -> bool:
 def read_csv(spark: SparkSession, path: str, tokens: tuple[str, ...] = NA_TOKENS, multiline: bool | None = None) -> DataFrame:
     """CSV files with a header: every column as text (leading zeros stay), missing tokens as nulls, rows numbered in the order of the files' names.
 
-    Files are read in splits, unless values hold line breaks; then a file is one task. multiline says so; by default the file is looked at.
+    Files are read in splits, also if values hold line breaks; these need a pass more. multiline says whether they do; by default the file is looked at.
     """
     multiline = quoted_newlines(spark, path) if multiline is None else multiline
     df = spark.read.options(header=True, multiLine=multiline, escape='"', inferSchema=False, mode="PERMISSIVE").csv(path)
+    if multiline:
+        rows = csv_splits.read_records(spark, path, [f"_c{k}" for k in range(len(df.columns))])
+        return null_tokens(rows.select("source_row_number", *[F.col(f"_c{k}").alias(c) for k, c in enumerate(df.columns) if c != "source_row_number"]), tokens)
     return null_tokens(number_rows(df, block=[F.col("_metadata.file_path"), F.col("_metadata.file_block_start")]), tokens)
 
 
+def read_upload(spark: SparkSession, path: str, tokens: tuple[str, ...] = NA_TOKENS) -> DataFrame:
+    """A CSV file that people have edited, with all its own columns as text: its source_row_number is a claim to be checked, and its lines aren't numbered."""
+    multiline = quoted_newlines(spark, path)
+    df = spark.read.options(header=True, multiLine=multiline, escape='"', inferSchema=False, mode="PERMISSIVE").csv(path)
+    if multiline:
+        rows = csv_splits.read_records(spark, path, [f"_c{k}" for k in range(len(df.columns))])
+        df = rows.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(df.columns)])
+    return df.select(*[F.when(~F.col(f"`{c}`").isin(*tokens), F.col(f"`{c}`")).alias(c) for c in df.columns])
+
+
 def ordered_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """source_row_number from 2 by a total order of the columns, by one range partitioning: no single-task sort."""
     return number_rows(cut(df.orderBy(*columns)))  # the planner may merge partitions of a sort anew each time it runs; those of a checkpoint stay
@@ -67,7 +81,7 @@ def ordered_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
     """One UTF-8 file with a header for people; many for large results."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").options(header=True, escape=chr(34)).csv(path)  # quotes are doubled, as read_csv takes them
+    (df.coalesce(1) if single else df).write.mode("overwrite").options(header=True, escape=chr(34), ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)  # quotes are doubled, as read_csv takes them; blanks stay
 
 
 def row_fingerprint(columns: list[str]) -> Column:
