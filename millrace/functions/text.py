@@ -86,9 +86,42 @@ def java_replacement(text: str) -> str:
 
 
 def java_pattern(text: str) -> str:
-    """A pattern in Python's notation as Java reads it; what has no counterpart raises ValueError."""
+    r"""A pattern in Python's notation as Java reads it; what has no counterpart raises ValueError.
+
+    Classes (\w, \d, \s, \b) and case are those of Unicode, unless the pattern starts with the flag a.
+    """
     if re.search(r"\(\?\(|\(\?P>", text):
         raise ValueError("Conditional patterns are not supported.")
-    text = re.sub(r"\(\?P<", "(?<", text)
+    flags = re.match(r"\(\?([aiLmsux]+)\)", text)
+    given = flags[1] if flags else ""
+    if "L" in given:
+        raise ValueError("Patterns of a locale are not supported.")
+    text = re.sub(r"\(\?P<", "(?<", text[flags.end() :] if flags else text)
     text = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", text)
-    return text.replace(r"\Z", r"\z")
+    kept = "".join(f for f in "imsx" if f in given)
+    if "a" in given:
+        return (f"(?{kept})" if kept else "") + text.replace(r"\Z", r"\z")
+    return f"(?U{kept})" + _unicode_words(text)
+
+
+def _unicode_words(text: str) -> str:
+    r"""\w as letters, numbers and the underscore: Java's own has combining marks as well. \Z as \z."""
+    out, inside, k = [], False, 0
+    while k < len(text):
+        two = text[k : k + 2]
+        if two[0] == "\\" and len(two) == 2:
+            out.append({r"\w": r"\p{L}\p{N}_" if inside else r"[\p{L}\p{N}_]", r"\W": r"[^\p{L}\p{N}_]", r"\Z": r"\z"}.get(two, two))
+            k += 2
+            continue
+        if inside and two[0] == "[":
+            out.append("\\")  # a bracket in a class is itself
+        if two[0] == "[" and not inside:
+            inside = True
+            head = re.match(r"\[\^?\]?", text[k:])[0]
+            out.append(head[:-1] + "\\]" if head.endswith("]") else head)
+            k += len(head)
+            continue
+        inside = inside and two[0] != "]"
+        out.append(two[0])
+        k += 1
+    return "".join(out)

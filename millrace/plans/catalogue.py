@@ -207,7 +207,7 @@ _operation("op_trim", "customer", _NAME, [Step("trim", {})], f"nullif(trim(v), '
 _operation("op_null_if", "customer", {"v": "c_mktsegment"}, [Step("null_if", {"values": ["building", " Machinery "]})], f"CASE WHEN lower(v) NOT IN ('building', 'machinery') THEN v END AS value, {_OK}")
 _operation("op_case", "customer", _NAME, [Step("trim", {}), Step("uppercase", {}), Step("lowercase", {})], f"lower(nullif(trim(v), '')) AS value, {_OK}")
 _operation("op_title_case", "customer", {"v": "'o''neil mc-donald ' || lower(c_mktsegment)"}, [Step("title_case", {})], f"'O''Neil Mc-Donald ' || upper(substr(v, 18, 1)) || substr(v, 19) AS value, {_OK}")
-_operation("op_regex_replace", "customer", {"v": "c_name"}, [Step("regex_replace", {"pattern": r"(\w+)#0*(\d+)", "replacement": r"\2-\1"})], f"regexp_replace(v, '(\\w+)#0*(\\d+)', '\\2-\\1', 'g') AS value, {_OK}")
+_operation("op_regex_replace", "customer", {"v": "replace(c_name, 'Customer', 'Çüstömer ' || c_mktsegment || ' é')"}, [Step("regex_replace", {"pattern": r"(\w+)#0*(\d+)", "replacement": r"\2-\1"})], f"regexp_replace(v, '([\\p{{L}}\\p{{N}}_]+)#0*(\\d+)', '\\2-\\1', 'g') AS value, {_OK}")
 _DATES = {"v": "CASE WHEN o_orderkey % 5 = 0 THEN 'not-a-date' WHEN o_orderkey % 5 = 1 THEN '' WHEN o_orderkey % 5 = 2 THEN substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 6, 2) || '/' || substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 9, 2) || '/' || substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 4) ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END"}
 _VD = f"strftime({_date('v')}, '%Y-%m-%d')"
 _FD = f"CASE WHEN {_FILLED} AND {_date('v')} IS NULL THEN 'failed' ELSE 'ready' END AS status"

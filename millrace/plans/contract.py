@@ -14,6 +14,10 @@ DATA_TYPES = ("text", "identifier", "enum", "date", "numeric", "email", "phone",
 STRATEGIES = ("deterministic_business_key",)
 STATUSES = ("draft", "published", "retired")
 SEVERITIES = ("error", "warning")
+RULES = (
+    "allowed_values", "boolean", "coverage_end_date", "coverage_start_date", "coverage_status", "date_of_birth", "email", "generated_identifier", "gender", "member_identifier", "not_future", "numeric_range",
+    "organization_name", "person_name", "phone", "plan_identifier", "plan_name", "plan_type", "relationship_to_subscriber", "required", "subscriber_identifier",
+)
 NAME = re.compile(r"^[a-z][a-z0-9_]*$")
 SEMVER = re.compile(r"^\d+\.\d+\.\d+$")
 SPARK_TYPES = {"date": T.DateType(), "numeric": T.DoubleType(), "boolean": T.BooleanType()}
@@ -107,70 +111,128 @@ def definition(c: Contract) -> dict:
     }
 
 
-def _rules(raw: dict) -> tuple[dict, ...]:
+class _Faults(list):
+    def need(self, ok, message: str) -> bool:
+        if not ok:
+            self.append(message)
+        return bool(ok)
+
+    def kind(self, value, kind: type, at: str):
+        """The value, or an empty one of its kind and a fault."""
+        if value is None or isinstance(value, kind):
+            return value or kind()
+        self.append(f"{at} must be {'a list' if kind is list else 'an object'}.")
+        return kind()
+
+    def name(self, value, at: str) -> str:
+        text = str(value or "").strip()
+        self.need(NAME.match(text), f"{at} must be a lower-case identifier.")
+        return text
+
+
+def _rules(raw: dict, at: str, faults: _Faults) -> tuple[dict, ...]:
     given = raw.get("validation_rules")
     if given is None:  # one kind of old stands for one error rule
-        kind = raw.get("validation_kind")
-        return ({"kind": kind, "severity": "error", "parameters": {}},) if kind else ()
-    return tuple({"kind": r.get("kind", ""), "severity": r.get("severity", "error"), "parameters": r.get("parameters") or {}} for r in given)
+        kind = str(raw.get("validation_kind") or "").strip()
+        given = [{"kind": kind}] if kind else []
+    out = []
+    for k, r in enumerate(faults.kind(given, list, f"{at} validation_rules")):
+        here = f"{at} rule {k}"
+        r = faults.kind(r, dict, here)
+        rule = {"kind": str(r.get("kind") or "").strip(), "severity": str(r.get("severity") or "error").strip().lower(), "parameters": faults.kind(r.get("parameters"), dict, f"{here} parameters")}
+        faults.need(rule["kind"] in RULES, f"{here} has an unknown kind {rule['kind']!r}.")
+        faults.need(rule["severity"] in SEVERITIES, f"{here} has an unknown severity {rule['severity']!r}.")
+        bounds = [rule["parameters"].get(b) for b in ("minimum", "maximum")]
+        if faults.need(all(b is None or isinstance(b, (int, float)) and not isinstance(b, bool) for b in bounds), f"{here} minimum and maximum must be numbers."):
+            faults.need(None in bounds or bounds[0] <= bounds[1], f"{here} has a minimum above its maximum.")
+        out.append(rule)
+    return tuple(out)
+
+
+def _load_field(f: dict, table: str, at: str, faults: _Faults) -> Field:
+    name = faults.name(f.get("field") or f.get("name"), f"{at} name")
+    at = f"{table}.{name}"
+    kind, generated, strategy = str(f.get("data_type") or f.get("type") or "").strip().lower(), bool(f.get("generated")), str(f.get("generation_strategy") or "").strip()
+    required = bool(f.get("required"))
+    nullable = bool(f.get("nullable", not required))
+    strategy = strategy or (STRATEGIES[0] if generated else "")
+    lists = {k: tuple(str(v) for v in faults.kind(f.get(k), list, f"{at} {k}")) for k in ("allowed_values", "input_fields", "aliases")}
+    rules = _rules(f, at, faults)
+    shown = str(f.get("validation_kind") or "").strip() or (rules[0]["kind"] if rules else "")
+    faults.need(kind in DATA_TYPES, f"{at} has an unknown data type {kind!r}.")
+    faults.need(kind != "enum" or lists["allowed_values"], f"{at} is an enum without allowed values.")
+    faults.need(required != nullable, f"{at} must be either required or nullable.")
+    faults.need(not strategy or strategy in STRATEGIES, f"{at} has an unknown generation strategy {strategy!r}.")
+    faults.need(generated or not strategy, f"{at} has a generation strategy but isn't generated.")
+    faults.need(not shown or shown in RULES, f"{at} has an unknown validation kind {shown!r}.")
+    return Field(table, name, kind, shown, required, nullable, str(f.get("description") or "").strip(), lists["allowed_values"], generated, strategy, lists["input_fields"], lists["aliases"], rules)
 
 
 def load(raw: dict) -> Contract:
-    """A contract from JSON values. Raises ContractError with every fault found."""
-    faults: list[str] = []
-
-    def need(ok, message: str) -> None:
-        if not ok:
-            faults.append(message)
+    """A contract from JSON values. Raises ContractError with every fault found.
 
+    Also takes contract_key for key, name for field, type for data_type, and references_table and references_field of foreign keys.
+    """
     if not isinstance(raw, dict):
         raise ContractError("A contract is an object.")
-    need(NAME.match(str(raw.get("key") or "")), "key must be a lower-case identifier.")
-    need(SEMVER.match(str(raw.get("version") or "")), "version must be like 1.0.0.")
-    tables, names = [], [str(t.get("name") or "") for t in raw.get("tables") or [] if isinstance(t, dict)]
-    need(names, "tables must not be empty.")
-    need(len(names) == len(set(names)), "table names must be unique.")
-    have = {str(t.get("name")): {str(f.get("field")) for f in t.get("fields") or []} for t in raw.get("tables") or [] if isinstance(t, dict)}
-    for t in raw.get("tables") or []:
-        at = str(t.get("name") or "")
-        need(NAME.match(at), f"table {at!r} must be a lower-case identifier.")
-        fields = []
-        seen: set[str] = set()
-        for f in t.get("fields") or []:
-            name = str(f.get("field") or "")
-            path = f"{at}.{name}"
-            need(NAME.match(name), f"{path} must be a lower-case identifier.")
-            need(name not in seen, f"{path} occurs twice.")
-            seen.add(name)
-            kind, required, nullable, generated = f.get("data_type"), bool(f.get("required")), bool(f.get("nullable", not f.get("required"))), bool(f.get("generated"))
-            need(kind in DATA_TYPES, f"{path} has an unknown data type {kind!r}.")
-            need(kind != "enum" or f.get("allowed_values"), f"{path} is an enum without allowed values.")
-            need(required != nullable, f"{path} must be either required or nullable.")
-            need(not generated or f.get("generation_strategy") in STRATEGIES, f"{path} is generated without a strategy.")
-            rules = _rules(f)
-            for r in rules:
-                need(r["kind"], f"{path} has a rule without a kind.")
-                need(r["severity"] in SEVERITIES, f"{path} has a rule of unknown severity {r['severity']!r}.")
-            fields.append(Field(at, name, str(kind), str(f.get("validation_kind") or ""), required, nullable, str(f.get("description") or ""), tuple(f.get("allowed_values") or ()), generated, str(f.get("generation_strategy") or ""), tuple(f.get("input_fields") or ()), tuple(f.get("aliases") or ()), rules))
-        need(fields, f"table {at} has no fields.")
-        primary, business = tuple(t.get("primary_key") or ()), tuple(t.get("business_key") or t.get("primary_key") or ())
-        need(primary, f"table {at} has no primary key.")
-        for k in {*primary, *business}:
-            need(k in seen, f"table {at} has a key on the unknown field {k!r}.")
+    faults = _Faults()
+    key = faults.name(raw.get("key") or raw.get("contract_key"), "key")
+    version, title, domain = (str(raw.get(k) or "").strip() for k in ("version", "name", "domain"))
+    faults.need(SEMVER.match(version), "version must be like 1.0.0.")
+    faults.need(title, "name is required.")
+    faults.need(domain, "domain is required.")
+    tables: list[Table] = []
+    given = faults.kind(raw.get("tables"), list, "tables")
+    faults.need(given, "tables must not be empty.")
+    for k, t in enumerate(given):
+        t = faults.kind(t, dict, f"table {k}")
+        at = faults.name(t.get("name"), f"table {k} name")
+        faults.need(at not in [x.name for x in tables], f"table {at} occurs twice.")
+        fields: list[Field] = []
+        for n, f in enumerate(faults.kind(t.get("fields"), list, f"table {at} fields")):
+            found = _load_field(faults.kind(f, dict, f"{at} field {n}"), at, f"{at} field {n}", faults)
+            faults.need(found.name not in [x.name for x in fields], f"{at}.{found.name} occurs twice.")
+            fields.append(found)
+        faults.need(fields, f"table {at} has no fields.")
+        primary = tuple(str(x).strip() for x in faults.kind(t.get("primary_key"), list, f"table {at} primary_key"))
+        business = tuple(str(x).strip() for x in faults.kind(t.get("business_key"), list, f"table {at} business_key")) or primary
+        faults.need(primary, f"table {at} has no primary key.")
         foreign = []
-        for fk in t.get("foreign_keys") or []:
-            a, b, d = str(fk.get("field")), str(fk.get("table")), str(fk.get("references"))
-            need(a in seen, f"table {at} has a foreign key on the unknown field {a!r}.")
-            need(d in have.get(b, ()), f"table {at} refers to the unknown field {b}.{d}.")
-            foreign.append((a, b, d))
+        for n, fk in enumerate(faults.kind(t.get("foreign_keys"), list, f"table {at} foreign_keys")):
+            fk = faults.kind(fk, dict, f"table {at} foreign key {n}")
+            foreign.append(tuple(str(fk.get(a) or fk.get(b) or "").strip() for a, b in (("field", "field"), ("table", "references_table"), ("references", "references_field"))))
         tables.append(Table(at, tuple(fields), primary, business, tuple(foreign)))
-    policy = POLICY | (raw.get("reconciliation_policy") or {})
-    rate = policy["max_reject_rate"]
-    need(isinstance(rate, (int, float)) and 0 <= rate <= 1, "max_reject_rate must be between 0 and 1.")
-    need(policy["max_reject_rate_severity"] in SEVERITIES, "max_reject_rate_severity must be error or warning.")
+    _references(tables, faults)
+    policy = POLICY | faults.kind(raw.get("reconciliation_policy"), dict, "reconciliation_policy")
+    try:
+        policy["max_reject_rate"] = float(policy["max_reject_rate"])
+    except (TypeError, ValueError):
+        policy["max_reject_rate"] = -1.0
+    faults.need(0 <= policy["max_reject_rate"] <= 1, "max_reject_rate must be between 0 and 1.")
+    policy["max_reject_rate_severity"] = str(policy["max_reject_rate_severity"] or "warning").strip().lower()
+    faults.need(policy["max_reject_rate_severity"] in SEVERITIES, "max_reject_rate_severity must be error or warning.")
+    presets = tuple(str(p) for p in faults.kind(raw.get("presets"), list, "presets"))
+    for p in presets:
+        faults.need(p in PRESETS, f"the rule preset {p!r} is unknown.")
     if faults:
         raise ContractError("\n".join(faults))
-    return Contract(str(raw["key"]), str(raw["version"]), tuple(tables), str(raw.get("name") or ""), str(raw.get("domain") or ""), policy, tuple(raw.get("presets") or ()))
+    return Contract(key, version, tuple(tables), title, domain, policy, presets)
+
+
+def _references(tables: list[Table], faults: _Faults) -> None:
+    """Keys, foreign keys and inputs of generated fields name fields that are there."""
+    have = {t.name: {f.name for f in t.fields} for t in tables}
+    anywhere = set().union(*have.values()) if have else set()
+    for t in tables:
+        for k in dict.fromkeys((*t.primary_key, *t.business_key)):
+            faults.need(k in have[t.name], f"table {t.name} has a key on the unknown field {k!r}.")
+        for a, b, d in t.foreign_keys:
+            faults.need(a in have[t.name], f"table {t.name} has a foreign key on the unknown field {a!r}.")
+            if faults.need(b in have, f"table {t.name} refers to the unknown table {b!r}."):
+                faults.need(d in have[b], f"table {t.name} refers to the unknown field {b}.{d}.")
+        for f in t.fields:
+            for i in f.inputs:
+                faults.need(i in anywhere, f"{t.name}.{f.name} is made of the unknown field {i!r}.")
 
 
 def _field(table: str, name: str, data_type: str, kind: str, required: bool = False, allowed: str = "", **more) -> Field:

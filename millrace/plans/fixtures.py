@@ -87,7 +87,7 @@ def order_book_contract() -> Contract:
     """A second contract: customers, orders and order lines."""
 
     def f(table: str, name: str, kind: str, required: bool = False, allowed: tuple[str, ...] = (), rules: tuple[dict, ...] = ()) -> Field:
-        return Field(table, name, kind, name, required, not required, allowed=allowed, rules=rules)
+        return Field(table, name, kind, rules[0]["kind"] if rules else "", required, not required, allowed=allowed, rules=rules)
 
     at_least_0 = ({"kind": "numeric_range", "severity": "warning", "parameters": {"minimum": 0}},)
     quantity = ({"kind": "numeric_range", "severity": "error", "parameters": {"minimum": 1, "maximum": 50}},)

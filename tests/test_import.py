@@ -250,7 +250,7 @@ def test_report(spark):
 
 
 def test_generated_ids_of_other_contracts(spark):
-    raw = {"key": "k", "version": "1.0.0", "tables": [{"name": "t", "primary_key": ["t_id"], "fields": [{"field": "t_id", "data_type": "identifier", "required": True, "generated": True, "generation_strategy": "deterministic_business_key", "input_fields": ["a"]}, {"field": "a", "data_type": "text", "required": True}, {"field": "b", "data_type": "numeric", "validation_rules": [{"kind": "numeric_range", "severity": "error", "parameters": {"maximum": 5}}]}]}]}
+    raw = {"key": "k", "version": "1.0.0", "name": "K", "domain": "d", "tables": [{"name": "t", "primary_key": ["t_id"], "fields": [{"field": "t_id", "data_type": "identifier", "required": True, "generated": True, "generation_strategy": "deterministic_business_key", "input_fields": ["a"]}, {"field": "a", "data_type": "text", "required": True}, {"field": "b", "data_type": "numeric", "validation_rules": [{"kind": "numeric_range", "severity": "error", "parameters": {"maximum": 5}}]}]}]}
     c: Contract = load(raw)
     src = spark.createDataFrame([(2, "x", "1"), (3, "x", "2"), (4, "y", "9")], "source_row_number int, a string, b string")
     flat = pipeline.build_flat(src, [Mapping("t", "a", ("a",)), Mapping("t", "b", ("b",))], c)

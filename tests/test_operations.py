@@ -1,5 +1,7 @@
 """Every operation with blank, ordinary and failing input, under every failure policy."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ CASES = [
     ("title_case", {}, "o'neil mc-donald 3rd", "O'Neil Mc-Donald 3Rd"), ("title_case", {}, "", None),
     ("regex_replace", {"pattern": r"(\d+)-(\d+)", "replacement": r"\2/\1"}, "12-34", "34/12"), ("regex_replace", {"pattern": "x", "replacement": "$1"}, "axb", "a$1b"),
     ("regex_replace", {"pattern": r"(?P<a>\w)-", "replacement": r"\g<a>+"}, "q-r", "q+r"),
+    ("regex_replace", {"pattern": r"\w+", "replacement": "W"}, "Ünïted Zürich-5", "W W-W"), ("regex_replace", {"pattern": r"(?a)\w+", "replacement": "W"}, "Ünïx", "ÜWïW"),
     ("parse_date", {"accepted_formats": []}, "13/01/2024", "2024-01-13"), ("parse_date", {"accepted_formats": []}, "20240101", "2024-01-01"), ("parse_date", {"accepted_formats": []}, "1979-02-30", "failed"),
     ("parse_date", {"accepted_formats": ["%m/%d/%y"]}, "1/2/70", "1970-01-02"), ("parse_date", {"accepted_formats": ["%m/%d/%Y"]}, "2024-01-02", "failed"), ("parse_date", {"accepted_formats": ["%d-%b-%Y"]}, "05-Jan-2024", "2024-01-05"),
     ("parse_numeric", {}, " $1,234.50", "1234.50"), ("parse_numeric", {"grouping_separator": ".", "decimal_separator": ","}, "1.234,50", "1234.50"), ("parse_numeric", {}, "7d", "failed"), ("parse_numeric", {}, "1e3", "1e3"),
@@ -85,3 +88,13 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([("x",)], "v string")
     out = pipeline.pipeline_columns(df, [Mapping("t", "f", ("v",), (Step("title_case", {}), Step("split", {"delimiter": " "})))], True, {"v": "v"})
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_patterns_are_those_of_python(spark):
+    patterns = [r"\w+", r"\W+", r"[\w.]+", r"[^\w]", r"[[a]", r"[]a]+", r"(?i)É", r"\bé", r"\d+", r"[\d,]+", r"\s", r"(?a)\d+", r"(?i)(?P<x>ß|ü)(?P=x)?", r"a\Z", r"[\W_]+", r"[^\W\d]+", r"\[\w"]
+    texts = ["Ünïted Zürich_5", "é ÉÉ e\u0301x", "١٢,3 \u00a0a", "[ab]", "x]a[", "üÜ ß\tа", "a\na"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string").coalesce(1)
+    got = df.select(*[F.regexp_replace("v", F.lit(text.java_pattern(p)), F.lit("#")).alias(f"c{k}") for k, p in enumerate(patterns)]).collect()
+    for t, r in zip(texts, got, strict=True):
+        for p, value in zip(patterns, r, strict=True):
+            assert value == re.sub(p, "#", t), (p, t)
