@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..plans.contract import Contract, Field, Table
+from ..sources.checkpoint import cut
 from .pipeline import TRACE, Flat
 from .rules import accepted, error_rows
 
@@ -42,30 +43,56 @@ def candidates(rows: DataFrame, table: Table, contract: Contract) -> DataFrame:
     return rows.select("source_row_number", *out)
 
 
-def coalesce_by_key(df: DataFrame, table: Table) -> DataFrame:
-    """One row for each business key: of each other column the first value that isn't blank, in row order. Null keys are a group.
+def key_facts(df: DataFrame, table: Table) -> DataFrame:
+    """One row for each business key, without values: _at, its least row number; _n_<column>, the least one with a filled value; _rows, _conflict and _missing.
 
-    A partial aggregate: the least row number and its value for each column. Adds _rows, _conflict and _missing for the statistics.
+    Null keys are a group. All buffers are numbers, so this is a hash aggregate on either side of the shuffle. Texts differ if their two 64-bit hashes do.
     """
     order = F.col("source_row_number")
     others = [f for f in table.fields if f.name not in table.business_key]
-    first = [F.min_by(F.col(f.name), F.when(~missing(f), order)).alias(f.name) for f in others]
-    # min and max over filled values differ exactly if there are two distinct ones.
-    differ = [F.coalesce(F.min(F.when(~missing(f), F.col(f.name))) != F.max(F.when(~missing(f), F.col(f.name))), F.lit(False)) for f in others]
+    first = [F.min(F.when(~missing(f), order)).alias(f"_n_{f.name}") for f in others]
+    conflict = F.lit(False)
+    for f in others:
+        v = F.col(f.name)
+        told = [v] if f.data_type in ("date", "numeric", "boolean") else [F.xxhash64(v), F.xxhash64(F.lit("again"), v)]
+        for t in told:  # least and greatest differ exactly if there are two distinct ones
+            filled = F.when(~missing(f), t)
+            conflict = conflict | F.coalesce(F.min(filled) != F.max(filled), F.lit(False))
     lacking = F.lit(False)
     for f in table.fields:
         if f.required:
             lacking = lacking | missing(f)
-    conflict = F.lit(False)
-    for d in differ:
-        conflict = conflict | d
-    out = df.groupBy(*table.business_key).agg(*first, F.count("*").alias("_rows"), conflict.alias("_conflict"), F.count_if(lacking).alias("_missing"))
-    return out.select(*[f.name for f in table.fields], "_rows", "_conflict", "_missing")
+    return df.groupBy(*table.business_key).agg(F.min(order).alias("_at"), *first, F.count("*").alias("_rows"), conflict.alias("_conflict"), F.count_if(lacking).alias("_missing"))
 
 
-def table_stats(merged: DataFrame, table: Table) -> DataFrame:
-    """One row: target_table and the counts of candidates, keys, exact and conflicting duplicates, and rows without a required value."""
-    return merged.agg(
+def coalesce_by_key(df: DataFrame, table: Table) -> DataFrame:
+    """One row for each business key: of each other column the first value that isn't blank, in row order; null if there is none. Null keys are a group.
+
+    Row numbers, which are unique, are aggregated first. Values come late: a key's first row is met by its number, and only what it lacks is fetched from the later rows
+    that have it, so no text is ever in an aggregate's buffer or shuffled for a row that no key needs. df is read again for each step and must give the same rows. Has the
+    columns _rows, _conflict and _missing of key_facts for the statistics.
+    """
+    others = [f.name for f in table.fields if f.name not in table.business_key]
+    facts = cut(key_facts(df, table))
+    values = df.select(F.col("source_row_number").alias("_row"), *[F.col(c).alias(f"_v_{c}") for c in others])
+    if not others:
+        return facts.select(*[f.name for f in table.fields], "_rows", "_conflict", "_missing")
+    merged = facts.join(values, F.col("_at") == F.col("_row")).drop("_row")
+    later = F.array_distinct(F.array_compact(F.array(*[F.when(F.col(f"_n_{c}") > F.col("_at"), F.col(f"_n_{c}")) for c in others])))
+    asked = facts.select("_at", F.explode(later).alias("_later"))
+    found = asked.join(values, F.col("_later") == F.col("_row")).groupBy("_at").agg(F.collect_list(F.struct("_row", *[f"_v_{c}" for c in others])).alias("_found"))  # fewer rows a key than columns
+    merged = merged.join(found, "_at", "left")
+
+    def value(c: str) -> Column:
+        n = F.col(f"_n_{c}")
+        return F.when(n == F.col("_at"), F.col(f"_v_{c}")).when(n.isNotNull(), F.get(F.filter("_found", lambda x: x["_row"] == n), F.lit(0))[f"_v_{c}"])
+
+    return merged.select(*[(F.col(f.name) if f.name in table.business_key else value(f.name)).alias(f.name) for f in table.fields], "_rows", "_conflict", "_missing")
+
+
+def table_stats(facts: DataFrame, table: Table) -> DataFrame:
+    """One row: target_table and the counts of candidates, keys, exact and conflicting duplicates, and rows without a required value. facts: of key_facts, or coalesced rows."""
+    return facts.agg(
         F.lit(table.name).alias("target_table"),
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("candidate_count"),
         F.count("*").alias("unique_business_key_count"),
@@ -75,10 +102,16 @@ def table_stats(merged: DataFrame, table: Table) -> DataFrame:
     )
 
 
-def tables(typed: DataFrame, issues: DataFrame, contract: Contract) -> dict[str, DataFrame]:
-    """table: its coalesced rows with the _ columns of coalesce_by_key."""
+def tables(typed: DataFrame, issues: DataFrame, contract: Contract, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """table: its coalesced rows with the _ columns of coalesce_by_key; of all tables, or those named. typed should be written: it is read more than once."""
+    rows = accepted(typed, issues)
+    return {t.name: coalesce_by_key(candidates(rows, t, contract), t) for t in contract.tables if names is None or t.name in names}
+
+
+def facts(typed: DataFrame, issues: DataFrame, contract: Contract) -> dict[str, DataFrame]:
+    """table: its key_facts, which is all that statistics need."""
     rows = accepted(typed, issues)
-    return {t.name: coalesce_by_key(candidates(rows, t, contract), t) for t in contract.tables}
+    return {t.name: key_facts(candidates(rows, t, contract), t) for t in contract.tables}
 
 
 def output(merged: DataFrame, table: Table) -> DataFrame:

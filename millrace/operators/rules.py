@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..plans.contract import Contract, Field
+from ..sources.checkpoint import cut
 from .pipeline import Flat, conflicting_fields, step_issues
 
 ISSUE = ["source_row_number", "issue_seq", "severity", "issue_code", "issue_message", "target_field", "source_column"]
@@ -211,5 +212,11 @@ def error_rows(issues: DataFrame) -> DataFrame:
     return issues.where("severity = 'error'").select("source_row_number").distinct()
 
 
+#: Row numbers that are broadcast at most, counted before: some 30 MB.
+FEW_ROWS = 1_000_000
+
+
 def accepted(typed: DataFrame, issues: DataFrame) -> DataFrame:
-    return typed.join(error_rows(issues), "source_row_number", "left_anti")
+    """Rows without an error. The numbers of the others are written once; where they are few they go to the rows, which then aren't shuffled."""
+    bad = cut(error_rows(issues))
+    return typed.join(F.broadcast(bad) if bad.count() <= FEW_ROWS else bad, "source_row_number", "left_anti")

@@ -140,7 +140,7 @@ class Run:
         self.issues = cut(rules.validate(self.typed, CONTRACT, self.flat, _asof()))  # tables, rejects, checks and lineage all read them
 
     def merged(self, name: str) -> DataFrame:
-        return outputs.tables(self.typed, self.issues, CONTRACT)[name]
+        return outputs.tables(self.typed, self.issues, CONTRACT, [name])[name]
 
 
 def _text(df: DataFrame) -> DataFrame:
@@ -330,7 +330,7 @@ def _stats_sql() -> str:
 @query(_stats_sql())
 def elig_table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Run(spark, sf_dir)
-    made = outputs.tables(r.typed, r.issues, CONTRACT)
+    made = outputs.facts(r.typed, r.issues, CONTRACT)
     parts = [outputs.table_stats(made[t.name], t) for t in CONTRACT.tables]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -641,7 +641,7 @@ def _book_table(name: str, of: str, select: str, group: str) -> None:
     @query(f"{_B} SELECT {select} FROM acc GROUP BY {group}", name)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = order_book_contract()
-        return _text(outputs.output(outputs.tables(*_book(spark, sf_dir), c)[of], c.table(of)))
+        return _text(outputs.output(outputs.tables(*_book(spark, sf_dir), c, [of])[of], c.table(of)))
 
 
 def _pick(c: str, as_double: bool = False) -> str:

@@ -1,5 +1,8 @@
 """One import end to end: rules, outputs, rejects, lineage, reconciliation, corrections, publish, replay."""
 
+import datetime
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +99,31 @@ def test_coalescing_by_key(spark):
     assert outputs.table_stats(make([]), t).first().candidate_count == 0
 
 
+def test_coalescing_takes_values_late(spark):
+    """No value is in an aggregate: the plan has no SortAggregate, and random rows give what a plain loop gives."""
+    rng, t = random.Random(6), CONTRACT.table("members")
+    pick = lambda xs: rng.choice([None, None, "", " ", *xs])
+    days = [datetime.date(1990, 1, d) for d in (1, 2)]
+    rows = [(n, pick("AB") if n % 9 else None, pick(["x", "y"]), pick(["L"]), rng.choice([None, *days]), pick(["male"]), pick(["a@b.c", "d@e.f"]), pick(["1"])) for n in rng.sample(range(1000), 120)]
+    names = [f.name for f in t.fields]
+    df = spark.createDataFrame(rows, "source_row_number int, member_id string, first_name string, last_name string, date_of_birth date, gender string, email string, phone string").repartition(5)
+    df = cut(df)
+    got = outputs.coalesce_by_key(df, t)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "SortAggregate" not in outputs.key_facts(df, t)._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    filled = lambda v: v is not None and str(v).strip() != ""
+    for r in sorted(rows):
+        want.setdefault(r[1], []).append(r[1:])
+    expected = {}
+    for key, group in want.items():
+        values = [key] + [next((r[k] for r in group if filled(r[k])), None) for k in range(1, len(names))]
+        conflict = any(len({r[k] for r in group if filled(r[k])}) > 1 for k in range(1, len(names)))
+        lacking = sum(any(not filled(r[k]) for k, f in enumerate(t.fields) if f.required) for r in group)
+        expected[key] = (*values, len(group), conflict, lacking)
+    assert {r[0]: tuple(r) for r in got.collect()} == expected
+
+
 def test_ids_ignore_row_order(spark):
     rows = [row(), row(member_number="MEM2", subscriber_id="MEM2")]
     ids = lambda rs: {x.coverage_id for x in Run(spark, rs).plain["member_coverage"].collect()}
