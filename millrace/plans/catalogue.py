@@ -13,7 +13,7 @@ from ..operators import corrections, normalize, outputs, pipeline, profile, reco
 from ..sources import ingest
 from ..sources.checkpoint import cut, scratch_path
 from ..sources.store import ReconciliationError, Store
-from .contract import CROSSWALKS
+from .contract import CROSSWALKS, Field, Table
 from .fixtures import COLUMNS, CONTRACT, ELIG_SQL, LINE_ORDER, ORDER_BOOK_SQL, PAIRS, STEPS, book_mappings, elig, identity_mappings, order_book, order_book_contract, table
 from .mapping import Mapping, Step, suggest
 
@@ -21,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 AS_OF = "2026-01-01"
+_CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
 
 def _asof():
@@ -384,23 +385,22 @@ def elig_lineage_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------------------------------------- natural conflicts
 
 _LINE = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag"]
+_LINES = Table("lines", tuple(Field("lines", c, "text" if c == "l_returnflag" else "numeric", "", c in ("l_orderkey", "l_linenumber"), c not in ("l_orderkey", "l_linenumber")) for c in ["l_orderkey", "l_linenumber", *_LINE]), ("l_orderkey", "l_linenumber"), ("l_orderkey", "l_linenumber"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = F.struct(*LINE_ORDER)
-    rows = table(spark, sf_dir, "lineitem")
-    return rows.groupBy("l_orderkey", "l_linenumber").agg(*[F.min_by(c, order).alias(c) for c in _LINE], F.count("*").alias("r"), F.greatest(*[(F.min(c) != F.max(c)).cast("int") for c in _LINE]).alias("x"))
+    """lineitem, numbered by a total order of its columns."""
+    return cut(ingest.ordered_rows(ingest.spread(table(spark, sf_dir, "lineitem").select(*LINE_ORDER)), LINE_ORDER))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, {', '.join(f'arg_min({c}, o) AS {c}' for c in _LINE)} FROM (SELECT *, row_number() OVER (ORDER BY {', '.join(LINE_ORDER)}) AS o FROM lineitem) GROUP BY ALL")
 def lineitem_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).drop("r", "x")
+    return outputs.output(outputs.coalesce_by_key(_lines(spark, sf_dir), _LINES), _LINES)
 
 
 @query("SELECT CAST(sum(r) AS BIGINT) AS candidate_count, count(*) AS unique_business_key_count, CAST(coalesce(sum(r - 1) FILTER (NOT x), 0) AS BIGINT) AS exact_duplicate_count, CAST(sum(r) FILTER (x) AS BIGINT) AS conflicting_duplicate_count FROM (SELECT count(*) AS r, " + " OR ".join(f"count(DISTINCT {c}) > 1" for c in _LINE) + " AS x FROM lineitem GROUP BY l_orderkey, l_linenumber)")
 def lineitem_dup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("x") == 1
-    return _lines(spark, sf_dir).agg(F.sum("r").alias("candidate_count"), F.count("*").alias("unique_business_key_count"), F.coalesce(F.sum(F.when(~x, F.col("r") - 1)), F.lit(0)).alias("exact_duplicate_count"), F.sum(F.when(x, F.col("r"))).alias("conflicting_duplicate_count"))
+    return outputs.table_stats(outputs.key_facts(_lines(spark, sf_dir), _LINES), _LINES).drop("target_table", "missing_output_count")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS row_count FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate GROUP BY ALL")
@@ -434,17 +434,17 @@ def _existing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OLD = "old AS (SELECT * REPLACE (CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal) FROM customer WHERE c_custkey % 5 <> 0)"
-_FORE = f"WITH {_OLD}, f AS (SELECT c.c_custkey, CASE WHEN o.c_custkey IS NULL THEN 'insert' WHEN c.c_name IS NOT DISTINCT FROM o.c_name AND c.c_acctbal IS NOT DISTINCT FROM o.c_acctbal THEN 'unchanged' ELSE 'update' END AS outcome FROM customer c LEFT JOIN old o ON c.c_custkey = o.c_custkey)"
+_FORE = f"WITH {_OLD}, f AS (SELECT c.c_custkey, CASE WHEN o.c_custkey IS NULL THEN 'insert' WHEN c.c_name IS NOT DISTINCT FROM o.c_name AND c.c_nationkey IS NOT DISTINCT FROM o.c_nationkey AND c.c_acctbal IS NOT DISTINCT FROM o.c_acctbal AND c.c_mktsegment IS NOT DISTINCT FROM o.c_mktsegment THEN 'unchanged' ELSE 'update' END AS outcome FROM customer c LEFT JOIN old o ON c.c_custkey = o.c_custkey)"
 
 
 @query(f"{_FORE} SELECT * FROM f")
 def customer_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.forecast(table(spark, sf_dir, "customer"), _existing(spark, sf_dir), ["c_custkey"], ["c_name", "c_acctbal"]).select("c_custkey", "outcome")
+    return reconcile.forecast(table(spark, sf_dir, "customer"), _existing(spark, sf_dir), ["c_custkey"], _CUSTOMER[1:]).select("c_custkey", "outcome")
 
 
 @query(f"{_FORE} SELECT outcome, count(*) AS row_count FROM f GROUP BY ALL")
 def customer_forecast_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.forecast_counts(table(spark, sf_dir, "customer"), _existing(spark, sf_dir), ["c_custkey"], ["c_name", "c_acctbal"])
+    return reconcile.forecast_counts(table(spark, sf_dir, "customer"), _existing(spark, sf_dir), ["c_custkey"], _CUSTOMER[1:])
 
 
 @query(f"WITH {_OLD}, new AS (SELECT * FROM customer WHERE c_custkey % 3 = 0) SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, CASE WHEN n.c_custkey IS NULL THEN o.c_acctbal ELSE n.c_acctbal END AS c_acctbal FROM new n FULL JOIN old o ON n.c_custkey = o.c_custkey")
@@ -455,13 +455,13 @@ def customer_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_FORE} SELECT c_custkey FROM f WHERE outcome <> 'unchanged'")
 def post_publish_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.mismatches(table(spark, sf_dir, "customer"), _existing(spark, sf_dir), ["c_custkey"], ["c_name", "c_acctbal"]).select("c_custkey")
+    return reconcile.mismatches(table(spark, sf_dir, "customer"), _existing(spark, sf_dir), ["c_custkey"], _CUSTOMER[1:]).select("c_custkey")
 
 
 @query(f"""{_stats_sql().replace(" SELECT 'members' AS target_table", ", st AS (SELECT 'members' AS target_table", 1)}), k AS (SELECT (SELECT count(*) FROM bad) AS r, (SELECT count(*) FROM n) AS s)
-SELECT 'source_row_accounting' AS code, 'error' AS severity, true AS passed FROM k UNION ALL SELECT 'maximum_reject_rate', 'warning', r / s <= 0.1 FROM k
+SELECT 'source_row_accounting' AS code, 'error' AS severity, s = r + (SELECT count(*) FROM acc) AS passed FROM k UNION ALL SELECT 'maximum_reject_rate', 'warning', r / s <= 0.1 FROM k
 UNION ALL SELECT target_table || '_conflicting_business_keys', 'error', conflicting_duplicate_count = 0 FROM st UNION ALL SELECT target_table || '_required_outputs', 'error', missing_output_count = 0 FROM st
-UNION ALL SELECT target_table || '_foreign_key_orphans', 'error', true FROM st""")
+UNION ALL SELECT target_table || '_foreign_key_orphans', 'error', target_table <> 'member_coverage' OR NOT EXISTS (SELECT 1 FROM acc WHERE plan_id NOT IN (SELECT plan_id FROM acc WHERE plan_id IS NOT NULL) OR member_id NOT IN (SELECT member_id FROM acc WHERE member_id IS NOT NULL)) FROM st""")
 def reconcile_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Run(spark, sf_dir)
     made = outputs.tables(r.typed, r.issues, CONTRACT)
@@ -475,9 +475,25 @@ def reconcile_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------------------------------------- identity and replay
 
 
-@query("SELECT c_custkey, sha256(CAST(c_custkey AS STRING) || chr(31) || c_name || chr(31) || c_mktsegment) AS fingerprint FROM customer")
+_MONEY = "printf('%.2f', c_acctbal)"
+_ROW = f"CAST(c_custkey AS STRING) || chr(31) || c_name || chr(31) || CAST(c_nationkey AS STRING) || chr(31) || {_MONEY} || chr(31) || c_mktsegment"
+
+
+def _customer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer with its balance as text of two places, which all engines write alike."""
+    return table(spark, sf_dir, "customer").withColumn("c_acctbal", F.format_string("%.2f", "c_acctbal"))
+
+
+@query(f"SELECT c_custkey, sha256({_ROW}) AS fingerprint FROM customer")
 def row_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", ingest.text_fingerprint(["c_custkey", "c_name", "c_mktsegment"]).alias("fingerprint"))
+    return _customer_text(spark, sf_dir).select("c_custkey", ingest.text_fingerprint(_CUSTOMER).alias("fingerprint"))
+
+
+@query(f"""SELECT c_custkey, sha256('{{"c_acctbal":"' || {_MONEY} || '","c_custkey":"' || c_custkey || '","c_mktsegment":' || coalesce('"' || nullif(c_mktsegment, 'BUILDING') || '"', 'null') || ',"c_name":"' || replace(c_name || ' "\\', '\\', '\\\\').replace('"', '\\"') || '","c_nationkey":"' || c_nationkey || '"}}') AS fingerprint FROM customer""")
+def json_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What corrections hold rows to: columns by name as JSON, with quotes, backslashes and nulls."""
+    rows = _customer_text(spark, sf_dir).withColumn("c_name", F.concat("c_name", F.lit(' "\\'))).withColumn("c_mktsegment", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")))
+    return rows.select("c_custkey", ingest.row_fingerprint(_CUSTOMER).alias("fingerprint"))
 
 
 @query(f"SELECT CAST(o_orderkey + 2 AS BIGINT) AS source_row_number, {_RID.replace('source_row_number', '(o_orderkey + 2)')} AS source_record_id FROM orders")
@@ -486,10 +502,9 @@ def source_record_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(n.alias("source_row_number"), outputs.record_id("demo", n).alias("source_record_id"))
 
 
-@query("WITH r AS (SELECT c_custkey + 1 AS n, sha256(CAST(c_custkey AS STRING) || chr(31) || c_name) AS h FROM customer), b AS (SELECT n // 4096 AS b, sha256(string_agg(h, '' ORDER BY n)) AS h FROM r GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY b)) AS fingerprint FROM b")
+@query(f"WITH r AS (SELECT c_custkey + 1 AS n, sha256({_ROW}) AS h FROM customer), b AS (SELECT n // 4096 AS b, sha256(string_agg(h, '' ORDER BY n)) AS h FROM r GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY b)) AS fingerprint FROM b")
 def file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("source_row_number"), "c_custkey", "c_name")
-    return ingest.file_fingerprint(df, ["c_custkey", "c_name"])
+    return ingest.file_fingerprint(_customer_text(spark, sf_dir).withColumn("source_row_number", F.col("c_custkey") + 1), _CUSTOMER)
 
 
 @query("SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_custkey = 7 ORDER BY o_orderkey DESC LIMIT 1")
@@ -578,7 +593,6 @@ def _profile_sql(rows: str, columns: list[str]) -> str:
     return f"SELECT *, {kind} AS inferred_type FROM ({' UNION ALL '.join(parts)})"
 
 
-_CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 _EVENTS = ["event_id", "user_id", "event_type", "ts", "value", "props"]
 
 
@@ -713,15 +727,6 @@ def elig_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "target_table string, target_field string, source_column string, confidence int, status string, review_flags string, needs_review boolean, alignment string")
 
 
-@query("SELECT * FROM (VALUES ('mbr_no', 'member_id', 70), ('Member Numbr', 'member_id', 60), ('member key', 'member_id', 25), ('start of coverage date', 'coverage_start_date', 45), ('colour', 'member_id', 0)) AS v(header, target_field, name_score)")
-def name_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of headers for a field: an alias once abbreviations are written out, a close spelling, shared words, nothing."""
-    from .mapping import column_key, name_score, names_of
-
-    rows = [(h, f, name_score(column_key(h), names_of(CONTRACT.by_name[f]))) for h, f in (("mbr_no", "member_id"), ("Member Numbr", "member_id"), ("member key", "member_id"), ("start of coverage date", "coverage_start_date"), ("colour", "member_id"))]
-    return spark.createDataFrame(rows, "header string, target_field string, name_score int")
-
-
 @query("SELECT * FROM (VALUES ('carrier', 'unused', false), ('dob', 'approved_mapped', false), ('email_address', 'unused', true), ('sex', 'suggested_mapped', false)) AS v(column_name, status, needs_review)")
 def elig_source_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The use of four source columns by mappings of which one is approved, one is not, and two are missing."""
@@ -732,17 +737,6 @@ def elig_source_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c["column_name"], c["status"], c["needs_review"]) for c in found], "column_name string, status string, needs_review boolean")
 
 
-@query("SELECT * FROM (VALUES ('required_without_mapping', 'members.member_id'), ('required_without_mapping', 'member_coverage.coverage_status'), ('steps_not_approved', 'members.date_of_birth')) AS v(gate, target)")
-def mapping_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What keeps a mapping from being used: two required fields without an approved mapping, one pipeline that nobody approved."""
-    from .mapping import required_gaps, unapproved_steps
-
-    found = [m for m in identity_mappings({"date_of_birth": _PD}) if (m.table, m.field) != ("members", "member_id")]
-    found = [replace(m, approved=m.field != "coverage_status", steps_approved=m.field != "date_of_birth") for m in found]
-    rows = [("required_without_mapping", f"{f.table}.{f.name}") for f in required_gaps(found, CONTRACT)] + [("steps_not_approved", f"{m.table}.{m.field}") for m in unapproved_steps(found)]
-    return spark.createDataFrame(rows, "gate string, target string")
-
-
 @query(f"WITH e AS ({ELIG_SQL}) SELECT source_row_number, strftime({_date('dob')}, '%Y-%m-%d') AS final_value, CASE WHEN {_date('dob')} IS NULL THEN 'failed' ELSE 'ready' END AS status, CASE WHEN {_date('dob')} IS NULL THEN 'Value could not be parsed as a date.' ELSE '' END AS message FROM e ORDER BY source_row_number LIMIT 10")
 def elig_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten rows of a pipeline, as its editor shows them."""
@@ -782,9 +776,9 @@ def elig_queue_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrections.with_code(outputs.rejected_rows(r.source, r.issues), "date_of_birth").select("source_row_number")
 
 
-@query("SELECT c_custkey, substr(sha256(CAST(c_custkey AS STRING) || chr(31) || c_name), 1, 12) AS fingerprint FROM customer")
+@query(f"SELECT c_custkey, substr(sha256({_ROW}), 1, 12) AS fingerprint FROM customer")
 def short_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", ingest.short_fingerprint(ingest.text_fingerprint(["c_custkey", "c_name"])).alias("fingerprint"))
+    return _customer_text(spark, sf_dir).select("c_custkey", ingest.short_fingerprint(ingest.text_fingerprint(_CUSTOMER)).alias("fingerprint"))
 
 
 @query("SELECT 'customers' AS target_table, CASE WHEN c_custkey % 4 = 0 THEN 'insert' WHEN c_custkey % 4 = 1 THEN 'update' ELSE 'unchanged' END AS outcome, count(*) AS row_count FROM customer GROUP BY ALL")

@@ -1,5 +1,6 @@
 """One import end to end: rules, outputs, rejects, lineage, reconciliation, corrections, publish, replay."""
 
+import dataclasses
 import datetime
 import random
 
@@ -343,3 +344,18 @@ def test_mapping_flags():
     assert (state.confidence, state.status, state.flags) == (80, "suggested", ("ambiguous_status",))
     assert found["members", "member_id"].flags == ("required_unmapped",) and found["members", "member_id"].needs_review and not found["members", "email"].needs_review
     assert mapping.value_score(base | {"unique_rate": 0.9}, fields["member_id"]) == 30 and mapping.code_rate(["A1", "abc", "ABC", "a" * 30 + "1"]) == 0.5
+
+
+def test_points_of_headers():
+    """An alias once abbreviations are written out, a close spelling, shared words, nothing."""
+    cases = [("mbr_no", "member_id", 70), ("Member Numbr", "member_id", 60), ("member key", "member_id", 25), ("start of coverage date", "coverage_start_date", 45), ("colour", "member_id", 0)]
+    for header, field, points in cases:
+        assert mapping.name_score(mapping.column_key(header), mapping.names_of(CONTRACT.by_name[field])) == points, header
+
+
+def test_gates_of_a_mapping():
+    """Two required fields without an approved mapping, one pipeline that nobody approved."""
+    found = [m for m in identity_mappings({"date_of_birth": [Step("parse_date", {"accepted_formats": []})]}) if (m.table, m.field) != ("members", "member_id")]
+    found = [dataclasses.replace(m, approved=m.field != "coverage_status", steps_approved=m.field != "date_of_birth") for m in found]
+    assert [(f.table, f.name) for f in mapping.required_gaps(found, CONTRACT)] == [("members", "member_id"), ("member_coverage", "coverage_status")]
+    assert [(m.table, m.field) for m in mapping.unapproved_steps(found)] == [("members", "date_of_birth")]
