@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..plans.contract import Contract
 from ..plans.mapping import ConfigurationError, Mapping, Step, check
+from .joins import look_up
 
 TRACE = "array<struct<operation:string,input:string,output:string,status:string,message:string>>"
 
@@ -27,8 +28,8 @@ def _when_filled(v: Column, out: Column) -> Column:
     return F.when(~text.blank(v), out)
 
 
-def apply(step: Step, v: Column, row: dict[str, Column], columns: tuple[str, ...]) -> tuple[Column, Callable[[Column], Column] | None, str]:
-    """(value, test of the value for failure or None where it can't fail, message) of one step on the running value v."""
+def apply(step: Step, v: Column, row: dict[str, Column], columns: tuple[str, ...], target: Column | None = None) -> tuple[Column, Callable[[Column], Column] | None, str]:
+    """(value, test of the value for failure or None where it can't fail, message) of one step on the running value v. target: what a crosswalk table has for it."""
     p, op = step.parameters, step.operation
     filled = ~text.blank(v)
     lost = lambda out: filled & out.isNull()
@@ -64,8 +65,8 @@ def apply(step: Step, v: Column, row: dict[str, Column], columns: tuple[str, ...
         return F.lower(text.clean(v)), None, ""
     if op == "map_values":
         pairs = {str(k): str(x) for k, x in (p.get("mapping") or {}).items()}
-        out = text.lookup(text.strip(v), pairs)
-        if p.get("case_insensitive", True):
+        out = text.lookup(text.strip(v), pairs) if target is None else target
+        if target is None and p.get("case_insensitive", True):
             folded: dict[str, str] = {}
             for k, x in pairs.items():
                 folded.setdefault(k.strip().lower(), x)
@@ -103,8 +104,20 @@ def deterministic_id(inputs: list[Column], prefix: str, length: int) -> tuple[Co
     return F.when(~missing, F.concat(F.lit(prefix + "-"), digest)), lambda _: missing, "Generated ID input is missing."
 
 
-def pipeline_columns(df: DataFrame, mappings: list[Mapping], trace: bool, row: dict[str, str]) -> DataFrame:
-    """df with a struct column _p<k> (v, failed, op, msg, trace) for the k-th mapping. row: source column to column of df."""
+def _with_targets(df: DataFrame, rank: int, mappings: list[Mapping], crosswalks: dict[str, DataFrame]) -> DataFrame:
+    """df with _x<k> for each mapping whose step of this rank maps values by a table."""
+    for k, m in enumerate(mappings):
+        name = m.steps[rank].parameters.get("crosswalk") if rank < len(m.steps) and m.steps[rank].operation == "map_values" else None
+        if name is not None:
+            if name not in crosswalks:
+                raise ConfigurationError(f"The crosswalk {name} is missing.")
+            running = F.when(~F.col(f"_p{k}")["failed"], text.clean(F.col(f"_p{k}")["v"]))
+            df = look_up(df, running, crosswalks[name], bool(m.steps[rank].parameters.get("case_insensitive", True)), f"_x{k}")
+    return df
+
+
+def pipeline_columns(df: DataFrame, mappings: list[Mapping], trace: bool, row: dict[str, str], crosswalks: dict[str, DataFrame] | None = None) -> DataFrame:
+    """df with a struct column _p<k> (v, failed, op, msg, trace) for the k-th mapping. row: source column to column of df. crosswalks: tables (source_value, target_value) that map_values names by its parameter crosswalk."""
     cols = {name: F.col(f"`{c}`").cast("string") for name, c in row.items()}
     empty = F.array().cast(TRACE)
 
@@ -113,12 +126,13 @@ def pipeline_columns(df: DataFrame, mappings: list[Mapping], trace: bool, row: d
 
     df = df.withColumns({f"_p{k}": state(cols[m.columns[0]] if m.columns else _null(), F.lit(False), _null(), _null(), empty) for k, m in enumerate(mappings)})
     for rank in range(max((len(m.steps) for m in mappings), default=0)):
+        df = _with_targets(df, rank, mappings, crosswalks or {})
         tried, made = {}, {}  # a step's value is a column of its own, as much hangs off it
         for k, m in enumerate(mappings):
             if rank >= len(m.steps):
                 continue
             s, step = F.col(f"_p{k}"), m.steps[rank]
-            tried[f"_t{k}"], failed, message = apply(step, s["v"], cols, m.columns)
+            tried[f"_t{k}"], failed, message = apply(step, s["v"], cols, m.columns, F.col(f"_x{k}") if f"_x{k}" in df.columns else None)
             value = F.col(f"_t{k}")
             fallback = {"warning_keep_original": s["v"], "use_default": F.lit(m.default).cast("string")}.get(m.policy, _null())
             if failed is None:
@@ -129,7 +143,7 @@ def pipeline_columns(df: DataFrame, mappings: list[Mapping], trace: bool, row: d
             note = F.struct(F.lit(step.operation).alias("operation"), s["v"].alias("input"), after.alias("output"), F.when(bad, "failed").otherwise("applied").alias("status"), F.when(bad, message).otherwise("").alias("message"))
             steps = F.concat(s["trace"], F.array(note)) if trace else empty
             made[f"_p{k}"] = F.when(s["failed"], s).otherwise(state(after, bad, F.when(bad, step.operation), F.when(bad, message), steps))
-        df = df.withColumns(tried).withColumns(made).drop(*tried)
+        df = df.withColumns(tried).withColumns(made).drop(*tried, *[f"_x{k}" for k in range(len(mappings))])
     return df
 
 
@@ -151,8 +165,8 @@ def approved(mappings: list[Mapping]) -> list[Mapping]:
     return [m for m in mappings if m.approved and (m.columns or m.steps)]
 
 
-def build_flat(source: DataFrame, mappings: list[Mapping], contract: Contract, trace: bool = False) -> Flat:
-    """Source rows projected to the contract's logical fields. source: text columns and source_row_number.
+def build_flat(source: DataFrame, mappings: list[Mapping], contract: Contract, trace: bool = False, crosswalks: dict[str, DataFrame] | None = None) -> Flat:
+    """Source rows projected to the contract's logical fields. source: text columns and source_row_number. crosswalks: tables for steps that map values, by name.
 
     Faulty pipelines raise before a plan is made. A field two tables map to different values is settled by conflicting_fields().
     """
@@ -165,7 +179,7 @@ def build_flat(source: DataFrame, mappings: list[Mapping], contract: Contract, t
     if faults:
         raise ConfigurationError("\n".join(faults))
     df = source.select("source_row_number", *[F.col(f"`{c}`").cast("string").alias(f"src__{c}") for c in columns])
-    df = pipeline_columns(df, used, trace, {c: f"src__{c}" for c in columns})
+    df = pipeline_columns(df, used, trace, {c: f"src__{c}" for c in columns}, crosswalks)
     first: dict[str, int] = {}
     for k, m in enumerate(used):
         first.setdefault(m.field, k)

@@ -21,6 +21,7 @@ ISSUE = ["source_row_number", "issue_seq", "severity", "issue_code", "issue_mess
 GROUP_SEQ = 100_000
 #: Issues of pipelines come before those of rules.
 STEP_SEQ = -100_000
+CLASH = "conflicting_duplicate_target_field"
 
 
 class Issues:
@@ -166,26 +167,44 @@ SET_PRESETS: dict[str, tuple[tuple[str, ...], Callable[[DataFrame], DataFrame]]]
 }
 
 
+def with_sources(found: DataFrame, contract: Contract, flat: Flat | None) -> DataFrame:
+    sources = {f: flat.field_source(f) for f in contract.by_name} if flat else {}
+    return found.withColumn("source_column", F.coalesce(text.lookup(F.col("target_field"), {k: v for k, v in sources.items() if v}), F.lit("")))
+
+
+def set_presets(contract: Contract) -> list[str]:
+    """The contract's rules over groups of rows."""
+    names = contract.by_name
+    return [name for name in contract.presets if name in SET_PRESETS and all(f in names for f in SET_PRESETS[name][0])]
+
+
+def own_issues(typed: DataFrame, contract: Contract, flat: Flat | None, asof: Column) -> DataFrame:
+    """Issues that each row has by itself: those of the row rules and of failed pipelines."""
+    found = with_sources(row_issues(typed, contract, asof), contract, flat).select(*ISSUE)
+    if flat is None:
+        return found
+    if all(f"_p{k}" in typed.columns for k in range(len(flat.mappings))):
+        flat = replace(flat, df=typed)  # the pipelines' results are there: the source isn't read again
+    return found.unionByName(step_issues(flat).withColumn("issue_seq", F.col("issue_seq") + STEP_SEQ).select(*ISSUE))
+
+
+def clash_issues(typed: DataFrame, contract: Contract, flat: Flat) -> DataFrame:
+    """An error in every row for each field that two tables map to different values in some row."""
+    own = replace(flat, df=typed) if all(f"_p{k}" in typed.columns for k in range(len(flat.mappings))) else flat
+    clash = typed.select("source_row_number").join(F.broadcast(conflicting_fields(own)), how="cross")  # as many rows as fields at most
+    message = F.concat("target_field", F.lit(" has conflicting values from different target tables."))
+    clash = clash.select("source_row_number", F.lit(STEP_SEQ + 10_000).alias("issue_seq"), F.lit("error").alias("severity"), F.lit(CLASH).alias("issue_code"), message.alias("issue_message"), "target_field")
+    return with_sources(clash, contract, flat).select(*ISSUE)
+
+
 def validate(typed: DataFrame, contract: Contract, flat: Flat | None = None, asof: Column | None = None, more: DataFrame | None = None) -> DataFrame:
     """The issue table of a normalised frame. flat adds failed pipelines, conflicting fields and source columns; more: issues from elsewhere. asof defaults to today."""
-    asof = F.current_date() if asof is None else asof
-    names = contract.by_name
-    found = row_issues(typed, contract, asof)
-    for name in contract.presets:
-        if name in SET_PRESETS and all(f in names for f in SET_PRESETS[name][0]):
-            found = found.unionByName(SET_PRESETS[name][1](typed))
-    sources = {f: flat.field_source(f) for f in names} if flat else {}
-    found = found.withColumn("source_column", F.coalesce(text.lookup(F.col("target_field"), {k: v for k, v in sources.items() if v}), F.lit("")))
+    found = own_issues(typed, contract, flat, F.current_date() if asof is None else asof)
+    for name in set_presets(contract):
+        found = found.unionByName(with_sources(SET_PRESETS[name][1](typed), contract, flat).select(*ISSUE))
     if flat is not None:
-        if all(f"_p{k}" in typed.columns for k in range(len(flat.mappings))):
-            flat = replace(flat, df=typed)  # the pipelines' results are there: the source isn't read again
-        steps = step_issues(flat).withColumn("issue_seq", F.col("issue_seq") + STEP_SEQ)
-        clash = typed.select("source_row_number").join(F.broadcast(conflicting_fields(flat)), how="cross")  # as many rows as fields at most
-        clash = clash.select("source_row_number", F.lit(STEP_SEQ + 10_000).alias("issue_seq"), F.lit("error").alias("severity"), F.lit("conflicting_duplicate_target_field").alias("issue_code"), F.concat("target_field", F.lit(" has conflicting values from different target tables.")).alias("issue_message"), "target_field", F.coalesce(text.lookup(F.col("target_field"), {k: v for k, v in sources.items() if v}), F.lit("")).alias("source_column"))
-        found = found.unionByName(steps).unionByName(clash)
-    if more is not None:
-        found = found.unionByName(more.select(*ISSUE))
-    return found.select(*ISSUE)
+        found = found.unionByName(clash_issues(typed, contract, flat))
+    return found if more is None else found.unionByName(more.select(*ISSUE))
 
 
 # ------------------------------------------------------------------------------------------------- summaries

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import corrections, normalize, outputs, pipeline, profile, reconcile, rules
+from ..operators import corrections, normalize, outputs, pipeline, profile, reconcile, revalidate, rules
 from ..sources import ingest
 from ..sources.checkpoint import cut, scratch_path
 from ..sources.store import ReconciliationError, Store
@@ -237,6 +237,18 @@ _operation("op_split_missing", "customer", {"v": "c_name"}, [Step("split", {"del
 _operation("op_deterministic_id", "customer", _TWO, [Step("generate_deterministic_id", {"input_fields": ["v", "w"], "prefix": "CU", "length": 10})], "CASE WHEN trim(v) <> '' AND trim(w) <> '' THEN 'CU-' || upper(substr(sha256(trim(v) || '|' || trim(w)), 1, 10)) END AS value, CASE WHEN trim(v) <> '' AND trim(w) <> '' THEN 'ready' ELSE 'failed' END AS status", ("v", "w"))
 
 
+_CUST = "CASE WHEN o_orderkey % 17 = 0 THEN '  ' WHEN o_orderkey % 3 = 0 THEN ' CUST-' || CAST(o_custkey AS STRING) || ' ' WHEN o_orderkey % 5 = 0 THEN 'Cust-1' ELSE 'Cust-' || CAST(o_custkey AS STRING) END"
+
+
+@query(f"WITH o AS (SELECT o_orderkey AS key, {_CUST} AS v FROM orders), w AS (SELECT 'Cust-' || CAST(c_custkey AS STRING) AS k, c_name AS t FROM customer WHERE c_custkey % 10 <> 0) SELECT key, t AS value, CASE WHEN trim(v) = '' OR t IS NOT NULL THEN 'ready' ELSE 'failed' END AS status, CASE WHEN trim(v) <> '' AND t IS NULL THEN 'Value is not present in the configured crosswalk.' END AS message FROM o LEFT JOIN w ON lower(trim(v)) = lower(k)")
+def op_map_values_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values mapped by a crosswalk of one row a customer, equal ones first, then without case; one value is in a fifth of all rows."""
+    walk = table(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select(F.concat(F.lit("Cust-"), F.col("c_custkey").cast("string")).alias("source_value"), F.col("c_name").alias("target_value"))
+    df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.expr(_CUST).alias("v"))
+    out = pipeline.pipeline_columns(df, [Mapping("t", "f", ("v",), (Step("map_values", {"crosswalk": "customers"}),))], False, {"v": "v"}, {"customers": walk})
+    return out.select("key", F.col("_p0.v").alias("value"), F.when(F.col("_p0.failed"), "failed").otherwise("ready").alias("status"), F.col("_p0.msg").alias("message"))
+
+
 @query("WITH o AS (SELECT o_orderkey AS k, " + _DATES["v"] + " AS v FROM orders) SELECT k AS key, 'trim:applied,parse_date:' || CASE WHEN nullif(trim(v), '') IS NOT NULL AND " + _date("v") + " IS NULL THEN 'failed' ELSE 'applied,default:applied' END AS steps FROM o")
 def pipeline_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The operations and states of a traced pipeline; a failed step ends it."""
@@ -569,6 +581,22 @@ def recovery_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrections.recovery(found, corrections.recovered_subset(issues, found))
 
 
+_FIX = "CASE WHEN source_row_number % 50 = 0 THEN {x} ELSE {c} END"
+_FIXED = {"dob": "'1979-02-28'", "member_number": "'MEM' || lpad(CAST(source_row_number % 7 AS STRING), 6, '0')", "last": "'Fixed'", "plan_type": "'HMO'", "subscriber_id": "'MEM' || lpad(CAST(source_row_number % 11 AS STRING), 6, '0')"}
+_FIXED_ELIG = f"SELECT source_row_number, {', '.join(_FIX.format(x=_FIXED[c], c=chr(34) + c + chr(34)) + f' AS {chr(34)}{c}{chr(34)}' if c in _FIXED else chr(34) + c + chr(34) for c in COLUMNS)} FROM ({ELIG_SQL})"
+
+
+@query(f"{I.replace(ELIG_SQL, _FIXED_ELIG)} SELECT source_row_number, severity, issue_code, issue_message, target_field, source_column FROM i")
+def revalidated_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues after every fiftieth row got another birth date, member, name, plan type and subscriber: only those rows and the groups they touch are judged again."""
+    r = Run(spark, sf_dir)
+    fixed = r.source.where("source_row_number % 50 = 0").withColumns({c: F.expr(x) for c, x in _FIXED.items()})
+    flat = pipeline.build_flat(fixed.select("source_row_number", *COLUMNS), identity_mappings(), CONTRACT)
+    changed = normalize.normalize(flat.df, CONTRACT)
+    found = revalidate.revalidate(r.typed, r.issues, changed, CONTRACT, flat, _asof())
+    return found.select("source_row_number", "severity", "issue_code", "issue_message", "target_field", "source_column")
+
+
 # ------------------------------------------------------------------------------------------------- profiles
 
 

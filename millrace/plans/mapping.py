@@ -121,7 +121,7 @@ def check(m: Mapping, target: Field | None, columns: list[str]) -> list[str]:
         if s.operation not in OPERATIONS:
             out.append(f"Unsupported transformation operation: {s.operation}.")
             continue
-        out += [f"{s.operation} needs {p}." for p in NEEDED.get(s.operation, ()) if p not in s.parameters]
+        out += [f"{s.operation} needs {p}." for p in NEEDED.get(s.operation, ()) if p not in s.parameters and not (p == "mapping" and s.parameters.get("crosswalk"))]
         out += [f"Unknown source column: {c}." for c in s.parameters.get("source_columns") or [] if c not in columns]
         try:
             if s.operation == "regex_replace" and "pattern" in s.parameters:
