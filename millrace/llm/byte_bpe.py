@@ -19,6 +19,7 @@ import heapq
 import io
 import json
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import public_tokenizers
@@ -33,6 +34,8 @@ DICTIONARY = 1 << 20
 SHORT = 64
 #: Longest word in bytes that is folded.
 LONG = 8192
+#: Words that a task counts at a time.
+COUNTED = 1 << 19
 NONE = 1 << 30
 #: An id that no token has and no pair of the rank map.
 EDGE = 65535
@@ -159,18 +162,35 @@ class Codec:
         return F.array_join(F.transform(ids, lambda i: F.get(self.parts, i)), "").cast("binary")
 
 
-def words_of(text: Column, pattern: str = public_tokenizers.PATTERN) -> Column:
-    """Every match of the splitting pattern, with classes of Unicode."""
-    return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
+# --------------------------------------------------------------------------------------------- frequent words
 
 
-# --------------------------------------------------------------------------------------------- frequent words
+def word_counts(texts: DataFrame, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """(w, count) over all rows. A task counts its own occurrences, at most COUNTED words at a time, so a thin row for each of its words is all that is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        split, found = regex.compile(pattern).findall, Counter()
+
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["w", "n"])
+            found.clear()
+            return out
+
+        for b in slices(batches, 0):
+            for t in b.column(0):
+                found.update(split(t.as_py()))
+            if len(found) > COUNTED:
+                yield rows()
+        yield rows()
+
+    return texts.select("text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("count"))
 
 
 def frequent_words(texts: DataFrame, codec: Codec, dictionary: int = DICTIONARY, pattern: str = public_tokenizers.PATTERN) -> pa.Table:
     """(w, ids comma-joined): the words of SHORT bytes at most whose count over all rows exceeds the least count that at most `dictionary` words exceed."""
-    counts = texts.select(F.explode(words_of(F.col("text"), pattern)).alias("w")).groupBy("w").count().where("count > 1")
-    counts = cut(counts)
+    counts = cut(word_counts(texts, pattern).where("count > 1"))
     left, least, parts = dictionary, 1 << 62, 4 * texts.sparkSession.sparkContext.defaultParallelism
     # Counts of counts, largest first; those beyond 2 ** 20 share a row, so this is bounded.
     for r in counts.groupBy(F.least("count", F.lit(1 << 20)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.col("c").desc()).toLocalIterator():
