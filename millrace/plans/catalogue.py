@@ -789,6 +789,15 @@ def csv_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.read_csv(spark, path)
 
 
+@query("SELECT row_number() OVER (ORDER BY c_nationkey, c_custkey) AS position, c_nationkey || ',' || c_custkey || ',\"a \"\"' || c_name || '\"\"\"' AS line FROM customer UNION ALL SELECT 0, 'c_nationkey,c_custkey,c_name'")
+def sorted_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an export in parts, in the order of the files: the header, then rows by nation and key."""
+    path = scratch_path(spark, "export")
+    ingest.export_csv(table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.concat(F.lit('a "'), "c_name", F.lit('"')).alias("c_name")), path, ["c_nationkey", "c_custkey"])
+    lines = ingest.number_rows(spark.read.text(path), 0, [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")])
+    return lines.select(F.col("source_row_number").alias("position"), F.col("value").alias("line"))
+
+
 @query(f"{I} SELECT CAST(r AS INT) AS import_run_id, severity, count(*) AS row_count FROM i, (VALUES (1), (2)) AS v(r) GROUP BY ALL")
 def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues of two runs, appended to a store and read back."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +85,31 @@ def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").options(header=True, escape=chr(34), ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)  # quotes are doubled, as read_csv takes them; blanks stay
 
 
+def export_csv(df: DataFrame, path: str, order: list[str], parts: int | None = None) -> list[int]:
+    """df in a total order as numbered part files that make one CSV file when they are joined by their names: the header is in the first alone. Nulls sort first, as in the order's columns.
+
+    Rows are range-partitioned and sorted within parts, so no task has all of them. Returns the rows of each part, which _parts.json has as well. Rows that are alike in the order stay together.
+    """
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order))  # written, so that parts are the same when counted and when exported
+    line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    tagged = placed.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"), line.alias("line"))
+    sizes = {r["part"]: r["count"] for r in tagged.groupBy("part").count().collect()}  # a number a part
+    header = ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\n\r') else c for c in df.columns)
+    head = (F.col("part") == min(sizes, default=0)) & (F.col("at") == 0)
+    made = tagged.select(F.when(head, F.concat(F.lit(header + "\n"), "line")).otherwise(F.col("line")).alias("value")) if sizes else spark.createDataFrame([(header,)], "value string").coalesce(1)
+    made.write.mode("overwrite").text(path)
+    rows = [n for _, n in sorted(sizes.items())]
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_parts.json")
+    stream = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(file, True)
+    try:
+        stream.write(bytearray(json.dumps({"columns": df.columns, "order": order, "rows": rows}).encode()))
+    finally:
+        stream.close()
+    return rows
+
+
 def row_fingerprint(columns: list[str]) -> Column:
     """SHA-256 of a row: its columns by name, as JSON with nulls."""
     return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)

@@ -1,5 +1,8 @@
 """CSV files with line breaks in quotes: in splits as in one task; uploads of corrections through files."""
 
+import csv
+import io
+import json
 import random
 
 import pytest
@@ -100,3 +103,18 @@ def test_corrections_go_through_a_file(spark, tmp_path):
     assert [(r.dob, r.note) for r in fixed] == [("1980-02-03", 'he said "no",\nthen left'), ("1980-02-03", None), ("1990-01-01", "x")]
     moved = up.withColumn("source_row_number", F.col("source_row_number") + 1)
     assert {r.error for r in corrections.checked_upload(moved, queue, columns).collect()} == {"source_row_number does not match."}
+
+
+def test_exports_are_sorted_parts_of_one_file(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(5)]), i, rng.choice([' a,"b" ', None, "two\nlines", ""])) for i in rng.sample(range(500), 500)]
+    df = spark.createDataFrame(rows, '`k,1` int, i int, v string')
+    sizes = ingest.export_csv(df, str(tmp_path / "out"), ["`k,1`", "i"], 6)
+    files = sorted((tmp_path / "out").glob("part-*"))
+    assert len(files) == len(sizes) > 3 and sum(sizes) == 500 and json.loads((tmp_path / "out/_parts.json").read_text())["rows"] == sizes
+    got = list(csv.reader(io.StringIO("".join(f.read_text() for f in files), newline="")))
+    assert got[0] == ["k,1", "i", "v"]
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [tuple(r) for r in got[1:]] == [("" if k is None else str(k), str(i), v or "") for k, i, v in want]
+    assert ingest.export_csv(df.limit(0), str(tmp_path / "none"), ["i"]) == []
+    assert "".join(f.read_text() for f in (tmp_path / "none").glob("part-*")) == '"k,1",i,v\n'
