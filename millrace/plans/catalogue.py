@@ -12,7 +12,7 @@ from ..functions import dates, text
 from ..operators import corrections, normalize, outputs, pipeline, profile, reconcile, revalidate, rules
 from ..sources import ingest
 from ..sources.checkpoint import cut, scratch_path
-from ..sources.store import ReconciliationError, Store
+from ..sources.store import KINDS, ReconciliationError, Store
 from .contract import CROSSWALKS, Field, Table
 from .fixtures import COLUMNS, CONTRACT, ELIG_SQL, LINE_ORDER, ORDER_BOOK_SQL, PAIRS, STEPS, book_mappings, elig, identity_mappings, order_book, order_book_contract, table
 from .mapping import Mapping, Step, suggest
@@ -807,6 +807,16 @@ def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.audit("issues").groupBy("import_run_id", "severity").agg(F.count("*").alias("row_count"))
 
 
+@query(f"SELECT 1 AS import_run_id, column_name AS source_column, inferred_type, null_rate, unique_rate, 'approved_mapped' AS coverage_status FROM ({_profile_sql(f'({ELIG_SQL})', COLUMNS)})")
+def audit_source_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of source columns, appended to a store and read back with its types."""
+    from .mapping import source_columns
+
+    found, store = profile.profiles_for_mapping(elig(spark, sf_dir), COLUMNS), Store(spark, scratch_path(spark, "audit"))
+    store.append("source_columns", spark.createDataFrame(source_columns(found, identity_mappings()), KINDS["source_columns"]), 1)
+    return store.audit("source_columns").select("import_run_id", "source_column", "inferred_type", "null_rate", "unique_rate", "coverage_status")
+
+
 @query(f"{I} SELECT source_row_number FROM bad WHERE source_row_number IN (SELECT source_row_number FROM i WHERE severity = 'error' AND contains(issue_code, 'date_of_birth'))")
 def elig_queue_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Run(spark, sf_dir)

@@ -265,6 +265,35 @@ def source_coverage(profiles: list[dict], found: list[Mapping]) -> list[dict]:
     return out
 
 
+#: Columns of the audit of mapping decisions and of source columns.
+DECISION = ["target_table", "target_field", "target_data_type", "target_validation_kind", "source_inferred_type", "type_alignment", "source_column", "source_columns", "confidence", "mapping_mode", "approved", "needs_review", "reason", "transformation_rules_json", "failure_policy", "transformation_approved"]
+SOURCE_COLUMN = ["source_column", "normalized_name", "inferred_type", "null_rate", "unique_rate", "coverage_status", "mapped_targets", "approved_targets", "review_recommendation"]
+
+
+def decisions(found: list[Mapping], contract: Contract, profiles: list[dict], mode: str = "rules") -> list[tuple]:
+    """A row of DECISION for each mapping."""
+    fields, kinds = {(f.table, f.name): f for f in contract.fields}, {p["column_name"]: p["inferred_type"] for p in profiles}
+    out = []
+    for m in found:
+        f = fields[m.table, m.field]
+        first = m.columns[0] if m.columns else None
+        out.append((m.table, m.field, f.data_type, f.kind, kinds.get(first), m.alignment, first, "; ".join(m.columns), m.confidence, mode, m.approved, m.needs_review, ", ".join(m.flags), canonical_json(as_json(m)["transformation_steps"]), m.policy, m.steps_approved))
+    return out
+
+
+def source_columns(profiles: list[dict], found: list[Mapping]) -> list[tuple]:
+    """A row of SOURCE_COLUMN for each column of the source."""
+    uses = {c["column_name"]: c for c in source_coverage(profiles, found)}
+    out = []
+    for p in profiles:
+        c = p["column_name"]
+        named = [m for m in found if c in m.columns]
+        targets = ["; ".join(f"{m.table}.{m.field}" for m in ms) for ms in (named, [m for m in named if m.approved])]
+        advice = "Review: it looks like it holds data of a target field." if uses[c]["needs_review"] else ""
+        out.append((c, p["normalized_name"], p["inferred_type"], float(p["null_rate"]), float(p["unique_rate"]), uses[c]["status"], *targets, advice))
+    return out
+
+
 # -------------------------------------------------------------------------------------------------- gates
 
 
