@@ -34,8 +34,11 @@ DICTIONARY = 1 << 20
 SHORT = 64
 #: Longest word in bytes that is folded.
 LONG = 8192
-#: Words that a task counts at a time.
+#: Words that a task counts at a time, and the pieces between spaces whose ids a worker keeps.
 COUNTED = 1 << 19
+PIECES = 1 << 18
+#: White space but for the space and the line feed; Python takes more for it than patterns do.
+OTHER_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 NONE = 1 << 30
 #: An id that no token has and no pair of the rank map.
 EDGE = 65535
@@ -165,23 +168,41 @@ class Codec:
 # --------------------------------------------------------------------------------------------- frequent words
 
 
+def spaced(text: str) -> list[str] | None:
+    """The text cut at its spaces, if each of them stands between two other characters that are no white space: no word reaches over such a space, and each but the first piece's
+    words are those of the piece with a space before it. None for other texts. Holds for patterns in which a space may only start a word."""
+    if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or any(w in text for w in OTHER_SPACES):
+        return None
+    return text.split(" ")
+
+
 def word_counts(texts: DataFrame, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(w, count) over all rows. A task counts its own occurrences, at most COUNTED words at a time, so a thin row for each of its words is all that is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        split, found = regex.compile(pattern).findall, Counter()
+        split, found, pieces = regex.compile(pattern).findall, Counter(), Counter()
+        free = pattern == public_tokenizers.PATTERN
 
         def rows() -> pa.RecordBatch:
+            for piece, n in pieces.items():
+                for w in split(" " + piece):
+                    found[w] += n
             out = pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["w", "n"])
-            found.clear()
+            found.clear(), pieces.clear()
             return out
 
         for b in slices(batches, 0):
             for t in b.column(0):
-                found.update(split(t.as_py()))
-            if len(found) > COUNTED:
+                text = t.as_py()
+                cut_up = spaced(text) if free else None
+                if cut_up is None:
+                    found.update(split(text))
+                else:
+                    found.update(split(cut_up[0]))
+                    pieces.update(cut_up[1:])
+            if len(found) + len(pieces) > COUNTED:
                 yield rows()
         yield rows()
 
@@ -259,21 +280,41 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import regex
 
         known, split = _unpacked(name, shared), regex.compile(pattern).findall
+        free, whole = pattern == public_tokenizers.PATTERN, {}  # the ids of pieces all of whose words are known
+
+        def looked_up(text: str) -> tuple[list[str | None], dict[int, str]]:
+            """Comma-joined ids of words or of pieces, in order, and the words at the places that have none."""
+            cut_up = spaced(text) if free else None
+            if cut_up is None:
+                words = split(text)
+                ids = list(map(known.get, words))
+                return ids, {k: words[k] for k, x in enumerate(ids) if x is None}
+            ids, lost, start, out = list(map(whole.get, cut_up)), {}, 0, []
+            ids[0] = None  # the first piece has no space before it
+            for k in (k for k, x in enumerate(ids) if x is None):
+                out += ids[start:k]
+                words = split(" " + cut_up[k] if k else cut_up[0])
+                own = list(map(known.get, words))
+                lost |= {len(out) + i: words[i] for i, x in enumerate(own) if x is None}
+                if k and None not in own:
+                    whole[cut_up[k]] = ",".join(own)
+                out += own
+                start = k + 1
+            return out + ids[start:], lost
+
         for b in slices(batches, 1):
+            if len(whole) > PIECES:
+                whole.clear()
             runs, words, places = [], [], []
             for t in b.column(1):
-                found = split(t.as_py())
-                ids = list(map(known.get, found))
-                if None not in ids:
-                    runs.append([",".join(ids)]), words.append([]), places.append([])
-                    continue
+                ids, lost = looked_up(t.as_py())
                 mine, rare, at, start = [], {}, [], 0
-                for k in (k for k, x in enumerate(ids) if x is None):
-                    raw = found[k].encode("utf-8", "replace") if len(found[k]) * 4 > long else b""
+                for k, w in lost.items():
+                    raw = w.encode("utf-8", "replace") if len(w) * 4 > long else b""
                     if len(raw) > long:
                         ids[k] = ",".join(map(str, heap_merge(raw, ranks)))
                         continue
-                    mine.append(",".join(ids[start:k])), at.append(rare.setdefault(found[k], len(rare)))
+                    mine.append(",".join(ids[start:k])), at.append(rare.setdefault(w, len(rare)))
                     start = k + 1
                 runs.append([*mine, ",".join(ids[start:])]), words.append(list(rare)), places.append(at)
             text = pa.list_(pa.string())

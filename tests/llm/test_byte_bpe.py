@@ -1,6 +1,8 @@
 import hashlib
+from collections import Counter
 
 import public_tokenizers as P
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,3 +56,19 @@ def test_the_fold_gives_the_tables_words(spark, sf):
     assert 100 < known.num_rows <= 500
     for w, ids in zip(known["w"].to_pylist(), known["ids"].to_pylist(), strict=True):
         assert ids == ",".join(map(str, TIK.encode_ordinary(w)))
+
+
+@given(st.lists(st.sampled_from(["a", "b1", " ", " ", "  ", "'s", "!", "\n", "é", "'", "\x1c", "\u00a0", "ll"]), max_size=12).map("".join))
+@settings(max_examples=600, deadline=None)
+def test_words_stay_within_pieces(text):
+    split, pieces = regex.compile(P.PATTERN).findall, B.spaced(text)
+    if pieces is not None:
+        assert split(pieces[0]) + [w for x in pieces[1:] for w in split(" " + x)] == split(text)
+
+
+def test_counts_of_words(spark, monkeypatch):
+    monkeypatch.setattr(B, "COUNTED", 3)
+    texts = ["a b a", "a  b", "", "b a\nb c c c", " a", "it's a b-a"] * 7
+    want = Counter(w for t in texts for w in regex.findall(P.PATTERN, t))
+    got = B.word_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).collect()
+    assert {r.w: r["count"] for r in got} == want and len(got) == len(want)
