@@ -37,7 +37,8 @@ def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, t
 
     keyed's column of the name size says how many of the rows have the key, total how many rows there are; size is not in the result. Keys of more than
     a quarter of an even share of a shuffle partition are frequent: fewer than four times as many as there are partitions, however large the data, so
-    theirs are broadcast, and a salt spreads their rows over the partitions in which all others meet.
+    theirs are broadcast, and a salt spreads their rows over the partitions in which all others meet. The salt is the rows' place in their partition, so rows must be a scan,
+    a checkpoint, or rows of these with columns added or left out: a task that runs again must give its rows in the same order.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     added = [c for c in keyed.columns if c not in (*keys, size)] if how != "left_semi" else []

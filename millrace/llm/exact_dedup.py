@@ -62,6 +62,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null texts count as empty, and empty texts equal each other. A null id sorts last. Rows that share an id count as one
     row of their group each; those with the kept id and text all carry kept, as the id is what stays. text_sha256 is that of
     the normalised text; it also tells rows apart that share an id. Extra columns of docs pass through, but for those named like the four.
+    docs must be a scan or a checkpoint, see spread_join.
     """
     extra = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
     groups = cut(duplicate_groups(full_hashes(docs, id_col, text_col)[0]))
@@ -84,7 +85,7 @@ def without(docs: DataFrame, ident: Column, mark: Column, gone: DataFrame, may:
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup() calls kept. Only texts of rows that may have a duplicate are shuffled; all others stay where they are read.
 
-    Rows are told apart by id and text: repeated rows stay or go together.
+    Rows are told apart by id and text: repeated rows stay or go together. docs must be a scan or a checkpoint, see spread_join.
     """
     full, may = full_hashes(docs, id_col, text_col)
     full = cut(full)

@@ -73,7 +73,8 @@ def filter_urls(pages: DataFrame, url_col: str, rules: DataFrame, keep: list[str
     rules: (host, path, verdict). A rule fits its host and all subdomains when the url's path starts with the rule's path. The longest key
     (host and path together) wins, equal lengths go to the smaller key; of rules listed twice the smaller verdict ("allow"
     before "block") holds. Null and malformed urls have an empty host and path and get the default verdict, as do urls without
-    a fitting rule; an empty host matches no rule. Rules with a null host, path or verdict are ignored. Repeated rows stay.
+    a fitting rule; an empty host matches no rule. Rules with a null host, path or verdict are ignored. Repeated rows stay. pages must be a scan or a
+    checkpoint, see spread_join.
     """
     listed = rules.select(F.translate("host", _UPPER, _LOWER).alias("h"), F.col("path").alias("p"), F.col("verdict").alias("rule_verdict"))
     listed = listed.where("h is not null and p is not null and rule_verdict is not null and h <> ''")
