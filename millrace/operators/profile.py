@@ -21,29 +21,56 @@ def _rate(part: Column, whole: Column) -> Column:
 def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
     """One row a column: counts, rates, dates, enum words, inferred type. Rates are of values that aren't blank, to four places.
 
-    Values are counted first, by column, so parsing is done once for each distinct value; approximate counts distinct values by a sketch and parses every value.
+    Values are counted first, by column, so parsing is done once for each distinct value; approximate counts distinct values by a sketch and parses every value,
+    and then no value goes through a shuffle.
     """
     columns = columns or [c for c in df.columns if c != "source_row_number"]
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), text.clean(F.col(f"`{c}`")).alias("v")) for c in columns])
-    long = df.select(F.inline(pairs))
-    long = long.withColumn("n", F.lit(1).cast("long")) if approximate else long.groupBy("column_name", "v").agg(F.count("*").alias("n"))
+    if approximate:
+        from .sketches import sketch
+
+        found = sketch(df, columns, top=0).withColumn("unique_count", F.hll_sketch_estimate("distinct_values"))
+        return finish(found.withColumns({f"enum_{k}": F.array_join(f"enum_{k}", ",") for k in CROSSWALKS}), columns)
+    long = values_of(df, columns).groupBy("column_name", "v").agg(F.count("*").alias("n"))
+    words = {k: F.array_join(c, ",") for k, c in enum_words().items()}
+    return finish(classified(long).groupBy("column_name").agg(F.count("v").alias("unique_count"), *measures(), *[c.alias(f"enum_{k}") for k, c in words.items()]), columns)
+
+
+def values_of(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, v): a row for each cell."""
+    return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), text.clean(F.col(f"`{c}`")).alias("v")) for c in columns])))
+
+
+def classified(long: DataFrame) -> DataFrame:
+    """Values with n, the rows that have them: what each of them is."""
+    v = F.col("v")
+    return long.select("column_name", "v", "n", dates.free(v).alias("d"), text.token(v).alias("t"), F.coalesce(v.rlike(text.EMAIL), F.lit(False)).alias("e"), F.coalesce(F.length(text.digits(v)).isin(10, 11), F.lit(False)).alias("p"), text.number(v).isNotNull().alias("x"))
+
+
+def measures() -> list[Column]:
+    """Aggregates of classified values; those of parts of a table add up."""
     v, n = F.col("v"), F.col("n")
-    long = long.select("column_name", "v", "n", dates.free(v).alias("d"), text.token(v).alias("t"), F.coalesce(v.rlike(text.EMAIL), F.lit(False)).alias("e"), F.coalesce(F.length(text.digits(v)).isin(10, 11), F.lit(False)).alias("p"), text.number(v).isNotNull().alias("x"))
     some = lambda condition: F.coalesce(F.sum(F.when(condition, n)), F.lit(0)).cast("long")
-    words = [F.array_join(F.array_sort(F.collect_set(text.lookup(F.col("t"), pairs))), ",").alias(f"enum_{kind}") for kind, pairs in CROSSWALKS.items()]  # as many as a crosswalk has
-    distinct = F.approx_count_distinct("v") if approximate else F.count("v")
-    p = long.groupBy("column_name").agg(
-        F.sum(n).alias("rows"), some(v.isNotNull()).alias("non_null_count"), distinct.alias("unique_count"), some(F.col("d").isNotNull()).alias("dates"), some(F.col("e")).alias("emails"), some(F.col("p")).alias("phones"), some(F.col("x")).alias("numbers"),
-        F.date_format(F.min("d"), "yyyy-MM-dd").alias("min_date"), F.date_format(F.max("d"), "yyyy-MM-dd").alias("max_date"), *words,
-    )
-    names = df.sparkSession.createDataFrame([(i, c, column_key(c)) for i, c in enumerate(columns)], "_i int, column_name string, normalized_name string")
+    return [
+        F.sum(n).alias("rows"), some(v.isNotNull()).alias("non_null_count"), some(F.col("d").isNotNull()).alias("dates"), some(F.col("e")).alias("emails"), some(F.col("p")).alias("phones"), some(F.col("x")).alias("numbers"),
+        F.min("d").alias("min_date"), F.max("d").alias("max_date"),
+    ]
+
+
+def enum_words() -> dict[str, Column]:
+    """The words of each crosswalk that values stand for, in order; as many as it has at most."""
+    return {kind: F.array_sort(F.collect_set(text.lookup(F.col("t"), pairs))) for kind, pairs in CROSSWALKS.items()}
+
+
+def finish(p: DataFrame, columns: list[str]) -> DataFrame:
+    """Profiles from counts: a row for each of the columns, also of a table without rows."""
+    names = p.sparkSession.createDataFrame([(i, c, column_key(c)) for i, c in enumerate(columns)], "_i int, column_name string, normalized_name string")
     p = F.broadcast(names).join(p, "column_name", "left")  # a frame without rows has profiles too
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     whole, none = count("non_null_count"), lambda c: F.coalesce(F.col(c), F.lit(""))
     p = p.orderBy("_i").select(
         "column_name", "normalized_name", whole.alias("non_null_count"), F.when(count("rows") > 0, F.round(1 - whole / count("rows"), 4)).otherwise(0.0).alias("null_rate"), count("unique_count").alias("unique_count"), _rate(count("unique_count"), whole).alias("unique_rate"),
         _rate(count("dates"), whole).alias("date_parse_rate"), _rate(count("emails"), whole).alias("email_pattern_rate"), _rate(count("phones"), whole).alias("phone_pattern_rate"), _rate(count("numbers"), whole).alias("numeric_parse_rate"),
-        *[none(f"enum_{k}").alias(f"enum_{k}") for k in CROSSWALKS], "min_date", "max_date",
+        *[none(f"enum_{k}").alias(f"enum_{k}") for k in CROSSWALKS], *[F.date_format(d, "yyyy-MM-dd").alias(d) for d in ("min_date", "max_date")],
     )
     return p.withColumn("inferred_type", inferred_type())
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import corrections, normalize, outputs, pipeline, profile, reconcile, revalidate, rules
+from ..operators import corrections, normalize, outputs, pipeline, profile, reconcile, revalidate, rules, sketches
 from ..sources import ingest
 from ..sources.checkpoint import cut, scratch_path
 from ..sources.store import KINDS, ReconciliationError, Store
@@ -659,6 +659,27 @@ def profile_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.sample_values(elig(spark, sf_dir), COLUMNS)
 
 
+def _events_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged sketches of all events: two files' worth, each sketched once and stored."""
+    events, store = table(spark, sf_dir, "events"), Store(spark, scratch_path(spark, "sketches"))
+    late = F.coalesce(F.col("ts") >= F.lit("2024-01-16").cast("timestamp"), F.lit(False))
+    for run, part in enumerate((events.where(~late), events.where(late)), 1):
+        store.append("profile_sketches", sketches.sketch(part, _EVENTS), run)
+    return sketches.merge(store.audit("profile_sketches"))
+
+
+@query(f"SELECT * EXCLUDE (unique_count, unique_rate) FROM ({_profile_sql('events', _EVENTS)})")
+def profile_events_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of events from stored sketches of parts; all but the estimates of distinct values, which a test holds to their bound."""
+    return sketches.to_profile(_events_in_parts(spark, sf_dir), _EVENTS).drop("unique_count", "unique_rate")
+
+
+@query("SELECT value, row_count, CAST(row_number() OVER (ORDER BY row_count DESC, value) AS INT) AS rank FROM (SELECT event_type AS value, count(*) AS row_count FROM events WHERE nullif(trim(event_type), '') IS NOT NULL GROUP BY ALL) QUALIFY rank <= 5")
+def profile_events_top_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent values from the same sketches; event_type has few values, so its counts are exact."""
+    return sketches.top_values(_events_in_parts(spark, sf_dir)).where("column_name = 'event_type'").drop("column_name")
+
+
 @query(f"SELECT DISTINCT word, kind FROM (SELECT {_case(_token('plan_type'), CROSSWALKS['plan_type'])} AS word, 'plan_type' AS kind FROM ({ELIG_SQL}) UNION ALL SELECT {_case(_token('status'), CROSSWALKS['coverage_status'])}, 'coverage_status' FROM ({ELIG_SQL})) WHERE word IS NOT NULL")
 def profile_enum_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = elig(spark, sf_dir)
