@@ -183,11 +183,12 @@ LINEAGE = ["source_row_number", "source_record_id", "row_status", "lineage_statu
 ISSUES = "array<struct<issue_seq:int,severity:string,issue_code:string,issue_message:string,target_field:string,source_column:string>>"
 
 
-def lineage(flat: Flat, typed: DataFrame, issues: DataFrame, file_hash: str = "", corrections: DataFrame | None = None, template_version: str = "", parent_run: int | None = None) -> DataFrame:
+def lineage(flat: Flat, typed: DataFrame, issues: DataFrame, file_hash: str = "", corrections: DataFrame | None = None, template_version: str = "", parent_run: int | None = None, clustered: bool = False) -> DataFrame:
     """One row for each source row and target field, 22 columns: where a value came from, what was done to it, and its state.
 
     The issues of a row are joined once as an array. A row is then repeated for each field's number; what is fixed for a field is looked up by the number, and
     what comes from the row is chosen by it. So a query of a few columns works out no others. corrections: (source_row_number, source_column, corrected_value).
+    clustered: rows are put in the order of their record ids, before they are repeated, so that what is stored can be looked up by record.
     """
     contract = flat.contract
     fields = contract.fields
@@ -215,7 +216,10 @@ def lineage(flat: Flat, typed: DataFrame, issues: DataFrame, file_hash: str = ""
 
     sources = fixed_by_field([m.source if m else "" for m in mapped])
     rejected = F.exists("_issues", _has("error"))
-    df = df.withColumn("_rejected", rejected).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(len(fields) - 1))))
+    df = df.withColumn("_rejected", rejected)
+    if clustered:
+        df = df.withColumn("_id", record_id(file_hash, F.col("source_row_number"))).repartitionByRange("_id").sortWithinPartitions("_id")
+    df = df.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(len(fields) - 1))))
     name = fixed_by_field([f.name for f in fields])
     df = df.withColumns({
         "_mine": F.filter("_issues", lambda i: i["target_field"] == name),

@@ -388,6 +388,18 @@ def elig_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outputs.lineage(r.flat, r.typed, r.issues, "demo").select("source_row_number", "source_record_id", "row_status", "lineage_status", "target_table", "target_field", "source_column", "final_value")
 
 
+_CORRECTED = """CASE WHEN source_column = 'dob' AND source_row_number IN (SELECT source_row_number FROM e WHERE dob = '1979-02-30') THEN '{"dob":"1979-02-28"}' ELSE '{}' END AS corrected_values_json"""
+
+
+@query(_lineage_sql(f"source_row_number, source_record_id, target_table, target_field, lineage_status, final_value, {_CORRECTED} FROM x"))
+def elig_lineage_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineage with corrections of birth dates, stored in the order of its records and read back."""
+    r, store = Run(spark, sf_dir, trace=True), Store(spark, scratch_path(spark, "lineage"))
+    fixed = r.source.where("dob = '1979-02-30'").select("source_row_number", F.lit("dob").alias("source_column"), F.lit("1979-02-28").alias("corrected_value"))
+    store.append("lineage", outputs.lineage(r.flat, r.typed, r.issues, "demo", fixed, clustered=True), 1)
+    return store.audit("lineage", 1).select("source_row_number", "source_record_id", "target_table", "target_field", "lineage_status", "final_value", "corrected_values_json")
+
+
 @query(_lineage_sql("target_table, target_field, lineage_status, count(*) AS row_count FROM x GROUP BY ALL"))
 def elig_lineage_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Run(spark, sf_dir)
