@@ -4,7 +4,9 @@
    ids: no other id of the class can be among any query's k best, as ties go to the smaller id and a query excludes one id.
 2. The file holds for each class a small cell code for each component, and the exact vector. It stays where it is: the query set comes to
    it, in batches of a bounded size. No pair of rows is ever shuffled, only each task's k + 1 best for a query.
-3. A task scans a block of codes, which bounds every distance (here: an inner product, so the nearest have the largest upper bound), and rules out
+3. The file is searched in rounds, each several times as large as the one before: a round starts with each query's (k + 1)-th best of the earlier ones, so the rows that
+   tasks send grow with the logarithm of the file, not with tasks times queries.
+4. A task scans a block of codes, which bounds every distance (here: an inner product, so the nearest have the largest upper bound), and rules out
    what can't reach the (k + 1)-th best so far. It reads the exact vectors of the others in the order of their bounds until the (k + 1)-th
    result is certain, that is until the next bound is worse than it.
 
@@ -21,15 +23,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, spread_join, table
+from .common import cut, scratch_path, spread_join, table
 
 #: Bits of a cell code; cells are equal slices of each component's own range.
 BITS = 7
 #: Rows of the file that are scanned as one block, and queries that are compared with it at a time.
 BLOCK_ROWS = 8192
 QUERY_ROWS = 256
-#: Bytes of the query vectors that are broadcast at a time.
+#: Bytes, and number, of the query vectors that are broadcast at a time; a task keeps about 430 bytes of results a query at k = 5.
 BATCH_BYTES = 16 << 20
+BATCH_ROWS = 65536
+#: Blocks of the first round; each round has ROUND times as many as all before it.
+ROUND = 8
 LONG = 2**63 - 1
 
 
@@ -110,20 +115,23 @@ def approximation_file(classes: DataFrame, limits: dict[int, tuple[np.ndarray, n
 
 @dataclass
 class Best:
-    """The n best classes so far of each of a dimension's queries: score, smallest id, all ids. A place without a class has no ids."""
+    """The n best classes so far of each of a dimension's queries: score, smallest id, all ids. A place without a class has no ids. floor: what a score must reach in any case."""
 
     score: np.ndarray
     first: np.ndarray
     ids: np.ndarray
     count: np.ndarray
+    floor: np.ndarray
 
     @classmethod
-    def none(cls, queries: int, n: int) -> Best:
-        return cls(np.full((queries, n), -LONG - 1), np.full((queries, n), LONG), np.zeros((queries, n, n), np.int64), np.zeros((queries, n), np.int64))
+    def none(cls, queries: int, n: int, floor: np.ndarray | None = None) -> Best:
+        floor = np.full(queries, -LONG - 1) if floor is None else floor
+        return cls(np.full((queries, n), -LONG - 1), np.full((queries, n), LONG), np.zeros((queries, n, n), np.int64), np.zeros((queries, n), np.int64), floor)
 
     def bound(self, at: slice) -> np.ndarray:
-        """What a score must reach to matter; minus infinity while places are free."""
-        return np.where(self.count[at, -1] > 0, self.score[at, -1].astype(float), -np.inf)
+        """What a score must reach to matter; minus infinity, or the floor, while places are free. A long is rounded to a double, which the slack of upper bounds allows for."""
+        low = np.where(self.floor[at] > -LONG - 1, self.floor[at].astype(float), -np.inf)
+        return np.maximum(low, np.where(self.count[at, -1] > 0, self.score[at, -1].astype(float), -np.inf))
 
     def add(self, at: int, q: np.ndarray, score: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
         """Merges rows (query number from at on, score, ids, number of ids)."""
@@ -183,11 +191,11 @@ def search_block(best: Best, queries: np.ndarray, limits: tuple[np.ndarray, np.n
 
 
 def search(limits: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], shared, n: int):
-    """Over rows of the file: (qh, score, ids) of each task's n best classes for each query of the broadcast batch."""
+    """Over rows of the file: (qh, score, ids) of each task's n best classes for each query of the broadcast batch, of those that reach its floor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = {dim: (names, np.frombuffer(data, "<i8").reshape(-1, dim)) for dim, (names, data) in shared.value.items()}
-        best = {dim: Best.none(len(names), n) for dim, (names, _) in asked.items()}
+        asked = {dim: (names, np.frombuffer(data, "<i8").reshape(-1, dim)) for dim, (names, data, _) in shared.value.items()}
+        best = {dim: Best.none(len(names), n, floor) for dim, (names, _, floor) in shared.value.items()}
         for b in batches:
             dims = b.column(0).to_numpy()
             for dim in np.unique(dims):
@@ -205,7 +213,8 @@ def search(limits: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], shared,
         for dim, (names, _) in asked.items():
             found = best[dim]
             for at in range(0, len(names), 1024):
-                q, place = np.nonzero(found.count[at : at + 1024])
+                some = slice(at, at + 1024)
+                q, place = np.nonzero((found.count[some] > 0) & (found.score[some] >= found.floor[some, None]))
                 if len(q):
                     q = q + at
                     lists = pa.array([found.ids[i, p, : found.count[i, p]].tolist() for i, p in zip(q, place, strict=True)], pa.list_(pa.int64()))
@@ -214,6 +223,35 @@ def search(limits: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], shared,
     return run
 
 
+HIT = "qh binary, score long, ids array<long>"
+
+
+def in_rounds(file: DataFrame, parts: int, first: int = ROUND) -> list[DataFrame]:
+    """The rows of a file of at most so many partitions, written by rounds: `first` partitions, then ROUND times as many as all before, and so on. Each round reads its own folders alone."""
+    spark, path = file.sparkSession, scratch_path(file.sparkSession, "cells")
+    p = F.spark_partition_id()
+    number = F.when(p < first, 0).otherwise(F.floor(F.log2(p / F.lit(first)) / F.lit(float(np.log2(1 + ROUND)))).cast("int") + 1)
+    file.select("dim", "ids", "codes", "exact", number.alias("_round")).write.partitionBy("_round").parquet(path)
+    rows = spark.read.schema("dim int, ids array<long>, codes binary, exact binary, _round int").parquet(path)
+    last, ends = 0, first
+    while ends < parts:
+        last, ends = last + 1, ends * (1 + ROUND)
+    return [rows.where(F.col("_round") == i).select("dim", "ids", "codes", "exact") for i in range(last + 1)]
+
+
+def batch_hits(rounds: list[DataFrame], limits: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], batch: dict[int, tuple[list[bytes], list[bytes]]], n: int) -> DataFrame:
+    """(qh, score, ids) of rows among which are the n best classes of each query of a batch; a number a query comes to the driver between rounds."""
+    sc, floors, found = rounds[0].sparkSession.sparkContext, {}, None
+    for i, rows in enumerate(rounds):
+        shared = sc.broadcast({dim: (hs, b"".join(vs), np.array([floors.get(h, -LONG - 1) for h in hs], np.int64)) for dim, (hs, vs) in batch.items()})
+        made = cut(rows.mapInArrow(search(limits, shared, n), HIT))
+        found = made if found is None else found.unionByName(made)
+        if i + 1 < len(rounds):
+            nth = F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(n - 1))  # a query has as many rows as tasks of the first round send, and few of later ones
+            floors = {bytes(r["qh"]): r["s"] for r in found.groupBy("qh").agg(nth.alias("s")).where("s is not null").toLocalIterator()}
+    return found
+
+
 def exact_top_k(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = 5, scale: float = 256.0, bits: int = BITS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(query_id, rank, id, score): each query's k best rows by integer inner product, itself excluded, ties to the smaller id.
 
@@ -230,19 +268,20 @@ def exact_top_k(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k
     limits = cell_limits(classes, bits)
     file = approximation_file(classes, limits)
     # A task has a block or more of the file, unless there are cores to spare: each task sends k + 1 rows a query.
-    file = cut(file.coalesce(max(spark.sparkContext.defaultParallelism, classes.count() // BLOCK_ROWS)))
+    blocks = max(spark.sparkContext.defaultParallelism, classes.count() // BLOCK_ROWS)
+    file = cut(file.coalesce(blocks))
     names = cut(queries.groupBy("h").agg(F.count("*").alias("_n")))
     asked = cut(file.select("h", "dim", "exact").join(names, "h", "left_semi"))
-    parts = 1 + (asked.agg(F.sum(F.col("dim").cast("long") * 8)).first()[0] or 0) // batch_bytes
-    rows = file.select("dim", "ids", "codes", "exact")
+    size = asked.agg(F.sum(F.col("dim").cast("long") * 8), F.count("*")).first()
+    parts = 1 + max((size[0] or 0) // batch_bytes, size[1] // BATCH_ROWS)
+    rounds = in_rounds(file, blocks)
     found = None
     for part in range(parts):  # about batch_bytes each: digests spread the queries evenly
         batch: dict[int, tuple[list[bytes], list[bytes]]] = {}
         for r in asked.where(F.pmod(F.xxhash64("h"), F.lit(parts)) == part).toLocalIterator():
             own = batch.setdefault(r["dim"], ([], []))
             own[0].append(bytes(r["h"])), own[1].append(bytes(r["exact"]))
-        shared = spark.sparkContext.broadcast({dim: (hs, b"".join(vs)) for dim, (hs, vs) in batch.items()})
-        made = cut(rows.mapInArrow(search(limits, shared, k + 1), "qh binary, score long, ids array<long>"))
+        made = batch_hits(rounds, limits, batch, k + 1)
         found = made if found is None else found.unionByName(made)
     # The k + 1 best classes of a query hold its k best rows, its own row aside: each class has k + 1 ids at most.
     order = F.row_number().over(Window.partitionBy("qh").orderBy(F.col("score").desc(), "id"))
