@@ -110,6 +110,18 @@ def test_url_cases(spark):
     assert {r.verdict for r in none.collect()} == {"allow"}
 
 
+def test_rules_of_the_query(spark, tmp_path):
+    """Each rule's word as the contract lists it, written out here and not taken from the code."""
+    want = {
+        "http://a.com/en/1": ("com/en/", "block"), "http://example.com/en/71": ("example.com/en/7", "allow"), "http://a.net/de/1": ("net/de/", "allow"),
+        "http://www.example.net/de/81": ("example.net/de/8", "block"), "http://example.net/de/71": ("net/de/", "allow"), "http://a.org/es/1": ("org/es/", "block"), "http://a.org/en/1": (None, "allow"),
+    }
+    urls = list(want)
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {urls[r.page_id]: (r.rule, r.verdict) for r in url_filter.op10_url_filter(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_bloom_filter_never_misses(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
     blocks, words = url_filter.bloom_filter(keys, "key", 5000)
