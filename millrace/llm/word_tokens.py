@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +24,16 @@ from pyspark.sql import functions as F
 TABLE = 200_000
 LONGEST = 128
 #: Texts that are encoded together, and their bytes.
-BATCH = 256
+BATCH = 2048
 BATCH_BYTES = 4 << 20
 
 
 #: A chunk that is one word of Latin letters, which are their own NFC form, and then signs without an apostrophe: two words to the tokenizer.
-LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ž]+)([!-&(-/:-@[-`{-~]*)")
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ž"
+LATIN = re.compile(f"([{LETTERS}]+)([!-&(-/:-@[-`{{-~]*)")
+#: The same signs, and letters that have all the bytes of such words.
+SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+BYTES = "".join(c for c in map(chr, range(0x17F)) if c.isalpha())
 
 
 def byte_characters() -> dict[int, str]:
@@ -111,9 +116,28 @@ class ChunkEncoder:
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Each distinct word and each distinct run of signs of the texts is looked up once; cutting up, numbering and joining are left to Arrow."""
         if len(self.table) > TABLE:
             self.table = _Chunks(self._ids, self.table)
-        return [b"".join(map(self.table.__getitem__, self._chunks(t))) for t in texts]
+        marked = {k: b"".join(map(self.table.__getitem__, self._chunks(t))) for k, t in enumerate(texts) if any(m in t for m in self.marks)}
+        plain = pa.array([b"" if k in marked else t for k, t in enumerate(texts)], pa.binary()).view(pa.string())
+        plain = pc.if_else(pc.string_is_ascii(plain), pc.ascii_lower(plain), plain)
+        lists = pc.ascii_split_whitespace(plain)  # its empty strings have no ids
+        chunks = lists.flatten().dictionary_encode()
+        own = chunks.dictionary
+        core = pc.ascii_rtrim(own, SIGNS)
+        two = pc.match_substring_regex(core, f"^[{LETTERS}]+$")
+        made = self._looked_up(pc.if_else(two, core, own))
+        made = pc.binary_join_element_wise(made, self._looked_up(pc.if_else(two, pc.ascii_ltrim(own, BYTES), "")), pa.scalar(b"", pa.large_binary()))
+        made = made.take(chunks.indices)
+        ends = np.frombuffer(made.buffers()[1] or bytes(8), np.int64)[lists.offsets.to_numpy()].tolist()
+        data = (made.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        return [marked[k] if k in marked else data[ends[k] : ends[k + 1]] for k in range(len(texts))]
+
+    def _looked_up(self, chunks: pa.Array) -> pa.Array:
+        distinct = chunks.dictionary_encode()
+        found = map(self.table.__getitem__, distinct.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+        return pa.array(list(found), pa.large_binary()).take(distinct.indices)
 
 
 _encoders: dict[int, ChunkEncoder] = {}

@@ -32,6 +32,21 @@ def test_chunks_equal_whole_text(text):
     assert np.frombuffer(ENCODER.encode([text.encode()])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+@given(st.lists(st.lists(st.one_of(WORDS, SPECIAL), max_size=5).map("".join), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_texts_of_a_batch_do_not_mix(texts):
+    raw = [t.encode() for t in texts]
+    assert ENCODER.encode(raw) == [ENCODER.encode([t])[0] for t in raw]
+
+
+def test_words_are_looked_up_without_their_signs():
+    encoder = ChunkEncoder(tokenizer_bytes())
+    one, two = encoder.encode([b"abc, abc. Abc; na\xc3\xafve? ABC!", b" abc abc,\tna\xc3\xafve."])
+    assert set(encoder.table) - {b""} <= {b"abc", b"Abc", b"ABC", "naïve".encode(), b",", b".", b";", b"?", b"!"}
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    assert [np.frombuffer(x, "<u4").tolist() for x in (one, two)] == [t.encode(x, add_special_tokens=False).ids for x in ("abc, abc. Abc; naïve? ABC!", " abc abc,\tnaïve.")]
+
+
 ROWS = [(5, "The quick fox<|endoftext|>"), (2, None), (9, ""), (7, "word " * 9000), (7, "word " * 9000), (None, "null id"), (1, "x" * 700), (11, "a <|endoftext|> B<|startoftext|>c <|ENDOFTEXT|>")]
 
 
