@@ -5,7 +5,7 @@ pair has a rank. The rank map is a literal: pairs of token ids are hashed to one
 
 Words repeat, so the fold runs over distinct words: counts are taken over all documents, and the words above a count that at most
 `dictionary` of them reach are folded once each. That table (word, ids) has a bounded size whatever the corpus, and goes to every task; texts are
-split there and their words looked up in place, so no token occurrence is ever shuffled. Words outside the table go back to the plan as they stand, and
+split there and the distinct words of some megabytes of text looked up in place, so no token occurrence is ever shuffled. Words outside the table go back to the plan as they stand, and
 the same fold makes their ids there. Only a word of more than LONG bytes, a run without a break, is merged by a heap
 with the same ranks: the cost of a fold is the square of a word's length.
 
@@ -19,24 +19,28 @@ import heapq
 import io
 import json
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, slices, table
 
-#: Words of the table of frequent words, and the longest of them in bytes: the bound of what goes to every task, about 180 bytes a word in a worker.
+#: Words of the table of frequent words, and the longest of them in bytes: the bound of what goes to every task, about 50 bytes a word in a worker.
 DICTIONARY = 1 << 20
 SHORT = 64
 #: Longest word in bytes that is folded.
 LONG = 8192
-#: Words that a task counts at a time, and the pieces between spaces whose ids a worker keeps.
+#: Words and pieces between spaces that a task counts at a time.
 COUNTED = 1 << 19
-PIECES = 1 << 18
+#: Texts that are cut up together, and their bytes.
+CUT_ROWS = 4096
+CUT_BYTES = 6 << 20
 #: White space but for the space and the line feed; Python takes more for it than patterns do.
 OTHER_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 NONE = 1 << 30
@@ -171,40 +175,72 @@ class Codec:
 def spaced(text: str) -> list[str] | None:
     """The text cut at its spaces, if each of them stands between two other characters that are no white space: no word reaches over such a space, and each but the first piece's
     words are those of the piece with a space before it. None for other texts. Holds for patterns in which a space may only start a word."""
-    if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or any(w in text for w in OTHER_SPACES):
-        return None
-    return text.split(" ")
+    return text.split(" ") if _free(text) else None
+
+
+def _free(text: str) -> bool:
+    return not ("  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or any(w in text for w in OTHER_SPACES))
+
+
+def _objects(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+class _CutUp:
+    """Texts as units, each of which is one or more words: a piece between spaces, or the first piece of a text, or a whole text that spaced() doesn't cut.
+
+    order: the texts' numbers; ends: where the units of each of these texts end, from 0; codes: their units. pieces: the distinct pieces, which are the first units; others: the words of each other unit.
+    """
+
+    def __init__(self, texts: pa.Array, split: Callable[[str], list[str]], free: bool):
+        cut_up = np.array([free and _free(t.as_py()) for t in texts], bool)
+        self.order = np.append(np.flatnonzero(cut_up), np.flatnonzero(~cut_up))
+        lists = pc.split_pattern(texts.filter(pa.array(cut_up)), " ")
+        found = lists.flatten().dictionary_encode()
+        codes, ends, n = found.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64), int(cut_up.sum())
+        ends -= ends[0] if len(ends) else 0
+        self.pieces = _objects(found.dictionary)
+        self.others = [split(self.pieces[c]) for c in codes[ends[:n]]] + [split(texts[int(k)].as_py()) for k in self.order[n:]]
+        codes[ends[:n]] = len(self.pieces) + np.arange(n)  # the first piece has no space before it
+        self.codes = np.append(codes, len(self.pieces) + np.arange(n, len(texts)))
+        self.ends = np.append(ends if len(ends) else 0, (ends[-1] if len(ends) else 0) + 1 + np.arange(len(texts) - n))
 
 
 def word_counts(texts: DataFrame, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """(w, count) over all rows. A task counts its own occurrences, at most COUNTED words at a time, so a thin row for each of its words is all that is shuffled."""
+    """(w, count) over all rows. A task counts its own occurrences, about COUNTED words at a time, so a thin row for each of its words is all that is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        split, found, pieces = regex.compile(pattern).findall, Counter(), Counter()
-        free = pattern == public_tokenizers.PATTERN
-
-        def rows() -> pa.RecordBatch:
-            for piece, n in pieces.items():
-                for w in split(" " + piece):
-                    found[w] += n
-            out = pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["w", "n"])
-            found.clear(), pieces.clear()
-            return out
-
-        for b in slices(batches, 0):
-            for t in b.column(0):
-                text = t.as_py()
-                cut_up = spaced(text) if free else None
-                if cut_up is None:
-                    found.update(split(text))
-                else:
-                    found.update(split(cut_up[0]))
-                    pieces.update(cut_up[1:])
-            if len(found) + len(pieces) > COUNTED:
-                yield rows()
-        yield rows()
+        split, free = regex.compile(pattern).findall, pattern == public_tokenizers.PATTERN
+
+        def counted(words: pa.ChunkedArray | pa.Array, n: pa.ChunkedArray | pa.Array) -> pa.Table:
+            return pa.table([words, n], ["w", "n"]).group_by("w").aggregate([("n", "sum")]).rename_columns(["w", "n"])
+
+        def rows(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+            out = [t for t in held if t.column_names == ["w", "n"]]
+            pieces = pa.concat_tables([t.rename_columns(["w", "n"]) for t in held if t.column_names != ["w", "n"]])
+            for b in counted(pieces["w"], pieces["n"]).to_batches(COUNTED // 8 + 1):
+                words = [split(" " + p) for p in _objects(b.column(0))]
+                n = np.repeat(b.column(1).to_numpy(), list(map(len, words)))
+                out.append(counted(pa.array(list(chain.from_iterable(words)), pa.string()), pa.array(n, pa.int64())))
+            every = pa.concat_tables(out)
+            yield from counted(every["w"], every["n"]).combine_chunks().to_batches()
+
+        held, size = [], 0
+        for b in slices(batches, 0, CUT_ROWS, CUT_BYTES):
+            cut_up = _CutUp(b.column(0), split, free)
+            n = np.bincount(cut_up.codes, minlength=len(cut_up.pieces))[: len(cut_up.pieces)]
+            there = np.flatnonzero(n)
+            own = [cut_up.pieces[k] for k in there]
+            loose = pa.array(list(chain.from_iterable(cut_up.others)), pa.string())
+            held += [pa.table([pa.array(own, pa.string()), pa.array(n[there], pa.int64())], ["piece", "n"]), counted(loose, pa.array(np.ones(len(loose), np.int64)))]
+            size += len(own) + held[-1].num_rows
+            if size > COUNTED:
+                yield from rows(held)
+                held, size = [], 0
+        if held:
+            yield from rows(held)
 
     return texts.select("text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("count"))
 
@@ -253,19 +289,45 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 def _packed(known: pa.Table) -> bytes:
     out = io.BytesIO()
     with pa.ipc.new_stream(out, known.schema) as stream:
-        stream.write_table(known)
+        stream.write_table(known.combine_chunks())
     return out.getvalue()
 
 
-_tables: dict[str, dict[str, str]] = {}
+class _Known:
+    """The table of frequent words as it came, in Arrow, with the words' hashes in order. Equal hashes of two words of the table cost the second its place: it counts as unknown."""
+
+    def __init__(self, packed: bytes):
+        with pa.ipc.open_stream(packed) as stream:
+            batches = list(stream)
+        self.words, self.ids = batches[0].columns if batches else (pa.array([], pa.string()), pa.array([], pa.string()))
+        keys = np.empty(len(self.words), np.int64)
+        for at in range(0, len(keys), 1 << 16):
+            part = _objects(self.words.slice(at, 1 << 16))
+            keys[at : at + len(part)] = np.fromiter(map(hash, part), np.int64, len(part))
+        self.at = np.argsort(keys).astype(np.int32)
+        self.keys = keys[self.at]
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """Each word's row in the table, -1 for unknown words."""
+        if not len(self.keys) or not words:
+            return np.full(len(words), -1, np.int32)
+        keys = np.fromiter(map(hash, words), np.int64, len(words))
+        order = np.argsort(keys)
+        spot = np.empty(len(keys), np.int64)
+        spot[order] = np.minimum(np.searchsorted(self.keys, keys[order]), len(self.keys) - 1)
+        row = self.at[spot]
+        same = pc.equal(self.words.take(pa.array(row)), pa.array(words, pa.string())).to_numpy(zero_copy_only=False)
+        return np.where(same, row, -1)
 
 
-def _unpacked(name: str, shared) -> dict[str, str]:
-    """The table as a dictionary, made once in a worker process; the one before goes."""
+_tables: dict[str, _Known] = {}
+
+
+def _unpacked(name: str, shared) -> _Known:
+    """The table, made once in a worker process; the one before goes."""
     if name not in _tables:
         _tables.clear()
-        with pa.ipc.open_stream(shared.value) as stream:
-            _tables[name] = {w: ids for b in stream for w, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+        _tables[name] = _Known(shared.value)
     return _tables[name]
 
 
@@ -280,45 +342,52 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import regex
 
         known, split = _unpacked(name, shared), regex.compile(pattern).findall
-        free, whole = pattern == public_tokenizers.PATTERN, {}  # the ids of pieces all of whose words are known
-
-        def looked_up(text: str) -> tuple[list[str | None], dict[int, str]]:
-            """Comma-joined ids of words or of pieces, in order, and the words at the places that have none."""
-            cut_up = spaced(text) if free else None
-            if cut_up is None:
-                words = split(text)
-                ids = list(map(known.get, words))
-                return ids, {k: words[k] for k, x in enumerate(ids) if x is None}
-            ids, lost, start, out = list(map(whole.get, cut_up)), {}, 0, []
-            ids[0] = None  # the first piece has no space before it
-            for k in (k for k, x in enumerate(ids) if x is None):
-                out += ids[start:k]
-                words = split(" " + cut_up[k] if k else cut_up[0])
-                own = list(map(known.get, words))
-                lost |= {len(out) + i: words[i] for i, x in enumerate(own) if x is None}
-                if k and None not in own:
-                    whole[cut_up[k]] = ",".join(own)
-                out += own
-                start = k + 1
-            return out + ids[start:], lost
-
-        for b in slices(batches, 1):
-            if len(whole) > PIECES:
-                whole.clear()
-            runs, words, places = [], [], []
-            for t in b.column(1):
-                ids, lost = looked_up(t.as_py())
-                mine, rare, at, start = [], {}, [], 0
-                for k, w in lost.items():
-                    raw = w.encode("utf-8", "replace") if len(w) * 4 > long else b""
-                    if len(raw) > long:
-                        ids[k] = ",".join(map(str, heap_merge(raw, ranks)))
-                        continue
-                    mine.append(",".join(ids[start:k])), at.append(rare.setdefault(w, len(rare)))
-                    start = k + 1
-                runs.append([*mine, ",".join(ids[start:])]), words.append(list(rare)), places.append(at)
-            text = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(runs, text), pa.array(words, text), pa.array(places, pa.list_(pa.int32()))], ["id", "runs", "words", "places"])
+        free, text = pattern == public_tokenizers.PATTERN, pa.list_(pa.string())
+
+        def offsets(sizes: np.ndarray) -> np.ndarray:
+            return np.append(0, np.cumsum(sizes))
+
+        def lists(ends: np.ndarray, values: pa.Array) -> pa.ListArray:
+            return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+
+        for b in slices(batches, 1, CUT_ROWS, CUT_BYTES):
+            cut_up = _CutUp(b.column(1), split, free)
+            units = [split(" " + p) for p in cut_up.pieces] + cut_up.others
+            words = list(chain.from_iterable(units))
+            row = known.find(words)
+            rare, heaped, number = {}, {}, np.full(len(words), -1, np.int64)  # number: that of a word without ids among rare
+            for k in np.flatnonzero(row < 0).tolist():
+                w = words[k]
+                raw = w.encode("utf-8", "replace") if len(w) * 4 > long else b""
+                if len(raw) > long:
+                    heaped[k] = ",".join(map(str, heap_merge(raw, ranks)))
+                else:
+                    number[k] = rare.setdefault(w, len(rare))
+            ids = known.ids.take(pa.array(row, mask=row < 0))
+            if heaped:
+                mask = np.zeros(len(words), bool)
+                mask[list(heaped)] = True
+                ids = pc.replace_with_mask(ids, pa.array(mask), pa.array(heaped.values(), pa.string()))
+
+            # The words of all texts, one after another, by their places in words.
+            first, n = offsets(list(map(len, units))), np.array(list(map(len, units)), np.int64)[cut_up.codes]
+            ends = offsets(n)
+            at = np.arange(ends[-1]) + np.repeat(first[cut_up.codes] - ends[:-1], n)
+            per_text = np.diff(ends[cut_up.ends])
+            texts = np.repeat(np.arange(len(per_text)), per_text)
+            lost = number[at] >= 0
+            lost_ends = offsets(np.bincount(texts[lost], minlength=len(per_text)))
+            run_of = texts + np.cumsum(lost)  # of a known word: a text has a run more than it has words without ids
+            made = pc.binary_join(lists(offsets(np.bincount(run_of[~lost], minlength=len(per_text) + int(lost.sum()))), ids.take(pa.array(at[~lost]))), ",")
+            pairs, inverse = np.unique(texts[lost] * max(1, len(rare)) + number[at[lost]], return_inverse=True)
+            own = np.searchsorted(pairs, np.arange(len(per_text) + 1) * max(1, len(rare)))
+            columns = [
+                b.column(0).take(pa.array(cut_up.order)),
+                lists(np.arange(len(per_text) + 1) + lost_ends, made),
+                lists(own, pa.array(list(rare), pa.string()).take(pa.array(pairs % max(1, len(rare))))),
+                lists(lost_ends, pa.array(inverse - own[texts[lost]], pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays([c.cast(text) if k in (1, 2) else c for k, c in enumerate(columns)], ["id", "runs", "words", "places"])
 
     kind = rows.schema["id"].dataType.simpleString()
     made = rows.mapInArrow(run, f"id {kind}, runs array<string>, words array<string>, places array<int>")

@@ -1,7 +1,10 @@
 import hashlib
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import public_tokenizers as P
+import pyarrow as pa
 import regex
 import tiktoken
 from hypothesis import given, settings
@@ -72,3 +75,19 @@ def test_counts_of_words(spark, monkeypatch):
     want = Counter(w for t in texts for w in regex.findall(P.PATTERN, t))
     got = B.word_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).collect()
     assert {r.w: r["count"] for r in got} == want and len(got) == len(want)
+
+
+def test_the_table_is_small_in_a_worker():
+    words = [f" w{k}" for k in range(30_000)]
+    shared = SimpleNamespace(value=B._packed(pa.table({"w": words, "ids": [f"{k},{k + 1}" for k in range(30_000)]})))
+    tracemalloc.start()
+    try:
+        known = B._unpacked("a table", shared)
+        held = tracemalloc.get_traced_memory()[0] / len(words)
+    finally:
+        tracemalloc.stop()
+    assert held < 64  # bytes a word beside what came; a dictionary takes more than 150
+    asked = [" w7", "w7", "", " w29999", "é"]
+    assert [k if k < 0 else words[k] for k in known.find(asked).tolist()] == [" w7", -1, -1, " w29999", -1]
+    known.keys[:] = hash(" w7")  # all hashes alike: a word that isn't the one found is unknown, never another's ids
+    assert all(k < 0 or words[k] == w for w, k in zip(words[:50], known.find(words[:50]).tolist(), strict=True))
