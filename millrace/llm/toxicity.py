@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, cut, even, isotonic, labelled_ids, slices, table
+from .common import crc_fold, cut, even, isotonic, labelled_ids, map_arrow, slices, table
 
 #: Labelled rows per class that are learned from, and the size of the learned lexicon, a part of the model: the bounds of the fit. Words of 3 to 40 letters can be learned.
 MAX_ROWS = 4000
@@ -170,7 +170,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
 
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
-    counts = sample.mapInArrow(run, "w string, y int, n long").distinct().groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+    counts = map_arrow(sample, run, "w string, y int, n long").distinct().groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
     strong = counts.where((F.col("t") >= max(5, 0.015 * toxic)) & (odds >= 3)).withColumn("o", odds)
     top = strong.orderBy((F.col("o") * F.log1p("t")).desc(), "w").limit(MAX_WORDS).select("w").collect()
@@ -186,7 +186,7 @@ def _rows(docs: DataFrame, others: list[str], make, schema: str) -> DataFrame:
         for b in slices(batches, 0):
             yield done(b.select(range(1, b.num_columns)), [t.as_py() or "" for t in b.column(0)])
 
-    return docs.select("text", *others).mapInArrow(run, schema)
+    return map_arrow(docs.select("text", *others), run, schema)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn) -> ToxicityModel:

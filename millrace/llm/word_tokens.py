@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 #: Chunks of a worker's table, and the longest chunk it keeps in bytes.
 TABLE = 200_000
 LONGEST = 128
@@ -186,7 +188,7 @@ def map_ids(docs: DataFrame, text_col: str, others: list[str], start: Callable[[
         encoder.table.older = {}  # a worker between tasks keeps one table
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")
-    return docs.select(text, *[F.col(c) for c in others]).mapInArrow(run, schema)
+    return map_arrow(docs.select(text, *[F.col(c) for c in others]), run, schema)
 
 
 def id_table(spark: SparkSession, sf_dir: str) -> DataFrame:
