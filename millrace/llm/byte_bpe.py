@@ -107,9 +107,9 @@ class Codec:
                     merged.append(rank)
         packed = [-1 if k is None else keys[k] << 16 | merged[k] for k in place(keys, RANK_SLOTS, _pair_spots)]
         self.table = literal(packed, "array<bigint>")
-        # By bytes: a byte's id, and the rank of each two bytes.
-        self.bytes = literal([ranks[bytes([b])] for b in range(256)], "array<int>")
-        self.pairs = literal([ranks.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)], "array<int>")
+        # By bytes: a byte's id, and the rank of each two bytes, times 2 ** 32.
+        self.bytes = literal([ranks[bytes([b])] for b in range(256)], "array<bigint>")
+        self.pairs = literal([ranks.get(bytes([a, b]), NONE) << 32 for a in range(256) for b in range(256)], "array<bigint>")
         self.parts = literal([base64.b64encode(p).decode() for p in self.pieces], "array<binary>").cast("array<string>")
 
     def pair_rank(self, ranks: Column, key: Column) -> Column:
@@ -117,7 +117,7 @@ class Codec:
 
         first, second = (F.get(ranks, (key % F.lit(p)).cast("int")) for p in PRIMES)
         entry = F.when(F.shiftright(first, 16) == key, first).when(F.shiftright(second, 16) == key, second)
-        return F.coalesce(entry.bitwiseAND(F.lit(65535)).cast("int"), F.lit(NONE))
+        return F.coalesce(entry.bitwiseAND(F.lit(65535).cast("long")), F.lit(NONE).cast("long"))
 
     def encode_word(self, word: Column) -> Column:
         """array<int>: the ids of one word that isn't empty."""
@@ -128,31 +128,34 @@ class Codec:
         return let(F.struct(self.table.alias("r"), self.bytes.alias("b"), self.pairs.alias("p")), body)
 
     def _fold(self, word: Column, tables: Column) -> Column:
-        """State: the ids with EDGE at both ends, the rank of each adjacent pair (NONE at the edges), the least rank."""
+        """State: an entry for each token, with edges at both ends: the rank of its pair with the next token (NONE at the edges) times 2 ** 32 and its id; and the least rank times 2 ** 20 with
+        the leftmost place that has it. So a merge cuts and joins one array, and its place needs no search."""
         chars = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # a character for each byte
         codes = F.transform(F.split(chars, ""), lambda c: F.ascii(c))
-        edge, none = F.array(F.lit(EDGE)), F.array(F.lit(NONE))
+        low, edge = F.lit(65535).cast("long"), F.lit(NONE << 32 | EDGE)
+
+        def state(entries: Column) -> Column:
+            least = lambda z: F.array_min(F.transform(z, lambda x, i: F.shiftleft(F.shiftright(x, 32), 20).bitwiseOR(i.cast("long"))))
+            return let(entries, lambda z: F.struct(z.alias("z"), least(z).alias("m")))
 
         def start(c: Column) -> Column:
-            ids = F.concat(edge, F.transform(c, lambda x: F.get(tables["b"], x)), edge)
-            inner = F.transform(F.slice(c, 2, F.size(c)), lambda x, i: F.get(tables["p"], F.get(c, i) * 256 + x))
-            return let(F.concat(none, inner, none), lambda r: F.struct(ids.alias("p"), r.alias("r"), F.array_min(r).alias("m")))
+            pair = lambda x, i: F.coalesce(F.get(tables["p"], x * 256 + F.get(c, i + 1)), F.lit(NONE << 32))
+            return state(F.concat(F.array(edge), F.transform(c, lambda x, i: pair(x, i).bitwiseOR(F.get(tables["b"], x))), F.array(edge)))
 
         def step(acc: Column, _: Column) -> Column:
-            p, r, m = acc["p"], acc["r"], acc["m"]
+            z, m = acc["z"], acc["m"]
 
             def merged(i: Column) -> Column:
-                """i: place of the pair's first token in p, from 1; never 1, which is the edge."""
-                keys = F.array(F.shiftleft(F.get(p, i - 2).cast("long"), 16) + m, F.shiftleft(m.cast("long"), 16) + F.get(p, i + 1))
-                near = F.transform(keys, lambda key: self.pair_rank(tables["r"], key))
-                p2 = F.concat(F.slice(p, F.lit(1), i - 1), F.array(m), F.slice(p, i + 2, F.size(p)))
-                r2 = F.concat(F.slice(r, F.lit(1), i - 2), near, F.slice(r, i + 2, F.size(r)))
-                return let(r2, lambda x: F.struct(p2.alias("p"), x.alias("r"), F.array_min(x).alias("m")))
+                """i: place of the pair's first token among the entries, from 0; never 0, which is the edge."""
+                made = F.shiftright(m, 20)
+                keys = F.array(F.shiftleft(F.get(z, i - 1).bitwiseAND(low), 16).bitwiseOR(made), F.shiftleft(made, 16).bitwiseOR(F.get(z, i + 2).bitwiseAND(low)))
+                near = F.transform(keys, lambda key: F.shiftleft(self.pair_rank(tables["r"], key), 32).bitwiseOR(F.shiftright(key, 16)))
+                return state(F.concat(F.slice(z, F.lit(1), i - 1), near, F.slice(z, i + 3, F.size(z))))
 
-            return F.when(m < NONE, let(F.array_position(r, m).cast("int"), merged)).otherwise(acc)
+            return F.when(m < NONE << 20, let(m.bitwiseAND(F.lit((1 << 20) - 1).cast("long")).cast("int"), merged)).otherwise(acc)
 
-        done = lambda c: F.aggregate(F.sequence(F.lit(1), F.size(c)), start(c), step, lambda acc: F.slice(acc["p"], F.lit(2), F.size(acc["p"]) - 2))
-        return let(codes, done)
+        ids = lambda acc: F.transform(F.slice(acc["z"], F.lit(2), F.size(acc["z"]) - 2), lambda x: x.bitwiseAND(low).cast("int"))
+        return let(codes, lambda c: F.aggregate(F.sequence(F.lit(1), F.size(c)), start(c), step, ids))
 
     def word_ids(self, word: Column) -> Column:
         """The ids of one word, comma-joined."""

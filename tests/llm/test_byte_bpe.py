@@ -9,6 +9,7 @@ import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millrace.llm import byte_bpe as B
 
@@ -61,6 +62,14 @@ def test_the_fold_gives_the_tables_words(spark, sf):
         assert ids == ",".join(map(str, TIK.encode_ordinary(w)))
 
 
+def test_a_merge_searches_no_place(spark):
+    words = ["a", "é", "aaaa", "abababab", " thhationer" * 40, "\u0000ÿ", "zq" * 700]
+    folded = spark.createDataFrame([(w,) for w in words], "w string").select("w", B.Codec(RANKS).encode_word(F.col("w")).alias("ids"))
+    assert {r.w: r.ids for r in folded.collect()} == {w: TIK._core_bpe.encode_single_piece(w.encode()) for w in words}
+    plan = folded.drop("w")._jdf.queryExecution().analyzed().toString()
+    assert "aggregate(" in plan and "array_position(" not in plan and plan.count("slice(") == 3  # a step cuts one array in two; the third takes the edges away
+
+
 @given(st.lists(st.sampled_from(["a", "b1", " ", " ", "  ", "'s", "!", "\n", "é", "'", "\x1c", "\u00a0", "ll"]), max_size=12).map("".join))
 @settings(max_examples=600, deadline=None)
 def test_words_stay_within_pieces(text):
