@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import cut, give_back, slices, table
 
 #: Words of the table of frequent words, and the longest of them in bytes: the bound of what goes to every task, about 50 bytes a word in a worker.
 DICTIONARY = 1 << 20
@@ -244,6 +244,8 @@ def word_counts(texts: DataFrame, pattern: str = public_tokenizers.PATTERN) -> D
                 held, size = [], 0
         if held:
             yield from rows(held)
+        held.clear()
+        give_back()
 
     return texts.select("text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("count"))
 
@@ -391,6 +393,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 lists(lost_ends, pa.array(inverse - own[texts[lost]], pa.int32())),
             ]
             yield pa.RecordBatch.from_arrays([c.cast(text) if k in (1, 2) else c for k, c in enumerate(columns)], ["id", "runs", "words", "places"])
+        give_back()
 
     kind = rows.schema["id"].dataType.simpleString()
     made = rows.mapInArrow(run, f"id {kind}, runs array<string>, words array<string>, places array<int>")
