@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..plans.contract import Contract, Field, Table
-from ..sources.checkpoint import cut
+from ..sources.checkpoint import kept
 from .pipeline import TRACE, Flat
-from .rules import accepted, error_rows
+from .rules import FEW_ROWS, accepted, error_rows
 
 #: Fields of a default contract's generated ids.
 COVERAGE_INPUTS = ("member_id", "plan_id", "coverage_start_date")
@@ -43,14 +43,16 @@ def candidates(rows: DataFrame, table: Table, contract: Contract) -> DataFrame:
     return rows.select("source_row_number", *out)
 
 
-def key_facts(df: DataFrame, table: Table) -> DataFrame:
-    """One row for each business key, without values: _at, its least row number; _n_<column>, the least one with a filled value; _rows, _conflict and _missing.
+def key_facts(df: DataFrame, table: Table, statistics: bool = True) -> DataFrame:
+    """One row for each business key, without values: _at, its least row number; _n_<column>, the least one with a filled value; for statistics _rows, _conflict and _missing.
 
     Null keys are a group. All buffers are numbers, so this is a hash aggregate on either side of the shuffle. Texts differ if their two 64-bit hashes do.
     """
     order = F.col("source_row_number")
     others = [f for f in table.fields if f.name not in table.business_key]
     first = [F.min(F.when(~missing(f), order)).alias(f"_n_{f.name}") for f in others]
+    if not statistics:
+        return df.groupBy(*table.business_key).agg(F.min(order).alias("_at"), *first)
     conflict = F.lit(False)
     for f in others:
         v = F.col(f.name)
@@ -65,29 +67,33 @@ def key_facts(df: DataFrame, table: Table) -> DataFrame:
     return df.groupBy(*table.business_key).agg(F.min(order).alias("_at"), *first, F.count("*").alias("_rows"), conflict.alias("_conflict"), F.count_if(lacking).alias("_missing"))
 
 
-def coalesce_by_key(df: DataFrame, table: Table) -> DataFrame:
+def coalesce_by_key(df: DataFrame, table: Table, statistics: bool = True) -> DataFrame:
     """One row for each business key: of each other column the first value that isn't blank, in row order; null if there is none. Null keys are a group.
 
     Row numbers, which are unique, are aggregated first. Values come late: a key's first row is met by its number, and only what it lacks is fetched from the later rows
-    that have it, so no text is ever in an aggregate's buffer or shuffled for a row that no key needs. df is read again for each step and must give the same rows. Has the
-    columns _rows, _conflict and _missing of key_facts for the statistics.
+    that have it, so no text is ever in an aggregate's buffer. df is read again for each step and must give the same rows. Has the columns _rows, _conflict and _missing of
+    key_facts if statistics are asked for.
     """
     others = [f.name for f in table.fields if f.name not in table.business_key]
-    facts = cut(key_facts(df, table))
+    told = ["_rows", "_conflict", "_missing"] if statistics else []
+    facts = kept(key_facts(df, table, statistics))
     values = df.select(F.col("source_row_number").alias("_row"), *[F.col(c).alias(f"_v_{c}") for c in others])
     if not others:
-        return facts.select(*[f.name for f in table.fields], "_rows", "_conflict", "_missing")
+        return facts.select(*[f.name for f in table.fields], *told)
     merged = facts.join(values, F.col("_at") == F.col("_row")).drop("_row")
     later = F.array_distinct(F.array_compact(F.array(*[F.when(F.col(f"_n_{c}") > F.col("_at"), F.col(f"_n_{c}")) for c in others])))
-    asked = facts.select("_at", F.explode(later).alias("_later"))
-    found = asked.join(values, F.col("_later") == F.col("_row")).groupBy("_at").agg(F.collect_list(F.struct("_row", *[f"_v_{c}" for c in others])).alias("_found"))  # fewer rows a key than columns
-    merged = merged.join(found, "_at", "left")
+    asked = kept(facts.select("_at", F.explode(later).alias("_later")))
+    count = asked.count()
+    if count:  # few rows go to the values, which then aren't shuffled once more
+        found = values.join(F.broadcast(asked) if count <= FEW_ROWS else asked, F.col("_later") == F.col("_row"))
+        merged = merged.join(found.groupBy("_at").agg(F.collect_list(F.struct("_row", *[f"_v_{c}" for c in others])).alias("_found")), "_at", "left")  # fewer rows a key than columns
 
     def value(c: str) -> Column:
         n = F.col(f"_n_{c}")
-        return F.when(n == F.col("_at"), F.col(f"_v_{c}")).when(n.isNotNull(), F.get(F.filter("_found", lambda x: x["_row"] == n), F.lit(0))[f"_v_{c}"])
+        first = F.when(n == F.col("_at"), F.col(f"_v_{c}"))
+        return first if not count else first.when(n.isNotNull(), F.get(F.filter("_found", lambda x: x["_row"] == n), F.lit(0))[f"_v_{c}"])
 
-    return merged.select(*[(F.col(f.name) if f.name in table.business_key else value(f.name)).alias(f.name) for f in table.fields], "_rows", "_conflict", "_missing")
+    return merged.select(*[(F.col(f.name) if f.name in table.business_key else value(f.name)).alias(f.name) for f in table.fields], *told)
 
 
 def table_stats(facts: DataFrame, table: Table) -> DataFrame:
@@ -102,10 +108,10 @@ def table_stats(facts: DataFrame, table: Table) -> DataFrame:
     )
 
 
-def tables(typed: DataFrame, issues: DataFrame, contract: Contract, names: list[str] | None = None) -> dict[str, DataFrame]:
-    """table: its coalesced rows with the _ columns of coalesce_by_key; of all tables, or those named. typed should be written: it is read more than once."""
+def tables(typed: DataFrame, issues: DataFrame, contract: Contract, names: list[str] | None = None, statistics: bool = True) -> dict[str, DataFrame]:
+    """table: its coalesced rows with the _ columns of coalesce_by_key; of all tables, or those named. typed is read more than once: it should be written, or narrow work on what is."""
     rows = accepted(typed, issues)
-    return {t.name: coalesce_by_key(candidates(rows, t, contract), t) for t in contract.tables if names is None or t.name in names}
+    return {t.name: coalesce_by_key(candidates(rows, t, contract), t, statistics) for t in contract.tables if names is None or t.name in names}
 
 
 def facts(typed: DataFrame, issues: DataFrame, contract: Contract) -> dict[str, DataFrame]:

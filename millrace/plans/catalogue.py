@@ -705,7 +705,7 @@ def profile_enum_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _book(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = order_book_contract()
     flat = pipeline.build_flat(order_book(spark, sf_dir), book_mappings(c), c)
-    typed = cut(normalize.normalize(flat.df, c))
+    typed = normalize.written(flat, c, ingest.numbered)
     return typed, rules.validate(typed, c, flat, _asof())
 
 
@@ -716,7 +716,7 @@ def _book_table(name: str, of: str, select: str, group: str) -> None:
     @query(f"{_B} SELECT {select} FROM acc GROUP BY {group}", name)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = order_book_contract()
-        return _text(outputs.output(outputs.tables(*_book(spark, sf_dir), c, [of])[of], c.table(of)))
+        return _text(outputs.output(outputs.tables(*_book(spark, sf_dir), c, [of], statistics=False)[of], c.table(of)))
 
 
 def _pick(c: str, as_double: bool = False) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import ingest
@@ -101,15 +101,24 @@ def order_book_contract() -> Contract:
 
 #: Order book columns: contract field and expression; the same in Spark and DuckDB.
 BOOK = {"customer_id": "CAST(c_custkey AS STRING)", "customer_name": "c_name", "segment": "c_mktsegment", "balance": "CAST(c_acctbal AS STRING)", "order_id": "CAST(o_orderkey AS STRING)", "order_date": "CAST(CAST(o_orderdate AS DATE) AS STRING)", "order_status": "o_orderstatus", "total": "CAST(o_totalprice AS STRING)", "line_number": "CAST(l_linenumber AS STRING)", "ship_date": "CAST(CAST(l_shipdate AS DATE) AS STRING)", "quantity": "CAST(l_quantity AS STRING)", "price": "CAST(l_extendedprice AS STRING)"}
+#: Columns of orders and customer that BOOK is made of.
+BOOK_OF = ["o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice", "c_custkey", "c_name", "c_mktsegment", "c_acctbal"]
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
 def order_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem with its order and customer as text, numbered by all columns of lineitem: a total order, as its rows are distinct."""
-    lines = ingest.spread(table(spark, sf_dir, "lineitem").select(*LINE_ORDER))
-    rows = lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.select(*LINE_ORDER, *[F.expr(e).alias(n) for n, e in BOOK.items()])
-    return ingest.ordered_rows(rows, LINE_ORDER).select("source_row_number", *BOOK)
+    """lineitem with its order and customer as text, sorted by all columns of lineitem: a total order, as its rows are distinct. Rows are numbered when they are written (ingest.numbered).
+
+    Lines are shuffled once: they and the orders, with their customers, are dealt by ranges of the order's key, so that they meet in the partition where lines are sorted. What is
+    shuffled has the types of the tables; texts are made of it afterwards.
+    """
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.struct(*BOOK_OF).alias("_order")).where("l_orderkey is not null")
+    lines = table(spark, sf_dir, "lineitem").select(*LINE_ORDER).where("l_orderkey is not null")
+    dealt = lines.unionByName(orders, allowMissingColumns=True).repartitionByRange("l_orderkey")
+    met = dealt.withColumn("_orders", F.collect_list("_order").over(Window.partitionBy("l_orderkey"))).where("_order is null")
+    rows = met.select(*LINE_ORDER, F.inline("_orders")).sortWithinPartitions(*LINE_ORDER)
+    return rows.select(F.lit(None).cast("long").alias("source_row_number"), *[F.expr(e).alias(n) for n, e in BOOK.items()])
 
 
 ORDER_BOOK_SQL = f"SELECT CAST(row_number() OVER (ORDER BY {', '.join(LINE_ORDER)}) + 1 AS BIGINT) AS source_row_number, {', '.join(f'{e} AS {n}' for n, e in BOOK.items())} FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"

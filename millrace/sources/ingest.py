@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import csv_splits
-from .checkpoint import cut
+from .checkpoint import cut, kept
 
 # Texts that count as missing when a CSV is read.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -75,9 +75,25 @@ def read_upload(spark: SparkSession, path: str, tokens: tuple[str, ...] = NA_TOK
     return df.select(*[F.when(~F.col(f"`{c}`").isin(*tokens), F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
+def numbered(rows: DataFrame, first: int = 2) -> DataFrame:
+    """source_row_number of rows that are sorted within and between their partitions. They are written once: a row is its file's offset and its place in the file, however the file is split.
+
+    One count for each file reaches the driver.
+    """
+    placed = kept(rows.drop("source_row_number"))
+    tagged = placed.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
+    part = F.regexp_extract("_f", r"part-(\d+)[^/]*$", 1).cast("long")  # as a number: names have five digits at least
+    starts, at = [], first
+    for r in tagged.groupBy("_f").agg(F.count("*").alias("n")).orderBy(part, "_f").collect():
+        starts.append((r["_f"], at))
+        at += r["n"]
+    out = tagged.join(F.broadcast(rows.sparkSession.createDataFrame(starts, "_f string, _s long")), "_f")
+    return out.select((F.col("_s") + F.col("_i")).alias("source_row_number"), *[F.col(f"`{c}`") for c in placed.columns])
+
+
 def ordered_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """source_row_number from 2 by a total order of the columns, by one range partitioning: no single-task sort."""
-    return number_rows(cut(df.orderBy(*columns)))  # the planner may merge partitions of a sort anew each time it runs; those of a checkpoint stay
+    return numbered(df.orderBy(*columns))
 
 
 def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
