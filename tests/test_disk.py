@@ -20,7 +20,7 @@ def shuffle_files(spark):
     return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
 
 
-@pytest.mark.parametrize("name", ["order_book_lines", "order_book_orders"])
+@pytest.mark.parametrize("name", ["order_book_lines", "order_book_orders", "order_book_issues"])
 def test_the_order_book_is_written_thinly(spark, sf, name):
     """With checkpoints of all its columns it took some 500 bytes a line and more."""
     before = folder_bytes(checkpoint_dir(spark))
